@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auralake.llm import token_files, tokens
 from auralake.llm.mixing import poisson_mix, tempered_targets
+from auralake.llm.packing import pack
 from auralake.llm.sharding import extendible_shards
+from auralake.llm.token_counts import prefix_counts
+from auralake.session import shared_path
 
 #: Bytes of text that a shard holds at most.
 SHARD_LIMIT = 1 << 20
+#: Tokens beyond which a document is over the limit.
+TOKEN_LIMIT = 1024
 MIX_SEED, MIX_TEMPERATURE = 42, 2.0
 
 
@@ -19,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 256, 512 and 1024 ids."""
+    packed = pack(table(spark, sf_dir, "documents"), tokens.tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "padded_length", "step_group")
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as ORC, then read back."""
+    path = shared_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokens.tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_files.digests(token_files.read_token_files(spark, path))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed towards the square roots of the sources' sizes."""
     docs = table(spark, sf_dir, "documents")
@@ -31,9 +50,18 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(docs, SHARD_LIMIT).drop("text")
 
 
+def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents, from the counts at all prefixes."""
+    counted = prefix_counts(table(spark, sf_dir, "documents"), tokens.tokenizer_file("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_length_packing": op1_multi_length_packing,
+    "op3_token_orc": op3_token_orc,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op8_extendible_sharding": op8_extendible_sharding,
+    "op9_prefix_token_counts": op9_prefix_token_counts,
 }
 
 ORACLE_SQL = {
