@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralake.llm import token_files, tokens
+from auralake.llm import token_files, tokens, warc
 from auralake.llm.mixing import poisson_mix, tempered_targets
 from auralake.llm.packing import pack
 from auralake.llm.sharding import extendible_shards
@@ -38,6 +38,14 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_token_files(spark, path))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as a WARC archive, then read back."""
+    path = shared_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    read = warc.read_warc(spark, path)
+    return read.select(warc.page_id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id_of("refers_to").alias("refers_to"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed towards the square roots of the sources' sizes."""
     docs = table(spark, sf_dir, "documents")
@@ -59,12 +67,24 @@ def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_length_packing": op1_multi_length_packing,
     "op3_token_orc": op3_token_orc,
+    "op4_warc": op4_warc,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_prefix_token_counts": op9_prefix_token_counts,
 }
 
 ORACLE_SQL = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+      4 * (strpos('0123456789abcdef', substr(hex, i, 1)) - 1) + 1, 4)), '') AS bits FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(1, 6), lambda k: (ascii(substr(bits, 5 * i + k, 1)) - 48) * (1 << (5 - k))))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to FROM b
+""",
     "op6_poisson_mixing": f"""
 WITH counts AS (SELECT source, count(*) AS n, pow(count(*), {1 / MIX_TEMPERATURE}) AS weight FROM documents GROUP BY source),
 rates AS (SELECT source, weight / sum(weight) OVER () * sum(n) OVER () / n AS rate FROM counts),
