@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralake.llm import token_files, tokens, warc
+from auralake.llm import embeddings, simhash, token_files, tokens, warc
 from auralake.llm.mixing import poisson_mix, tempered_targets
 from auralake.llm.packing import pack
 from auralake.llm.sharding import extendible_shards
@@ -31,6 +31,12 @@ def op1_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "padded_length", "step_group")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_dedup(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as ORC, then read back."""
     path = shared_path(spark, "token-files")
@@ -64,13 +70,20 @@ def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_dedup(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_length_packing": op1_multi_length_packing,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_token_orc": op3_token_orc,
     "op4_warc": op4_warc,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_prefix_token_counts": op9_prefix_token_counts,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
