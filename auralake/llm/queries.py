@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralake.llm import embeddings, simhash, token_files, tokens, warc
+from auralake.llm import embeddings, simhash, token_files, tokens, toxicity, warc
 from auralake.llm.mixing import poisson_mix, tempered_targets
 from auralake.llm.packing import pack
 from auralake.llm.sharding import extendible_shards
@@ -18,6 +18,8 @@ from auralake.session import shared_path
 SHARD_LIMIT = 1 << 20
 #: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 1024
+#: Score from which a document counts as toxic.
+TOXIC_FROM = 0.3
 MIX_SEED, MIX_TEMPERATURE = 42, 2.0
 
 
@@ -52,6 +54,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(warc.page_id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id_of("refers_to").alias("refers_to"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the training fold's toxic ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted")
+    )
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed towards the square roots of the sources' sizes."""
     docs = table(spark, sf_dir, "documents")
@@ -80,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_token_orc": op3_token_orc,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_prefix_token_counts": op9_prefix_token_counts,

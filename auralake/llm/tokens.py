@@ -26,9 +26,9 @@ MARK = "\x00"
 SPACE = "[\\s\\x0b\\x1c-\\x1f\u0085\\pZ]"
 UNSAFE = f"^$|{SPACE}$|^ {SPACE}|^[\\r\\x0b\\x0c\\x1c-\\x1f\u0085]"
 #: Distinct pieces that a worker remembers; then it starts afresh. Bounds memory, never results.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 1_200_000
 #: Characters of text that a worker cuts at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 
 
 def tokenizer_file(name: str) -> str:
