@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralake.llm import embeddings, simhash, token_files, tokens, toxicity, warc
+from auralake.llm import embeddings, fingerprints, simhash, token_files, tokens, toxicity, warc
 from auralake.llm.mixing import poisson_mix, tempered_targets
 from auralake.llm.packing import pack
 from auralake.llm.sharding import extendible_shards
@@ -69,6 +69,11 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(docs, tempered_targets(docs, MIX_TEMPERATURE), MIX_SEED)
 
 
+def op7_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document and of its edited text, and their likeness."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_improbable_features": op7_improbable_features,
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_prefix_token_counts": op9_prefix_token_counts,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,

@@ -62,7 +62,7 @@ class PrefixCounter:
     def may_follow(self, a: str, b: str) -> bool:
         found = self.follows.get((a, b))
         if found is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > 1_000_000:
                 self.follows.clear()
             found = self.follows[a, b] = self.merged(a + b) == [a, b]
         return found
@@ -88,6 +88,7 @@ class PrefixStore(tokens.PieceStore):
     """Per distinct piece the change of the token count at each of its code points."""
 
     dtype = np.int32
+    kept = 400_000
 
     def __init__(self, path: str):
         super().__init__(path)

@@ -25,8 +25,6 @@ MARK = "\x00"
 #: Pieces beside which a cut is not safe: empty ones, and those with white space at an end besides one leading space or tab.
 SPACE = "[\\s\\x0b\\x1c-\\x1f\u0085\\pZ]"
 UNSAFE = f"^$|{SPACE}$|^ {SPACE}|^[\\r\\x0b\\x0c\\x1c-\\x1f\u0085]"
-#: Distinct pieces that a worker remembers; then it starts afresh. Bounds memory, never results.
-PIECES_KEPT = 1_200_000
 #: Characters of text that a worker cuts at once.
 SLICE_CHARS = 8_000_000
 
@@ -77,6 +75,8 @@ class PieceStore:
     """Per distinct piece a run of values, remembered across batches: token ids here; subclasses keep other runs."""
 
     dtype = np.uint32
+    #: Distinct pieces remembered; then it starts afresh. Bounds memory, never results.
+    kept = 1_200_000
 
     def __init__(self, path: str):
         self.path = path
@@ -101,7 +101,7 @@ class PieceStore:
         pieces = list(map(self.key, pieces)) if type(self).key is not PieceStore.key else pieces
         found = list(map(self.slots.get, pieces))
         missing = list(dict.fromkeys(p for p, s in zip(pieces, found) if s is None))
-        if missing and len(self.slots) + len(missing) > PIECES_KEPT and self.slots:
+        if missing and len(self.slots) + len(missing) > self.kept and self.slots:
             self.clear()
             return self.slots_of(pieces)
         if missing:
