@@ -157,3 +157,208 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int
     smallest = labels.groupBy("group").agg(F.min("least").alias("component_id"))
     labels = labels.join(smallest, "group").select("fingerprint", "component_id").checkpoint()
     return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+# Documents alike by their shingles. Fingerprints of several words find candidates; the shingles themselves decide.
+
+#: Words of a fingerprint, and the bits of its first word and of all that a candidate pair may differ in: three standard
+#: deviations above what a similarity of 0.8 gives.
+PRINT_WORDS, FIRST_RADIUS, RADIUS = 4, 18, 55
+#: Distinct shingle sets of a tile in the search, and documents of a tile in the check.
+SEARCH_ROWS, CHECK_ROWS = 32_768, 1_024
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each hash: the k-th."""
+    h = h ^ np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingle_set, n, prints): what each text's set of shingles hashes to, its size and its fingerprint's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, sizes, prints = [], [], []
+            for text in batch.column("text").cast(pa.binary()):
+                own = np.unique(shingle_hashes(text.as_py() or b"", width))
+                sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                prints.append([majority(own), *(majority(mixed(own, k)) for k in range(1, PRINT_WORDS))] if len(own) else [0] * PRINT_WORDS)
+            flat = np.array(prints, dtype=np.uint64).reshape(len(sets), PRINT_WORDS).view(np.int64)
+            columns = [batch.column("node"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(sizes, type=pa.int64()), pa.array(list(flat), type=pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["node", "shingle_set", "n", "prints"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingle_set long, n long, prints array<long>")
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of distinct shingle sets (node, n, prints) whose fingerprints are near.
+
+    Sets of similarity ``s`` have sizes within the factor ``s``, so sets meet only in their class of size, whose bounds
+    grow by that factor, and the next; a class is cut into tiles.
+    """
+    step = float(np.log(1 / similarity))
+    rows = sets.filter("n > 0").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    # A class a factor: a few dozen rows, whatever the input.
+    counts = {r["size_class"]: r["count"] for r in rows.groupBy("size_class").count().collect()}
+    parts = {c: -(-n // SEARCH_ROWS) for c, n in counts.items()}
+    if not parts:
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    own = F.create_map(*[F.lit(x) for c in parts for x in (c, parts[c])])
+    count = lambda c: F.coalesce(F.element_at(own, c), F.lit(0))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), count(F.col("size_class"))).cast("int"))
+    tile = F.struct(F.col("size_class").alias("c"), F.col("part").alias("i"))
+
+    def others(c):
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count(c), F.lit(1)) - 1), lambda i: i < count(c)), lambda i: F.struct(c.cast("int").alias("c"), i.cast("int").alias("i")))
+
+    near = F.concat(others(F.col("size_class") - 1), others(F.col("size_class")), others(F.col("size_class") + 1))
+    rows = rows.select("node", "n", "prints", tile.alias("tile"), F.explode(near).alias("with"))
+    units = rows.groupBy(F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high")).agg(
+        F.collect_list(F.struct((F.col("tile") > F.col("with")).alias("second"), "node", "n", "prints")).alias("rows")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            for i in range(len(lists)):
+                flat = lists[i].values
+                if len(flat) < 2:
+                    continue
+                second = flat.field("second").to_numpy(zero_copy_only=False)
+                nodes, sizes = flat.field("node").to_numpy(), flat.field("n").to_numpy()
+                prints = flat.field("prints").flatten().to_numpy().view(np.uint64).reshape(-1, PRINT_WORDS)
+                order = np.argsort(np.bitwise_count(prints[:, 0]), kind="stable")
+                left, right = order[~second[order]], order[second[order]]
+                same = not len(right)
+                parent = Forest(len(nodes))
+                for a, b in near_prints(prints, sizes, left, left if same else right, similarity):
+                    parent.link(a, b)
+                linked = parent.linked()
+                if len(linked):
+                    yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[[parent.find(x) for x in linked]])], names=["a", "b"])
+
+    return units.select("rows").mapInArrow(run, "a long, b long")
+
+
+class Forest:
+    """Disjoint sets of the numbers below ``n``, each led by its least."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def link(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def linked(self) -> list[int]:
+        """The numbers that are not their set's least."""
+        return [x for x, up in enumerate(self.up) if up != x]
+
+
+def near_prints(prints: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of rows, both sides sorted by the first word's population count, that may be as similar."""
+    a, b = prints[left], prints[right]
+    ones = np.bitwise_count(b[:, 0])
+    strip = max(1, (4 << 20) // max(1, len(b)))
+    for i in range(0, len(a), strip):
+        rows = a[i : i + strip]
+        low = np.searchsorted(ones, int(np.bitwise_count(rows[0, 0])) - FIRST_RADIUS)
+        high = np.searchsorted(ones, int(np.bitwise_count(rows[-1, 0])) + FIRST_RADIUS, side="right")
+        x, y = np.nonzero(np.bitwise_count(rows[:, None, 0] ^ b[None, low:high, 0]) <= FIRST_RADIUS)
+        x, y = x + i, y + low
+        keep = left[x] < right[y] if left is right else slice(None)
+        x, y = x[keep], y[keep]
+        n, m = sizes[left[x]], sizes[right[y]]
+        keep = np.minimum(n, m) >= similarity * np.maximum(n, m)
+        x, y = x[keep], y[keep]
+        keep = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= RADIUS
+        yield from zip(left[x[keep]].tolist(), right[y[keep]].tolist())
+
+
+def confirmed(docs: DataFrame, groups: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): links within each group of candidates (node, component) whose shingle sets really are as similar.
+
+    A group of more documents than a tile is cut, and all pairs of its tiles are checked. In a tile pair the nearest
+    candidates are checked first, and a pair already joined through others is not checked at all: groups stay the same,
+    and a group of near copies costs about as many checks as it has members.
+    """
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHECK_ROWS).cast("int").alias("parts"))
+    rows = docs.join(groups.join(sizes, "component"), "node")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = rows.select("node", "text", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(t.as_py() or b"", width)) for t in batch.column("text").cast(pa.binary())]
+            prints = [[majority(h), *(majority(mixed(h, k)) for k in range(1, PRINT_WORDS))] for h in hashes]
+            words = pa.array([np.array(p, dtype=np.uint64).tobytes() for p in prints], type=pa.binary())
+            yield pa.record_batch([*(batch.column(c) for c in ("node", "component", "part", "with")), words, pa.array([h.tobytes() for h in hashes], type=pa.binary())], names=["node", "component", "part", "with", "prints", "shingles"])
+
+    rows = rows.mapInArrow(sets, "node long, component long, part int, with int, prints binary, shingles binary")
+    units = rows.groupBy("component", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high")).agg(
+        F.collect_list(F.struct("node", "prints", "shingles")).alias("rows")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            for i in range(len(lists)):
+                flat = lists[i].values
+                nodes = flat.field("node").to_numpy()
+                shingles = [np.frombuffer(x, dtype=np.uint64) for x in flat.field("shingles").to_pylist()]
+                prints = np.array([np.frombuffer(x, dtype=np.uint64) for x in flat.field("prints").to_pylist()])
+                n = np.array([len(s) for s in shingles])
+                order = np.argsort(np.bitwise_count(prints[:, 0]), kind="stable")
+                pairs = np.array(list(near_prints(prints, n, order, order, similarity)), dtype=np.int64).reshape(-1, 2)
+                distance = np.bitwise_count(prints[pairs[:, 0]] ^ prints[pairs[:, 1]]).sum(axis=1, dtype=np.int64)
+                parent = Forest(len(nodes))
+                for a, b in pairs[np.argsort(distance, kind="stable")].tolist():
+                    if parent.find(a) != parent.find(b) and jaccard(shingles[a], shingles[b]) >= similarity:
+                        parent.link(a, b)
+                linked = parent.linked()
+                if linked:
+                    yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[[parent.find(x) for x in linked]])], names=["a", "b"])
+
+    return units.select("rows").mapInArrow(run, "a long, b long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return common / max(1, len(a) + len(b) - common)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows that stay when each group of near-duplicates keeps the one with the smallest doc_id.
+
+    Documents are near-duplicates when their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
+    more, or through others that are. Texts without words, empty or null, are one group. Rows that share a doc_id are one
+    document, of which the first by its text stays; a null doc_id stands for its text and comes after all others. An empty
+    table stays empty; all columns stay.
+    """
+    shared_dir(docs.sparkSession)
+    names = docs.columns
+    known = docs.withColumn("__text", F.coalesce("text", F.lit("")))
+    # Nulls come after all ids that are there, by the hash of their text.
+    known = known.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 62)) + F.pmod(F.xxhash64("__text"), F.lit(1 << 61))))
+    texts = known.select(F.col("__node").alias("node"), F.col("__text").alias("text"))
+    found = signatures(texts, width).checkpoint()
+    sets = found.groupBy("shingle_set", "n").agg(F.min("node").alias("node"), F.min_by("prints", "node").alias("prints")).checkpoint()
+    loose = components(candidates(sets, similarity)).checkpoint()
+    links = components(confirmed(texts, loose, width, similarity))
+    sets = sets.join(links, "node", "left").select("shingle_set", "n", F.coalesce("component", "node").alias("least")).checkpoint()
+    kept = found.join(sets, ["shingle_set", "n"]).filter("node = least").select(F.col("node").alias("__node")).distinct()
+    rows = known.join(kept, "__node")
+    # One row a document; only rows that share a doc_id have anything to choose from.
+    first = rows.groupBy("__node").agg(F.min(F.struct("__text", *[c for c in names if c not in ("doc_id", "text")])).alias("r"), F.first("doc_id").alias("doc_id"), F.min_by("text", "__text").alias("text"))
+    return first.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"r.{c}").alias(c) for c in names])
