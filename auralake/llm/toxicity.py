@@ -112,9 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     prior = n_toxic / n_known
     texts = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
     toxic = thinned(known.filter("toxic = 1"), POSITIVES, n_toxic).select("doc_id")
-    positive = texts.join(toxic, "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
+    # No more ids than POSITIVES, but for the hash's luck: broadcast, so that no text is shuffled to find them.
+    positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
     unlabelled = thinned(texts, UNLABELLED, docs.select("doc_id").count()).select(F.lit(False).alias("positive"), "text")
-    sample = positive.unionByName(unlabelled)
+    sample = positive.unionByName(unlabelled).checkpoint()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
