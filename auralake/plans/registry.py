@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from auralake.plans import catalog_queries
+from auralake.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]
+
+#: Importing a module registers its queries.
+MODULES = (catalog_queries,)
