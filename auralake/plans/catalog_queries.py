@@ -212,3 +212,39 @@ def theta_pairs(t: Tables) -> DataFrame:
     a = t.documents.select("doc_id", "source", F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("head")).filter("head <> ''")
     x, y = a.filter("doc_id % 7 = 0").alias("x"), a.alias("y")
     return x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.source") < F.col("y.source"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
+SCANNED = """l AS (SELECT 'data/' || source || '/' || lang || '/s' || (doc_id % 13) || '_' || doc_id || '.wav' AS path, lang, source, 's' || (doc_id % 13) || '_' || doc_id AS name, 's' || (doc_id % 13) AS speaker, n_chars / 16000.0::DOUBLE AS duration_s FROM documents)"""
+
+
+def scanned_files(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("s"), F.col("doc_id") % 13, F.lit("_"), "doc_id")
+    path = F.concat_ws("/", F.lit("data"), "source", "lang", F.concat(name, F.lit(".wav")))
+    return t.documents.select(path.alias("path"), (F.col("n_chars") / 16000.0).alias("duration_s"), F.lit("").alias("sha1"), F.lit(35.0).alias("snr_db"))
+
+
+@query("WITH " + SCANNED + f""" SELECT 'dns:' || name AS source_id, 'dns' AS corpus, 'speech' AS kind, 'dns-' || speaker AS group_id, speaker AS speaker_id, path, duration_s, 'CC BY 4.0' AS licence,
+  CASE WHEN {HASH8.format("'dns-' || speaker")} % 10 < 8 THEN 'train' WHEN {HASH8.format("'dns-' || speaker")} % 10 = 8 THEN 'val' ELSE 'test' END AS split, '' AS sha1, '' AS noise_class FROM l""")
+def scan_speech(t: Tables) -> DataFrame:
+    """A speech corpus whose files begin with their speaker."""
+    from auralake.sources import scans
+
+    return scans.scan(scanned_files(t), scans.SCANS["dns_speech"]())
+
+
+@query("WITH " + SCANNED + f""", k AS (SELECT *, CASE lang WHEN 'de' THEN 'stationary' WHEN 'fr' THEN 'changing' END AS cls, regexp_replace(name, '_[0-9]+_?$', '') AS g FROM l) SELECT 'langs:' || lang || '/' || name AS source_id, 'langs-' || g AS group_id, cls AS noise_class, 'test' AS split FROM k WHERE cls IS NOT NULL""")
+def scan_noise(t: Tables) -> DataFrame:
+    """A noise corpus whose folders name its classes, held out whole."""
+    from auralake.sources import scans
+
+    rows = scans.scan(scanned_files(t), scans.noise_by_folder("langs", "CC BY 4.0", {"de": "stationary", "fr": "changing"}, split="test"))
+    return rows.select("source_id", "group_id", "noise_class", "split")
+
+
+@query("WITH " + SCANNED + ", k AS (SELECT speaker FROM l WHERE lang = 'en' AND source = 'src1' EXCEPT SELECT speaker FROM l WHERE lang = 'es' AND source = 'src2') SELECT path FROM l WHERE lang = 'en' AND source = 'src1' AND speaker IN (SELECT speaker FROM k)")
+def scan_only_in(t: Tables) -> DataFrame:
+    """Recordings whose key only one device has."""
+    from auralake.sources import scans
+
+    files = scanned_files(t).filter(F.col("path").rlike("/src1/en/|/src2/es/"))
+    return scans.only_in(files, F.split(scans.name_of(), "_")[0], F.col("path").contains("/src1/en/")).select("path")
