@@ -76,7 +76,7 @@ class PieceStore:
 
     dtype = np.uint32
     #: Distinct pieces remembered; then it starts afresh. Bounds memory, never results.
-    kept = 1_200_000
+    kept = 700_000
 
     def __init__(self, path: str):
         self.path = path
