@@ -188,7 +188,7 @@ def runs_by_id(docs: DataFrame) -> DataFrame:
     # The null run's own first document is needed by the run before; ids do not tell which it is, so all of them go there.
     runs = run_of("doc_id")
     if nulls:
-        runs = F.when(F.col("doc_id").isNull(), F.array(F.lit(last), F.lit(last - 1 if last else last))).otherwise(runs)
+        runs = F.when(F.col("doc_id").isNull(), F.array(F.lit(last), F.lit(last if first is None else last - 1))).otherwise(runs)
     return docs.select("doc_id", "text", F.posexplode(runs).alias("ahead", "run"))
 
 

@@ -26,6 +26,7 @@ ORC_OPTIONS = {
     "orc.encoding.strategy": "COMPRESSION",
     "compression": "zstd",
 }
+FILE_SCHEMA = "doc_id long, file_start long, n_ids long, ids array<int>"
 #: Files whose offsets are broadcast at most: some 200 bytes each.
 FILES_BROADCAST = 50_000
 
@@ -51,14 +52,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, o
                 start += int(offsets[-1])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(run, "doc_id long, file_start long, n_ids long, ids array<int>")
+    encoded = ordered.mapInArrow(run, FILE_SCHEMA)
     encoded.write.options(**(ORC_OPTIONS | (options or {}))).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of all documents: ``start`` counts the ids of all documents before, over all files."""
     shared_dir(spark)
-    rows = spark.read.orc(path).select("doc_id", "file_start", "n_ids", "ids", F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.schema(FILE_SCHEMA).orc(path).select("doc_id", "file_start", "n_ids", "ids", F.col("_metadata.file_path").alias("file"))
     # The least doc_id of a file orders the files; a null sorts first, as it was written.
     files = rows.groupBy("file").agg(
         F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"), F.max("doc_id").alias("most"),

@@ -57,17 +57,18 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     offsets = offsets - offsets[0]
     pieces = lists.flatten().dictionary_encode()
     odd = np.asarray(pc.match_substring_regex(pieces.dictionary, UNSAFE), dtype=bool)
+    again = np.array(pc.match_substring(texts, MARK), dtype=bool)
     if odd.any():
-        # White space beside a cut, or a mark in the text itself: such texts are cut again, by the stricter rule.
         odd_at = np.concatenate([[0], np.cumsum(odd[np.asarray(pieces.indices)])])
-        again = (odd_at[offsets[1:]] - odd_at[offsets[:-1]] > 0) | np.asarray(pc.match_substring(texts, MARK), dtype=bool)
-        if again.any():
-            whole_lists = lists.to_pylist()
-            for i in np.nonzero(again)[0]:
-                whole_lists[i] = SAFE_CUT.split(texts[int(i)].as_py())
-            lists = pa.array(whole_lists, type=pa.list_(pa.string()))
-            offsets = np.asarray(lists.offsets, dtype=np.int64)
-            pieces = lists.flatten().dictionary_encode()
+        again |= odd_at[offsets[1:]] - odd_at[offsets[:-1]] > 0
+    if again.any():
+        # White space beside a cut, or a mark in the text itself: such texts are cut again, by the stricter rule.
+        whole_lists = lists.to_pylist()
+        for i in np.nonzero(again)[0]:
+            whole_lists[i] = SAFE_CUT.split(texts[int(i)].as_py())
+        lists = pa.array(whole_lists, type=pa.list_(pa.string()))
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        pieces = lists.flatten().dictionary_encode()
     return offsets, pieces
 
 

@@ -33,7 +33,9 @@ RECORD = (
     "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, "
     "digest_ok boolean, payload binary"
 )
-FOUND = f"file string, block long, kind string, data binary, {RECORD}"
+FOUND = f"file string, block long, place long, line binary, {RECORD}"
+#: Names that Hadoop's text reader does not decompress by itself.
+NOT_GZ = "{*[!z],*[!g]z,*[!.]gz}"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -137,88 +139,75 @@ class Member:
 
 
 def scan(lines: Iterator[bytes]) -> Iterator[tuple[str, object]]:
-    """What one byte range holds: ``record`` fields, ``head`` bytes that its first record follows, a ``tail`` cut short.
+    """What one byte range holds, from the lines that follow its magics: ``record`` fields, and each ``line`` left over.
 
-    Each line is what follows a magic.
+    A line opens a member if what it begins inflates to a WARC record, with as many lines behind it as that takes; if it
+    does not, the next line is tried. Left over are the lines before the first record, which may end one that began in
+    the range before, and those after the last.
     """
-    open_member, seen = None, False
+    held: list[bytes] = []
+    start = fed = 0
+    candidate, seen = None, False
     for line in lines:
-        data = MAGIC + line
-        if open_member is not None:
-            done = open_member.feed(data)
-            if done is None:  # it was no member, or a broken one
-                if not seen:
-                    yield "head", open_member.raw
-                open_member = None
+        held.append(MAGIC + line)
+        while fed < len(held):
+            if candidate is None:
+                candidate, start = Member(), fed
+            done = candidate.feed(held[fed])
+            fed += 1
+            if done is None:
+                candidate, fed = None, start + 1
             elif done:
-                yield "record", parsed(open_member.out)
-                open_member, seen = None, True
-            if done is not None:
-                continue
-        candidate = Member()
-        done = candidate.feed(data)
-        if done is None:
-            if not seen:
-                yield "head", data
-        elif done:
-            yield "record", parsed(candidate.out)
-            seen = True
-        else:
-            open_member = candidate
-    if open_member is not None:
-        yield "tail", open_member.raw
+                if not seen:
+                    yield from (("line", x) for x in held[:start])
+                yield "record", parsed(candidate.out)
+                held, fed, candidate, seen = held[fed:], 0, None, True
+    yield from (("line", x) for x in held)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives at ``path``.
 
     Payloads are what follows the HTTP header. A revisit has no payload of its own: its ``payload_bytes`` is the length its
-    HTTP header gives. Bytes that belong to no WARC record are passed over. Files that end in .gz are read whole by one
-    task each, since Hadoop's codecs claim that name; any other name is split.
+    HTTP header gives. Bytes that belong to no WARC record are passed over. Any file is split but those that end in .gz,
+    which Hadoop's text reader would decompress: each of them is read whole by one task.
     """
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1")
-    lines = lines.option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec").option("io.compress.passthrough.extension", ".gz").text(path)
-    lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    at = lambda block: [F.col("_metadata.file_path").alias("file"), block.alias("block")]
+    reader = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", NOT_GZ)
+    lines = reader.text(path).select(F.col("value").cast("binary").alias("line"), *at(F.col("_metadata.file_block_start")))
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.col("content").alias("line"), *at(F.lit(-1).cast("long")))
+    found = lines.unionByName(whole).mapInArrow(scanned, FOUND)
     fields = [x.split()[0] for x in RECORD.split(", ")]
+    records = found.filter("line is null").select(*fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for (file, block), run_lines in ranges(batches):
-            rows, held = [], 0
-            for kind, found in scan(run_lines):
-                if kind == "record":
-                    if found is None:
-                        continue
-                    rows.append((file, block, kind, None, *(found[f] for f in fields)))
-                    held += len(found["payload"] or b"") + 500
-                else:
-                    rows.append((file, block, kind, found, *[None] * len(fields)))
-                if held > 8 << 20:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-            if rows:
-                yield batch_of(rows)
+    def join(file: pd.DataFrame) -> pd.DataFrame:
+        """Members that go on over ranges, from the lines left over in order."""
+        file = file.sort_values(["block", "place"])
+        out = [x for kind, x in scan(line[len(MAGIC) :] for line in file["line"]) if kind == "record" and x]
+        return pd.DataFrame(out, columns=fields)
 
-    found = lines.mapInArrow(run, FOUND)
-    records = found.filter("kind = 'record'").select(*fields)
+    # Few lines: a record's end behind a false magic, or what is no record.
+    left = found.filter("line is not null").select("file", "block", "place", "line")
+    return records.unionByName(left.groupBy("file").applyInPandas(join, RECORD))
 
-    def join(file: pd.DataFrame) -> pd.DataFrame:
-        """Members that go on over ranges: each tail with the heads of the ranges behind it."""
-        file = file.sort_values(["block", "kind", "place"], ascending=[True, True, True])
-        out, open_member = [], None
-        for kind, data in zip(file["kind"], file["data"]):
-            if kind == "tail":
-                open_member = Member()
-                open_member.feed(data)
-            elif open_member is not None:
-                done = open_member.feed(data)
-                if done:
-                    out.append(parsed(open_member.out))
-                open_member = None if done or done is None else open_member
-        return pd.DataFrame([x for x in out if x], columns=fields)
-
-    # Nearly always empty: a false magic must fall into a range's last member.
-    pieces = found.filter("kind <> 'record'").select("file", "block", "kind", "data", F.monotonically_increasing_id().alias("place"))
-    return records.unionByName(pieces.groupBy("file").applyInPandas(join, RECORD))
+
+def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each byte range, and the lines left over with their place in it."""
+    fields = [x.split()[0] for x in RECORD.split(", ")]
+    for (file, block), lines in ranges(batches):
+        rows, held = [], 0
+        for place, (kind, found) in enumerate(scan(lines)):
+            if kind == "line":
+                rows.append((file, block, place, found, *[None] * len(fields)))
+                held += len(found)
+            elif found is not None:
+                rows.append((file, block, place, None, *(found[f] for f in fields)))
+                held += len(found["payload"] or b"") + 500
+            if held > 8 << 20:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
 
 def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[bytes]]]:
@@ -232,7 +221,9 @@ def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
 
     for key, group in groupby(rows(), key=lambda r: r[0]):
         lines = (line for _, line in group)
-        if key[1] == 0:
+        if key[1] < 0:  # a whole file
+            lines = (part for data in lines for part in data.split(MAGIC)[1:])
+        elif key[1] == 0:
             next(lines)
         yield key, lines
 

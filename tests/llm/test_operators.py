@@ -1,0 +1,461 @@
+"""The ten operators: brute force, round trips, held-out accuracy, and the awkward inputs each must take."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.orc
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from auralake.llm import components, embeddings, fingerprints, mixing, packing, sharding, simhash, token_counts, token_files, tokens, toxicity, warc
+from auralake.llm.queries import ORACLE_SQL, QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, copy int, ids string"
+BYTES, WORDS = tokens.tokenizer_file("byte_bpe_50k.json"), tokens.tokenizer_file("word_bpe_49k.json")
+ODD = [" ", "  ", "\n", " \n", "\n ", "a", "the", "don't", "'ll", "é", "ß", "İ", "Σ", "1", "23", ".", ",", "...", "<|endoftext|>", "<|endoftext", "\x00", "\x1c", " ", "　", "中文", "\t", "-", "_", "\x85", "😀", "́", "s"]
+
+
+def odd_texts(n, seed=1):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 30))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty and long texts, repeated rows and ids, columns whose names clash with what operators add."""
+    rnd = random.Random(0)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(300)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    base = [text(rnd.randint(1, 120)) for _ in range(60)]
+    rows = [(i, t, "en", "ab"[i % 2], len(t), "x", 1, "y") for i, t in enumerate(base)]
+    rows += [(100 + i, base[i], None, None, None, None, None, None) for i in range(8)]
+    rows += [(200, None, "en", "a", 0, None, 0, ""), (201, "", "en", "a", 0, None, 0, ""), (202, "   ", "en", "c", 3, None, 0, ""), (203, text(9000), "en", "a", 1, None, 0, "")]
+    rows += [rows[3], rows[3], (None, base[5], "en", "a", 1, None, 0, ""), (None, "alone here", "en", "a", 1, None, 0, ""), (None, None, None, None, None, None, None, None)]
+    rows += [(300 + i, t, "en", "b", len(t), None, 0, "") for i, t in enumerate(odd_texts(30))]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def ids_of(path, text, end):
+    return np.array([*tokens.load(path).encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_pieces_give_the_ids_of_the_whole(path):
+    texts = [*odd_texts(4000, 7), None, "", " ", "\x00", "a" * 3000]
+    values, offsets = tokens.store(path).encode(pa.array(texts))
+    for i, e in enumerate(tokens.load(path).encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert values[offsets[i] : offsets[i + 1]].tolist() == e.ids
+
+
+def test_a_worker_that_forgets_gives_the_same_ids():
+    store = tokens.PieceStore(BYTES)
+    store.kept = 50
+    texts = pa.array(odd_texts(200, 3))
+    a, b = store.encode(texts), tokens.store(BYTES).encode(texts)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+# 1 Packing
+
+
+def test_packing_holds_every_id_once(spark, docs, empty):
+    pieces = packing.pack(docs, BYTES, 0).collect()
+    want = collections.Counter((r.doc_id, ids_of(BYTES, r.text, 0).tobytes()) for r in docs.collect())
+    windows = collections.defaultdict(list)
+    held = collections.defaultdict(collections.Counter)
+    for p in pieces:
+        windows[p.sequence_id].append((p.offset, p.length, p.padded_length, p.tier))
+        assert len(p.ids) == 4 * p.length
+        held[p.doc_id, p.doc_tokens][p.start, bytes(p.ids)] += 1
+    for w in windows.values():
+        place = 0
+        for offset, length, padded, tier in sorted(w):
+            assert offset == place
+            place += length
+        assert place <= tier <= 1024 and padded == (place if place & (place - 1) == 0 else 1024)
+    total = sum(len(p.ids) for p in pieces)
+    assert total == sum(len(k[1]) * n for k, n in want.items())
+    for (doc_id, ids), n in want.items():
+        at = [x for x in held[doc_id, len(ids) // 4].items()]
+        assert all(ids[4 * s : 4 * s + len(b)] == b for (s, b), _ in at) or sum(1 for d, i in want if d == doc_id) > 1
+    assert packing.pack(empty, BYTES, 0).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_windows_are_full_while_shorter_pieces_last(seed):
+    rnd = random.Random(seed)
+    lengths = [rnd.choice([1, 5, 200, 256, 300, 512, 700, 1024, 3000]) for _ in range(rnd.randint(1, 200))]
+    windows = packing.plan_windows(lengths)
+    covered = collections.defaultdict(list)
+    for tier, held in windows:
+        assert sum(n for *_, n in held) <= tier
+        for doc, start, n in held:
+            covered[doc].append((start, n))
+    for doc, n in enumerate(lengths):
+        place = 0
+        for start, m in sorted(covered[doc]):
+            assert start == place
+            place += m
+        assert place == n
+    padding = sum(packing.padded_length(sum(n for *_, n in held), 1024) - sum(n for *_, n in held) for _, held in windows)
+    assert padding < 1024
+    groups = collections.Counter()
+    sizes = [packing.padded_length(sum(n for *_, n in held), 1024) for _, held in windows]
+    for g, n in zip(packing.step_groups(sizes), sizes):
+        groups[g] += n
+    assert max(groups.values()) - min(groups.values()) <= 1024
+
+
+# 2 SimHash
+
+
+def fingerprint(text, width=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(keys, linked):
+    up = list(range(len(keys)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(keys)):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    groups = collections.defaultdict(list)
+    for i in range(len(keys)):
+        groups[find(i)].append(i)
+    return {i: g for g in groups.values() for i in g}
+
+
+def test_simhash_components_against_all_pairs(docs, empty):
+    rows = simhash.near_dedup(docs).collect()
+    texts = docs.collect()
+    prints = [fingerprint(r.text) for r in texts]
+    groups = brute_components(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    want = collections.Counter()
+    for i, r in enumerate(texts):
+        ids = [texts[j].doc_id for j in groups[i] if texts[j].doc_id is not None]
+        want[r.doc_id, prints[i], min(ids) if ids else None] += 1
+    assert collections.Counter((r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in rows) == want
+    assert simhash.near_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_simhash_tiles_lose_no_link(spark, tile):
+    rnd = random.Random(5)
+    seeds = [rnd.getrandbits(64) for _ in range(12)]
+    values = list({s ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for s in seeds for _ in range(12)})
+    df = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "node long, fingerprint long")
+    found = {r.node: r.component for r in components.components(simhash.links(df, 4, tile)).collect()}
+    groups = brute_components(values, lambda a, b: (values[a] ^ values[b]).bit_count() <= 4)
+    assert {i: found.get(i, i) for i in range(len(values))} == {i: min(g) for i, g in groups.items()}
+
+
+def test_similarity_stage_against_jaccard(spark, docs):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    base = [[rnd.choice(words) for _ in range(200)] for _ in range(6)]
+    rows = []
+    for b in base:
+        for k in (0, 0, 1, 3, 8, 20):
+            copy = list(b)
+            for at in rnd.sample(range(200), k):
+                copy[at] = rnd.choice(words)
+            rows.append((len(rows), " ".join(copy), "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t, _ in rows]
+    groups = brute_components(rows, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({min(g) for g in groups.values()})
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns
+    texts = collections.Counter((r.text or "").strip() for r in left.collect())
+    assert texts[""] == 1 and all(n == 1 for t, n in texts.items() if t in {r.text for r in docs.filter("doc_id < 60").collect()})
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+# 3 Token files
+
+
+def test_token_files_round_trip(spark, docs, empty, tmp_path):
+    token_files.write_token_files(docs, f"{tmp_path}/t", WORDS, 2)
+    read = token_files.read_token_files(spark, f"{tmp_path}/t")
+    got = token_files.digests(read).orderBy("start").collect()
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    place = 0
+    assert len(got) == len(rows)
+    by_start = {r.start: r for r in got}
+    for r in rows:
+        ids = ids_of(WORDS, r.text, 2)
+        if r.doc_id is not None and r.doc_id not in (3,):
+            assert (by_start[place].doc_id, by_start[place].n_tokens, by_start[place].ids_crc32) == (r.doc_id, len(ids), zlib.crc32(ids))
+        place += len(ids)
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in spark.read.orc(f"{tmp_path}/t").filter("doc_id = 17")._jdf.queryExecution().toString()
+    token_files.write_token_files(empty, f"{tmp_path}/e", WORDS, 2)
+    assert token_files.read_token_files(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_token_files_have_stripes_and_filters(spark, tmp_path):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id")).alias("text")).coalesce(1)
+    token_files.write_token_files(df, f"{tmp_path}/t", WORDS, 2, {"orc.stripe.size": "65536", "orc.stripe.row.count": "5000"})
+    files = [pa.orc.ORCFile(str(f)) for f in tmp_path.glob("t/*.orc")]
+    assert sum(f.nstripes for f in files) > len(files) and sum(f.nrows for f in files) == 20000
+
+
+# 4 WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(3, "http://a/\r\nb", "same"), (1, "u", "same"), (2, None, "same"), (5, "u", None), (6, "u", ""), (7, "u", "x" * 300000), (8, "u", "x" * 300000), (None, "u", "same"), (9, "u", "ünï"), (1, "u", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(2)
+    warc.write_warc(pages, f"{tmp_path}/w")
+    read = warc.read_warc(spark, f"{tmp_path}/w")
+    got = collections.Counter((r.page_id, r.n, r.d, r.t, r.to) for r in read.select(warc.page_id_of("record_id").alias("page_id"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"), F.col("record_type").alias("t"), warc.page_id_of("refers_to").alias("to")).collect())
+    first = {"same": 1, "": 5, "x" * 300000: 7}
+    want = collections.Counter()
+    for page, _, html in rows:
+        body = (html or "").encode()
+        revisit = page is not None and page > first.get(html or "", page)
+        want[page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", first[html or ""] if revisit else None] += 1
+    assert got == want
+    assert {r.target_uri for r in read.collect()} == {None, "u", "http://a/\r\nb"}
+    warc.write_warc(pages.limit(0), f"{tmp_path}/e")
+    assert warc.read_warc(spark, f"{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("split", [700, 5000, 1 << 20])
+def test_warc_is_whole_at_every_split_and_with_false_magics(spark, tmp_path, split):
+    rnd = random.Random(split)
+    payloads, data = [], b""
+    for i in range(40):
+        body = b"".join(rnd.choice([b"\x1f\x8b\x08", b"\x1f\x8b", b"text ", bytes([rnd.randrange(256)])]) for _ in range(rnd.randint(0, 400)))
+        head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x-page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        z = zlib.compressobj(0 if i % 2 else 6, zlib.DEFLATED, 31)  # stored members keep the false magics in sight
+        data += z.compress(head + body + b"\r\n\r\n") + z.flush()
+        payloads.append(body)
+    data += b"\x1f\x8b\x08 no member"
+    (tmp_path / "a.warc").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        got = {r.page: bytes(r.payload) for r in warc.read_warc(spark, f"{tmp_path}/a.warc").select(warc.page_id_of("record_id").alias("page"), "payload").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(enumerate(payloads))
+
+
+def test_warc_reads_gz_files(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(1, "u", b"x", None, "1970-01-01T00:00:00Z", 6) + warc.member(2, "u", b"x", 1, "1970-01-01T00:00:00Z", 6))
+    assert sorted(r.record_type for r in warc.read_warc(spark, str(tmp_path)).collect()) == ["response", "revisit"]
+
+
+# 5 Toxicity
+
+
+def test_toxicity_on_held_out_documents(spark, empty, docs):
+    rnd = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = rnd.random() < 0.15
+        words = [rnd.choice(vocabulary) for _ in range(60)]
+        if toxic:
+            for _ in range(2):
+                words[rnd.randrange(60)] = rnd.choice(["nasty", "vileword", "foulness", "vilewords"])
+        rows.append((i, " ".join(words)))
+        if i % 2 == 0:
+            labels.append((i, int(toxic)))
+        rows[-1] = (*rows[-1], int(toxic))
+    truth = {r[0]: r[2] for r in rows}
+    df, known = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, known)
+    found = {r.doc_id: (r.held, r.toxicity >= 0.3) for r in toxicity.score(df, model).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()}
+    held = [(truth[i], hit) for i, (h, hit) in found.items() if h]
+    assert {i for i, (h, _) in found.items() if h} == {i for i in range(1500) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum(t and h for t, h in held) >= 0.9 * sum(t for t, _ in held)
+    assert sum(not t and h for t, h in held) <= 0.03 * len(held)
+    scored = toxicity.score(docs.withColumn("toxicity", F.lit("clash")), model).collect()
+    assert len(scored) == docs.count() and all(0 <= r.toxicity <= 1 for r in scored)
+    assert toxicity.score(empty, model).count() == 0
+    nothing = toxicity.fit(df, known.filter("toxic = 0"))
+    assert not nothing.weights and toxicity.score(df, nothing).agg(F.max("toxicity")).first()[0] < 0.3
+
+
+# 6 Mixing
+
+
+def test_poisson_mixing(spark, docs, empty):
+    n = 4000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "rare").otherwise("common").alias("source"), F.lit("x").alias("copy"))
+    targets = spark.createDataFrame([("rare", 3.0), ("common", 1.0), ("absent", 5.0)], "source string, weight double")
+    got = mixing.poisson_mix(df, targets, 1)
+    counts = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(counts["rare"] - 3000) < 200 and abs(counts["common"] - 1000) < 120
+    copies = collections.Counter(r.doc_id for r in got.collect())
+    again = collections.Counter(r.doc_id for r in mixing.poisson_mix(df.repartition(7), targets, 1).collect())
+    assert copies == again
+    rates = spark.createDataFrame([(0.0,), (0.3,), (2.5,), (900.0,)], "r double").select(mixing.poisson_steps(F.col("r")).alias("s")).collect()
+    for r, lam in zip(rates, (0.0, 0.3, 2.5, 900.0)):
+        want = np.cumsum([math.exp(-lam + k * math.log(lam) - math.lgamma(k + 1)) if lam else float(k == 0) for k in range(len(r.s))])
+        assert np.allclose(r.s, want, atol=1e-9) and abs(r.s[-1] - 1) < 1e-9
+    out = mixing.poisson_mix(docs, mixing.tempered_targets(docs, 2.0), 3)
+    assert out.filter("source is null").count() > 0 and len(set(out.columns)) == len(out.columns)
+    assert mixing.poisson_mix(empty, mixing.tempered_targets(empty, 2.0), 3).count() == 0
+
+
+# 7 Fingerprints
+
+
+def test_window_entropy_against_counting():
+    data = np.frombuffer(bytes(random.Random(1).choice(b"aaab cdefgh\x00") for _ in range(2000)), dtype=np.uint8)
+    assert fingerprints.window_entropy(data).tolist() == [fingerprints.COUNT_LOGS[np.bincount(data[i : i + 64], minlength=256)].sum() for i in range(len(data) - 63)]
+
+
+def test_digest_does_not_depend_on_its_neighbours():
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcdefghij klmno.,") for _ in range(rnd.choice([0, 3, 64, 65, 130, 900, 5000]))) for _ in range(30)]
+    together = fingerprints.digests(texts)
+    for t, d in zip(texts, together):
+        assert fingerprints.written(fingerprints.digests([t])[0]) == fingerprints.written(d)
+        assert fingerprints.likeness(d, d) == 1.0
+    long = [d for t, d in zip(texts, together) if len(t) == 5000]
+    assert fingerprints.likeness(long[0], long[1]) < 0.2
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_fingerprints_follow_ascending_ids(spark, docs, empty, partitions):
+    plain = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).repartition(partitions)
+    rows = sorted(plain.collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: r for r in fingerprints.fingerprints(plain).collect()}
+    assert len(got) == len(rows)
+    for r, n in zip(rows, [*rows[1:], rows[0]]):
+        text, following = r.text or "", n.text or ""
+        half = len(text) // 2
+        assert got[r.doc_id].n_chars == len(text)
+        assert got[r.doc_id].edited_sha256 == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+        assert 0 <= got[r.doc_id].near_edited <= 1 and (got[r.doc_id].near_next == 1) >= (text == following)
+    assert fingerprints.fingerprints(docs).count() == docs.count()
+    assert fingerprints.fingerprints(docs.filter("doc_id is null")).count() == 3
+    assert fingerprints.fingerprints(docs.filter("doc_id = 7")).first().near_next == 1.0
+    assert fingerprints.fingerprints(empty).count() == 0
+
+
+# 8 Sharding
+
+
+@pytest.mark.parametrize("first_bits", [1, 3, 12])
+def test_extendible_hashing_against_splitting(spark, docs, empty, first_bits):
+    limit = 2000
+    rows = docs.collect()
+    key = lambda r: format(int(hashlib.md5(b"" if r.doc_id is None else str(r.doc_id).encode()).hexdigest()[:8], 16), "032b")
+    size = lambda r: len((r.text or "").encode())
+    buckets = {"": rows}
+    while over := [p for p, b in buckets.items() if sum(map(size, b)) > limit and len(p) < 32]:
+        for p in over:
+            for bit in "01":
+                buckets[p + bit] = [r for r in buckets[p] if key(r)[len(p)] == bit]
+            del buckets[p]
+    want = collections.Counter((r.doc_id, p, len(p), sum(map(size, b))) for p, b in buckets.items() for r in b)
+    got = sharding.extendible_shards(docs.withColumn("depth", F.lit("clash")), limit, first_bits=first_bits)
+    assert collections.Counter((r.doc_id, r.shard, r.depth, r.shard_bytes) for r in got.collect()) == want
+    assert sharding.extendible_shards(empty, limit).count() == 0
+
+
+def test_shards_are_written(spark, docs, tmp_path):
+    sharding.write_shards(sharding.extendible_shards(docs, 20000), f"{tmp_path}/s")
+    assert spark.read.parquet(f"{tmp_path}/s").count() == docs.count()
+
+
+# 9 Token counts
+
+
+def test_prefix_counts_are_exact(spark, docs, empty):
+    tokenizer = tokens.load(BYTES)
+    rows = token_counts.prefix_counts(docs, BYTES).collect()
+    texts = collections.Counter((r.doc_id, len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == texts
+    for text in [*odd_texts(150, 9), "a" * 300, "the quick'll brown  fox's\n\n 12345 ünï 中文"]:
+        store = tokens.store(BYTES, token_counts.PrefixStore)
+        changes, offsets = store.encode(pa.array([text]))
+        counts = token_counts.unpacked(token_counts.packed(changes, offsets)[0].as_py())
+        want = [len(e) for e in tokenizer.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+        assert counts.tolist() == want
+    assert token_counts.prefix_counts(empty, BYTES).count() == 0
+
+
+def test_prefix_questions(spark):
+    df = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
+    p = token_counts.prefix_counts(df, BYTES).orderBy("doc_id")
+    got = p.select(token_counts.tokens_before(F.col("prefix_tokens"), F.lit(7)).alias("b"), token_counts.longest_within(F.col("prefix_tokens"), F.lit(2)).alias("w"), token_counts.longest_within(F.col("prefix_tokens"), F.lit(-1)).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(2, 7, None), (0, 0, None)]
+    wide = token_counts.packed(np.array([300, -200, 1], dtype=np.int32), np.array([0, 2, 3]))
+    assert [token_counts.unpacked(v.as_py()).tolist() for v in wide] == [[0, 300, 100], [0, 1]]
+
+
+# 10 Embeddings
+
+
+def vectors(seed=4):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(12, 16))
+    rows = [(int(i), (base[i % 12] + rng.normal(size=16) * rng.choice([0, 0.1, 0.3])).astype("float32").tolist(), int(i % 3)) for i in range(150)]
+    rows += [(200 + i, rows[0][1], 0) for i in range(20)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, [None] * 16, 1), (304, rows[0][1], None), (305, [], 1), (306, [1.0, 2.0], 1), (307, [2.0, 4.0], 1), (308, [float("inf")] + [0.0] * 15, 1)]
+    return rows + [(None, rows[0][1], 0)]
+
+
+@pytest.mark.parametrize("interval", [7, 2048])
+def test_embedding_links_against_all_pairs(spark, interval):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash"))
+    usable = lambda r: r[0] is not None and r[2] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])
+
+    def linked(a, b):
+        x, y = rows[a], rows[b]
+        if not usable(x) or not usable(y) or x[2] != y[2] or len(x[1]) != len(y[1]):
+            return False
+        u, v = (np.array(r[1], dtype=np.float32).astype(float) for r in (x, y))
+        return u @ v / (np.linalg.norm(u) * np.linalg.norm(v)) >= 0.93
+
+    groups = brute_components(rows, linked)
+    want = collections.Counter()
+    for i, r in enumerate(rows):
+        component = min(rows[j][0] for j in groups[i]) if r[0] is not None else None
+        want[r[0], sum(linked(i, j) for j in range(len(rows)) if j != i), component, r[0] == component] += 1
+    got = embeddings.near_dedup(df, rows=interval)
+    assert collections.Counter(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == want
+    assert embeddings.near_dedup(df.limit(0)).count() == 0
+    assert embeddings.near_dedup(df.filter("vec_id >= 300")).count() == 9
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (500, 500)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 500: 500}
+
+
+def test_queries_have_ten_operators():
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES)
