@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions import scalars as S
+from auralake.session import shared_dir
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,9 +132,49 @@ def ordered_by_list(column: str, declared: list[str]) -> list[Column]:
     return [F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, declared)), F.col(column)), F.lit(0)), F.lit(999)), F.col(column)]
 
 
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Adds each row's place, from 0, in the order of the whole table, without bringing the table into one task.
+
+    Rows are dealt by ranges of the order and numbered within their range; a window sees one row a range. The ranges are
+    checkpointed, so that both counts are of the same.
+    """
+    shared_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    sizes = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn(name, own).join(sizes, "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
 def lanes(df: DataFrame, order: list, n: int) -> DataFrame:
     """Jobs dealt round robin, in order, to ``n`` lanes."""
-    return df.withColumn("lane", (F.row_number().over(Window.orderBy(*order)) - 1) % n)
+    return ranked(df, order, "lane").withColumn("lane", F.col("lane") % n)
+
+
+def least_loaded(df: DataFrame, order: list[str], cost: str, n: int) -> DataFrame:
+    """(order, cost, lane): jobs in order, each to the lane with the least work so far, the first on ties.
+
+    Each choice depends on those before, so the jobs of one plan are folded; a plan is a few hundred jobs.
+    """
+    jobs = df.agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("double").alias("cost")))).alias("jobs"))
+    entry = f"array<struct<{', '.join(f'{c}:{t}' for c, t in df.select(*order).dtypes)}, cost:double, lane:int>>"
+    start = F.struct(F.array().cast(entry).alias("out"), F.array_repeat(F.lit(0.0), n).alias("load"))
+
+    def deal(acc: Column, job: Column) -> Column:
+        lane = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
+        load = F.transform(acc["load"], lambda x, i: F.when(i == lane, x + job["cost"]).otherwise(x))
+        return F.struct(F.concat(acc["out"], F.array(F.struct(*[job[c].alias(c) for c in order], job["cost"].alias("cost"), lane.alias("lane")))).alias("out"), load.alias("load"))
+
+    return jobs.select(F.explode(F.aggregate("jobs", start, deal, lambda acc: acc["out"])).alias("j")).select("j.*")
+
+
+def classified(df: DataFrame, reasons: list[tuple[str, Column]], name: str = "reason") -> DataFrame:
+    """Adds the first reason that applies, empty where none does, and ``accepted``."""
+    out = None
+    for reason, hit in reasons:
+        out = F.when(F.coalesce(hit, F.lit(False)), reason) if out is None else out.when(F.coalesce(hit, F.lit(False)), reason)
+    return df.withColumn(name, out.otherwise("")).withColumn("accepted", F.col(name) == "")
 
 
 def violations(df: DataFrame, key: Column, rules: dict[str, Column], unique: list[str] = []) -> DataFrame:
