@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auralake.session import shared_dir
+
 #: Hexadecimal digits of a sha1 that make a uniform number: 52 bits, which a double holds exactly.
 DIGITS = 13
+#: Numbers of all sources' distribution functions that are broadcast at most, eight bytes each.
+STEPS_BROADCAST = 500_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -52,6 +56,7 @@ def poisson_mix(docs: DataFrame, targets: DataFrame, seed: int, total: int | Non
     a source of its own. Rows that share a key share a draw; a null key draws as the empty text. An empty table stays
     empty.
     """
+    shared_dir(docs.sparkSession)
     docs = docs.drop("copy", "shuffle_key")
     counts = docs.groupBy(F.col(source).alias("__s")).agg(F.count(F.lit(1)).alias("n"))
     wanted = targets.filter("weight > 0").select(F.col("source").alias("__t"), F.col("weight").cast("double").alias("weight"))
@@ -60,7 +65,10 @@ def poisson_mix(docs: DataFrame, targets: DataFrame, seed: int, total: int | Non
     # One row holds the sums, whatever the input.
     rates = rates.join(F.broadcast(sums), how="cross")
     size = F.col("all_n") if total is None else F.lit(total)
-    rates = rates.select("__s", poisson_steps(F.col("weight") / F.col("all_weight") * size / F.col("n")).alias("__steps"))
+    rates = rates.select("__s", poisson_steps(F.col("weight") / F.col("all_weight") * size / F.col("n")).alias("__steps")).checkpoint()
+    # One row a source. Texts need not be shuffled to meet their rates unless there are very many sources.
+    if (rates.agg(F.sum(F.size("__steps") + 10)).first()[0] or 0) <= STEPS_BROADCAST:
+        rates = F.broadcast(rates)
     drawn = docs.join(rates, docs[source].eqNullSafe(rates["__s"])).withColumn("__u", uniform(F.lit(seed), F.lit("draw"), F.col(key)))
     copies = F.size(F.filter("__steps", lambda x: x <= F.col("__u")))
     drawn = drawn.withColumn("__n", copies).drop("__s", "__steps", "__u").filter("__n > 0")
