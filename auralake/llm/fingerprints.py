@@ -1,9 +1,9 @@
 """Improbable-feature digests: what is rare in a text, in chained Bloom filters.
 
-Every window of 64 bytes has an entropy. Windows of ordinary text crowd around one value, so a window is the rarer the
-further its entropy lies from there. Among each 64 consecutive windows the rarest gets a vote, and windows with enough
+Every window of 32 bytes has an entropy. Windows of ordinary text crowd around one value, so a window is the rarer the
+further its entropy lies from there. Among each 32 consecutive windows the rarest gets a vote, and windows with enough
 votes are a text's features: they depend on nothing further away than their neighbours, so a passage keeps its features
-wherever it stands. Features go into Bloom filters of 2,048 bits, 160 to a filter; a full filter begins the next.
+wherever it stands. A text too short to rank windows has all its short ones as features. Features go into Bloom filters of 2,048 bits, 160 to a filter; a full filter begins the next.
 
 Two digests are compared filter by filter: each filter of the shorter chain with the one of the longer that shares most
 bits, on a scale where chance is 0 and equality 1.
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from auralake.session import shared_dir
 
-WINDOW, NEIGHBOURS, VOTES = 64, 64, 16
+WINDOW, NEIGHBOURS, VOTES = 32, 32, 8
+#: Bytes below which a text is short, and of its windows.
+SHORT, SHORT_WINDOW = 128, 8
 #: Bits and features of a filter, bits a feature sets, words of a filter.
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 160, 5
 #: The entropy, in bits, that windows of ordinary text crowd around; and below which a window is mere repetition.
-USUAL, LEAST = 4.1, 1.0
+USUAL, LEAST = 3.5, 1.0
 #: Bytes of text worked on at once, documents of a sorted run.
 SLICE_BYTES, RUNS_PER_PARTITION = 1_000_000, 4
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -39,7 +41,7 @@ def window_entropy(data: np.ndarray) -> np.ndarray:
     """``sum(c log2 c)`` over the byte counts ``c`` of each window, in units of 2**-20.
 
     A window differs from the one before by a byte gone and a byte come. How the sum changes depends on how often each is
-    in the 63 bytes between, which is read off the positions of that byte's other occurrences.
+    in the bytes between, which is read off the positions of that byte's other occurrences.
     """
     n = len(data)
     order = np.argsort(data, kind="stable")
@@ -55,9 +57,9 @@ def window_entropy(data: np.ndarray) -> np.ndarray:
 
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of each text's features, in the order of the text. A short text is one feature; an empty one has none."""
-    long = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
-    out = [np.zeros(0, dtype=np.uint64) if not t else np.array([short_hash(t)], dtype=np.uint64) for t in texts]
+    """Hashes of each text's features, in the order of the text; an empty one has none."""
+    long = [i for i, t in enumerate(texts) if len(t) >= SHORT]
+    out = [short_features(t) if len(t) < SHORT else np.zeros(0, dtype=np.uint64) for t in texts]
     if not long:
         return out
     gap = bytes(NEIGHBOURS + WINDOW)
@@ -92,6 +94,12 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def short_features(text: bytes) -> np.ndarray:
+    """All windows of a short text, once each; the whole of one shorter than a window."""
+    windows = dict.fromkeys(text[i : i + SHORT_WINDOW] for i in range(max(1, len(text) - SHORT_WINDOW + 1))) if text else {}
+    return np.array([short_hash(w) for w in windows], dtype=np.uint64)
+
+
 def short_hash(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 

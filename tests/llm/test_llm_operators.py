@@ -330,7 +330,7 @@ def test_poisson_mixing(spark, docs, empty):
 
 def test_window_entropy_against_counting():
     data = np.frombuffer(bytes(random.Random(1).choice(b"aaab cdefgh\x00") for _ in range(2000)), dtype=np.uint8)
-    assert fingerprints.window_entropy(data).tolist() == [fingerprints.COUNT_LOGS[np.bincount(data[i : i + 64], minlength=256)].sum() for i in range(len(data) - 63)]
+    assert fingerprints.window_entropy(data).tolist() == [fingerprints.COUNT_LOGS[np.bincount(data[i : i + fingerprints.WINDOW], minlength=256)].sum() for i in range(len(data) - fingerprints.WINDOW + 1)]
 
 
 def test_digest_does_not_depend_on_its_neighbours():
