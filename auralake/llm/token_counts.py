@@ -26,6 +26,9 @@ from auralake.llm import tokens
 #: Words that the tokenizer's splitter never splits, nor any of their prefixes: letters, digits or signs without apostrophe.
 SIMPLE = re.compile(r" ?(?:[^\W\d_]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\Z")
 
+#: Characters of text worked on at once; each has a value here.
+SLICE_CHARS = 3_000_000
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_tokens binary"
 
 
@@ -47,7 +50,8 @@ class PrefixCounter:
         self.ranks = {m: i for i, m in enumerate(merges)}
         self.longest = max(map(len, self.vocabulary))
         self.letters = byte_letters()
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.plain = {i: c for i, c in self.letters.items() if i < 128}
+        self.follows: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The vocabulary's tokens of a word, by its merges in order of rank."""
@@ -59,23 +63,31 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def may_follow(self, a: str, b: str) -> bool:
-        found = self.follows.get((a, b))
+    def may_follow(self, a: str, i: int, b: str, j: int) -> bool:
+        """Whether token ``b`` stays itself behind token ``a``, or at a word's start where ``a`` is empty; i, j: their ids."""
+        found = self.follows.get(i << 20 | j)
         if found is None:
             if len(self.follows) > 1_000_000:
                 self.follows.clear()
-            found = self.follows[a, b] = self.merged(a + b) == [a, b]
+            found = self.follows[i << 20 | j] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
     def counts(self, word: str) -> list[int]:
         """Tokens of each prefix of the word, by code points."""
-        spelt = "".join(map(self.letters.__getitem__, word.encode()))
-        last, count = [""], [0]
+        spelt = word.translate(self.plain) if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        vocabulary, follows = self.vocabulary, self.follows
+        last, ids, count = [""], [(1 << 20) - 1], [0]
         for end in range(1, len(spelt) + 1):
-            for start in range(max(0, end - self.longest), end):
+            # The whole prefix, then the shortest ending first: most tokens are short, and just one fits.
+            for start in (0, *range(end - 1, max(0, end - self.longest), -1)):
                 token = spelt[start:end]
-                if token in self.vocabulary and (not start or self.may_follow(last[start], token)):
+                j = vocabulary.get(token)
+                if j is None:
+                    continue
+                known = follows.get(ids[start] << 20 | j)
+                if self.may_follow(last[start], ids[start], token, j) if known is None else known:
                     last.append(token)
+                    ids.append(j)
                     count.append(count[start] + 1)
                     break
         if len(spelt) == len(word):
@@ -87,8 +99,8 @@ class PrefixCounter:
 class PrefixStore(tokens.PieceStore):
     """Per distinct piece the change of the token count at each of its code points."""
 
-    dtype = np.int32
-    kept = 400_000
+    dtype = np.int16
+    kept = 900_000
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -102,6 +114,7 @@ class PrefixStore(tokens.PieceStore):
             if counts is None or counts[-1] != n:  # several words, or an apostrophe: every prefix by the library itself
                 prefixes = [piece[: i + 1] for i in range(len(piece))]
                 counts = [len(e) for e in self.tokenizer.encode_batch_fast(prefixes, add_special_tokens=False)]
+            # A change beyond 16 bits would take a single word of as many tokens; none merges so far back.
             out.append([b - a for a, b in zip([0, *counts], counts)])
         return out
 
@@ -119,7 +132,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         counter = tokens.store(tokenizer, PrefixStore)
         for batch in batches:
             texts = tokens.plain(batch.column("text"))
-            for a, b in tokens.slices(texts):
+            for a, b in tokens.slices(texts, SLICE_CHARS):
                 part = texts.slice(a, b - a)
                 changes, offsets = counter.encode(part)
                 sums = np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])

@@ -176,13 +176,13 @@ def lowers(path: str) -> bool:
     return any(x["type"] == "Lowercase" for x in steps) and any(x.get("behavior") == "Removed" for x in splits)
 
 
-def slices(texts: pa.Array):
-    """Runs of rows that hold about SLICE_CHARS characters, so that a batch's size in memory is bounded by one text's."""
+def slices(texts: pa.Array, chars: int = SLICE_CHARS):
+    """Runs of rows that hold about so many characters, so that a batch's size in memory is bounded by one text's."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(texts), 0), dtype=np.int64))
     start = 0
     while start < len(texts):
         before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + SLICE_CHARS, side="right")))
+        end = max(start + 1, int(np.searchsorted(sizes, before + chars, side="right")))
         yield start, end
         start = end
 
