@@ -92,6 +92,22 @@ def first_match(text: Column | str, patterns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(col(text), p, 1), F.lit("")) for p in patterns])
 
 
+def sound_id(source_id: Column | str) -> Column:
+    """The number of a shared sound in a source's name, by the three ways that corpora write it; else null."""
+    return first_match(source_id, [r"freesound[_/-](\d+)", r"/(\d{3,7})(?:_\d+)?$", r"-(\d{4,7})-[A-Z]-\d+$"])
+
+
+def licence_allows(url: Column | str) -> Column:
+    """Whether a licence's address names a free one without a bar on commerce."""
+    text = F.lower(F.coalesce(col(url), F.lit("")))
+    return text.rlike("publicdomain|/licenses/by/|cc0|/licenses/by-sa/") & ~text.contains("-nc")
+
+
+def json_hash(*columns: str) -> Column:
+    """A sha256 of the columns' values as JSON, keys in sorted order."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
 def without_chunk(source_id: Column | str) -> Column:
     """A recording's name without the index of its chunk."""
     return F.regexp_replace(col(source_id), r"_\d+_?$", "")

@@ -252,3 +252,111 @@ def wer(hypothesis: Column, reference: Column) -> Column:
         return pd.Series([None if a is None or b is None or not len(b) else word_error_rate(list(a), list(b)) for a, b in zip(h, r)], dtype="float64")
 
     return S.scored(run(hypothesis, reference))
+
+
+# Fields, transfer and saturation.
+
+
+def diffuse_pair(noise: np.ndarray, other: np.ndarray, distance_m: float, rate: float, size: int = 64) -> np.ndarray:
+    """Two channels from two independent noises, as coherent as a spherically diffuse field at that distance."""
+    hop = size // 2
+    window = root_hann(size)
+    a, b = analyse(noise, size, hop, window), analyse(other, size, hop, window)
+    gamma = np.sinc(2 * np.fft.rfftfreq(size, 1 / rate) * distance_m / 343.0)
+    second = gamma * a + np.sqrt(np.maximum(0.0, 1 - gamma**2)) * b
+    return np.stack([synthesise(z, len(noise), size, hop, window) for z in (a, second)])
+
+
+def head_transfer(x: np.ndarray, rate: float, gain_db: float, delay_s: float, shadow_db: float, radius_m: float = 0.0875) -> np.ndarray:
+    """A source as it arrives beyond the head: later, weaker, and weaker still at high frequencies."""
+    n = 2 * len(x)
+    f = np.fft.rfftfreq(n, 1 / rate)
+    corner = 343.0 / (2 * np.pi * radius_m)
+    shade = 10 ** (-shadow_db / 20 * f**2 / (f**2 + corner**2))
+    turn = 10 ** (gain_db / 20) * shade * np.exp(-2j * np.pi * f * delay_s)
+    return np.fft.irfft(np.fft.rfft(x, n) * turn, n)[: len(x)]
+
+
+def autoregressive(shape_db: np.ndarray, order: int) -> np.ndarray:
+    """Coefficients of a recursive filter whose noise has the given spectrum, by its autocorrelation."""
+    r = np.fft.irfft(10 ** (shape_db / 10))[: order + 1]
+    return np.linalg.solve(np.array([[r[abs(i - j)] for j in range(order)] for i in range(order)]) + 1e-9 * r[0] * np.eye(order), r[1:])
+
+
+def filtered_noise(white: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(white))
+    for i in range(len(white)):
+        past = out[max(0, i - len(coefficients)) : i][::-1]
+        out[i] = white[i] + coefficients[: len(past)] @ past
+    return out
+
+
+def distortion(drive: float, knee: float, n: int = 256) -> float:
+    """Total harmonic distortion of a sine of amplitude ``drive`` through a saturation that bends at ``knee``."""
+    y = saturated(drive * np.sin(2 * np.pi * np.arange(n) / n), knee)
+    power = np.abs(np.fft.rfft(y)) ** 2
+    return float(np.sqrt(power[2:].sum() / power[1]))
+
+
+def saturated(x: np.ndarray, knee: float) -> np.ndarray:
+    return knee * np.tanh(x / knee)
+
+
+def knee_for(thd: float, drive: float = 1.0) -> float:
+    """The knee at which a sine of that amplitude is distorted by that much, by bisection."""
+    low, high = 1e-3 * drive, 1e3 * drive
+    for _ in range(80):
+        middle = np.sqrt(low * high)
+        low, high = (middle, high) if distortion(drive, middle) > thd else (low, middle)
+    return float(high)
+
+
+def band_projection(mask: np.ndarray, rate: float, bands: int = 16) -> np.ndarray:
+    """A mask over bins averaged within bands of equal width on the equivalent-rectangular-bandwidth scale."""
+    f = np.linspace(0, rate / 2, mask.shape[-1])
+    scale = 21.4 * np.log10(1 + 0.00437 * f)
+    band = np.minimum(bands - 1, (scale / scale[-1] * bands).astype(int))
+    means = np.stack([mask[..., band == k].mean(axis=-1) if (band == k).any() else np.zeros(mask.shape[:-1]) for k in range(bands)], axis=-1)
+    return means[..., band]
+
+
+#: Names of :func:`frame_features`, in their order.
+FEATURES = ("level_p", "level_r", "level_diff", "level_delta", "clip_p", "clip_r", "dropout", "coherence_low", "coherence_mid", "coherence_high", "flatness", "speech", "floor_p")
+
+
+def frame_features(p: np.ndarray, r: np.ndarray, size: int, hop: int, keep: float = 0.8) -> np.ndarray:
+    """Per frame of two channels the features in :data:`FEATURES`; averages are recursive, floors are running minima."""
+    a, b = spectra(p, size, hop), spectra(r, size, hop)
+    frames_p, frames_r = framed(p, size, hop), framed(r, size, hop)
+    cross = power_p = power_r = None
+    third = a.shape[1] // 3
+    out, floor, last = [], None, None
+    for i in range(len(a)):
+        now = (a[i] * b[i].conj(), np.abs(a[i]) ** 2, np.abs(b[i]) ** 2)
+        cross, power_p, power_r = now if cross is None else tuple(keep * x + (1 - keep) * y for x, y in zip((cross, power_p, power_r), now))
+        coherence = np.abs(cross) ** 2 / (power_p * power_r + 1e-20)
+        level_p, level_r = (10 * np.log10((f[i] ** 2).mean() + 1e-12) for f in (frames_p, frames_r))
+        floor = level_p if floor is None else min(level_p, floor + 0.05)
+        flat = np.exp(np.log(now[1] + 1e-12).mean()) / (now[1].mean() + 1e-12)
+        out.append([
+            level_p, level_r, level_p - level_r, 0.0 if last is None else level_p - last, (np.abs(frames_p[i]) >= 0.999).mean(), (np.abs(frames_r[i]) >= 0.999).mean(), float(level_r < -90),
+            coherence[:third].mean(), coherence[third : 2 * third].mean(), coherence[2 * third :].mean(), flat, float(level_p > floor + 6), floor,
+        ])
+        last = level_p
+    return np.array(out).reshape(-1, len(FEATURES))
+
+
+class OverlapAdd:
+    """Synthesis that takes one spectrum a hop and gives one hop of samples; :meth:`flush` gives what is still to come."""
+
+    def __init__(self, size: int, hop: int, window: np.ndarray):
+        self.size, self.hop, self.window, self.tail = size, hop, window, np.zeros(size)
+
+    def push(self, spectrum: np.ndarray) -> np.ndarray:
+        self.tail = self.tail + np.fft.irfft(spectrum, self.size) * self.window
+        out, self.tail = self.tail[: self.hop], np.concatenate([self.tail[self.hop :], np.zeros(self.hop)])
+        return out
+
+    def flush(self) -> np.ndarray:
+        out, self.tail = self.tail[: self.size - self.hop], np.zeros(self.size)
+        return out

@@ -115,3 +115,51 @@ def word_error_rate(t: Tables) -> DataFrame:
     words = t.conversations.select("conv_id", "turn", S.words("text").alias("h"))
     rows = words.withColumn("r", F.lag("h").over(w)).filter("r is not null")
     return rows.select("conv_id", "turn", r9(G.wer(F.col("h"), F.col("r"))).alias("wer"))
+
+
+@query()
+def diffuse_field(t: Tables) -> DataFrame:
+    """Correlation of two channels of a diffuse field, near and far apart."""
+
+    def r(x: np.ndarray, y: np.ndarray, d: float) -> float:
+        a, b = G.diffuse_pair(x, y, d, RATE, 16)
+        return float(np.corrcoef(a, b)[0, 1])
+
+    return pairs(t).select("vec_id", r9(G.over(lambda x, y: r(x, y, 0.001), "double", "x", "y")).alias("near"), r9(G.over(lambda x, y: r(x, y, 0.5), "double", "x", "y")).alias("far"))
+
+
+@query()
+def transfer_and_wind(t: Tables) -> DataFrame:
+    """Energy behind the head's shadow, and of wind noise shaped by a recursive filter."""
+    wind = G.autoregressive(-20 * np.log10(1 + np.arange(33)), 5)
+    return t.embeddings.select(
+        "vec_id", r9(G.over(lambda x: float((G.head_transfer(x, RATE, -3.0, 0.0005, 12.0) ** 2).sum()), "double", "embedding")).alias("shadowed"),
+        r9(G.over(lambda x: float((G.filtered_noise(x, wind) ** 2).sum()), "double", "embedding")).alias("wind"),
+    )
+
+
+@query()
+def saturation_knee(t: Tables) -> DataFrame:
+    """The knee that gives each level of distortion."""
+    thd = (1 + F.col("vec_id") % 5) / 100.0
+    return t.embeddings.select("vec_id", thd.alias("thd")).select("vec_id", "thd", r9(G.over(lambda x: G.knee_for(x), "double", "thd")).alias("knee"))
+
+
+@query()
+def hop_features(t: Tables) -> DataFrame:
+    """Features of each frame of two channels."""
+    rows = pairs(t).select("vec_id", F.posexplode(G.over(lambda x, y: G.frame_features(x, y, 16, 8).tolist(), "array<array<double>>", "x", "y")).alias("frame", "f"))
+    return rows.select("vec_id", "frame", *[r9(F.col("f")[i]).alias(n) for i, n in enumerate(G.FEATURES)])
+
+
+@query()
+def band_masks(t: Tables) -> DataFrame:
+    """An ideal ratio mask, as it is and averaged within auditory bands."""
+
+    def masks(x: np.ndarray, y: np.ndarray) -> list[float]:
+        a, b = (np.abs(G.spectra(v, 32, 16)) ** 2 for v in (x, y))
+        m = np.sqrt(a / (a + b + 1e-12))
+        return [float(m.mean()), float(G.band_projection(m, RATE, 6).mean())]
+
+    rows = pairs(t).select("vec_id", G.over(masks, "array<double>", "x", "y").alias("m"))
+    return rows.select("vec_id", r9(F.col("m")[0]).alias("mask"), r9(F.col("m")[1]).alias("banded"))

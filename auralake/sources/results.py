@@ -138,3 +138,28 @@ def condition_summary(df: DataFrame, declared: list[str]) -> DataFrame:
         F.percentile(S.scored("speech_loss"), F.lit(0.95)).alias("speech_loss_p95"), F.sum((F.col("fail") != 0).cast("long")).alias("fails"),
     )
     return rows.withColumn("place", F.row_number().over(order))
+
+
+#: Conditions under which recordings are made. Fixed values.
+CONDITIONS = ("engine", "engine+burst", "env_change", "ref_fault", "quiet")
+
+
+def recording_violations(table: DataFrame) -> DataFrame:
+    """(key, rule) of what is wrong in a list of field recordings (id, speaker, language, condition, transcript, has_clean)."""
+    rules = {
+        "id": S.blank_to_null("id").isNotNull(), "speaker": S.blank_to_null("speaker").isNotNull(), "condition": F.col("condition").isin(*CONDITIONS),
+        "has_clean": F.lower(F.trim(F.col("has_clean").cast("string"))).isin("0", "1", "true", "false", "yes", "no"),
+    }
+    return T.violations(table, F.coalesce(F.col("id"), F.lit("")), rules, unique=["id"])
+
+
+def verdict(rows: DataFrame, by: list[str], ok: str) -> DataFrame:
+    """Per group: FAIL if any criterion is missed, TBD if any is open, otherwise PASS."""
+    missed = F.coalesce(F.some(~F.col(ok)), F.lit(False))
+    opened = F.count(F.when(F.col(ok).isNull(), 1)) > 0
+    return rows.groupBy(*by).agg(F.when(missed, "FAIL").when(opened, "TBD").otherwise("PASS").alias("verdict"))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small table as one JSON file a task; the commit replaces what was there as a whole."""
+    df.write.mode("overwrite").json(path)

@@ -150,3 +150,33 @@ def test_stationarity():
     steady = rng.normal(size=16000)
     assert G.stationarity(steady, 512) == "stationary"
     assert G.stationarity(steady * np.repeat([1, 0.001], 8000), 512) == "changing"
+
+
+def test_streamed_synthesis_equals_the_whole():
+    x, (a, s) = np.random.default_rng(5).normal(size=96), G.asymmetric_windows(32, 8, 12)
+    z = G.analyse(x, 32, 8, a)
+    stream = G.OverlapAdd(32, 8, s)
+    out = np.concatenate([*[stream.push(row) for row in z], stream.flush()])
+    assert np.allclose(out[24 : 24 + len(x)], G.synthesise(z, len(x), 32, 8, s)) and np.allclose(out[24 : 24 + len(x)], x, atol=1e-9)
+
+
+def test_saturation_and_fields():
+    assert math.isclose(G.distortion(1.0, G.knee_for(0.05)), 0.05, rel_tol=1e-3)
+    rng = np.random.default_rng(6)
+    near = G.diffuse_pair(rng.normal(size=4000), rng.normal(size=4000), 0.001, 16000.0)
+    far = G.diffuse_pair(rng.normal(size=4000), rng.normal(size=4000), 1.0, 16000.0)
+    assert np.corrcoef(near)[0, 1] > 0.95 and abs(np.corrcoef(far)[0, 1]) < 0.3
+    assert G.frame_features(np.ones(64), np.ones(64), 16, 8).shape == (7, len(G.FEATURES))
+    assert np.allclose(G.band_projection(np.full((3, 33), 0.4), 16000.0, 6), 0.4)
+
+
+def test_identifiers(spark):
+    r = one(spark, S.sound_id(F.lit("fs:x/freesound_12345")).alias("a"), S.sound_id(F.lit("none")).alias("b"), S.licence_allows(F.lit("http://creativecommons.org/licenses/by-nc/3.0/")).alias("c"), S.licence_allows(F.lit("http://creativecommons.org/publicdomain/zero/1.0/")).alias("d"))
+    assert tuple(r) == ("12345", None, False, True)
+
+
+def test_global_ranks_and_lanes(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v")).repartition(5)
+    assert all(r.v == r.rank for r in T.ranked(df, ["v"]).collect())
+    jobs = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, 1.0), (4, 1.0)], "j int, cost double")
+    assert [r.lane for r in T.least_loaded(jobs, ["j"], "cost", 2).orderBy("j").collect()] == [0, 1, 1, 1]

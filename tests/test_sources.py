@@ -91,3 +91,10 @@ def test_file_digests(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"x")
     assert R.file_digests(spark, str(tmp_path)).first()["sha256"] == hashlib.sha256(b"x").hexdigest()
     assert R.condition_summary(spark.createDataFrame([("present", 1.0, 0.9, 0.1, 0)], "condition string, snr_out double, stoi double, speech_loss double, fail int"), ["present"]).select(F.col("n")).first()["n"] == 1
+
+
+def test_recordings_and_verdicts(spark):
+    table = spark.createDataFrame([("1", "s", "hi", "engine", "t", "1"), ("1", "s", "hi", "rain", "t", "maybe"), ("", None, "hi", "quiet", "t", "0")], "id string, speaker string, language string, condition string, transcript string, has_clean string")
+    assert sorted((r.key, r.rule) for r in R.recording_violations(table).collect()) == [("", "id"), ("", "speaker"), ("1", "condition"), ("1", "has_clean"), ("1", "repeated key")]
+    rows = spark.createDataFrame([("a", True), ("a", None), ("b", False), ("b", None), ("c", True)], "g string, ok boolean")
+    assert {r.g: r.verdict for r in R.verdict(rows, ["g"], "ok").collect()} == {"a": "TBD", "b": "FAIL", "c": "PASS"}
