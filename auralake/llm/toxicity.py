@@ -91,10 +91,10 @@ def levelled(rows: np.ndarray, found: np.ndarray, times: np.ndarray) -> tuple[np
 
 
 def thinned(rows: DataFrame, most: int, total: int) -> DataFrame:
-    """About ``most`` of ``total`` rows, by the hash of their ids; all where there are no more."""
+    """About ``most`` of ``total`` rows, by the hash of all their columns; all where there are no more."""
     if total <= most:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < F.lit(int(most / total * (1 << 30))))
+    return rows.filter(F.pmod(F.xxhash64(F.lit("toxicity"), *rows.columns), F.lit(1 << 30)) < F.lit(int(most / total * (1 << 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
