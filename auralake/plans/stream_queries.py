@@ -103,3 +103,11 @@ def stream_distinct(t: Tables) -> DataFrame:
 def replayable_items(t: Tables) -> DataFrame:
     """Items of a training stream: functions of seed, epoch and place."""
     return stream.items(t.spark, 9, 3, 500, 7).withColumn("snr", r9(F.col("snr")))
+
+
+@query("SELECT date_trunc('day', ts)::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def stream_closed_windows(t: Tables) -> DataFrame:
+    """Windows that the watermark has closed: appended once, the open one held back."""
+    grouped, start = stream.windowed(stream.events_stream(t.spark, t.sf_dir), [], "ts", "1 day", delay="1 hour")
+    rows = grouped.agg(F.count(F.lit(1)).alias("n")).select(start.alias("start"), "n")
+    return stream.drained(rows).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n")
