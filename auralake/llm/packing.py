@@ -24,6 +24,8 @@ from auralake.llm import tokens
 TIERS = (256, 512, 1024)
 #: Ids packed together: two thousand windows of the longest tier, of which one may have padding.
 RUN_IDS = 2_000_000
+#: Characters of text encoded at once.
+SLICE_CHARS = 4_000_000
 #: Windows' padded ids in a step group, and windows numbered apart in each task.
 STEP_IDS, TASK_BITS = 16 * 1024, 36
 
@@ -152,11 +154,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
         encoder, packer = tokens.store(path), Packer(tiers, step_ids)
         for batch in batches:
             texts, doc_ids = tokens.plain(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in tokens.slices(texts):
+            for a, b in tokens.slices(texts, SLICE_CHARS):
                 ids, offsets = encoder.encode(texts.slice(a, b - a))
                 for i in range(b - a):
                     yield from packer.add(doc_ids[a + i], np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)))
         if packer.docs:
             yield packer.flush()
+        tokens.release()
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auralake.llm import tokens
 from auralake.llm.components import components, spanning_forest
 from auralake.session import shared_dir
 
@@ -190,6 +191,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             flat = np.array(prints, dtype=np.uint64).reshape(len(sets), PRINT_WORDS).view(np.int64)
             columns = [batch.column("node"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(sizes, type=pa.int64()), pa.array(list(flat), type=pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["node", "shingle_set", "n", "prints"])
+        tokens.release()
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingle_set long, n long, prints array<long>")
 
@@ -240,6 +242,7 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
                 linked = parent.linked()
                 if len(linked):
                     yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[[parent.find(x) for x in linked]])], names=["a", "b"])
+        tokens.release()
 
     return units.select("rows").mapInArrow(run, "a long, b long")
 

@@ -77,7 +77,7 @@ class PieceStore:
 
     dtype = np.uint32
     #: Distinct pieces remembered; then it starts afresh. Bounds memory, never results.
-    kept = 700_000
+    kept = 500_000
 
     def __init__(self, path: str):
         self.path = path
@@ -139,6 +139,8 @@ class CaselessStore(PieceStore):
     once.
     """
 
+    kept = 700_000
+
     def key(self, piece: str) -> str:
         return piece.strip(" ").lower() if piece.isascii() and "<|" not in piece else piece
 
@@ -149,6 +151,11 @@ class CaselessStore(PieceStore):
         return [[t.id for t in model(p)] if is_word else next(rest) for p, is_word in zip(pieces, plain)]
 
 
+def release() -> None:
+    """Gives memory that Arrow holds ready back to the machine: a worker may idle for long after a task."""
+    pa.default_memory_pool().release_unused()
+
+
 def room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a

@@ -226,5 +226,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 margin = bias + np.bincount(rows, weights=weights[found], minlength=b - a)
                 part = batch.slice(a, b - a)
                 yield pa.record_batch([*part.columns, pa.array(0.5 * (1 + np.tanh(margin / 2)))], names=[*batch.schema.names, "toxicity"])
+        tokens.release()
 
     return docs.mapInArrow(run, schema)
