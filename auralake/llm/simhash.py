@@ -162,9 +162,11 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int
 
 # Documents alike by their shingles. Fingerprints of several words find candidates; the shingles themselves decide.
 
-#: Words of a fingerprint, and the bits of its first word and of all that a candidate pair may differ in: three standard
-#: deviations above what a similarity of 0.8 gives.
-PRINT_WORDS, FIRST_RADIUS, RADIUS = 4, 18, 55
+#: Words of a fingerprint, and the bits of its first word and of all that a candidate pair may differ in: about four standard
+#: deviations above what a similarity of 0.8 gives. Sets of so few shingles differ in more bits, as majorities of even and
+#: odd numbers do not tie alike.
+PRINT_WORDS, FIRST_RADIUS, RADIUS = 4, 22, 68
+FEW, FEW_FIRST_RADIUS, FEW_RADIUS = 6, 24, 72
 #: Distinct shingle sets of a tile in the search, and documents of a tile in the check.
 SEARCH_ROWS, CHECK_ROWS = 32_768, 1_024
 
@@ -271,20 +273,22 @@ class Forest:
 def near_prints(prints: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
     """Pairs of rows, both sides sorted by the first word's population count, that may be as similar."""
     a, b = prints[left], prints[right]
+    few = min(sizes[left].min(initial=FEW), sizes[right].min(initial=FEW)) < FEW
+    first_radius, radius = (FEW_FIRST_RADIUS, FEW_RADIUS) if few else (FIRST_RADIUS, RADIUS)
     ones = np.bitwise_count(b[:, 0])
     strip = max(1, (4 << 20) // max(1, len(b)))
     for i in range(0, len(a), strip):
         rows = a[i : i + strip]
-        low = np.searchsorted(ones, int(np.bitwise_count(rows[0, 0])) - FIRST_RADIUS)
-        high = np.searchsorted(ones, int(np.bitwise_count(rows[-1, 0])) + FIRST_RADIUS, side="right")
-        x, y = np.nonzero(np.bitwise_count(rows[:, None, 0] ^ b[None, low:high, 0]) <= FIRST_RADIUS)
+        low = np.searchsorted(ones, int(np.bitwise_count(rows[0, 0])) - first_radius)
+        high = np.searchsorted(ones, int(np.bitwise_count(rows[-1, 0])) + first_radius, side="right")
+        x, y = np.nonzero(np.bitwise_count(rows[:, None, 0] ^ b[None, low:high, 0]) <= first_radius)
         x, y = x + i, y + low
         keep = left[x] < right[y] if left is right else slice(None)
         x, y = x[keep], y[keep]
         n, m = sizes[left[x]], sizes[right[y]]
         keep = np.minimum(n, m) >= similarity * np.maximum(n, m)
         x, y = x[keep], y[keep]
-        keep = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= RADIUS
+        keep = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= radius
         yield from zip(left[x[keep]].tolist(), right[y[keep]].tolist())
 
 

@@ -196,6 +196,17 @@ def test_similarity_stage_against_jaccard(spark, docs):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_similarity_stage_finds_short_pairs_at_the_limit(spark):
+    """Pairs of exactly 0.8, whose fingerprints differ most: a text and the same with a quarter more shingles."""
+    draw, rows = random.Random(8), []
+    for words, more in ((8, 1), (12, 2), (16, 3), (24, 5)):
+        for _ in range(150):
+            text = [f"w{draw.randrange(10**9)}" for _ in range(words + more)]
+            rows += [(2 * len(rows), " ".join(text[:words])), (2 * len(rows) + 1, " ".join(text))]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {doc_id for doc_id, _ in rows[::2]}
+
+
 # 3 Token files
 
 
