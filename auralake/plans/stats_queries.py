@@ -226,10 +226,9 @@ SELECT round(avg(auc), 6) AS mean, round(stddev_samp(auc), 6) AS sd, round(avg((
 def multinomial_auc(t: Tables) -> DataFrame:
     """The AUC of resampled items from their own histograms: bins stay with their item."""
     items = t.fact.filter("system = 'A' AND id % 20 = 1").select("id", F.col("fault").isNotNull().cast("int").alias("s"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(50 - 1e-6), "snr_out")) / 2).cast("long").alias("bin"))
-    ids = X.cluster_sums(items.withColumn("one", F.lit(1.0)).withColumn("all", F.lit(0)), ["all"], "id", "one")
-    from pyspark.sql import Window
-
-    num = ids.select("id", (F.row_number().over(Window.partitionBy("all").orderBy("id")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("all")).alias("k"))
+    ranked = T.ranked(items.select("id").distinct(), ["id"], "i").select("id", F.col("i").cast("long").alias("i"))
+    # One row, the number of items, goes to all of them.
+    num = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("k"))))
     drawn = num.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(29)))).select("b", S.pick(F.col("k"), 4, F.col("b"), F.col("i")).alias("i"))
     weights = drawn.groupBy("b", "i").agg(F.count(F.lit(1)).alias("w")).join(num.select("i", "id"), "i").join(items, "id")
     binned = weights.groupBy("b", "bin").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * (1 - F.col("s"))).alias("n"))
