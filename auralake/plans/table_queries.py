@@ -132,11 +132,15 @@ def id_list_overlap(t: Tables) -> DataFrame:
 @query("""WITH v AS (SELECT vec_id, label, sha1(array_to_string(list_transform(embedding[1:4], lambda x: round(x::DOUBLE, 1)::DECIMAL(9,1)::VARCHAR), '|')) AS h FROM embeddings)
 SELECT a.label AS label_a, count(*) AS pairs FROM v a JOIN v b ON a.h = b.h AND a.vec_id < b.vec_id GROUP BY a.label""")
 def parameter_overlap(t: Tables) -> DataFrame:
-    """Pairs of items whose drawn parameters hash the same."""
+    """Pairs of items whose drawn parameters hash the same, counted from places in the order of hashes and ids, not by meeting."""
     text = F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 1).cast("decimal(9,1)").cast("string")), "|")
     v = t.embeddings.select("vec_id", "label", F.sha1(text.cast("binary")).alias("h"))
-    a, b = v.alias("a"), v.alias("b")
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.vec_id") < F.col("b.vec_id"))).groupBy(F.col("a.label").alias("label_a")).agg(F.count(F.lit(1)).alias("pairs"))
+    placed = T.ranked(v.filter("h is not null and vec_id is not null"), ["h", "vec_id"])
+    ends = placed.groupBy("h", "vec_id").agg(F.max("rank").alias("own"))
+    last = ends.groupBy("h").agg(F.max("own").alias("last"))
+    # Partners of a row stand behind all rows of its own hash and id.
+    partners = placed.join(ends, ["h", "vec_id"]).join(last, "h").withColumn("n", F.col("last") - F.col("own"))
+    return partners.filter("n > 0").groupBy(F.col("label").alias("label_a")).agg(F.sum("n").alias("pairs"))
 
 
 @query("""SELECT event_id, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, date_trunc('day', ts)) = 1 AS day_has_purchase FROM events""")

@@ -25,6 +25,15 @@ def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_parameter_overlap_counts_a_crowded_hash_without_pairs(spark, tmp_path):
+    rows = [(i % 290, [0.0] * 8, i % 3) for i in range(300)] + [(1000, [9.0] * 8, 1), (None, [0.0] * 8, 1)]
+    folder = saved(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tmp_path, "embeddings")
+    df = QUERIES["parameter_overlap"](spark, folder)
+    want = collections.Counter(label for a, _, label in rows[:300] for b, _, _ in rows[:300] if a < b)
+    assert {r.label_a: r.pairs for r in df.collect()} == dict(want)
+    assert not re.search(r"vec_id#\d+L < vec_id#\d+L", plan_of(df))
+
+
 def test_items_are_not_numbered_in_one_task(spark):
     plan = plan_of(QUERIES["multinomial_auc"](spark, "/root/testdata/sf0.001"))
     assert "all#" not in plan
