@@ -128,8 +128,8 @@ def hop_frames(t: Tables) -> DataFrame:
 @query(W + """ SELECT user_id, k AS frame, count(*) AS n, round(avg(value), 6) AS mean FROM hops, range(0, 40) r(k) WHERE idx >= k * 4 AND idx < k * 4 + 12 GROUP BY ALL""")
 def sliding_frames(t: Tables) -> DataFrame:
     """Windows of twelve samples every four: each sample goes to the frames that hold it."""
-    first, last = F.greatest(F.lit(0), F.ceil((F.col("idx") - 11) / 4)), F.least(F.lit(39), F.floor(F.col("idx") / 4))
-    rows = hops(t).filter(first <= last).select("user_id", "value", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("frame"))
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("idx") - 11) / 4)), F.floor(F.col("idx") / 4)
+    rows = hops(t).select("user_id", "value", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("frame"))
     return rows.groupBy("user_id", "frame").agg(F.count(F.lit(1)).alias("n"), r9(F.avg("value")).alias("mean"))
 
 
@@ -145,9 +145,10 @@ def day_windows(t: Tables) -> DataFrame:
 @query("""WITH g AS (SELECT user_id, k FROM (SELECT DISTINCT user_id FROM events), range(30) r(k)), a AS (SELECT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) AS k, min(epoch(ts)) AS s FROM events GROUP BY ALL)
 SELECT g.user_id, g.k, CASE WHEN a.s IS NULL THEN 'lost' WHEN a.s - epoch(TIMESTAMP '2024-01-01') - g.k * 86400 <= 43200 THEN 'on time' ELSE 'late' END AS route FROM g LEFT JOIN a USING (user_id, k)""")
 def period_routing(t: Tables) -> DataFrame:
-    """Every period of every stream: played on time, late or lost."""
+    """Every period of every stream, from the first to the last that any has: played on time, late or lost."""
     s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.lit(1704067200.0)
     arrived = t.events.groupBy("user_id", F.floor(s / 86400).alias("k")).agg(F.min(s).alias("s"))
-    grid = t.events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("k"))
+    span = arrived.agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first is not null")
+    grid = t.events.select("user_id").distinct().crossJoin(F.broadcast(span)).select("user_id", F.explode(F.sequence("first", "last")).alias("k"))
     late = F.col("s") - F.col("k") * 86400
     return grid.join(arrived, ["user_id", "k"], "left").select("user_id", "k", F.when(F.col("s").isNull(), "lost").when(late <= 43200, "on time").otherwise("late").alias("route"))

@@ -21,6 +21,24 @@ def events(spark, folder, rows):
     return rows, saved(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double"), folder, "events")
 
 
+def test_sliding_frames_reach_the_end_of_long_streams(spark, tmp_path):
+    rows, folder = events(spark, tmp_path, [(1, 60 * i) for i in range(300)] + [(2, 60 * i) for i in range(5)])
+    want = collections.defaultdict(list)
+    for user in (1, 2):
+        for idx, value in enumerate(r[4] for r in rows if r[1] == user):
+            for frame in range(max(0, math.ceil((idx - 11) / 4)), idx // 4 + 1):
+                want[user, frame].append(value)
+    got = {(r.user_id, r.frame): (r.n, r["mean"]) for r in QUERIES["sliding_frames"](spark, folder).collect()}
+    assert got == {k: (len(v), round(sum(v) / len(v), 6)) for k, v in want.items()}
+
+
+def test_periods_before_and_after_the_first_month_are_routed(spark, tmp_path):
+    _, folder = events(spark, tmp_path, [(1, -2 * 86400 + 50), (1, 40 * 86400 + 80000), (2, 0)])
+    got = {(r.user_id, r.k): r.route for r in QUERIES["period_routing"](spark, folder).collect()}
+    want = {(u, k): "lost" for u in (1, 2) for k in range(-2, 41)}
+    assert got == want | {(1, -2): "on time", (1, 40): "late", (2, 0): "on time"}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
