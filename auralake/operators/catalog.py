@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from auralake.functions import scalars as S
 
@@ -113,10 +119,34 @@ def listed_check(listed: DataFrame, df: DataFrame, key: str) -> DataFrame:
 def content_digest(df: DataFrame, line: Column, by: list[str]) -> DataFrame:
     """A sha256 of each group's sorted lines, whatever order they come in.
 
-    A group's lines meet in one task, as a digest needs them all; groups are files or buckets, not corpora.
+    A group's lines pass through one task, as a sha256 takes them in order, but are sorted on disk and never held at once.
+    Null lines count but are not part of the digest.
     """
-    lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
-    return df.groupBy(*by).agg(F.sha2(lines, 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    rows = df.select(*by, line.cast("string").alias("__line")).repartition(*by).sortWithinPartitions(*by, "__line")
+    schema = StructType([*rows.drop("__line").schema.fields, StructField("digest", StringType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, done = to_arrow_schema(schema), []
+        key, digest, n, any_line = None, None, 0, False
+        for batch in batches:
+            for *own, text in zip(*(batch.column(c).to_pylist() for c in [*by, "__line"])):
+                if own != key:
+                    if key is not None:
+                        done.append((*key, digest.hexdigest(), n))
+                    key, digest, n, any_line = own, hashlib.sha256(), 0, False
+                n += 1
+                if text is not None:
+                    digest.update(("\n" if any_line else "").encode() + text.encode())
+                    any_line = True
+            if len(done) > 10_000:
+                yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*done), target)], schema=target)
+                done = []
+        if key is not None:
+            done.append((*key, digest.hexdigest(), n))
+        if done:
+            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*done), target)], schema=target)
+
+    return rows.mapInArrow(run, schema)
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str], parts: int = 1) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from auralake.functions import scalars as S
 from auralake.session import shared_dir
@@ -155,18 +161,26 @@ def lanes(df: DataFrame, order: list, n: int) -> DataFrame:
 def least_loaded(df: DataFrame, order: list[str], cost: str, n: int) -> DataFrame:
     """(order, cost, lane): jobs in order, each to the lane with the least work so far, the first on ties.
 
-    Each choice depends on those before, so the jobs of one plan are folded; a plan is a few hundred jobs.
+    Each choice depends on those before, so all jobs pass through one task, in order; it holds the lanes' work only. Without
+    a cost a lane's work is unknown, and it gets no more jobs.
     """
-    jobs = df.agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("double").alias("cost")))).alias("jobs"))
-    entry = f"array<struct<{', '.join(f'{c}:{t}' for c, t in df.select(*order).dtypes)}, cost:double, lane:int>>"
-    start = F.struct(F.array().cast(entry).alias("out"), F.array_repeat(F.lit(0.0), n).alias("load"))
-
-    def deal(acc: Column, job: Column) -> Column:
-        lane = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
-        load = F.transform(acc["load"], lambda x, i: F.when(i == lane, x + job["cost"]).otherwise(x))
-        return F.struct(F.concat(acc["out"], F.array(F.struct(*[job[c].alias(c) for c in order], job["cost"].alias("cost"), lane.alias("lane")))).alias("out"), load.alias("load"))
-
-    return jobs.select(F.explode(F.aggregate("jobs", start, deal, lambda acc: acc["out"])).alias("j")).select("j.*")
+    jobs = df.select(*order, F.col(cost).cast("double").alias("cost")).repartition(1).sortWithinPartitions(*order, "cost")
+    schema = StructType([*jobs.schema.fields, StructField("lane", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(False, 0.0, lane) for lane in range(n)]  # sorted; work that is not a number comes last
+        for batch in batches:
+            lanes = []
+            for work in batch.column("cost").to_pylist():
+                lanes.append(loads[0][2] if loads else None)
+                if loads:
+                    odd, load, lane = heapq.heappop(loads)
+                    if work is not None:
+                        total = math.nan if odd else load + work
+                        heapq.heappush(loads, (math.isnan(total), 0.0 if math.isnan(total) else total, lane))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lanes, type=pa.int32())], names=[*batch.schema.names, "lane"])
+
+    return jobs.mapInArrow(run, schema)
 
 
 def classified(df: DataFrame, reasons: list[tuple[str, Column]], name: str = "reason") -> DataFrame:

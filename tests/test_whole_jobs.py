@@ -55,3 +55,24 @@ def test_parameter_overlap_counts_a_crowded_hash_without_pairs(spark, tmp_path):
 def test_items_are_not_numbered_in_one_task(spark):
     plan = plan_of(QUERIES["multinomial_auc"](spark, "/root/testdata/sf0.001"))
     assert "all#" not in plan
+
+
+def test_digests_and_lanes_hold_no_group_at_once(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from auralake.operators import catalog as C
+    from auralake.operators import tables as T
+
+    rows = [("hot", f"{i * 7919 % 30011}é") for i in range(30000)] + [("null", None), (None, "b"), (None, "a"), (None, None)]
+    df = spark.createDataFrame(rows, "g string, line string").repartition(3)
+    found = C.content_digest(df, F.col("line"), ["g"])
+    digest = lambda g: hashlib.sha256("\n".join(sorted(x for k, x in rows if k == g and x is not None)).encode()).hexdigest()
+    assert {r.g: (r.digest, r.n) for r in found.collect()} == {"hot": (digest("hot"), 30000), "null": (digest("null"), 1), None: (digest(None), 3)}
+    jobs = T.least_loaded(spark.range(20000).select("id", (F.col("id") * 31 % 17).alias("cost")).repartition(3), ["id"], "cost", 3)
+    loads = [0.0] * 3
+    for r in jobs.orderBy("id").collect():
+        assert r.lane == loads.index(min(loads))
+        loads[r.lane] += r.cost
+    assert all("collect_list" not in plan_of(x) for x in (found, jobs))
