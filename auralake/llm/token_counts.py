@@ -26,6 +26,14 @@ from auralake.llm import tokens
 #: Words that the tokenizer's splitter never splits, nor any of their prefixes: letters, digits or signs without apostrophe.
 SIMPLE = re.compile(r" ?(?:[^\W\d_]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\Z")
 
+#: Pieces up to this length may have each of their prefixes encoded by the library; longer ones are counted word by word.
+LIBRARY_CHARS = 64
+#: Words whose prefixes are two words: the only ones, besides white space, that are not prefixes of words all along.
+SHORTENED = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
+#: Runs of what the splitter takes for white space. A run is one word as long as nothing follows it; then its last
+#: character leaves it.
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+
 #: Characters of text worked on at once; each has a value here.
 SLICE_CHARS = 3_000_000
 
@@ -79,7 +87,7 @@ class PrefixCounter:
         last, ids, count = [""], [(1 << 20) - 1], [0]
         for end in range(1, len(spelt) + 1):
             # The whole prefix, then the shortest ending first: most tokens are short, and just one fits.
-            for start in (0, *range(end - 1, max(0, end - self.longest), -1)):
+            for start in (*((0,) if end <= self.longest else ()), *range(end - 1, max(0, end - self.longest - 1), -1)):
                 token = spelt[start:end]
                 j = vocabulary.get(token)
                 if j is None:
@@ -105,15 +113,56 @@ class PrefixStore(tokens.PieceStore):
     def __init__(self, path: str):
         super().__init__(path)
         self.counter = PrefixCounter(path)
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        #: Special tokens stand for themselves wherever their text is complete.
+        self.special = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
+        self.by_words = self.tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+
+    def by_library(self, piece: str) -> list[int]:
+        counts: list[int] = []
+        while len(counts) < len(piece):  # a few prefixes at once where they are long
+            more = range(len(counts) + 1, min(len(piece), len(counts) + max(1, SLICE_CHARS // len(piece))) + 1)
+            counts += [len(e) for e in self.tokenizer.encode_batch_fast([piece[:end] for end in more], add_special_tokens=False)]
+        return counts
+
+    def of_words(self, text: str, known: dict[str, list[int]]) -> np.ndarray:
+        """Tokens of each prefix of a text without special tokens, from its words as the tokenizer itself splits them."""
+        counts, before, total = np.zeros(len(text), dtype=np.int64), {}, 0
+        for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if text else ():
+            word = text[start:end]
+            own = known.get(word)
+            if own is None:
+                own = known[word] = self.by_library(word) if word in SHORTENED else self.counter.counts(word)
+            counts[start:end] = own
+            counts[start:end] += total
+            before[start] = total
+            total += own[-1]
+        for run in SPACES.finditer(text):
+            counts[run.start() : run.end()] = before[run.start()] + np.array(self.counter.counts(run[0]))
+        return counts
+
+    def of_piece(self, piece: str) -> list[int]:
+        """Tokens of each prefix. Until a special token is complete, its beginning is text like any other."""
+        known: dict[str, list[int]] = {}
+        parts, start, total = [], 0, 0
+        for found in self.special.finditer(piece) if self.special else ():
+            parts.append(total + self.of_words(piece[start : found.end() - 1], known))
+            total = 1 + (int(parts[-1][found.start() - start - 1]) if found.start() > start else total)
+            parts.append(np.array([total]))
+            start = found.end()
+        parts.append(total + self.of_words(piece[start:], known))
+        return np.concatenate(parts).tolist()
 
     def runs(self, pieces: list[str]) -> list:
         full = [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         out = []
         for piece, n in zip(pieces, full):
-            counts = self.counter.counts(piece) if SIMPLE.match(piece) else None
-            if counts is None or counts[-1] != n:  # several words, or an apostrophe: every prefix by the library itself
-                prefixes = [piece[: i + 1] for i in range(len(piece))]
-                counts = [len(e) for e in self.tokenizer.encode_batch_fast(prefixes, add_special_tokens=False)]
+            if SIMPLE.match(piece):
+                counts = self.counter.counts(piece)
+            else:  # several words, or an apostrophe
+                counts = self.of_piece(piece) if self.by_words and len(piece) > LIBRARY_CHARS else None
+            if counts is None or counts[-1:] != [n]:
+                counts = self.by_library(piece)
             # A change beyond 16 bits would take a single word of as many tokens; none merges so far back.
             out.append([b - a for a, b in zip([0, *counts], counts)])
         return out

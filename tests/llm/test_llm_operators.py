@@ -415,6 +415,28 @@ def test_prefix_counts_are_exact(spark, docs, empty):
         assert counts.tolist() == want
     assert token_counts.prefix_counts(empty, BYTES).count() == 0
 
+@pytest.mark.parametrize("kind", ["digits", "chinese", "spaces", "word"])
+def test_prefix_counts_of_long_pieces(kind):
+    rnd = random.Random(3)
+    text = {
+        "digits": "".join(f"{rnd.randrange(1000)},{rnd.choice(['', chr(10)])}" for _ in range(26000)),
+        "chinese": "".join(chr(rnd.randrange(0x4E00, 0x5000)) + rnd.choice(["", "", "，", "。"]) for _ in range(24000)),
+        "spaces": "\n" * 50000 + "x" + "\t " * 25000, "word": "".join(chr(rnd.randrange(0x4E00, 0x4E80)) for _ in range(33000)),
+    }[kind]
+    assert len(text.encode()) > 95000
+    changes, offsets = token_counts.PrefixStore(BYTES).encode(pa.array([text]))
+    counts = np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])
+    assert len(counts) == len(text) + 1
+    tokenizer = tokens.load(BYTES)
+    some = [*range(200), *rnd.sample(range(len(text)), 10), len(text)]
+    assert [int(counts[k]) for k in some] == [len(tokenizer.encode(text[:k], add_special_tokens=False)) for k in some]
+
+
+def test_prefix_counts_by_words_are_those_of_the_library():
+    store = token_counts.PrefixStore(BYTES)
+    for text in ["".join(t) for t in zip(*[odd_texts(600, s) for s in (11, 12)])]:
+        assert not text or store.of_piece(text) == store.by_library(text)
+
 
 def test_prefix_questions(spark):
     df = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
