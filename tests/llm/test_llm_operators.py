@@ -282,6 +282,26 @@ def test_warc_reads_gz_files(spark, tmp_path):
     assert sorted(r.record_type for r in warc.read_warc(spark, str(tmp_path)).collect()) == ["response", "revisit"]
 
 
+@pytest.mark.parametrize("split", [700, 5000, 1 << 20])
+def test_warc_splits_gz_files(spark, tmp_path, split):
+    rnd = random.Random(split)
+    payloads = [rnd.randbytes(rnd.randint(0, 600)) + b"\x1f\x8b\x08" * (i % 3) for i in range(60)]
+    names = ["a.warc.gz", "b .gz", "!.gz", "ü.gz", "c.warc"]
+    for at, name in enumerate(names):  # uncompressed members of a level keep the false magics in sight
+        (tmp_path / name).write_bytes(b"".join(warc.member(100 * at + i, "u", p, None, "1970-01-01T00:00:00Z", 0 if i % 2 else 6) for i, p in enumerate(payloads)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        read = warc.read_warc(spark, str(tmp_path))
+        got = {r.page: bytes(r.payload) for r in read.select(warc.page_id_of("record_id").alias("page"), "payload").collect()}
+        one = warc.read_warc(spark, f"{tmp_path}/a.warc.gz")
+        assert "binaryFile" not in one._jdf.queryExecution().toString()
+        assert split > 700 or spark.read.options(**warc.RAW_GZ).text(f"{tmp_path}/a.warc.gz").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {100 * at + i: p for at in range(len(names)) for i, p in enumerate(payloads)}
+
+
 # 5 Toxicity
 
 
