@@ -4,9 +4,9 @@ Confirmed toxic texts are the positives; any other text of the training fold is
 prior ``p``, the risk of a classifier ``f`` is ``p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)])``: the second part is what
 clean texts would cost, estimated without one clean label and kept from going below zero, where it only fits noise.
 
-Features are words and word beginnings that a text holds at least so many times. They are counted over the sample in
-parallel; those clearly commoner among positives are kept and a logistic model is fitted to them in numpy, its bias such
-that the mean score of unlabelled texts is the prior.
+Features are words and word beginnings that a text holds at least so many times. Those of the positives are counted over all
+unlabelled texts in parallel; those clearly commoner among positives are kept and a logistic model is fitted to them in
+numpy, over a sample of the unlabelled texts, its bias such that their mean score is the prior.
 """
 
 from __future__ import annotations
@@ -97,6 +97,32 @@ def thinned(rows: DataFrame, most: int, total: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("toxicity"), *rows.columns), F.lit(1 << 30)) < F.lit(int(most / total * (1 << 30))))
 
 
+def counts(texts: DataFrame, index: dict[str, int] | None) -> DataFrame:
+    """(feature, level, n): texts in which a feature reaches a level; with ``index`` only of the features it numbers."""
+
+    def counted(names: list[str], n: np.ndarray) -> pa.RecordBatch:
+        seen = np.nonzero(n)[0]
+        features = pa.array(names, type=pa.string()).take(pa.array(seen // len(LEVELS)))
+        return pa.record_batch([features, pa.array((seen % len(LEVELS)).astype(np.int32)), pa.array(n[seen])], names=["feature", "level", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(index or ()) * len(LEVELS), dtype=np.int64)
+        for batch in batches:
+            text = tokens.plain(batch.column("text"))
+            for a, b in tokens.slices(text):
+                rows, found, times, names = present(text.slice(a, b - a), index)
+                found = levelled(rows, found, times)[1]
+                if index is None:
+                    yield counted(names, np.bincount(found, minlength=len(names) * len(LEVELS)))
+                else:
+                    total += np.bincount(found, minlength=len(total))
+        if index:
+            yield counted(list(index), total)
+
+    each = texts.select("text").mapInArrow(run, "feature string, level int, n long")
+    return each.groupBy("feature", "level").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the training fold of (doc_id, text) and (doc_id, toxic).
 
@@ -117,27 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     unlabelled = thinned(texts, UNLABELLED, docs.select("doc_id").count()).select(F.lit(False).alias("positive"), "text")
     sample = positive.unionByName(unlabelled).checkpoint()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, is_positive = tokens.plain(batch.column("text")), np.asarray(batch.column("positive"))
-            for a, b in tokens.slices(text):
-                rows, found, times, names = present(text.slice(a, b - a), None)
-                rows, found = levelled(rows, found, times)
-                of = is_positive[a:b][rows]
-                p, u = (np.bincount(found[of == kind], minlength=len(names) * len(LEVELS)) for kind in (True, False))
-                seen = np.nonzero(p + u)[0]
-                features = pa.array(names, type=pa.string()).take(pa.array(seen // len(LEVELS)))
-                levels = pa.array((seen % len(LEVELS)).astype(np.int32))
-                yield pa.record_batch([features, levels, pa.array(p[seen]), pa.array(u[seen])], names=["feature", "level", "p", "u"])
-
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    n_p, n_u = sizes.get(True, 0), max(1, sizes.get(False, 0))
+    n_p = sizes.get(True, 0)
     if not n_p:
         return Model()
-    counted = sample.mapInArrow(count, "feature string, level int, p long, u long").groupBy("feature", "level").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    expected = n_p * (F.col("u") + 0.5) / n_u
-    evidence = F.col("p") * F.log(F.col("p") / expected) - (F.col("p") - expected)
-    kept = counted.filter((F.col("p") >= LIFT * expected) & (evidence >= EVIDENCE))
+    n_all = max(1, texts.count())
+    strength = lambda expected: F.col("p") * F.log(F.col("p") / expected) - (F.col("p") - expected)
+    clear = lambda expected: (F.col("p") >= LIFT * expected) & (strength(expected) >= EVIDENCE)
+    # What is not clear where no unlabelled text has it is never clear. The rest is counted in all of them.
+    among = counts(sample.filter("positive"), None).withColumnRenamed("n", "p").filter(clear(F.lit(n_p * 0.5 / n_all))).checkpoint()
+    index = {r["feature"]: i for i, r in enumerate(among.select("feature").distinct().collect())}
+    unlabelled_too = among.join(counts(texts, index).withColumnRenamed("n", "u"), ["feature", "level"], "left").fillna(0, ["u"])
+    expected = n_p * (F.col("u") + 0.5) / n_all
+    evidence, kept = strength(expected), unlabelled_too.filter(clear(expected))
     kept = kept.orderBy(F.desc(evidence), "feature", "level").limit(FEATURES).collect()
     # Of a word and its beginnings that hold in as many texts, one says it all: the longest.
     best: dict[tuple, tuple] = {}

@@ -305,6 +305,17 @@ def test_warc_splits_gz_files(spark, tmp_path, split):
 # 5 Toxicity
 
 
+def test_toxicity_counts_features_over_all_unlabelled_texts(spark, monkeypatch):
+    rows, labels = [(i, "plain text here") for i in range(3000)], []
+    train = [r.doc_id for r in spark.range(3000).withColumnRenamed("id", "doc_id").filter(~toxicity.held_out(F.col("doc_id"))).collect()]
+    for at, i in enumerate(sorted(train)[:60]):
+        labels.append((i, int(at < 40)))
+        rows[i] = (i, "nasty" if at < 6 else "plain text here")
+    monkeypatch.setattr(toxicity, "UNLABELLED", 50)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {feature for feature, _ in model.weights} & {"nasty", "nast*"}
+
+
 def test_toxicity_on_held_out_documents(spark, empty, docs):
     rnd = random.Random(8)
     vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
