@@ -1,9 +1,10 @@
 """Improbable-feature digests: what is rare in a text, in chained Bloom filters.
 
-Every window of 32 bytes has an entropy. Windows of ordinary text crowd around one value, so a window is the rarer the
-further its entropy lies from there. Among each 32 consecutive windows the rarest gets a vote, and windows with enough
-votes are a text's features: they depend on nothing further away than their neighbours, so a passage keeps its features
-wherever it stands. A text too short to rank windows has all its short ones as features. Features go into Bloom filters of 2,048 bits, 160 to a filter; a full filter begins the next.
+Every window of 8 bytes has an entropy. How often each entropy occurs in all texts is counted first; a window is the rarer
+the fewer windows share its entropy. Of each 16 consecutive windows the rarest gets a vote, spans that reach over a text's
+ends included, and windows with enough votes are the text's features: they depend on nothing further away than their
+neighbours, so a passage keeps its features wherever it stands, and any text but the empty one has at least one. Features
+go into Bloom filters of 2,048 bits, 160 to a filter; a full filter begins the next.
 
 Two digests are compared filter by filter: each filter of the shorter chain with the one of the longer that shares most
 bits, on a scale where chance is 0 and equality 1.
@@ -22,15 +23,13 @@ from pyspark.sql import functions as F
 
 from auralake.session import shared_dir
 
-WINDOW, NEIGHBOURS, VOTES = 32, 32, 8
-#: Bytes below which a text is short, and of its windows.
-SHORT, SHORT_WINDOW = 128, 8
-#: Bits and features of a filter, bits a feature sets, words of a filter.
+WINDOW, NEIGHBOURS, VOTES = 8, 16, 4
+#: Bits and features of a filter, bits a feature sets.
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 160, 5
-#: The entropy, in bits, that windows of ordinary text crowd around; and below which a window is mere repetition.
-USUAL, LEAST = 3.5, 1.0
-#: Bytes of text worked on at once, documents of a sorted run.
-SLICE_BYTES, RUNS_PER_PARTITION = 1_000_000, 4
+#: Classes of entropy that are counted, and the entropy, in bits, below which a window is mere repetition and ranks last.
+CLASSES, LEAST = 256, 1.0
+#: Bytes of texts worked on at once, and of one text; sorted runs a partition.
+SLICE_BYTES, LONG_BYTES, RUNS_PER_PARTITION = 1_000_000, 4_000_000, 4
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 #: c log2 c for the counts a window can have, in units of 2**-20 so that sums are exact.
@@ -41,71 +40,81 @@ def window_entropy(data: np.ndarray) -> np.ndarray:
     """``sum(c log2 c)`` over the byte counts ``c`` of each window, in units of 2**-20.
 
     A window differs from the one before by a byte gone and a byte come. How the sum changes depends on how often each is
-    in the bytes between, which is read off the positions of that byte's other occurrences.
+    among the bytes between.
     """
     n = len(data)
-    order = np.argsort(data, kind="stable")
-    keys = data[order].astype(np.int64) * (2 * n) + order
-    rank = np.arange(n)
-    behind = np.searchsorted(keys, keys + (WINDOW - 1), side="right") - rank - 1
-    before = rank - np.searchsorted(keys, keys - (WINDOW - 1), side="left")
+    behind, before = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.uint8)
+    for j in range(1, WINDOW):
+        same = (data[j:] == data[:-j]).view(np.uint8)
+        behind[:-j] += same
+        before[j:] += same
     gain = np.diff(COUNT_LOGS)
-    gone, come = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    gone[order], come[order] = gain[behind], gain[before]
     first = COUNT_LOGS[np.bincount(data[:WINDOW], minlength=256)].sum()
-    return first + np.concatenate([[0], np.cumsum(come[WINDOW:] - gone[: n - WINDOW])])
-
-
-def features(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of each text's features, in the order of the text; an empty one has none."""
-    long = [i for i, t in enumerate(texts) if len(t) >= SHORT]
-    out = [short_features(t) if len(t) < SHORT else np.zeros(0, dtype=np.uint64) for t in texts]
-    if not long:
-        return out
-    gap = bytes(NEIGHBOURS + WINDOW)
-    # A gap around each text keeps its windows to themselves, and votes from before its first are the same anywhere.
-    data = np.frombuffer(gap + gap.join(texts[i] for i in long) + gap, dtype=np.uint8)
-    sizes = np.array([len(texts[i]) for i in long])
-    starts = np.cumsum(sizes + len(gap)) - sizes
-    entropy = np.log2(WINDOW) - window_entropy(data) / (WINDOW << 20)
-    n = len(entropy)
-    inside = np.zeros(n + 1, dtype=np.int8)
-    inside[starts] = 1
-    inside[np.minimum(starts + sizes - WINDOW + 1, n)] -= 1
-    usable = (np.cumsum(inside[:n]) > 0) & (entropy >= LEAST)
+    return first + np.concatenate([[0], np.cumsum(gain[before[WINDOW:]] - gain[behind[: n - WINDOW]])])
+
+
+class Windows:
+    """Texts side by side, a gap around each, and the entropy class of each window (-1 where none begins)."""
+
+    def __init__(self, texts: list[bytes]):
+        # A gap as wide as a span keeps texts to themselves. A text shorter than a window is one, filled up with zeros.
+        gap = bytes(NEIGHBOURS + WINDOW)
+        texts = [t.ljust(WINDOW, b"\0") if t else t for t in texts]
+        self.data = np.frombuffer(gap + gap.join(texts) + gap, dtype=np.uint8)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.cumsum(sizes + len(gap)) - sizes
+        sums = window_entropy(self.data)
+        inside = np.zeros(len(sums) + 1, dtype=np.int8)
+        some = sizes > 0
+        inside[self.starts[some]] = 1
+        inside[(self.starts + sizes)[some] - WINDOW + 1] -= 1
+        most = COUNT_LOGS[WINDOW]
+        self.classes = np.where(np.cumsum(inside[:-1]) > 0, (most - sums) * (CLASSES - 1) // most, -1)
+
+
+def class_ranks(counts: np.ndarray) -> np.ndarray:
+    """The rank of each entropy class, rarest first, from how many windows of all texts have it; repetition comes last."""
+    repetition = np.arange(CLASSES) < LEAST / np.log2(WINDOW) * (CLASSES - 1)
+    ranks = np.empty(CLASSES, dtype=np.int64)
+    ranks[np.lexsort((np.arange(CLASSES), counts, repetition))] = np.arange(CLASSES)
+    return ranks
+
+
+def features(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each text's features, once each and in the order of the text; an empty one has none."""
+    if len(texts) == 1 and len(texts[0]) > LONG_BYTES:  # by parts that see as far to both sides as a vote reaches
+        reach, parts = NEIGHBOURS + WINDOW, []
+        for a in range(0, len(texts[0]), LONG_BYTES):
+            places, hashes, _ = chosen([texts[0][max(0, a - reach) : a + LONG_BYTES + reach]], ranks)
+            places += max(0, a - reach)
+            parts.append(hashes[(places >= a) & (places < a + LONG_BYTES)])
+        return [once(np.concatenate(parts))]
+    _, hashes, cuts = chosen(texts, ranks)
+    return [once(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def once(hashes: np.ndarray) -> np.ndarray:
+    return hashes[np.sort(np.unique(hashes, return_index=True)[1])]
+
+
+def chosen(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Places (from the first text's begin) and hashes of the windows with enough votes, and where each text's begin."""
+    at = Windows(texts)
+    n = len(at.classes)
     # Rarest first, then leftmost: one number to take the least of.
-    rarity = np.full(n, 1 << 20, dtype=np.int64)
-    rarity[usable] = 4096 - np.round(np.abs(entropy[usable] - USUAL) * 512).astype(np.int64)
-    best = (rarity << 32) + np.arange(n)
+    best = (np.where(at.classes >= 0, ranks[at.classes], CLASSES) << 32) + np.arange(n)
     span = 1
-    while span < NEIGHBOURS:  # least of ever wider runs
+    while span < NEIGHBOURS:  # least of ever wider spans
         step = min(span, NEIGHBOURS - span)
         best[: n - step] = np.minimum(best[: n - step], best[step:])
         span += step
-    winners = best[best < (1 << 52)] & ((1 << 32) - 1)
-    votes = np.bincount(winners, minlength=n)
-    chosen = np.nonzero(votes >= VOTES)[0]
-    hashes = window_hashes(data, chosen)
-    cuts = np.searchsorted(chosen, starts)
-    for i, a, b in zip(long, cuts, [*cuts[1:], len(chosen)]):
-        own = hashes[a:b]
-        # A text of one even kind of window has no winner that stands out: it is one feature as a whole.
-        out[i] = own[np.sort(np.unique(own, return_index=True)[1])] if len(own) else np.array([short_hash(texts[i])], dtype=np.uint64)
-    return out
-
-
-def short_features(text: bytes) -> np.ndarray:
-    """All windows of a short text, once each; the whole of one shorter than a window."""
-    windows = dict.fromkeys(text[i : i + SHORT_WINDOW] for i in range(max(1, len(text) - SHORT_WINDOW + 1))) if text else {}
-    return np.array([short_hash(w) for w in windows], dtype=np.uint64)
-
-
-def short_hash(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+    winners = best[best < CLASSES << 32] & ((1 << 32) - 1)
+    places = np.nonzero(np.bincount(winners, minlength=n) >= VOTES)[0]
+    return places - at.starts[0], window_hashes(at.data, places), [*np.searchsorted(places, at.starts).tolist(), len(places)]
 
 
 def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the window at each place, from its eight words by multiplying and shifting."""
+    """A 64-bit hash of the window at each place, by multiplying and shifting."""
     h = np.full(len(at), 0x9E3779B97F4A7C15, dtype=np.uint64)
     for k in range(0, WINDOW, 8):
         word = np.zeros(len(at), dtype=np.uint64)
@@ -137,11 +146,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     if not len(x):
         return float(not len(y))
     ones_x, ones_y = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
-    shared = np.stack([np.bitwise_count(row & y).sum(axis=1, dtype=np.int64) for row in x])
-    most = np.minimum(ones_x[:, None], ones_y[None, :])
-    chance = ones_x[:, None] * ones_y[None, :] / FILTER_BITS
-    overlap = np.where(shared == most, 1.0, np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0.0, 1.0))
-    return float(np.average(overlap.max(axis=1), weights=n_x))
+    best = np.empty(len(x))
+    for i, (row, ones) in enumerate(zip(x, ones_x)):
+        shared, most, chance = np.bitwise_count(row & y).sum(axis=1, dtype=np.int64), np.minimum(ones, ones_y), ones * ones_y / FILTER_BITS
+        best[i] = np.where(shared == most, 1.0, np.clip((shared - chance) / np.maximum(most - chance, 1e-9), 0.0, 1.0)).max()
+    return float(np.average(best, weights=n_x))
 
 
 def written(digest: tuple[np.ndarray, np.ndarray]) -> str:
@@ -150,17 +159,42 @@ def written(digest: tuple[np.ndarray, np.ndarray]) -> str:
     return ",".join(f"{n}:{base64.b64encode(row.tobytes()).decode()}" for row, n in zip(words, counts))
 
 
-def digests(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The digest of each text's UTF-8 bytes, a bounded number of bytes at a time."""
-    out, held, size = [], [], 0
+def sliced(texts: list[str]) -> Iterator[list[bytes]]:
+    """Texts as UTF-8, a bounded number of bytes at a time; a long one by itself."""
+    held, size = [], 0
     for text in texts:
         data = text.encode("utf-8", "surrogatepass")
+        if held and size + len(data) > SLICE_BYTES:
+            yield held
+            held, size = [], 0
         held.append(data)
         size += len(data)
-        if size > SLICE_BYTES:
-            out += map(chain, features(held))
-            held, size = [], 0
-    return out + [chain(f) for f in features(held)]
+    if held:
+        yield held
+
+
+def digests(texts: list[str], ranks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The digest of each text."""
+    return [chain(f) for held in sliced(texts) for f in features(held, ranks)]
+
+
+def class_counts(docs: DataFrame) -> np.ndarray:
+    """How many windows of all texts have each class of entropy: one short row a task, summed by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, dtype=np.int64)
+        for batch in batches:
+            for held in sliced(t for t in batch.column("text").to_pylist() if t):
+                long = held[0] if len(held[0]) > LONG_BYTES else b""
+                for part in [[long[a : a + LONG_BYTES + WINDOW - 1]] for a in range(0, len(long) - WINDOW + 1, LONG_BYTES)] or [held]:
+                    classes = Windows(part).classes
+                    total += np.bincount(classes[classes >= 0], minlength=CLASSES)
+        yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(total)], names=["class", "n"])
+
+    counts = np.zeros(CLASSES, dtype=np.int64)
+    for row in docs.select("text").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        counts[row["class"]] = row["n"]
+    return counts
 
 
 def edited(text: str, following: str) -> str:
@@ -169,48 +203,55 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: What orders documents: rows without an id last, rows that share one by the hash of their text.
+KEY = ["nil", "id", "h"]
+
+
 def runs_by_id(docs: DataFrame) -> DataFrame:
-    """Documents with the sorted run they belong to (``run``, ``ahead``): each run ends with the first of the next.
+    """(run, ahead, doc_id, nil, id, h, text): documents in sorted runs, and behind each run, as ``ahead``, the first of the next.
 
-    Runs are cut at ids that are there, so the document a run needs from the next is known before any text moves, and texts
-    are shuffled once. After the last id comes the first again; null ids come last.
+    Ranges of keys alone say where runs begin, so what a run needs from the next is known before any text moves, and texts
+    are shuffled once. Keys are compared as the numbers they are. Behind the last run comes the first document again.
     """
     spark = docs.sparkSession
+    keyed = docs.select("doc_id", "text", F.col("doc_id").isNull().cast("long").alias("nil"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("h"))
     n = RUNS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = [k / n for k in range(1, n)]
-    found = docs.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(max(1000, 20 * n))).alias("cuts"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
-    cuts = np.array(sorted({c for c in found["cuts"] or [] if c > found["first"]}), dtype=np.int64)
-    last, first, nulls = len(cuts) + bool(found["nulls"]), found["first"], bool(found["nulls"])
-
-    @F.pandas_udf("array<int>")
-    def run_of(ids):
-        import pandas as pd
-
-        known = ids.notna()
-        values = ids.where(known, 0).astype("int64").to_numpy()
-        own = np.where(known, np.searchsorted(cuts, values, side="right"), last)
-        heads = known & (np.isin(values, cuts) | (values == first))
-        before = np.where(values == first, last, own - 1)
-        return pd.Series([[a, b] if h else [a] for a, b, h in zip(own.tolist(), before.tolist(), heads)])
-
-    # The null run's own first document is needed by the run before; ids do not tell which it is, so all of them go there.
-    runs = run_of("doc_id")
-    if nulls:
-        runs = F.when(F.col("doc_id").isNull(), F.array(F.lit(last), F.lit(last if first is None else last - 1))).otherwise(runs)
-    return docs.select("doc_id", "text", F.posexplode(runs).alias("ahead", "run"))
+    # The first key of each range: as many rows as there are runs, whatever the input.
+    found = keyed.select(*KEY).repartitionByRange(n, *KEY).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*KEY)).alias("first")).select("first.*").collect()
+    heads = sorted(tuple(r) for r in found)
+    cuts = np.array(heads[1:], dtype=np.int64).reshape(-1, len(KEY))
+
+    @F.arrow_udf("int")
+    def run_of(nil: pa.Array, ids: pa.Array, h: pa.Array) -> pa.Array:
+        """How many cuts are at or before each key."""
+        rows = np.stack([np.asarray(c) for c in (nil, ids, h)], axis=1)
+        both = np.concatenate([cuts, rows])
+        order = np.lexsort((np.arange(len(both)) >= len(cuts), *both.T[::-1]))
+        runs = np.empty(len(both), dtype=np.int32)
+        runs[order] = np.cumsum(order < len(cuts))
+        return pa.array(runs[len(cuts) :])
+
+    own = keyed.select(run_of(*KEY).alias("run"), F.lit(0).alias("ahead"), "doc_id", *KEY, "text")
+    needed = spark.createDataFrame([(*head, (i - 1) % len(heads)) for i, head in enumerate(heads)], "nil long, id long, h long, run int")
+    # One row a run.
+    following = keyed.join(F.broadcast(needed), KEY).groupBy("run", *KEY).agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    return own.unionByName(following.select("run", F.lit(1).alias("ahead"), "doc_id", *KEY, "text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every whole text.
 
-    The next document is that with the next doc_id; after the last comes the first, null ids last, rows with one id in the
-    order of their texts. A null text is empty. One document alone is its own next. Equal texts have equal fingerprints,
-    and likeness 1; an empty text has an empty fingerprint, alike only to another. An empty table gives no rows. Other
-    columns are left out.
+    The next document is that with the next doc_id; after the last comes the first, rows without an id come last. Rows
+    that share an id (or have none) come in the order of their texts' XXH64, then of their texts; equal rows are each
+    other's next. A null text is empty. One document alone is its own next. Equal texts have equal fingerprints, and
+    likeness 1; an empty text has an empty fingerprint, alike only to another. Texts of any length go by one rule, a slice
+    of rows at a time; comparing two digests takes time with the product of their lengths. An empty table gives no rows.
+    Other columns are left out.
     """
     shared_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = runs_by_id(docs).repartition("run").sortWithinPartitions("run", "ahead", F.asc_nulls_last("doc_id"), "text")
+    ranks = class_ranks(class_counts(docs))
+    ordered = runs_by_id(docs).repartition("run").sortWithinPartitions("run", "ahead", *KEY, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
@@ -219,28 +260,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("run", "ahead", "doc_id", "text")))
 
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            held, size, after = [], 0, False
+        for number, group in groupby(rows(), key=lambda r: r[0]):
+            held, size, after = [], 0, 0
             for _, ahead, doc_id, text in group:
-                if after:
-                    continue
                 held.append((doc_id, text))
                 size += len(text)
-                after = bool(ahead)  # only the first of the next run is needed
+                after += ahead
                 if size > SLICE_BYTES and len(held) > 1:
-                    yield worked(held)
+                    yield worked(held, ranks)
                     held, size = held[-1:], len(text)
+            if after != 1:
+                raise RuntimeError(f"run {number} has {after} documents of the next: the input changed while it was read")
             if len(held) > 1:
-                yield worked(held)
+                yield worked(held, ranks)
 
     return ordered.mapInArrow(run, SCHEMA)
 
 
-def worked(held: list[tuple[int | None, str]]) -> pa.RecordBatch:
+def worked(held: list[tuple[int | None, str]], ranks: np.ndarray) -> pa.RecordBatch:
     """The rows of all documents but the last, which is there as a next."""
     texts = [t for _, t in held]
     changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
-    own, other = digests(texts), digests(changed)
+    own, other = digests(texts, ranks), digests(changed, ranks)
     return pa.record_batch(
         [
             pa.array([d for d, _ in held[:-1]], type=pa.int64()), pa.array([len(t) for t in texts[:-1]], type=pa.int64()),

@@ -375,15 +375,93 @@ def test_window_entropy_against_counting():
     assert fingerprints.window_entropy(data).tolist() == [fingerprints.COUNT_LOGS[np.bincount(data[i : i + fingerprints.WINDOW], minlength=256)].sum() for i in range(len(data) - fingerprints.WINDOW + 1)]
 
 
-def test_digest_does_not_depend_on_its_neighbours():
+def window_classes(data):
+    """Each window's entropy class, by counting its bytes."""
+    w, most = fingerprints.WINDOW, round(fingerprints.WINDOW * math.log2(fingerprints.WINDOW) * (1 << 20))
+    data = data.ljust(w, b"\0") if data else data
+    sums = [sum(round(c * math.log2(c) * (1 << 20)) for c in collections.Counter(data[i : i + w]).values()) for i in range(len(data) - w + 1)]
+    return data, [(most - s) * (fingerprints.CLASSES - 1) // most for s in sums]
+
+
+def brute_digest(text, ranks):
+    """Filters as (features, bits as one number), by going through every span of every window."""
+    data, classes = window_classes(text.encode())
+    votes, n, span = collections.Counter(), len(classes), fingerprints.NEIGHBOURS
+    for a in range(1 - span, n) if n else ():
+        votes[min(range(max(0, a), min(n, a + span)), key=lambda i: (ranks[classes[i]], i))] += 1
+    kept = dict.fromkeys(data[i : i + fingerprints.WINDOW] for i in sorted(votes) if votes[i] >= fingerprints.VOTES)
+    filters = []
+    for i, window in enumerate(kept):
+        h = int(fingerprints.window_hashes(np.frombuffer(window, dtype=np.uint8), np.array([0]))[0])
+        if i % fingerprints.FILTER_FEATURES == 0:
+            filters.append([0, 0])
+        filters[-1][0] += 1
+        for k in range(fingerprints.FEATURE_BITS):
+            filters[-1][1] |= 1 << (h >> 11 * k) % fingerprints.FILTER_BITS
+    return filters
+
+
+def brute_likeness(x, y):
+    x, y = sorted((x, y), key=lambda d: (len(d), sum(n for n, _ in d)))
+    if not x:
+        return float(not y)
+    total = 0.0
+    for n, a in x:
+        scores = []
+        for _, b in y:
+            both, most, chance = (a & b).bit_count(), min(a.bit_count(), b.bit_count()), a.bit_count() * b.bit_count() / fingerprints.FILTER_BITS
+            scores.append(1.0 if both == most else max(0.0, (both - chance) / (most - chance)))
+        total += n * max(scores)
+    return total / sum(n for n, _ in x)
+
+
+def brute_ranks(texts):
+    counts = collections.Counter(c for t in texts for c in window_classes(t.encode())[1])
+    repetition = lambda c: c < fingerprints.LEAST / math.log2(fingerprints.WINDOW) * (fingerprints.CLASSES - 1)
+    return {c: i for i, c in enumerate(sorted(range(fingerprints.CLASSES), key=lambda c: (repetition(c), counts[c], c)))}
+
+
+def as_written(filters):
+    return ",".join(f"{n}:{base64.b64encode(bits.to_bytes(fingerprints.FILTER_BITS // 8, 'little')).decode()}" for n, bits in filters)
+
+
+@pytest.mark.parametrize("long", [700, 1 << 30])
+def test_digests_against_brute_force(monkeypatch, long):
+    """Also where long texts go by parts; no digest depends on its neighbours."""
+    monkeypatch.setattr(fingerprints, "LONG_BYTES", long)
+    monkeypatch.setattr(fingerprints, "SLICE_BYTES", 2000)
     rnd = random.Random(2)
-    texts = ["".join(rnd.choice("abcdefghij klmno.,") for _ in range(rnd.choice([0, 3, 64, 65, 130, 900, 5000]))) for _ in range(30)]
-    together = fingerprints.digests(texts)
-    for t, d in zip(texts, together):
-        assert fingerprints.written(fingerprints.digests([t])[0]) == fingerprints.written(d)
-        assert fingerprints.likeness(d, d) == 1.0
-    long = [d for t, d in zip(texts, together) if len(t) == 5000]
-    assert fingerprints.likeness(long[0], long[1]) < 0.2
+    texts = ["".join(rnd.choice("abcdefghij klmno.,ü") for _ in range(n)) for n in [*range(30), 64, 130, 900, 699, 700, 701, 5000, 4000]]
+    texts += ["a" * 500, "aaaa bbbb " * 90, texts[-1][:3000] + texts[-2][:500]]
+    ranks = brute_ranks(texts)
+    found = fingerprints.digests(texts, np.array([ranks[c] for c in range(fingerprints.CLASSES)]))
+    want = [brute_digest(t, ranks) for t in texts]
+    assert [fingerprints.written(d) for d in found] == [as_written(d) for d in want]
+    assert all(d for t, d in zip(texts, want) if t)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if rnd.random() < 0.2 or i == j]
+    assert np.allclose([fingerprints.likeness(found[i], found[j]) for i, j in pairs], [brute_likeness(want[i], want[j]) for i, j in pairs])
+    assert fingerprints.likeness(found[-5], found[-4]) < 0.2 < 0.5 < fingerprints.likeness(found[-4], found[-1])
+
+
+@pytest.mark.parametrize("nulls", [0, 5])
+@pytest.mark.parametrize("start, step", [(1 << 60, 3), (-(1 << 62), 1), ((1 << 62) - 5, 1 << 54), (-500, 17)])
+def test_fingerprints_keep_every_row(spark, nulls, start, step):
+    """Ids that no double tells apart, with and without nulls, held against brute force over all rows."""
+    rnd = random.Random(start % 97)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9)))
+    rows = [(start + step * i, " ".join(word() for _ in range(rnd.choice([0, 1, 5, 60])))) for i in range(60)]
+    rows += [(None, word()) for _ in range(nulls)] + [(start + step, "a shared id"), (start + step, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]], r[1]))
+    ranks = brute_ranks([t for _, t in order])
+    want = collections.Counter()
+    for (doc_id, text), (_, following) in zip(order, [*order[1:], order[0]]):
+        changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        own, other, after = (brute_digest(t, ranks) for t in (text, changed, following))
+        want[doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), as_written(own), as_written(other), round(brute_likeness(own, other), 9), round(brute_likeness(own, after), 9)] += 1
+    got = fingerprints.fingerprints(df).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
 
 
 @pytest.mark.parametrize("partitions", [1, 3])
