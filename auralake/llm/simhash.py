@@ -1,9 +1,13 @@
-"""SimHash fingerprints and their exact comparison by tiles.
+"""SimHash fingerprints and their exact comparison by tiles; documents alike by their shingles, by the same tiles.
 
 A fingerprint has 64 bits a word. Links are found exactly: fingerprints within the radius agree on at least one of
 ``radius + 1`` blocks of bits, so rows meet by block; rows that share a block are cut into tiles by population count, and
 two tiles meet only if their counts can differ by the radius or less. A tile pair is compared by exclusive-or and bit
 counts in numpy, and gives back a spanning forest of its links, never the links themselves.
+
+Majority fingerprints cannot prove how similar two sets of shingles are. :func:`one_of_each` therefore compares parity
+fingerprints the same way: each shingle flips one bit, so two sets differ in at least as many shingles as their fingerprints
+in bits, and no pair of the wanted similarity is further apart than a radius that their sizes give.
 """
 
 from __future__ import annotations
@@ -13,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
 from auralake.llm import tokens
 from auralake.llm.components import components, spanning_forest
-from auralake.session import shared_dir
+from auralake.session import shared_dir, shared_path
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -160,212 +165,385 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int
     return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-# Documents alike by their shingles. Fingerprints of several words find candidates; the shingles themselves decide.
+# Documents alike by their shingles: prefixes of rare shingles meet, parity fingerprints and then the shingles themselves decide.
+
+#: Shingles are counted by the first bits of their hash. The counts only order shingles, so sharing a slot loses nothing; more
+#: bits keep frequent shingles apart from rare ones in larger corpora, at a byte a slot in every worker.
+SLOT_BITS = 20
+#: Counts' logarithms are kept in steps of an eighth, and rows of one shingle are sorted in parts of about so many.
+LEVELS, PART_ROWS = 8, 1 << 20
+#: Sets of a tile, and their shingles; sets and shingles of a tile in the last check.
+TILE_SETS, TILE_SHINGLES = 2048, 1 << 22
+CHECK_SETS, CHECK_SHINGLES = 1024, 1 << 20
+FOUND = "k1 long, k2 long, node long, n long, parity binary, slot int, times long"
+
+
+class WordHashes(dict):
+    """The XXH64 of words as they come; what a worker has met before is looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:  # bounds memory, never results
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
 
-#: Words of a fingerprint, and the bits of its first word and of all that a candidate pair may differ in: about four standard
-#: deviations above what a similarity of 0.8 gives. Sets of so few shingles differ in more bits, as majorities of even and
-#: odd numbers do not tie alike.
-PRINT_WORDS, FIRST_RADIUS, RADIUS = 4, 22, 68
-FEW, FEW_FIRST_RADIUS, FEW_RADIUS = 6, 24, 72
-#: Distinct shingle sets of a tile in the search, and documents of a tile in the check.
-SEARCH_ROWS, CHECK_ROWS = 32_768, 1_024
+word_hashes = WordHashes()
 
 
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of each hash: the k-th."""
-    h = h ^ np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def distinct_shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingles as 64-bit hashes of their words' hashes, ascending; fewer words are one shingle."""
+    factors = [np.uint64(xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1) for k in range(width)]
+    for text in texts.cast(pa.binary()):
+        words = (text.as_py() or b"").translate(LOWER).split()
+        own = np.fromiter(map(word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+        if 0 < len(own) < width:
+            own = np.concatenate([own, np.zeros(width - len(own), dtype=np.uint64)])
+        n = max(0, len(own) - width + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for k, factor in enumerate(factors):
+            h += own[k : k + n] * factor
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finalizer of splitmix64
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        yield np.unique(h ^ (h >> np.uint64(31)))
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingle_set, n, prints): what each text's set of shingles hashes to, its size and its fingerprint's words."""
+def set_hash(shingles: np.ndarray) -> int:
+    """What stands for a set of shingles; a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """At least two bits a shingle, a power of two; each bit says whether an odd number of shingles falls on it."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, k1, k2, node, n, parity) of every row of (doc_id, k1, k2, text), and (slot, times): how often shingles of a slot occur."""
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(FOUND).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in batches:
-            sets, sizes, prints = [], [], []
-            for text in batch.column("text").cast(pa.binary()):
-                own = np.unique(shingle_hashes(text.as_py() or b"", width))
-                sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            nodes, sizes, bits = [], [], []
+            for own in distinct_shingles(batch.column("text"), width):
+                nodes.append(set_hash(own))
                 sizes.append(len(own))
-                prints.append([majority(own), *(majority(mixed(own, k)) for k in range(1, PRINT_WORDS))] if len(own) else [0] * PRINT_WORDS)
-            flat = np.array(prints, dtype=np.uint64).reshape(len(sets), PRINT_WORDS).view(np.int64)
-            columns = [batch.column("node"), pa.array(np.array(sets, dtype=np.uint64).view(np.int64)), pa.array(sizes, type=pa.int64()), pa.array(list(flat), type=pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["node", "shingle_set", "n", "prints"])
+                bits.append(parity(own))
+                np.add.at(total, (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+            ids = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+            rows = [*ids, pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(bits, type=pa.binary())]
+            yield pa.record_batch([*rows, pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.int64())], names=schema.names)
+        slots = np.nonzero(total)[0]
+        for at in range(0, len(slots), 1 << 16):
+            own = slots[at : at + (1 << 16)]
+            nothing = [pa.nulls(len(own), c.type) for c in rows]
+            yield pa.record_batch([*nothing, pa.array(own.astype(np.int32)), pa.array(total[own])], names=schema.names)
         tokens.release()
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingle_set long, n long, prints array<long>")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, schema)
+
 
+def record(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.record_batch(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): a spanning forest of the pairs of distinct shingle sets (node, n, prints) whose fingerprints are near.
 
-    Sets of similarity ``s`` have sizes within the factor ``s``, so sets meet only in their class of size, whose bounds
-    grow by that factor, and the next; a class is cut into tiles.
+def slot_levels(slots: DataFrame) -> np.ndarray:
+    """The logarithm of each slot's count: one byte a slot, so as many bytes whatever the input."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        slot, times = (table.column(c).to_numpy() for c in ("slot", "times"))
+        levels = np.zeros(1 << 16, dtype=np.uint8)
+        levels[slot & 0xFFFF] = np.minimum(255, np.round(LEVELS * np.log2(times + 1.0)))
+        return pa.table({"block": pa.array([int(slot[0]) >> 16], type=pa.int32()), "levels": pa.array([levels.tobytes()])})
+
+    blocks = slots.groupBy("slot").agg(F.sum("times").alias("times")).groupBy(F.shiftright("slot", 16)).applyInArrow(pack, "block int, levels binary")
+    out = np.zeros((1 << max(SLOT_BITS, 16)) // (1 << 16) * (1 << 16), dtype=np.uint8).reshape(-1, 1 << 16)
+    for row in blocks.collect():
+        out[row["block"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return out.ravel()
+
+
+def tiles(docs: DataFrame, width: int, similarity: float, levels: np.ndarray, tile_sets: int = TILE_SETS, part_rows: int = PART_ROWS) -> DataFrame:
+    """(key, crowded, low, high, nodes): the sets that share a shingle of their prefix, by ascending size (from low to high).
+
+    With shingles put in one order, two sets of similarity ``s`` share one of the first ``n - ceil(s n) + 1`` of each. Rare
+    shingles come first in that order, so few sets meet in one. A shingle's sets are one tile unless they are ``crowded``.
     """
-    step = float(np.log(1 / similarity))
-    rows = sets.filter("n > 0").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    # A class a factor: a few dozen rows, whatever the input.
-    counts = {r["size_class"]: r["count"] for r in rows.groupBy("size_class").count().collect()}
-    parts = {c: -(-n // SEARCH_ROWS) for c, n in counts.items()}
-    if not parts:
-        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    own = F.create_map(*[F.lit(x) for c in parts for x in (c, parts[c])])
-    count = lambda c: F.coalesce(F.element_at(own, c), F.lit(0))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), count(F.col("size_class"))).cast("int"))
-    tile = F.struct(F.col("size_class").alias("c"), F.col("part").alias("i"))
-
-    def others(c):
-        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count(c), F.lit(1)) - 1), lambda i: i < count(c)), lambda i: F.struct(c.cast("int").alias("c"), i.cast("int").alias("i")))
-
-    near = F.concat(others(F.col("size_class") - 1), others(F.col("size_class")), others(F.col("size_class") + 1))
-    rows = rows.select("node", "n", "prints", tile.alias("tile"), F.explode(near).alias("with"))
-    units = rows.groupBy(F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high")).agg(
-        F.collect_list(F.struct((F.col("tile") > F.col("with")).alias("second"), "node", "n", "prints")).alias("rows")
-    )
+    table = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = table.value
+        for batch in batches:
+            seen: set[int] = set()
+            keys, parts, nodes, sizes = [], [], [], []
+            for own in distinct_shingles(batch.column("text"), width):
+                node, n = set_hash(own), len(own)
+                if node in seen or not n:
+                    continue
+                seen.add(node)
+                rank = level[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                first = np.argsort((rank.astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8)), kind="stable")[: n - least_common(n, similarity) + 1]
+                many = np.ceil(np.exp2(rank[first] / LEVELS) / part_rows).astype(np.int64)
+                keys.append(own[first].view(np.int64))
+                parts.append(np.where(many > 1, node % many, -1))
+                nodes.append(np.full(len(first), node))
+                sizes.append(np.full(len(first), n))
+            if keys:
+                yield record(ENTRY, [pa.array(np.concatenate(c)) for c in (keys, parts, nodes, sizes)])
+        tokens.release()
+
+    entries = docs.select("text").mapInArrow(prefixes, ENTRY)
+    return entries.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node").mapInArrow(lambda batches: tiled(batches, tile_sets), TILE)
+
+
+ENTRY = "key long, part long, node long, n long"
+TILE = "key long, crowded boolean, low long, high long, nodes array<long>"
+
+
+def least_common(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares with any that is as similar."""
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def tiled(batches: Iterator[pa.RecordBatch], tile_sets: int) -> Iterator[pa.RecordBatch]:
+    """Tiles of rows sorted by key, part, size and node; what lies alone under its key is left out."""
+    held, crowded = np.zeros((0, 4), dtype=np.int64), False
+    for batch in chained(batches):
+        if batch is not None:
+            held = np.concatenate([held, np.stack([np.asarray(batch.column(c)) for c in ("key", "part", "n", "node")], axis=1)])
+        if not len(held):
+            continue
+        held = held[np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)])]
+        starts = np.concatenate([[0], np.nonzero((held[1:, :2] != held[:-1, :2]).any(axis=1))[0] + 1, [len(held)]])
+        ready = len(starts) - 1 if batch is None else len(starts) - 2  # the last group may go on
+        out: list[tuple] = []
+        for a, b in zip(starts[:ready].tolist(), starts[1 : ready + 1].tolist()):
+            if b - a > 1 or crowded or held[a, 1] >= 0:
+                out += cut(held[a:b], crowded, True, tile_sets)
+            crowded = False
+        held = held[starts[ready] :]
+        if len(held) > 2 * tile_sets:
+            full = cut(held, True, False, tile_sets)
+            out += full
+            held, crowded = held[sum(len(x[4]) for x in full) :], True
+        if out:
+            key, flag, low, high, nodes = zip(*out)
+            yield record(TILE, [pa.array(key), pa.array(flag), pa.array(low), pa.array(high), pa.array(nodes, type=pa.list_(pa.int64()))])
+
+
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and nothing to mark their end."""
+    yield from batches
+    yield None
+
+
+def cut(rows: np.ndarray, crowded: bool, all_of_it: bool, tile_sets: int) -> list[tuple]:
+    """One group's tiles of bounded size; without its rest where more of the group is to come."""
+    shingles = np.cumsum(rows[:, 2])
+    out, a = [], 0
+    while a < len(rows):
+        b = min(a + tile_sets, max(a + 1, int(np.searchsorted(shingles, shingles[a] - rows[a, 2] + TILE_SHINGLES, side="right"))))
+        if b >= len(rows) and not all_of_it:
+            break
+        out.append((a, min(b, len(rows))))
+        a = b
+    crowded = crowded or len(out) > 1 or not all_of_it or bool(rows[0, 1] >= 0)
+    return [(int(rows[a, 0]), crowded, int(rows[a, 2]), int(rows[b - 1, 2]), rows[a:b, 3].tolist()) for a, b in out]
+
+
+def units_of(found: DataFrame, similarity: float) -> DataFrame:
+    """(unit, nodes, others): tiles to compare with themselves (no others) or with another of the same shingle.
+
+    Near copies share most of a prefix, so the same sets meet under many shingles: equal units are compared once.
+    """
+    nothing = F.array().cast("array<long>")
+    alone = found.select("nodes", nothing.alias("others"))
+    crowded = found.filter("crowded").select("key", "low", "high", "nodes")
+    other = crowded.select("key", F.col("low").alias("low_2"), F.col("nodes").alias("others"))
+    later = (F.col("low") < F.col("low_2")) | ((F.col("low") == F.col("low_2")) & (F.col("nodes") < F.col("others")))
+    pairs = crowded.join(other, "key").filter(later & (F.col("low_2") * similarity <= F.col("high") + 1e-6)).select("nodes", "others")
+    # Written before units are numbered, so that a lost task cannot number them anew.
+    return alone.filter(F.size("nodes") > 1).unionByName(pairs).distinct().withColumn("unit", F.monotonically_increasing_id()).checkpoint()
+
+
+def candidates(units: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): in each unit a spanning forest of the pairs whose parity fingerprints (node, n, parity) leave them similar."""
+    members = units.select("unit", F.lit(False).alias("second"), F.explode("nodes").alias("node")).unionByName(units.select("unit", F.lit(True).alias("second"), F.explode("others").alias("node")))
+    gathered = members.join(sketches, "node").groupBy("unit").agg(F.collect_list(F.struct("second", "node", "n", "parity")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("rows")
+            ends = []
             for i in range(len(lists)):
                 flat = lists[i].values
-                if len(flat) < 2:
-                    continue
-                second = flat.field("second").to_numpy(zero_copy_only=False)
-                nodes, sizes = flat.field("node").to_numpy(), flat.field("n").to_numpy()
-                prints = flat.field("prints").flatten().to_numpy().view(np.uint64).reshape(-1, PRINT_WORDS)
-                order = np.argsort(np.bitwise_count(prints[:, 0]), kind="stable")
-                left, right = order[~second[order]], order[second[order]]
-                same = not len(right)
-                parent = Forest(len(nodes))
-                for a, b in near_prints(prints, sizes, left, left if same else right, similarity):
-                    parent.link(a, b)
-                linked = parent.linked()
-                if len(linked):
-                    yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[[parent.find(x) for x in linked]])], names=["a", "b"])
+                second, nodes = flat.field("second").to_numpy(zero_copy_only=False), flat.field("node").to_numpy()
+                prints = Parities(flat.field("n").to_numpy(), flat.field("parity").to_pylist())
+                adjacent = np.zeros((len(nodes), len(nodes)), dtype=bool)
+                for x, y, _ in prints.near(second, similarity):
+                    adjacent[x, y] = adjacent[y, x] = True
+                root = spanning_forest(adjacent)
+                linked = np.nonzero((root >= 0) & (root != np.arange(len(root))))[0]
+                ends.append((nodes[linked], nodes[root[linked]]))
+            if ends:
+                yield record("a long, b long", [pa.array(np.concatenate(x)) for x in zip(*ends)])
         tokens.release()
 
-    return units.select("rows").mapInArrow(run, "a long, b long")
+    return gathered.select("rows").mapInArrow(run, "a long, b long")
+
+
+class Parities:
+    """Parity fingerprints of several sets, by their length."""
+
+    def __init__(self, sizes: np.ndarray, prints: list[bytes]):
+        self.sizes = sizes
+        lengths = np.array([len(p) for p in prints])
+        self.rows = {n: np.nonzero(lengths == n)[0] for n in np.unique(lengths).tolist()}
+        self.words = {n: np.frombuffer(b"".join(prints[i] for i in rows), dtype=np.uint64).reshape(len(rows), n // 8) for n, rows in self.rows.items()}
+
+    def near(self, second: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows x, y and their differing bits, of all pairs that may be similar: of all rows, or of first and second ones."""
+        two = bool(second.any())
+        for n, rows in self.rows.items():
+            for m, others in self.rows.items():
+                if m < n:
+                    continue
+                # The longer fingerprint folded is what it would be with fewer bits.
+                words = np.bitwise_xor.reduce(self.words[m].reshape(len(others), m // n, n // 8), axis=1)
+                for x, y, bits in self.between(self.words[n], rows, words, others, similarity):
+                    keep = second[x] != second[y] if two else (x < y if n == m else np.ones(len(x), dtype=bool))
+                    yield x[keep], y[keep], bits[keep]
+
+    def between(self, a: np.ndarray, rows: np.ndarray, b: np.ndarray, others: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        share = (1 - similarity) / (1 + similarity)
+        ones_a, ones_b = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
+        by_a, by_b = np.argsort(ones_a, kind="stable"), np.argsort(ones_b, kind="stable")
+        a, rows, ones_a, b, others, ones_b = a[by_a], rows[by_a], ones_a[by_a], b[by_b], others[by_b], ones_b[by_b]
+        strip = max(1, min(STRIP_ROWS, (1 << 22) // max(1, b.size)))
+        for i in range(0, len(a), strip):
+            part, sizes = a[i : i + strip], self.sizes[rows[i : i + strip]]
+            reach = int(share * sizes.max() * (1 + 1 / similarity) + 1e-6)
+            low, high = np.searchsorted(ones_b, int(ones_a[i]) - reach), np.searchsorted(ones_b, int(ones_a[i + len(part) - 1]) + reach, side="right")
+            if low == high:
+                continue
+            bits = np.bitwise_count(part[:, None] ^ b[None, low:high]).sum(axis=2, dtype=np.int64)
+            both = sizes[:, None] + self.sizes[others[low:high]][None, :]
+            x, y = np.nonzero(bits <= share * both + 1e-6)
+            yield rows[i + x], others[low + y], bits[x, y]
 
 
-class Forest:
-    """Disjoint sets of the numbers below ``n``, each led by its least."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def link(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def linked(self) -> list[int]:
-        """The numbers that are not their set's least."""
-        return [x for x, up in enumerate(self.up) if up != x]
-
-
-def near_prints(prints: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of rows, both sides sorted by the first word's population count, that may be as similar."""
-    a, b = prints[left], prints[right]
-    few = min(sizes[left].min(initial=FEW), sizes[right].min(initial=FEW)) < FEW
-    first_radius, radius = (FEW_FIRST_RADIUS, FEW_RADIUS) if few else (FIRST_RADIUS, RADIUS)
-    ones = np.bitwise_count(b[:, 0])
-    strip = max(1, (4 << 20) // max(1, len(b)))
-    for i in range(0, len(a), strip):
-        rows = a[i : i + strip]
-        low = np.searchsorted(ones, int(np.bitwise_count(rows[0, 0])) - first_radius)
-        high = np.searchsorted(ones, int(np.bitwise_count(rows[-1, 0])) + first_radius, side="right")
-        x, y = np.nonzero(np.bitwise_count(rows[:, None, 0] ^ b[None, low:high, 0]) <= first_radius)
-        x, y = x + i, y + low
-        keep = left[x] < right[y] if left is right else slice(None)
-        x, y = x[keep], y[keep]
-        n, m = sizes[left[x]], sizes[right[y]]
-        keep = np.minimum(n, m) >= similarity * np.maximum(n, m)
-        x, y = x[keep], y[keep]
-        keep = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= radius
-        yield from zip(left[x[keep]].tolist(), right[y[keep]].tolist())
-
-
-def confirmed(docs: DataFrame, groups: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): links within each group of candidates (node, component) whose shingle sets really are as similar.
-
-    A group of more documents than a tile is cut, and all pairs of its tiles are checked. In a tile pair the nearest
-    candidates are checked first, and a pair already joined through others is not checked at all: groups stay the same,
-    and a group of near copies costs about as many checks as it has members.
+def confirmed(texts: DataFrame, groups: DataFrame, width: int, similarity: float, check_sets: int = CHECK_SETS) -> DataFrame:
+    """(a, b): links within each group of candidates (node, n, component, k1, k2) whose shingle sets really are as similar.
+
+    A group larger than a tile is cut, and all pairs of its tiles are checked; shingles are hashed once, before. In a tile
+    pair the nearest are checked first, and a pair already joined through others is not checked at all: groups stay the
+    same, and a group of near copies costs about as many checks as it has members.
     """
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHECK_ROWS).cast("int").alias("parts"))
-    rows = docs.join(groups.join(sizes, "component"), "node")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.select("node", "text", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / check_sets), F.ceil(F.sum("n") / CHECK_SHINGLES)).cast("int")
+    groups = groups.join(groups.groupBy("component").agg(parts.alias("parts")), "component")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t.as_py() or b"", width)) for t in batch.column("text").cast(pa.binary())]
-            prints = [[majority(h), *(majority(mixed(h, k)) for k in range(1, PRINT_WORDS))] for h in hashes]
-            words = pa.array([np.array(p, dtype=np.uint64).tobytes() for p in prints], type=pa.binary())
-            yield pa.record_batch([*(batch.column(c) for c in ("node", "component", "part", "with")), words, pa.array([h.tobytes() for h in hashes], type=pa.binary())], names=["node", "component", "part", "with", "prints", "shingles"])
+            shingles = pa.array([own.tobytes() for own in distinct_shingles(batch.column("text"), width)], type=pa.binary())
+            yield record(SETS, [batch.column(c) for c in ("node", "component", "parts")] + [shingles])
 
-    rows = rows.mapInArrow(sets, "node long, component long, part int, with int, prints binary, shingles binary")
+    rows = texts.join(groups, ["k1", "k2"]).select("node", "component", "parts", "text").mapInArrow(sets, SETS)
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = rows.select("node", "shingles", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     units = rows.groupBy("component", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high")).agg(
-        F.collect_list(F.struct("node", "prints", "shingles")).alias("rows")
+        F.collect_list(F.struct((F.col("part") > F.col("with")).alias("second"), "node", "shingles")).alias("rows")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("rows")
+            ends = []
             for i in range(len(lists)):
                 flat = lists[i].values
                 nodes = flat.field("node").to_numpy()
-                shingles = [np.frombuffer(x, dtype=np.uint64) for x in flat.field("shingles").to_pylist()]
-                prints = np.array([np.frombuffer(x, dtype=np.uint64) for x in flat.field("prints").to_pylist()])
-                n = np.array([len(s) for s in shingles])
-                order = np.argsort(np.bitwise_count(prints[:, 0]), kind="stable")
-                pairs = np.array(list(near_prints(prints, n, order, order, similarity)), dtype=np.int64).reshape(-1, 2)
-                distance = np.bitwise_count(prints[pairs[:, 0]] ^ prints[pairs[:, 1]]).sum(axis=1, dtype=np.int64)
-                parent = Forest(len(nodes))
-                for a, b in pairs[np.argsort(distance, kind="stable")].tolist():
-                    if parent.find(a) != parent.find(b) and jaccard(shingles[a], shingles[b]) >= similarity:
-                        parent.link(a, b)
-                linked = parent.linked()
-                if linked:
-                    yield pa.record_batch([pa.array(nodes[linked]), pa.array(nodes[[parent.find(x) for x in linked]])], names=["a", "b"])
+                root = joined(flat.field("second").to_numpy(zero_copy_only=False), [np.frombuffer(x, dtype=np.uint64) for x in flat.field("shingles").to_pylist()], similarity)
+                linked = np.nonzero(root != np.arange(len(root)))[0]
+                ends.append((nodes[linked], nodes[root[linked]]))
+            if ends:
+                yield record("a long, b long", [pa.array(np.concatenate(x)) for x in zip(*ends)])
+        tokens.release()
 
     return units.select("rows").mapInArrow(run, "a long, b long")
 
 
+SETS = "node long, component long, parts int, shingles binary"
+
+
+def joined(second: np.ndarray, shingles: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Each set's root over links between sets, or between first and second ones, checked nearest first."""
+    root = np.arange(len(shingles))
+    pairs = list(Parities(np.array([len(s) for s in shingles]), [parity(s) for s in shingles]).near(second, similarity))
+    if not pairs:
+        return root
+    x, y, bits = (np.concatenate(c) for c in zip(*pairs))
+    order = np.argsort(bits, kind="stable")
+    x, y = x[order], y[order]
+    while len(x):
+        for a, b in zip(x[:512].tolist(), y[:512].tolist()):
+            if root[a] != root[b] and jaccard(shingles[a], shingles[b]) >= similarity:
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+        x, y = x[512:], y[512:]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return root
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays without repeats."""
-    common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    common = len(np.intersect1d(a, b, assume_unique=True))
     return common / max(1, len(a) + len(b) - common)
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of all columns of a row; maps by their sorted entries."""
+    columns = [F.array_sort(F.map_entries(docs[f.name])) if isinstance(f.dataType, MapType) else docs[f.name] for f in docs.schema.fields]
+    return [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_sets: int = TILE_SETS, part_rows: int = PART_ROWS, check_sets: int = CHECK_SETS) -> DataFrame:
     """The rows that stay when each group of near-duplicates keeps the one with the smallest doc_id.
 
     Documents are near-duplicates when their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or
-    more, or through others that are. Texts without words, empty or null, are one group. Rows that share a doc_id are one
-    document, of which the first by its text stays; a null doc_id stands for its text and comes after all others. An empty
-    table stays empty; all columns stay.
+    more, or through others that are; no such pair is missed (shingles and sets are told apart by hashes of 64 bits, rows of 128).
+    Texts without words, empty or null, are one group. Rows that share a doc_id are documents of their own: only alike
+    texts make a group. Where several rows of a group have its smallest doc_id, one of them stays, always the same; a null
+    doc_id comes after all others. Of rows equal in all columns one stays. Very long texts make larger sets, and tiles
+    hold fewer of them. An empty table stays empty; all columns stay.
     """
     shared_dir(docs.sparkSession)
-    names = docs.columns
-    known = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    # Nulls come after all ids that are there, by the hash of their text.
-    known = known.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 62)) + F.pmod(F.xxhash64("__text"), F.lit(1 << 61))))
-    texts = known.select(F.col("__node").alias("node"), F.col("__text").alias("text"))
-    found = signatures(texts, width).checkpoint()
-    sets = found.groupBy("shingle_set", "n").agg(F.min("node").alias("node"), F.min_by("prints", "node").alias("prints")).checkpoint()
-    loose = components(candidates(sets, similarity)).checkpoint()
-    links = components(confirmed(texts, loose, width, similarity))
-    sets = sets.join(links, "node", "left").select("shingle_set", "n", F.coalesce("component", "node").alias("least")).checkpoint()
-    kept = found.join(sets, ["shingle_set", "n"]).filter("node = least").select(F.col("node").alias("__node")).distinct()
-    rows = known.join(kept, "__node")
-    # One row a document; only rows that share a doc_id have anything to choose from.
-    first = rows.groupBy("__node").agg(F.min(F.struct("__text", *[c for c in names if c not in ("doc_id", "text")])).alias("r"), F.first("doc_id").alias("doc_id"), F.min_by("text", "__text").alias("text"))
-    return first.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"r.{c}").alias(c) for c in names])
+    spark = docs.sparkSession
+    k1, k2 = row_keys(docs)
+    known = docs.withColumns({"__k1": k1, "__k2": k2})
+    texts = known.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text", "doc_id")
+    path = shared_path(spark, "shingle-sets")
+    described(texts, width).write.parquet(path)
+    found = spark.read.parquet(path)
+    sets = found.filter("node is not null").select("doc_id", "k1", "k2", "node", "n")
+    sketches = found.filter("node is not null").select("node", "n", "parity").dropDuplicates(["node"])
+    levels = slot_levels(found.filter("slot is not null").select("slot", "times"))
+    loose = components(candidates(units_of(tiles(texts, width, similarity, levels, tile_sets, part_rows), similarity), sketches, similarity)).checkpoint()
+    # What stands for a set: any of its rows, by the same rule each time.
+    chosen = sets.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("k"))
+    groups = loose.join(chosen, "node").select("node", "n", "component", "k.*")
+    # Rows equal in all columns share a key; only where there are any do texts have to be grouped.
+    equal = sets.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2").checkpoint()
+    some = equal.limit(1).count() > 0
+    links = components(confirmed(texts.dropDuplicates(["k1", "k2"]) if some else texts, groups, width, similarity, check_sets))
+    placed = sets.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("r"))
+    keys = ["__k1", "__k2"]
+    kept = first.select("r.k1", "r.k2").toDF(*keys).checkpoint()
+    if not some:
+        return known.join(kept, keys, "left_semi").select(*docs.columns)
+    equal = equal.toDF(*keys)
+    once = known.join(kept.join(equal, keys, "left_anti"), keys, "left_semi")
+    again = known.join(kept.join(equal, keys, "left_semi"), keys, "left_semi").dropDuplicates(keys)
+    return once.unionByName(again).select(*docs.columns)

@@ -196,10 +196,56 @@ def test_similarity_stage_against_jaccard(spark, docs):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def kept_by_brute_force(rows):
+    """Rows that stay of (doc_id, text, ...): each group's least doc_id, with as many rows as stay of each text."""
+    sets = []
+    for _, text, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    groups = brute_components(rows, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-12)
+    return sorted(min((rows[i][0] is None, rows[i][0] or 0) for i in g) for i, g in groups.items() if i == g[0])
+
+
+def test_similarity_stage_keeps_all_that_is_no_copy(spark):
+    """Shared and missing ids, equal rows, columns named like the operator's own; only near copies go."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, text("a"), "x", {"m": 1}), (1, text("b"), None, None), (2, text("c"), "x", None), (2, text("c") + " more", "y", {}), (None, text("d"), "x", None), (None, text("e"), "x", None), (7, text("e"), "z", None)]
+    rows += [rows[0]] * 3 + [rows[4]] * 2 + [(None, None, None, None), (9, "", "", None), (9, " \t", "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string, k1 map<string,int>").repartition(4)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    left = got.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == kept_by_brute_force(rows)
+    assert {r.text for r in left if r.text and r.text.strip()} >= {text(k) for k in "abd"} and len(left) == 6
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_similarity_stage_on_tables_against_all_pairs(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.one_of_each(df).collect()) == kept_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("sizes", [(4, 2, 8), (7, 1 << 20, 1024), (2048, 20, 40)])
+def test_similarity_stage_in_crowded_tiles(spark, sizes):
+    """A passage in all documents, one group of near copies, sizes that differ: tiles, parts and checks of any size lose no link."""
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randrange(10**9)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(80)]
+    rows = [(i, " ".join([word() for _ in range(draw.randint(1, 30))] + passage)) for i in range(60)]
+    for i in range(90):
+        copy = list(base)
+        for at in draw.sample(range(len(copy)), draw.randint(0, 4)):
+            copy[at] = word()
+        rows.append((1000 + i, " ".join(copy + [word() for _ in range(draw.randint(0, 40))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((False, r.doc_id) for r in simhash.one_of_each(df, 5, 0.8, *sizes).collect()) == kept_by_brute_force(rows)
+
+
 def test_similarity_stage_finds_short_pairs_at_the_limit(spark):
-    """Pairs of exactly 0.8, whose fingerprints differ most: a text and the same with a quarter more shingles."""
+    """Pairs of exactly 0.8, the least that counts: a text and the same with a quarter more shingles."""
     draw, rows = random.Random(8), []
-    for words, more in ((8, 1), (12, 2), (16, 3), (24, 5)):
+    for words, more in ((8, 1), (12, 2), (16, 3), (24, 5), (64, 15)):
         for _ in range(150):
             text = [f"w{draw.randrange(10**9)}" for _ in range(words + more)]
             rows += [(2 * len(rows), " ".join(text[:words])), (2 * len(rows) + 1, " ".join(text))]
@@ -207,6 +253,17 @@ def test_similarity_stage_finds_short_pairs_at_the_limit(spark):
     assert {r.doc_id for r in kept.collect()} == {doc_id for doc_id, _ in rows[::2]}
 
 
+def test_parity_fingerprints_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 33, 500, 4000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: 9 * n // 10], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)]))
+        both = simhash.Parities(np.array([len(a), len(b)]), [simhash.parity(a), simhash.parity(b)])
+        differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        bits = [int(z[0]) for x, y, z in both.near(np.array([False, False]), 0.8) if len(x)]
+        assert all(k <= differ for k in bits) and (bits or simhash.jaccard(a, b) < 0.8)
+
+
 # 3 Token files
 
 
