@@ -5,13 +5,14 @@ prior ``p``, the risk of a classifier ``f`` is ``p E+[l(f)] + max(0, Eu[l(-f)] -
 clean texts would cost, estimated without one clean label and kept from going below zero, where it only fits noise.
 
 Features are words and word beginnings that a text holds at least so many times. Those of the positives are counted over all
-unlabelled texts in parallel; those clearly commoner among positives are kept and a logistic model is fitted to them in
-numpy, over a sample of the unlabelled texts, its bias such that their mean score is the prior.
+unlabelled texts in parallel, and those clearly commoner among positives are kept. A logistic model is fitted to them in
+numpy, its risk over all unlabelled texts: texts with the same features are one row with a count, which leaves few. Its
+bias is such that unlabelled texts' mean score is the prior.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +25,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from auralake.llm import tokens
 from auralake.session import shared_dir
 
-#: Documents that the fit sees at most of each kind (chosen by their id's hash), and features it keeps at most.
-POSITIVES, UNLABELLED, FEATURES = 8_000, 16_000, 4_096
+#: Labelled toxic documents that the fit takes at most, the first by their id's hash; and the model's size in features.
+POSITIVES, FEATURES = 8_000, 4_096
+#: Numbers in the unlabelled texts' distinct feature sets up to which the driver sums their risk; beyond, tasks do.
+DRIVER_VALUES = 2_000_000
 #: Beginnings of words that count as features, by their letters.
 BEGINNINGS = (4, 5, 6)
 #: Occurrences from which a feature holds, each a feature of its own.
@@ -90,13 +93,6 @@ def levelled(rows: np.ndarray, found: np.ndarray, times: np.ndarray) -> tuple[np
     return rows[order], found[order]
 
 
-def thinned(rows: DataFrame, most: int, total: int) -> DataFrame:
-    """About ``most`` of ``total`` rows, by the hash of all their columns; all where there are no more."""
-    if total <= most:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64(F.lit("toxicity"), *rows.columns), F.lit(1 << 30)) < F.lit(int(most / total * (1 << 30))))
-
-
 def counts(texts: DataFrame, index: dict[str, int] | None) -> DataFrame:
     """(feature, level, n): texts in which a feature reaches a level; with ``index`` only of the features it numbers."""
 
@@ -127,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the training fold of (doc_id, text) and (doc_id, toxic).
 
     A document labelled twice is toxic if one of its labels says so; null labels say nothing. Without confirmed toxic
-    documents every text scores zero.
+    documents every text scores zero. All texts of the fold are unlabelled ones of the risk, repeats as often as they
+    come, empty and null ones without features, very long ones as one text each.
     """
     shared_dir(docs.sparkSession)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -137,90 +134,149 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model()
     prior = n_toxic / n_known
     texts = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    toxic = thinned(known.filter("toxic = 1"), POSITIVES, n_toxic).select("doc_id")
-    # No more ids than POSITIVES, but for the hash's luck: broadcast, so that no text is shuffled to find them.
-    positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
-    unlabelled = thinned(texts, UNLABELLED, docs.select("doc_id").count()).select(F.lit(False).alias("positive"), "text")
-    sample = positive.unionByName(unlabelled).checkpoint()
-
-    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    n_p = sizes.get(True, 0)
+    toxic = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).select("doc_id")
+    # No more ids than POSITIVES: broadcast, so that no text is shuffled to find them.
+    positive = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select("text").checkpoint()
+    n_p, n_u = positive.count(), texts.count()
     if not n_p:
         return Model()
-    n_all = max(1, texts.count())
     strength = lambda expected: F.col("p") * F.log(F.col("p") / expected) - (F.col("p") - expected)
     clear = lambda expected: (F.col("p") >= LIFT * expected) & (strength(expected) >= EVIDENCE)
     # What is not clear where no unlabelled text has it is never clear. The rest is counted in all of them.
-    among = counts(sample.filter("positive"), None).withColumnRenamed("n", "p").filter(clear(F.lit(n_p * 0.5 / n_all))).checkpoint()
+    among = counts(positive, None).withColumnRenamed("n", "p").filter(clear(F.lit(n_p * 0.5 / n_u))).checkpoint()
     index = {r["feature"]: i for i, r in enumerate(among.select("feature").distinct().collect())}
     unlabelled_too = among.join(counts(texts, index).withColumnRenamed("n", "u"), ["feature", "level"], "left").fillna(0, ["u"])
-    expected = n_p * (F.col("u") + 0.5) / n_all
+    expected = n_p * (F.col("u") + 0.5) / n_u
     evidence, kept = strength(expected), unlabelled_too.filter(clear(expected))
-    kept = kept.orderBy(F.desc(evidence), "feature", "level").limit(FEATURES).collect()
-    # Of a word and its beginnings that hold in as many texts, one says it all: the longest.
-    best: dict[tuple, tuple] = {}
-    for r in kept:
-        same = (r["feature"][: BEGINNINGS[0]], r["p"], r["u"])
-        best[same] = max(best.get(same, ("", 0)), (r["feature"], r["level"]), key=lambda x: len(x[0]))
-    chosen = sorted(set(best.values()))
+    chosen = sorted(longest_of_each(kept.orderBy(F.desc(evidence), "feature", "level").limit(FEATURES).select("feature", "level", "p", "u").collect()))
     index = {f: i for i, f in enumerate(dict.fromkeys(f for f, _ in chosen))}
     columns = {index[f] * len(LEVELS) + level: i for i, (f, level) in enumerate(chosen)}
+    of_positives = Counted.of(feature_sets(positive, index, columns).collect())
+    rows = feature_sets(texts, index, columns).checkpoint()
+    if (rows.agg(F.sum(F.size("features") + 2)).first()[0] or 0) <= DRIVER_VALUES:
+        of_unlabelled = Counted.of(rows.collect()).sums
+    else:
+        of_unlabelled = summed_by_tasks(rows)
+    weights, bias = non_negative_fit(of_positives, of_unlabelled, n_u, len(chosen), prior)
+    return Model(bias, {feature: float(w) for feature, w in zip(chosen, weights)})
+
+
+def longest_of_each(rows: list) -> list[tuple[str, int]]:
+    """(feature, level) without those that hold in just the same texts as another: of a word and its beginnings the longest.
+
+    All texts with a word have its beginnings, and all that reach a level reach those below; so equal numbers mean equal texts.
+    """
+    out: list[tuple[str, int]] = []
+    by_numbers: dict[tuple, list] = {}
+    for feature, level, p, u in sorted(rows, key=lambda r: (-len(r[0].rstrip("*")), r[0], r[1])):
+        others = by_numbers.setdefault((p, u), [])
+        stem = feature[:-1] if feature.endswith("*") else None
+        if not any(f == feature or stem is not None and len(f.rstrip("*")) > len(stem) and f.startswith(stem) for f in others):
+            others.append(feature)
+            out.append((feature, level))
+    return out
+
+
+def feature_sets(texts: DataFrame, index: dict[str, int], columns: dict[int, int]) -> DataFrame:
+    """(features, n): the sets of the model's features that texts have, and how many texts have just these."""
 
-    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = tokens.plain(batch.column("text"))
+            text, found = tokens.plain(batch.column("text")), {}
             for a, b in tokens.slices(text):
-                rows, found = levelled(*present(text.slice(a, b - a), index)[:3])
-                column = np.array([columns.get(f, -1) for f in found.tolist()], dtype=np.int64)
-                rows, found = rows[column >= 0], column[column >= 0]
-                ends = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, pa.array(found.astype(np.int32)))
-                yield pa.record_batch([batch.column("positive").slice(a, b - a), lists], names=["positive", "features"])
-
-    # The bounded sample, by the numbers of the features kept; sorted, so that the fit is the same each time.
-    rows = sorted(((r["positive"], r["features"]) for r in sample.mapInArrow(matrix, "positive boolean, features array<int>").collect()), key=lambda r: (not r[0], r[1]))
-    weights, bias = non_negative_fit([f for p, f in rows if p], [f for p, f in rows if not p], len(chosen), prior)
-    return Model(bias, {feature: float(w) for feature, w in zip(chosen, weights)})
+                rows, own = levelled(*present(text.slice(a, b - a), index)[:3])
+                column = np.array([columns.get(f, -1) for f in own.tolist()], dtype=np.int32)
+                rows, column = rows[column >= 0], column[column >= 0]
+                ends = np.searchsorted(rows, np.arange(b - a + 1))
+                for x, y in zip(ends[:-1], ends[1:]):
+                    key = np.sort(column[x:y]).tobytes()
+                    found[key] = found.get(key, 0) + 1
+            lists = pa.array([np.frombuffer(k, dtype=np.int32) for k in found], type=pa.list_(pa.int32()))
+            yield pa.record_batch([lists, pa.array(list(found.values()), type=pa.int64())], names=["features", "n"])
+        tokens.release()
 
+    return texts.select("text").mapInArrow(run, "features array<int>, n long").groupBy("features").agg(F.sum("n").alias("n"))
 
-def non_negative_fit(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model under the non-negative risk, by full gradients with momentum and scaling."""
 
-    def sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        return np.repeat(np.arange(len(rows)), sizes), np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(sizes.sum()))
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(z / 2))
 
-    (row_p, col_p), (row_u, col_u) = sparse(positive), sparse(unlabelled)
-    theta, first, second = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-    theta[n] = np.log(prior / (1 - prior)) if prior < 1 else 0.0
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 0.5 * (1 + np.tanh(z / 2))
+@dataclass
+class Counted:
+    """Feature sets with how often each occurs."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, found: list) -> Counted:
+        """From rows (features, n), sorted, so that the same rows give the same sums."""
+        found = sorted((list(r[0]), r[1]) for r in found)
+        sizes = np.array([len(f) for f, _ in found], dtype=np.int64)
+        return cls(np.repeat(np.arange(len(found)), sizes), np.array([x for f, _ in found for x in f], dtype=np.int64), np.array([n for _, n in found], dtype=np.float64))
+
+    def margin(self, theta: np.ndarray) -> np.ndarray:
+        """``f`` of each set: its features' weights and the bias, which is the last of ``theta``."""
+        return np.bincount(self.rows, weights=theta[self.columns], minlength=len(self.times)) + theta[-1]
+
+    def slope(self, each: np.ndarray, n: int) -> np.ndarray:
+        """What sets' derivatives by their margin mean for ``theta``."""
+        each = each * self.times
+        return np.append(np.bincount(self.columns, weights=each[self.rows], minlength=n), each.sum())
+
+    def sums(self, theta: np.ndarray) -> np.ndarray:
+        """The loss of taking all for clean, ``log(1 + exp(f))``, and its derivatives: sums over all texts."""
+        z = self.margin(theta)
+        return np.append(np.logaddexp(0, z) @ self.times, self.slope(sigmoid(z), len(theta) - 1))
+
+
+def summed_by_tasks(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """:meth:`Counted.sums` of all rows, each task summing its own: for more feature sets than the driver should hold."""
+
+    def sums(theta: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(theta) + 1)
+            for batch in batches:
+                total += Counted.of(list(zip(batch.column("features").to_pylist(), batch.column("n").to_pylist()))).sums(theta)
+            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "x"])
 
-    def margin(rows: np.ndarray, cols: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(rows, weights=theta[cols], minlength=size) + theta[n]
+        found = rows.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        return np.array([r["x"] for r in sorted(found, key=lambda r: r["i"])])
 
-    def gradient(rows: np.ndarray, cols: np.ndarray, each: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(cols, weights=each[rows], minlength=n), each.sum())
+    return sums
 
-    for step in range(1, STEPS + 1):
-        z_p, z_u = margin(row_p, col_p, len(positive)), margin(row_u, col_u, len(unlabelled))
-        as_positive = gradient(row_p, col_p, -sigmoid(-z_p) / max(1, len(positive)))
-        as_negative = gradient(row_p, col_p, sigmoid(z_p) / max(1, len(positive)))
-        clean = gradient(row_u, col_u, sigmoid(z_u) / max(1, len(unlabelled)))
-        negative_risk = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean() if len(unlabelled) else 0.0
-        # Below zero the estimate is wrong: that part alone is pushed back up.
-        slope = prior * as_positive + (clean - prior * as_negative) if negative_risk >= 0 else -(clean - prior * as_negative)
+
+def risk_and_slope(theta: np.ndarray, positive: Counted, of_unlabelled: np.ndarray, n_unlabelled: int, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positives' part of the risk, the rest (what clean texts would cost), and where to go from ``theta``.
+
+    ``of_unlabelled`` are the sums at ``theta``. Where the rest is below zero, the estimate is wrong: it alone is pushed up.
+    """
+    n, n_p = len(theta) - 1, positive.times.sum()
+    z = positive.margin(theta)
+    as_positive, as_negative = prior * (np.logaddexp(0, -z) @ positive.times) / n_p, prior * (np.logaddexp(0, z) @ positive.times) / n_p
+    rest = of_unlabelled[0] / n_unlabelled - as_negative
+    slope = of_unlabelled[1:] / n_unlabelled - prior * positive.slope(sigmoid(z), n) / n_p
+    return as_positive, rest, prior * positive.slope(-sigmoid(-z), n) / n_p + slope if rest >= 0 else -slope
+
+
+def non_negative_fit(positive: Counted, of_unlabelled: Callable[[np.ndarray], np.ndarray], n_unlabelled: int, n: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model under the non-negative risk, by full gradients with momentum and scaling."""
+    theta, first, second = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    theta[n] = np.log(prior / (1 - prior)) if prior < 1 else 0.0
+    for step in range(1, steps + 1):
+        slope = risk_and_slope(theta, positive, of_unlabelled(theta), n_unlabelled, prior)[2]
         slope[:n] += DECAY * theta[:n]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope * slope
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     # The fit ranks texts; its bias is moved until unlabelled texts score the prior on average.
-    z, low, high = margin(row_u, col_u, len(unlabelled)), -40.0, 40.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (low, middle) if sigmoid(z + middle).mean() > prior else (middle, high)
-    return theta[:n], float(theta[n] + (low if len(unlabelled) else 0.0))
+    low, high, bias = -40.0, 40.0, theta[n]
+    for _ in range(40):
+        theta[n] = bias + (low + high) / 2
+        low, high = (low, (low + high) / 2) if of_unlabelled(theta)[-1] / n_unlabelled > prior else ((low + high) / 2, high)
+    return theta[:n], float(bias + low)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

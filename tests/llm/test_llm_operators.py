@@ -362,17 +362,64 @@ def test_warc_splits_gz_files(spark, tmp_path, split):
 # 5 Toxicity
 
 
-def test_toxicity_counts_features_over_all_unlabelled_texts(spark, monkeypatch):
+def test_toxicity_counts_features_over_all_unlabelled_texts(spark):
     rows, labels = [(i, "plain text here") for i in range(3000)], []
     train = [r.doc_id for r in spark.range(3000).withColumnRenamed("id", "doc_id").filter(~toxicity.held_out(F.col("doc_id"))).collect()]
     for at, i in enumerate(sorted(train)[:60]):
         labels.append((i, int(at < 40)))
         rows[i] = (i, "nasty" if at < 6 else "plain text here")
-    monkeypatch.setattr(toxicity, "UNLABELLED", 50)
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert {feature for feature, _ in model.weights} & {"nasty", "nast*"}
 
 
+def random_sets(rng, rows, n, top):
+    return [(sorted(rng.choice(n, rng.integers(0, n), replace=False).tolist()), int(rng.integers(1, top))) for _ in range(rows)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_toxicity_gradient_against_finite_differences(seed):
+    """Both where the rest of the risk counts and where it is below zero and only pushed up."""
+    rng = np.random.default_rng(seed)
+    n, prior = 5, 0.1 if seed % 2 else 0.8
+    positive, rows = toxicity.Counted.of(random_sets(rng, 8, n, 4)), random_sets(rng, 30, n, 9)
+    unlabelled, n_u = toxicity.Counted.of(rows), sum(m for _, m in rows)
+    for scale in (0.3, 3.0):
+        theta = rng.normal(size=n + 1) * scale
+        at = lambda x: toxicity.risk_and_slope(x, positive, unlabelled.sums(x), n_u, prior)
+        first, rest, slope = at(theta)
+        z = lambda f: sum(theta[i] for i in f) + theta[-1]
+        cost = lambda found, sign: sum(m * math.log1p(math.exp(sign * z(f))) for f, m in found) / sum(m for _, m in found)
+        p_rows = [([int(c) for c in positive.columns[positive.rows == i]], int(m)) for i, m in enumerate(positive.times)]
+        assert math.isclose(first, prior * cost(p_rows, -1)) and math.isclose(rest, cost(rows, 1) - prior * cost(p_rows, 1), abs_tol=1e-12)
+        steps = np.eye(n + 1) * 1e-6
+        value = (lambda x: sum(at(x)[:2])) if rest >= 0 else (lambda x: -at(x)[1])
+        assert np.allclose(slope, [(value(theta + d) - value(theta - d)) / 2e-6 for d in steps], atol=1e-6)
+    theta = np.append(np.full(n, 4.0), -9.0)
+    assert toxicity.risk_and_slope(theta, positive, toxicity.Counted.of([([], 5)]).sums(theta), 5, 0.8)[1] < 0
+
+
+def test_toxicity_sums_of_tasks_are_those_of_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = random_sets(rng, 200, 6, 9)
+    df = spark.createDataFrame(rows, "features array<int>, n long").repartition(3)
+    theta = rng.normal(size=7)
+    assert np.allclose(toxicity.summed_by_tasks(df)(theta), toxicity.Counted.of(rows).sums(theta))
+
+
+def test_toxicity_features_that_say_the_same():
+    rows = [("nasty", 0, 9, 1), ("nast*", 0, 9, 1), ("nast*", 1, 9, 1), ("nast", 0, 9, 1), ("nastily", 0, 9, 1), ("vile", 0, 9, 1), ("nast*", 2, 4, 0)]
+    assert sorted(toxicity.longest_of_each(rows)) == [("nast", 0), ("nast*", 2), ("nastily", 0), ("nasty", 0), ("vile", 0)]
+
+
+def test_toxicity_never_reads_held_out_labels(spark):
+    """Held-out labels turned round, and ids' languages and sources changed, leave every score as it is."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = [{r.doc_id: r.toxicity for r in toxicity.score(d, toxicity.fit(d, known)).collect()} for d, known in ((docs, labels), (docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")}), turned))]
+    assert scores[0] == scores[1]
+
+
 def test_toxicity_on_held_out_documents(spark, empty, docs):
     rnd = random.Random(8)
     vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
