@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -48,8 +49,13 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@functools.cache
+def loaded(path):
+    return tokens.load(path)
+
+
 def ids_of(path, text, end):
-    return np.array([*tokens.load(path).encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
+    return np.array([*loaded(path).encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -72,26 +78,53 @@ def test_a_worker_that_forgets_gives_the_same_ids():
 
 
 def test_packing_holds_every_id_once(spark, docs, empty):
-    pieces = packing.pack(docs, BYTES, 0).collect()
-    want = collections.Counter((r.doc_id, ids_of(BYTES, r.text, 0).tobytes()) for r in docs.collect())
+    for parts in (1, 3, 40):
+        check_packing(packing.pack(docs.repartition(parts), BYTES, 0).collect(), docs.collect())
+    assert packing.pack(empty, BYTES, 0).count() == 0
+
+
+def check_packing(pieces, rows):
     windows = collections.defaultdict(list)
-    held = collections.defaultdict(collections.Counter)
+    held = collections.defaultdict(list)
     for p in pieces:
         windows[p.sequence_id].append((p.offset, p.length, p.padded_length, p.tier))
-        assert len(p.ids) == 4 * p.length
-        held[p.doc_id, p.doc_tokens][p.start, bytes(p.ids)] += 1
+        assert len(p.ids) == 4 * p.length and p.length > 0 and p.start + p.length <= p.doc_tokens
+        held[p.doc_id].append((p.start, bytes(p.ids)))
     for w in windows.values():
         place = 0
         for offset, length, padded, tier in sorted(w):
             assert offset == place
             place += length
         assert place <= tier <= 1024 and padded == (place if place & (place - 1) == 0 else 1024)
-    total = sum(len(p.ids) for p in pieces)
-    assert total == sum(len(k[1]) * n for k, n in want.items())
-    for (doc_id, ids), n in want.items():
-        at = [x for x in held[doc_id, len(ids) // 4].items()]
-        assert all(ids[4 * s : 4 * s + len(b)] == b for (s, b), _ in at) or sum(1 for d, i in want if d == doc_id) > 1
-    assert packing.pack(empty, BYTES, 0).count() == 0
+    wanted = collections.defaultdict(list)
+    for r in rows:
+        wanted[r.doc_id].append(ids_of(BYTES, r.text, 0).tobytes())
+    assert set(wanted) == set(held)
+    for doc_id, texts in wanted.items():
+        # Each row's ids once: pieces are taken off where a text goes on with one of them, longest texts first.
+        left = collections.Counter(held[doc_id])
+        for text in sorted(texts, key=len, reverse=True):
+            place = 0
+            while place < len(text):
+                fits = [p for p in left if p[0] * 4 == place and text.startswith(p[1], place) and left[p]]
+                assert fits, (doc_id, place)
+                piece = max(fits, key=lambda p: len(p[1]))
+                left[piece] -= 1
+                place += len(piece[1])
+        assert not +left
+    return sum(w[0][2] - sum(x[1] for x in w) for w in windows.values()) / sum(len(p.ids) // 4 for p in pieces)
+
+
+def test_padding_does_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    for parts in (1, 64, 500):
+        assert check_packing(packing.pack(docs.repartition(parts), BYTES, 0).collect(), rows) < 0.01
+    found = QUERIES["op1_multi_length_packing"](spark, sf)
+    assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "padded_length", "step_group"]
+    texts = {r.doc_id: ids_of(BYTES, r.text, 0) for r in rows}
+    assert all(r.ids_crc32 == zlib.crc32(texts[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(texts[r.doc_id]) for r in found.collect())
 
 
 @pytest.mark.parametrize("seed", range(5))
