@@ -36,6 +36,8 @@ LEVELS = (1, 2, 3, 5)
 #: How much commoner a feature must be among positives, and the log likelihood ratio of its count to the one expected from
 #: unlabelled texts: among millions of words, chance reaches a ratio of 10 for a few dozen at most.
 LIFT, EVIDENCE = 3.0, 10.0
+#: Characters of texts whose features are found at once.
+SLICE_CHARS = 2_000_000
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 
 
@@ -105,7 +107,7 @@ def counts(texts: DataFrame, index: dict[str, int] | None) -> DataFrame:
         total = np.zeros(len(index or ()) * len(LEVELS), dtype=np.int64)
         for batch in batches:
             text = tokens.plain(batch.column("text"))
-            for a, b in tokens.slices(text):
+            for a, b in tokens.slices(text, SLICE_CHARS):
                 rows, found, times, names = present(text.slice(a, b - a), index)
                 found = levelled(rows, found, times)[1]
                 if index is None:
@@ -114,6 +116,7 @@ def counts(texts: DataFrame, index: dict[str, int] | None) -> DataFrame:
                     total += np.bincount(found, minlength=len(total))
         if index:
             yield counted(list(index), total)
+        tokens.release()
 
     each = texts.select("text").mapInArrow(run, "feature string, level int, n long")
     return each.groupBy("feature", "level").agg(F.sum("n").alias("n"))
@@ -183,7 +186,7 @@ def feature_sets(texts: DataFrame, index: dict[str, int], columns: dict[int, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, found = tokens.plain(batch.column("text")), {}
-            for a, b in tokens.slices(text):
+            for a, b in tokens.slices(text, SLICE_CHARS):
                 rows, own = levelled(*present(text.slice(a, b - a), index)[:3])
                 column = np.array([columns.get(f, -1) for f in own.tolist()], dtype=np.int32)
                 rows, column = rows[column >= 0], column[column >= 0]
@@ -295,7 +298,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = tokens.plain(batch.column("text"))
-            for a, b in tokens.slices(text):
+            for a, b in tokens.slices(text, SLICE_CHARS):
                 rows, found = levelled(*present(text.slice(a, b - a), index)[:3])
                 margin = bias + np.bincount(rows, weights=weights[found], minlength=b - a)
                 part = batch.slice(a, b - a)
