@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ from auralake.session import shared_dir, shared_path
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
+#: Numbers of bytes, and the base and its inverse modulo 2**64, of :func:`word_hashes`.
+BYTE_NUMBERS = np.array([xxhash.xxh64_intdigest(bytes([b]), SEED) for b in range(256)], dtype=np.uint64)
+BASE = xxhash.xxh64_intdigest(b"base", SEED) | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Rows of a tile; a task compares two at once, in strips.
 TILE_ROWS, STRIP_ROWS = 2048, 512
 
@@ -167,6 +172,8 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int
 
 # Documents alike by their shingles: prefixes of rare shingles meet, parity fingerprints and then the shingles themselves decide.
 
+#: Characters of texts whose words are hashed at once.
+SLICE_CHARS = 2_000_000
 #: Shingles are counted by the first bits of their hash. The counts only order shingles, so sharing a slot loses nothing; more
 #: bits keep frequent shingles apart from rare ones in larger corpora, at a byte a slot in every worker.
 SLOT_BITS = 20
@@ -178,34 +185,45 @@ CHECK_SETS, CHECK_SHINGLES = 1024, 1 << 20
 FOUND = "k1 long, k2 long, node long, n long, parity binary, slot int, times long"
 
 
-class WordHashes(dict):
-    """The XXH64 of words as they come; what a worker has met before is looked up."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:  # bounds memory, never results
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-
-word_hashes = WordHashes()
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' numbers times powers of an odd base, as differences of running sums."""
+    data, ends = words.buffers()[2], np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    data, parts, a = np.frombuffer(data or b"", dtype=np.uint8), [], 0
+    while a < len(words):  # as many words as have some 2 MB
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_CHARS, side="right")) - 1)
+        own, at = data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+        up, down = (np.cumprod(np.full(len(own) + 1, x, dtype=np.uint64)) for x in (BASE, INVERSE))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_NUMBERS[own] * up[:-1])])
+        parts.append((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]])
+        a = b
+    return mixed(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def distinct_shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Each text's distinct shingles as 64-bit hashes of their words' hashes, ascending; fewer words are one shingle."""
     factors = [np.uint64(xxhash.xxh64_intdigest(b"%d" % k, SEED) | 1) for k in range(width)]
-    for text in texts.cast(pa.binary()):
-        words = (text.as_py() or b"").translate(LOWER).split()
-        own = np.fromiter(map(word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        if 0 < len(own) < width:
-            own = np.concatenate([own, np.zeros(width - len(own), dtype=np.uint64)])
-        n = max(0, len(own) - width + 1)
-        h = np.zeros(n, dtype=np.uint64)
-        for k, factor in enumerate(factors):
-            h += own[k : k + n] * factor
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finalizer of splitmix64
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        yield np.unique(h ^ (h >> np.uint64(31)))
+    texts = tokens.plain(texts)
+    for a, b in tokens.slices(texts, SLICE_CHARS):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, b - a).fill_null("")))
+        words, offsets = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
+        # Empty words stand before and behind white space at a text's ends.
+        there = np.asarray(pc.binary_length(words)) > 0
+        own, offsets = word_hashes(words)[there], np.concatenate([[0], np.cumsum(there)])[offsets - offsets[0]]
+        own = np.concatenate([own, np.zeros(width, dtype=np.uint64)])
+        h = mixed(sum(own[k : len(own) - width + k] * factor for k, factor in enumerate(factors)))
+        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            if 0 < end - start < width:
+                yield mixed(sum(own[start + k : start + k + 1] * factors[k] for k in range(end - start)))
+            else:
+                found = np.sort(h[start : max(start, end - width + 1)])
+                yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
 
 def set_hash(shingles: np.ndarray) -> int:
