@@ -37,7 +37,7 @@ SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 #: Characters of text worked on at once; each has a value here.
 SLICE_CHARS = 3_000_000
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_tokens binary"
+SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_tokens binary, tokens_before long, chars_within long"
 
 
 def byte_letters() -> dict[int, str]:
@@ -168,13 +168,15 @@ class PrefixStore(tokens.PieceStore):
         return out
 
 
-def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, prefix_tokens) of every whole text.
+def prefix_counts(docs: DataFrame, tokenizer: str, chars: int = 1024, budget: int = 1024) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, prefix_tokens, tokens_before, chars_within) of every whole text.
 
     ``prefix_tokens`` holds the change of the exact token count at each code point, as one signed byte each or, where one
-    does not suffice, as four; its first byte says how many. :func:`tokens_before` and :func:`longest_within` read it. A
-    null text is empty: no bytes, no tokens. Repeated rows are each counted; a null doc_id is kept. Other columns are left
-    out.
+    does not suffice, as four; its first byte says how many. :func:`tokens_before` and :func:`longest_within` read it. Two
+    answers come along: the tokens of the first ``chars`` code points (of all where there are fewer), and the code points
+    of the longest prefix of at most ``budget`` tokens. A null text is empty: no bytes, no tokens. Very long texts are
+    worked on by themselves, words without a place to cut by the tokenizer's own words. Repeated rows are each counted; a
+    null doc_id is kept. Other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +187,14 @@ def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                 part = texts.slice(a, b - a)
                 changes, offsets = counter.encode(part)
                 sums = np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])
-                n_tokens = sums[offsets[1:]] - sums[offsets[:-1]]
+                start, end = offsets[:-1], offsets[1:]
+                n_tokens, before = sums[end] - sums[start], sums[np.minimum(start + chars, end)] - sums[start]
+                within = end - start
+                for i in np.nonzero(n_tokens > budget)[0]:
+                    within[i] = np.nonzero(sums[start[i] : end[i]] - sums[start[i]] <= budget)[0][-1]
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, b - a), pc.fill_null(pc.binary_length(part), 0).cast(pa.int64()), pa.array(n_tokens), packed(changes, offsets)],
-                    names=["doc_id", "n_bytes", "n_tokens", "prefix_tokens"],
+                    [batch.column("doc_id").slice(a, b - a), pc.fill_null(pc.binary_length(part), 0).cast(pa.int64()), pa.array(n_tokens), packed(changes, offsets), pa.array(before), pa.array(within)],
+                    names=[x.split()[0] for x in SCHEMA.split(", ")],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

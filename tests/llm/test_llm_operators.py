@@ -684,6 +684,28 @@ def test_prefix_counts_by_words_are_those_of_the_library():
         assert not text or store.of_piece(text) == store.by_library(text)
 
 
+def test_prefix_counts_with_the_longest_tokens_inside_words():
+    counter = token_counts.PrefixCounter(BYTES)
+    byte_of = {c: b for b, c in token_counts.byte_letters().items()}
+    store, library = tokens.store(BYTES, token_counts.PrefixStore), loaded(BYTES)
+    longest = sorted(counter.vocabulary, key=lambda t: (-len(t), t))[:40]
+    words = [bytes(byte_of[c] for c in t if c in byte_of).decode("utf-8", "ignore") for t in longest]
+    for text in [f"{a}{w}{b}" for w in words if w for a in ("", "x", "é1") for b in ("", "y", w)]:
+        changes, _ = store.encode(pa.array([text]))
+        assert np.cumsum(changes).tolist() == [len(e) for e in library.encode_batch([text[: k + 1] for k in range(len(text))], add_special_tokens=False)], text
+
+
+def test_prefix_query_answers_for_all_documents(spark):
+    """The visible answers against the library: tokens of the first 1,024 characters, characters within 1,024 tokens."""
+    sf, library = "/root/testdata/sf0.001", loaded(BYTES)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = lambda t: len(library.encode(t, add_special_tokens=False))
+    for r in QUERIES["op9_prefix_token_counts"](spark, sf).collect():
+        text = texts[r.doc_id]
+        assert (r.n_tokens, r.tokens_before) == (size(text), size(text[:1024])) and r.over_limit == (r.n_tokens > 1024)
+        assert size(text[: r.chars_within]) <= 1024 and (r.chars_within == len(text) or all(size(text[: r.chars_within + k]) > 1024 for k in (1, 2, 3, 9) if r.chars_within + k <= len(text)))
+
+
 def test_prefix_questions(spark):
     df = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
     p = token_counts.prefix_counts(df, BYTES).orderBy("doc_id")
