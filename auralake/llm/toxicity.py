@@ -37,7 +37,7 @@ LEVELS = (1, 2, 3, 5)
 #: unlabelled texts: among millions of words, chance reaches a ratio of 10 for a few dozen at most.
 LIFT, EVIDENCE = 3.0, 10.0
 #: Characters of texts whose features are found at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 4_000_000
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 
 
@@ -66,15 +66,24 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return offsets - offsets[0], lists.flatten().dictionary_encode()
 
 
-def present(texts: pa.Array, index: dict[str, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(text, feature, occurrences) without repeats, sorted by text; with ``index`` only the features it numbers."""
+def present(texts: pa.Array, index: dict[str, int] | None, met: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(text, feature, occurrences) without repeats, sorted by text; with ``index`` only the features it numbers.
+
+    ``met`` keeps the features of words that a task has met before.
+    """
     offsets, found = words(texts)
     vocabulary, codes = found.dictionary.to_pylist(), np.asarray(found.indices)
     names: dict[str, int] = {} if index is None else index
     lists = []
+    met = {} if met is None else met
+    if len(met) > 1_000_000:  # bounds memory, never results
+        met.clear()
     for word in vocabulary:
-        own = features_of(word) if word else []
-        lists.append([names.setdefault(f, len(names)) for f in own] if index is None else [names[f] for f in own if f in names])
+        own = met.get(word)
+        if own is None:
+            own = features_of(word) if word else []
+            own = met[word] = [names.setdefault(f, len(names)) for f in own] if index is None else [names[f] for f in own if f in names]
+        lists.append(own)
     sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     flat = np.fromiter((f for own in lists for f in own), dtype=np.int64, count=int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
@@ -104,11 +113,11 @@ def counts(texts: DataFrame, index: dict[str, int] | None) -> DataFrame:
         return pa.record_batch([features, pa.array((seen % len(LEVELS)).astype(np.int32)), pa.array(n[seen])], names=["feature", "level", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(index or ()) * len(LEVELS), dtype=np.int64)
+        total, met = np.zeros(len(index or ()) * len(LEVELS), dtype=np.int64), {}
         for batch in batches:
             text = tokens.plain(batch.column("text"))
             for a, b in tokens.slices(text, SLICE_CHARS):
-                rows, found, times, names = present(text.slice(a, b - a), index)
+                rows, found, times, names = present(text.slice(a, b - a), index, None if index is None else met)
                 found = levelled(rows, found, times)[1]
                 if index is None:
                     yield counted(names, np.bincount(found, minlength=len(names) * len(LEVELS)))
@@ -184,10 +193,11 @@ def feature_sets(texts: DataFrame, index: dict[str, int], columns: dict[int, int
     """(features, n): the sets of the model's features that texts have, and how many texts have just these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, list[int]] = {}
         for batch in batches:
             text, found = tokens.plain(batch.column("text")), {}
             for a, b in tokens.slices(text, SLICE_CHARS):
-                rows, own = levelled(*present(text.slice(a, b - a), index)[:3])
+                rows, own = levelled(*present(text.slice(a, b - a), index, met)[:3])
                 column = np.array([columns.get(f, -1) for f in own.tolist()], dtype=np.int32)
                 rows, column = rows[column >= 0], column[column >= 0]
                 ends = np.searchsorted(rows, np.arange(b - a + 1))
@@ -296,10 +306,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, list[int]] = {}
         for batch in batches:
             text = tokens.plain(batch.column("text"))
             for a, b in tokens.slices(text, SLICE_CHARS):
-                rows, found = levelled(*present(text.slice(a, b - a), index)[:3])
+                rows, found = levelled(*present(text.slice(a, b - a), index, met)[:3])
                 margin = bias + np.bincount(rows, weights=weights[found], minlength=b - a)
                 part = batch.slice(a, b - a)
                 yield pa.record_batch([*part.columns, pa.array(0.5 * (1 + np.tanh(margin / 2)))], names=[*batch.schema.names, "toxicity"])
