@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions import scalars as S
@@ -205,13 +205,16 @@ def annotation_join(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left").withColumn("quality_or", F.coalesce("quality", F.lit(-1)))
 
 
-@query("""WITH a AS (SELECT doc_id, source, regexp_extract(text, '^(\\S+ \\S+)', 1) AS head FROM documents)
-SELECT x.doc_id AS a, y.doc_id AS b FROM a x JOIN a y ON x.head = y.head AND x.head <> '' AND x.source < y.source AND x.doc_id % 7 = 0""")
+@query("""WITH a AS (SELECT source, regexp_extract(text, '^(\\S+ \\S+)', 1) AS head FROM documents),
+c AS (SELECT head, source, count(*) AS rows FROM a WHERE head <> '' AND source IS NOT NULL GROUP BY ALL)
+SELECT x.head, x.source, x.rows, coalesce(sum(y.rows), 0)::BIGINT AS partners, (x.rows * coalesce(sum(y.rows), 0))::BIGINT AS pairs
+FROM c x LEFT JOIN c y ON x.head = y.head AND x.source < y.source GROUP BY x.head, x.source, x.rows""")
 def theta_pairs(t: Tables) -> DataFrame:
-    """Pairs of rows with one key whose sources are in order."""
-    a = t.documents.select("doc_id", "source", F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("head")).filter("head <> ''")
-    x, y = a.filter("doc_id % 7 = 0").alias("x"), a.alias("y")
-    return x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.source") < F.col("y.source"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    """How many pairs rows with one key make whose sources are in order: by classes of rows, as a hot key has too many pairs."""
+    a = t.documents.select("source", F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("head")).filter("head <> '' AND source IS NOT NULL")
+    later = Window.partitionBy("head").orderBy(F.desc("source")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = a.groupBy("head", "source").agg(F.count(F.lit(1)).alias("rows")).withColumn("partners", F.coalesce(F.sum("rows").over(later), F.lit(0)))
+    return classes.withColumn("pairs", F.col("rows") * F.col("partners"))
 
 
 SCANNED = """l AS (SELECT 'data/' || source || '/' || lang || '/s' || (doc_id % 13) || '_' || doc_id || '.wav' AS path, lang, source, 's' || (doc_id % 13) || '_' || doc_id AS name, 's' || (doc_id % 13) AS speaker, n_chars / 16000.0::DOUBLE AS duration_s FROM documents)"""

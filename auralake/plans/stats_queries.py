@@ -119,11 +119,11 @@ def bucket_gate(t: Tables) -> DataFrame:
     return rows.groupBy("bucket").agg(r9(F.avg("d_snr_out")).alias("d_snr"), r9(F.avg("d_stoi")).alias("d_stoi"), (F.round(F.avg("d_stoi"), 9) >= -0.01 - 1e-9).alias("ok"))
 
 
-@query("WITH " + FACT + ", " + resampled_sql("system", f"SELECT system AS g, bucket || '|' || id AS cluster, snr_out AS x FROM fact WHERE {NOMINAL} AND id % 40 = 1", 100, 3) + """
+@query("WITH " + FACT + ", " + resampled_sql("system", f"SELECT system AS g, bucket || '|' || id AS cluster, snr_out AS x FROM fact WHERE {NOMINAL}", 100, 3) + """
 SELECT g AS system, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM reps GROUP BY g""")
 def row_bootstrap(t: Tables) -> DataFrame:
     """The interval of a mean when rows are resampled: every row is its own cluster."""
-    rows = t.fact.filter(X.nominal() & (F.col("id") % 40 == 1)).withColumn("cluster", F.concat_ws("|", "bucket", "id"))
+    rows = t.fact.filter(X.nominal()).withColumn("cluster", F.concat_ws("|", "bucket", "id"))
     ci = X.interval(X.resample(X.cluster_sums(rows, ["system"], "cluster", "snr_out"), ["system"], "cluster", 100, 3), ["system"])
     return ci.select("system", r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi"))
 
@@ -155,11 +155,11 @@ def gap_bootstrap(t: Tables) -> DataFrame:
     return both.agg(r9(F.avg(F.col("a") - F.col("n"))).alias("gap"), q.alias("q")).select("gap", r9(F.col("q")[0]).alias("lo"), r9(F.col("q")[1]).alias("hi"))
 
 
-@query("WITH " + FACT + ", " + resampled_sql("metric", "SELECT metric AS g, cluster, x FROM (SELECT cluster, unnest(['snr_out', 'stoi', 'pesq_wb']) AS metric, unnest([snr_out, stoi, pesq_wb]) AS x FROM fact WHERE system = 'A' AND id % 10 = 1)", 40, 2) + """
+@query("WITH " + FACT + ", " + resampled_sql("metric", "SELECT metric AS g, cluster, x FROM (SELECT cluster, unnest(['snr_out', 'stoi', 'pesq_wb']) AS metric, unnest([snr_out, stoi, pesq_wb]) AS x FROM fact WHERE system = 'A')", 40, 2) + """
 SELECT g AS metric, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM reps GROUP BY g""")
 def shared_resample(t: Tables) -> DataFrame:
     """All metrics under the same draws, so that their intervals are paired."""
-    long = t.fact.filter("system = 'A' AND id % 10 = 1").select("cluster", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])).alias("m")).select("cluster", "m.*")
+    long = t.fact.filter("system = 'A'").select("cluster", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])).alias("m")).select("cluster", "m.*")
     ci = X.interval(X.resample(X.cluster_sums(long, ["metric"], "cluster", "x"), ["metric"], "cluster", 40, 2), ["metric"])
     return ci.select("metric", r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi"))
 
@@ -216,7 +216,7 @@ def auc_breakdown(t: Tables) -> DataFrame:
     return X.hist_auc(both, ["noise_class", "part"]).withColumn("auc", r9(F.col("auc")))
 
 
-@query("WITH " + FACT + f""", items AS (SELECT id, floor(greatest(0, least(50.0::DOUBLE - 1e-6, snr_out)) / 2)::BIGINT AS bin, (fault IS NOT NULL)::INT AS s FROM fact WHERE system = 'A' AND id % 20 = 1),
+@query("WITH " + FACT + f""", items AS (SELECT id, floor(greatest(0, least(50.0::DOUBLE - 1e-6, snr_out)) / 2)::BIGINT AS bin, (fault IS NOT NULL)::INT AS s FROM fact WHERE system = 'A'),
 num AS (SELECT DISTINCT id, dense_rank() OVER (ORDER BY id) - 1 AS i, (SELECT count(DISTINCT id) FROM items) AS k FROM items),
 w AS (SELECT b, {H.format("'4|' || b || '|' || i")} % k AS i, count(*) AS w FROM num, range(30) r(b) GROUP BY ALL),
 h AS (SELECT b, bin, sum(w * s) AS s, sum(w * (1 - s)) AS n FROM w JOIN num USING (i) JOIN items USING (id) GROUP BY ALL),
@@ -225,7 +225,7 @@ a AS (SELECT b, sum(x) / (sum(s) * sum(n) + 1e-30) AS auc FROM c GROUP BY b)
 SELECT round(avg(auc), 6) AS mean, round(stddev_samp(auc), 6) AS sd, round(avg((round(auc, 9) <= 0.5)::INT), 6) AS share FROM a""")
 def multinomial_auc(t: Tables) -> DataFrame:
     """The AUC of resampled items from their own histograms: bins stay with their item."""
-    items = t.fact.filter("system = 'A' AND id % 20 = 1").select("id", F.col("fault").isNotNull().cast("int").alias("s"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(50 - 1e-6), "snr_out")) / 2).cast("long").alias("bin"))
+    items = t.fact.filter("system = 'A'").select("id", F.col("fault").isNotNull().cast("int").alias("s"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(50 - 1e-6), "snr_out")) / 2).cast("long").alias("bin"))
     ranked = T.ranked(items.select("id").distinct(), ["id"], "i").select("id", F.col("i").cast("long").alias("i"))
     # One row, the number of items, goes to all of them.
     num = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("k"))))

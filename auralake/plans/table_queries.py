@@ -96,7 +96,7 @@ def snr_sampling(t: Tables) -> DataFrame:
 @query("WITH " + MANIFEST + f""", pool AS (SELECT unnest(CASE noise_class WHEN 'stationary' THEN ['engine', 'vehicle'] WHEN 'changing' THEN ['babble'] ELSE ['general'] END) AS tag, group_id, source_id FROM manifest),
 g AS (SELECT tag, group_id, row_number() OVER (PARTITION BY tag ORDER BY group_id) - 1 AS g, count(*) OVER (PARTITION BY tag) AS groups FROM (SELECT DISTINCT tag, group_id FROM pool)),
 r AS (SELECT tag, group_id, source_id, row_number() OVER (PARTITION BY tag, group_id ORDER BY source_id) - 1 AS r, count(*) OVER (PARTITION BY tag, group_id) AS rows FROM pool),
-q AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ['engine', 'siren'] WHEN 1 THEN ['vehicle', 'babble'] ELSE ['general'] END AS tags FROM orders WHERE o_orderkey < 2000),
+q AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ['engine', 'siren'] WHEN 1 THEN ['vehicle', 'babble'] ELSE ['general'] END AS tags FROM orders),
 t AS (SELECT o_orderkey, list(tag ORDER BY p) AS tags FROM (SELECT o_orderkey, unnest(tags) AS tag, unnest(range(len(tags))) AS p FROM q) WHERE tag IN (SELECT tag FROM pool) GROUP BY 1),
 c AS (SELECT o_orderkey, tags[({H.format("'5|tag|' || o_orderkey")} % len(tags)) + 1] AS tag FROM t),
 d AS (SELECT c.o_orderkey, c.tag, g.group_id, g.g FROM c JOIN g ON g.tag = c.tag AND g.g = {H.format("'5|group|' || c.o_orderkey")} % g.groups)
@@ -108,7 +108,7 @@ def scene_pool_draw(t: Tables) -> DataFrame:
     pool = C.tagged(t.manifest, {"stationary": ["engine", "vehicle"], "changing": ["babble"]}, ["general"])
     k = F.col("o_orderkey")
     tags = F.when(k % 3 == 0, F.array(F.lit("engine"), F.lit("siren"))).when(k % 3 == 1, F.array(F.lit("vehicle"), F.lit("babble"))).otherwise(F.array(F.lit("general")))
-    requests = t.orders.filter("o_orderkey < 2000").select("o_orderkey", tags.alias("tags"))
+    requests = t.orders.select("o_orderkey", tags.alias("tags"))
     return T.pool_draw(requests, T.pool_index(pool, "tags", "group_id", "source_id"), 5, "o_orderkey", "source_id")
 
 
@@ -172,11 +172,11 @@ def freeze_variant(t: Tables) -> DataFrame:
     return ok.groupBy("system").agg(F.min(F.when(F.col("all_ok"), F.col("bucket"))).alias("first"))
 
 
-@query("""WITH a AS (SELECT 'f' || doc_id AS path, sha1(text) AS sha FROM documents WHERE doc_id % 2 = 0), b AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 14 = 0 THEN sha1(text || 'x') ELSE sha1(text) END AS sha FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 > 0)
+@query("""WITH a AS (SELECT 'f' || doc_id AS path, sha1(text) AS sha FROM documents), b AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 14 = 0 THEN sha1(text || 'x') ELSE sha1(text) END AS sha FROM documents WHERE doc_id % 10 > 0)
 SELECT 'changed or gone' AS what, path FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'changed or new', path FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def protocol_check(t: Tables) -> DataFrame:
     """Files that differ from a frozen list, either way."""
-    d = t.documents.filter("doc_id % 2 = 0")
+    d = t.documents
     path, sha = F.concat(F.lit("f"), "doc_id").alias("path"), lambda c: F.sha1(c.cast("binary")).alias("sha")
     a = d.select(path, sha(F.col("text")))
     b = d.filter("doc_id % 10 > 0").select(path, sha(F.when(F.col("doc_id") % 14 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
