@@ -20,8 +20,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ FOUND = f"file string, block long, place long, line binary, {RECORD}"
 #: which Spark ships, has the second option under another name.
 RAW_GZ = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec"}
 RAW_GZ |= {f"{root}io.compress.passthrough.extension": "x\x01.gz" for root in ("", "org.apache.hadoop.shaded.")}
+#: Bytes of a member, its own header included, within which the record's header must begin.
+BEGIN_WITHIN = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -127,44 +129,52 @@ class Member:
     """A gzip member as far as its bytes have come."""
 
     def __init__(self) -> None:
-        self.inflate, self.raw, self.out = zlib.decompressobj(31), b"", b""
+        self.inflate, self.head, self.parts, self.taken = zlib.decompressobj(31), b"", [], 0
 
     def feed(self, data: bytes) -> bool | None:
         """Whether the member is complete; nothing where these bytes cannot belong to a WARC record's member."""
         try:
-            out = self.out + self.inflate.decompress(data)
+            part = self.inflate.decompress(data)
         except zlib.error:
             return None
-        if not b"WARC/".startswith(out[:5]):
+        self.head, self.taken = (self.head + part[:5])[:5], self.taken + len(data)
+        if not b"WARC/".startswith(self.head) or (len(self.head) < 5 and (self.inflate.eof or self.taken > BEGIN_WITHIN)):
             return None
-        self.raw, self.out = self.raw + data, out
+        self.parts.append(part)
         return self.inflate.eof
 
+    def content(self) -> bytes:
+        return b"".join(self.parts)
 
-def scan(lines: Iterator[bytes]) -> Iterator[tuple[str, object]]:
+
+def scan(lines: Iterator[bytes], last: bool = False) -> Iterator[tuple[str, object]]:
     """What one byte range holds, from the lines that follow its magics: ``record`` fields, and each ``line`` left over.
 
     A line opens a member if what it begins inflates to a WARC record, with as many lines behind it as that takes; if it
-    does not, the next line is tried. Left over are the lines before the first record, which may end one that began in
-    the range before, and those after the last.
+    does not, it is left over and the next line is tried. Left over are also the lines of a candidate that these
+    lines do not end; where they are the ``last`` of their file, it is none, and the line behind its first is tried. No more
+    is held than one candidate's lines.
     """
     held: list[bytes] = []
-    start = fed = 0
-    candidate, seen = None, False
-    for line in lines:
-        held.append(MAGIC + line)
-        while fed < len(held):
-            if candidate is None:
-                candidate, start = Member(), fed
+    fed, candidate = 0, None
+    while True:
+        done = False
+        if fed < len(held) or (line := next(lines, None)) is not None:
+            if fed == len(held):
+                held.append(MAGIC + line)
+            candidate = candidate or Member()
             done = candidate.feed(held[fed])
             fed += 1
-            if done is None:
-                candidate, fed = None, start + 1
-            elif done:
-                if not seen:
-                    yield from (("line", x) for x in held[:start])
-                yield "record", parsed(candidate.out)
-                held, fed, candidate, seen = held[fed:], 0, None, True
+        elif last and held:
+            done = None
+        else:
+            break
+        if done is None:
+            yield "line", held.pop(0)
+            fed, candidate = 0, None
+        elif done:
+            yield "record", parsed(candidate.content())
+            held, fed, candidate = held[fed:], 0, None
     yield from (("line", x) for x in held)
 
 
@@ -173,6 +183,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Payloads are what follows the HTTP header. A revisit has no payload of its own: its ``payload_bytes`` is the length its
     HTTP header gives. Bytes that belong to no WARC record are passed over. Files that end in .gz are split like any other.
+    What ranges leave over of a file passes through one task in order, which holds one record at a time.
     """
     reader = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").options(**RAW_GZ)
     lines = reader.text(path).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -180,15 +191,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     fields = [x.split()[0] for x in RECORD.split(", ")]
     records = found.filter("line is null").select(*fields)
 
-    def join(file: pd.DataFrame) -> pd.DataFrame:
-        """Members that go on over ranges, from the lines left over in order."""
-        file = file.sort_values(["block", "place"])
-        out = [x for kind, x in scan(line[len(MAGIC) :] for line in file["line"]) if kind == "record" and x]
-        return pd.DataFrame(out, columns=fields)
-
     # Few lines: a record's end behind a false magic, or what is no record.
     left = found.filter("line is not null").select("file", "block", "place", "line")
-    return records.unionByName(left.groupBy("file").applyInPandas(join, RECORD))
+    left = left.repartition("file").sortWithinPartitions("file", "block", "place")
+    return records.unionByName(left.mapInArrow(continued, RECORD))
+
+
+def continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members that go on over ranges, from each file's lines left over in order."""
+    fields = [x.split()[0] for x in RECORD.split(", ")]
+    rows = ((file, line.as_py()) for batch in batches for file, line in zip(batch.column("file").to_pylist(), batch.column("line")))
+    for _, lines in groupby(rows, key=lambda r: r[0]):
+        for kind, found in scan((line[len(MAGIC) :] for _, line in lines), last=True):
+            if kind == "record" and found is not None:
+                yield batch_of([tuple(found[f] for f in fields)], RECORD)
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +228,6 @@ def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[bytes]]]:
     """The lines of each byte range, one range after the other, without what stands before a file's first magic."""
-    from itertools import groupby
-
     def rows() -> Iterator[tuple[tuple[str, int], bytes]]:
         for batch in batches:
             for line, file, block in zip(batch.column("line"), batch.column("file").to_pylist(), batch.column("block").to_pylist()):
@@ -226,9 +240,9 @@ def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
         yield key, lines
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], schema: str = FOUND) -> pa.RecordBatch:
     types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    columns = [x.split() for x in FOUND.split(", ")]
+    columns = [x.split() for x in schema.split(", ")]
     return pa.record_batch([pa.array(c, type=types[t]) for c, (_, t) in zip(zip(*rows), columns)], names=[n for n, _ in columns])
 
 
