@@ -7,7 +7,7 @@ gets the same number wherever and whenever it is drawn.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.session import shared_dir
@@ -24,20 +24,18 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha1(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, 2, ... as an array, to where it is 1 in double precision.
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(__s, __steps) of (__s, rate): the Poisson distribution function at 0, 1, 2, ..., to where it is 1 in double precision.
 
-    Terms are summed from their logarithms, so no rate is too large for exp().
+    Terms are running sums over rows, so the work grows in line with the rate, as the copies do. They are summed from their
+    logarithms, so no rate is too large for exp().
     """
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct(F.array().cast("array<double>").alias("cdf"), F.lit(0.0).alias("sum"), (-rate).alias("log"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log = F.when(k == 0, acc["log"]).otherwise(acc["log"] + F.log(rate) - F.log(k.cast("double")))
-        total = acc["sum"] + F.exp(log)
-        return F.struct(F.concat(acc["cdf"], F.array(total)).alias("cdf"), total.alias("sum"), log.alias("log"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), top), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
+    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
+    terms = rates.select("__s", "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    upto = Window.partitionBy("__s").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log(F.col("k").cast("double")))
+    summed = terms.withColumn("log", F.sum(log).over(upto)).withColumn("cdf", F.sum(F.exp("log")).over(upto))
+    return summed.groupBy("__s").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"]).alias("__steps"))
 
 
 def tempered_targets(docs: DataFrame, temperature: float, source: str = "source") -> DataFrame:
@@ -65,7 +63,8 @@ def poisson_mix(docs: DataFrame, targets: DataFrame, seed: int, total: int | Non
     # One row holds the sums, whatever the input.
     rates = rates.join(F.broadcast(sums), how="cross")
     size = F.col("all_n") if total is None else F.lit(total)
-    rates = rates.select("__s", poisson_steps(F.col("weight") / F.col("all_weight") * size / F.col("n")).alias("__steps")).checkpoint()
+    rates = rates.select("__s", (F.col("weight") / F.col("all_weight") * size / F.col("n")).alias("rate"))
+    rates = poisson_steps(rates.filter("rate > 0")).checkpoint()
     # One row a source. Texts need not be shuffled to meet their rates unless there are very many sources.
     if (rates.agg(F.sum(F.size("__steps") + 10)).first()[0] or 0) <= STEPS_BROADCAST:
         rates = F.broadcast(rates)
