@@ -15,6 +15,8 @@ from auralake.session import shared_dir
 
 #: Bits of the key's hash that the directory can use.
 HASH_BITS = 32
+#: Directories of at most this many bits are broadcast: 2^17 rows of three longs.
+BROADCAST_BITS = 16
 
 
 def key_hash(key: Column) -> Column:
@@ -26,12 +28,15 @@ def split_level(cells: DataFrame, above: int, depth: int, limit: int) -> DataFra
     """For each occupied prefix of ``depth`` bits (``cell``, ``bytes``) the bucket it belongs to.
 
     A cell's bucket is the shortest prefix longer than ``above`` bits whose bytes fit, or the cell itself, which is then
-    ``over``. Each cell adds to one sum a level; those sums are folded before they are shuffled.
+    ``over``. Each cell adds to one sum a level; those sums are folded before they are shuffled. All cells of a small
+    directory share its shortest prefixes, so its sums go to the cells; in a deeper one at most ``2^(depth - above - 1)``
+    cells share a prefix.
     """
     levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(above + 1), F.lit(depth))).alias("depth"))
     levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
     sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"))
     fits = sums.filter((F.col("shard_bytes") <= limit) | (F.col("depth") == depth))
+    fits = F.broadcast(fits) if depth <= BROADCAST_BITS else fits
     best = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("b"))
     return best.select("cell", "b.*", (F.col("b.shard_bytes") > limit).alias("over"))
 
