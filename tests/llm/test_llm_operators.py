@@ -3,6 +3,7 @@
 import base64
 import collections
 import functools
+import gzip
 import hashlib
 import math
 import random
@@ -367,6 +368,24 @@ def test_warc_is_whole_at_every_split_and_with_false_magics(spark, tmp_path, spl
     assert got == dict(enumerate(payloads))
 
 
+@pytest.mark.parametrize("split", [64, 900, 1 << 20])
+def test_warc_passes_over_what_is_no_record(spark, tmp_path, split):
+    """Foreign bytes before, between and behind records, full of magics, hide no record and are none."""
+    rng = np.random.default_rng(3)
+    foreign = lambda: b"".join(warc.MAGIC + rng.bytes(40) for _ in range(30)) + gzip.compress(b"not a record" * 9)
+    payloads = [rng.bytes(300 + 50 * i) + warc.MAGIC * (i % 4) for i in range(12)]
+    records = [warc.member(i, "u", p, None, "1970-01-01T00:00:00Z", 0 if i % 2 else 6) for i, p in enumerate(payloads)]
+    (tmp_path / "a.warc.gz").write_bytes(foreign() + b"".join(r + (foreign() if i % 3 == 0 else b"") for i, r in enumerate(records)) + foreign())
+    (tmp_path / "b.bin").write_bytes(b"".join(foreign() for _ in range(5)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        read = warc.read_warc(spark, str(tmp_path)).select(warc.page_id_of("record_id").alias("page"), "payload").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.page, bytes(r.payload)) for r in read) == list(enumerate(payloads))
+
+
 def test_warc_reads_gz_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(warc.member(1, "u", b"x", None, "1970-01-01T00:00:00Z", 6) + warc.member(2, "u", b"x", 1, "1970-01-01T00:00:00Z", 6))
     assert sorted(r.record_type for r in warc.read_warc(spark, str(tmp_path)).collect()) == ["response", "revisit"]
@@ -495,10 +514,13 @@ def test_poisson_mixing(spark, docs, empty):
     copies = collections.Counter(r.doc_id for r in got.collect())
     again = collections.Counter(r.doc_id for r in mixing.poisson_mix(df.repartition(7), targets, 1).collect())
     assert copies == again
-    rates = spark.createDataFrame([(0.0,), (0.3,), (2.5,), (900.0,)], "r double").select(mixing.poisson_steps(F.col("r")).alias("s")).collect()
-    for r, lam in zip(rates, (0.0, 0.3, 2.5, 900.0)):
-        want = np.cumsum([math.exp(-lam + k * math.log(lam) - math.lgamma(k + 1)) if lam else float(k == 0) for k in range(len(r.s))])
-        assert np.allclose(r.s, want, atol=1e-9) and abs(r.s[-1] - 1) < 1e-9
+    rates = spark.createDataFrame([("a", 0.3), (None, 2.5), ("c", 900.0), ("d", 300_000.0)], "__s string, rate double")
+    steps = {r["__s"]: r["__steps"] for r in mixing.poisson_steps(rates).collect()}
+    assert len(steps) == 4
+    for source, lam in rates.collect():
+        want = np.cumsum([math.exp(-lam + k * math.log(lam) - math.lgamma(k + 1)) for k in range(len(steps[source]))])
+        assert np.allclose(steps[source], want, atol=1e-6) and abs(steps[source][-1] - 1) < 1e-6
+    assert mixing.poisson_mix(df, targets, 1, total=0).count() == 0
     out = mixing.poisson_mix(docs, mixing.tempered_targets(docs, 2.0), 3)
     assert out.filter("source is null").count() > 0 and len(set(out.columns)) == len(out.columns)
     assert mixing.poisson_mix(empty, mixing.tempered_targets(empty, 2.0), 3).count() == 0
@@ -751,6 +773,12 @@ def test_embedding_links_against_all_pairs(spark, interval):
     assert embeddings.near_dedup(df.filter("vec_id >= 300")).count() == 9
 
 
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(1, [1e200, 0.0], 0), (2, [1e-200, 0.0], 0), (3, [1.0, 0.0], 0), (4, [5e-324, 0.0], 0), (5, [0.0, 1.7e308], 0), (6, [1e300, 1e300], 0)]
+    got = embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {tuple(r) for r in got.collect()} == {(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True), (6, 0, 6, True)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (500, 500)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
