@@ -77,6 +77,28 @@ def test_scans_group_and_stop(spark):
     assert len({r.split for r in rows}) == 1
 
 
+def test_scans_by_category_and_licence(spark):
+    rows = [("dog", "stationary"), ("fireworks", "changing"), ("laughing", "changing"), (None, "changing")]
+    files = spark.createDataFrame([(f"e/audio/{i}.wav", 5.0, "", c, f"s{i}", m) for i, (c, m) in enumerate(rows)], "path string, duration_s double, sha1 string, category string, src_file string, measured_class string")
+    assert sorted((r.source_id, r.noise_class) for r in scans.scan(files, scans.SCANS["esc50"]()).collect()) == [("esc50:dog/0", "stationary"), ("esc50:fireworks/1", "impulsive")]
+    by, zero = "http://creativecommons.org/licenses/by/3.0/", "http://creativecommons.org/publicdomain/zero/1.0/"
+    rows = [("Crowd", by), ("Explosion", zero), ("Wind", by.replace("by", "by-nc")), ("Siren", "http://creativecommons.org/licenses/sampling+/1.0/"), ("Bark", by), ("Engine", None)]
+    files = spark.createDataFrame([(f"f/{i}.wav", 5.0, "", c, u, "u", "changing") for i, (c, u) in enumerate(rows)], "path string, duration_s double, sha1 string, label string, file_licence string, uploader string, measured_class string")
+    assert sorted((r.source_id, r.noise_class, r.licence) for r in scans.scan(files, scans.SCANS["fsd50k"]()).collect()) == [("fsd50k:Crowd/0", "changing", by), ("fsd50k:Explosion/1", "impulsive", zero)]
+
+
+def test_first_label_is_the_clips_own_first(spark):
+    rows = spark.createDataFrame([(["Bark", "Siren", "Explosion"],), (["Bark"],), (None,)], "labels array<string>")
+    assert [r.x for r in rows.select(scans.first_label(F.col("labels"), scans.FSD50K_LABELS).alias("x")).collect()] == ["Siren", None, None]
+
+
+def test_reserved_split_is_refused(spark):
+    with pytest.raises(ValueError):
+        scans.SCANS["wham"]("tt")
+    files = spark.createDataFrame([(f"w/{s}/07_a{s}.wav", 5.0, "", "changing") for s in ("tr", "cv", "tt")], "path string, duration_s double, sha1 string, measured_class string")
+    assert [(r.source_id, r.group_id) for r in scans.scan(files, scans.SCANS["wham"]()).collect()] == [("wham:tr:07_atr", "wham-07")]
+
+
 def test_label_filter_and_pairs(spark):
     rows = spark.createDataFrame([("d/abcdefghijk_1.wav",), ("d/zzzzzzzzzzz_1.wav",)], "path string")
     labels = spark.createDataFrame([("abcdefghijk", ["/m/speech"])], "clip string, labels array<string>")
