@@ -10,12 +10,17 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one in a local session.
+
+    A cluster's executors and driver share no local folder, so there the setting is needed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
         current = context.getCheckpointDir()
         if not current:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='auralake-')}")
             current = context.getCheckpointDir()
         return current
