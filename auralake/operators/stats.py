@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +68,58 @@ def resample(sums: DataFrame, by: list[str], cluster: str, replicates: int, seed
     return drawn.groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
-def resample_poisson(sums: DataFrame, by: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
-    """As :func:`resample`, but each cluster draws its own number of times from a Poisson distribution of mean one.
+#: Modulus of the hash family behind Poisson draws: a prime whose products fit a long.
+PRIME = 2**31 - 1
 
-    For very many clusters: nothing is numbered or joined, and each task sends one row a group and replicate.
-    """
-    steps, p, total = [], 0.36787944117144233, 0.0
+
+def poisson_thresholds() -> list[int]:
+    """Where, of numbers in [0, PRIME), a Poisson draw of mean one takes its next value."""
+    steps, p, total = [], math.exp(-1.0), 0.0
     for k in range(12):
         total += p
-        steps.append(total)
+        steps.append(math.floor(total * PRIME))
         p /= k + 1
-    u = S.uniform(seed, F.col("b"), F.col(cluster))
-    weight = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0.0), lambda n, x: n + F.when(x <= u, 1.0).otherwise(0.0))
-    drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    return drawn.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    return steps
+
+
+def coefficients(replicates: int, seed: int) -> list[dict[str, int]]:
+    """Each replicate's own polynomial of second degree, from hashes of the seed and the replicate."""
+    number = lambda b, i: int(hashlib.sha1(f"{seed}|{b}|{i}".encode()).hexdigest()[:8], 16) % PRIME
+    return [{"b": b, "k2": number(b, 0), "k1": number(b, 1), "k0": number(b, 2)} for b in range(replicates)]
+
+
+def replicated(df: DataFrame, key: list[Column | str], replicates: int, seed: int) -> DataFrame:
+    """The rows with ``b``, each replicate, and ``w``, how often it draws the row: Poisson numbers of mean one.
+
+    A replicate's draws are a random polynomial of the key's hash, modulo a prime: independent by threes, so variances and
+    skews of resampled means come out right, at a few multiplications a draw. Rows of one key are drawn together. A dozen
+    numbers a replicate travel with the plan; rows are neither numbered nor joined.
+    """
+    table = json.dumps(coefficients(replicates, seed), separators=(",", ":"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Sums are small and would be read by few tasks, but each row makes as many as there are replicates.
+    hashed = df.withColumn("__h", S.draw(*[S.col(k) for k in key]) % PRIME).repartition(tasks, "__h")
+    each = hashed.select("*", F.inline(F.from_json(F.lit(table), "array<struct<b:int,k2:bigint,k1:bigint,k0:bigint>>")))
+    h = F.col("__h")
+    x = ((F.col("k2") * h + F.col("k1")) % PRIME * h + F.col("k0")) % PRIME
+    rows = each.withColumn("__x", x).drop("__h", "k2", "k1", "k0")
+    *steps, last = poisson_thresholds()
+    w = F.when(F.col("__x") < steps[0], 0)
+    for k, t in enumerate([*steps[1:], last], 1):
+        w = w.when(F.col("__x") < t, k)
+    return rows.withColumn("w", w.otherwise(len(steps) + 1)).drop("__x")
+
+
+def resample_poisson(sums: DataFrame, by: list[str], cluster: str, replicates: int, seed: int, means: dict[str, str] | None = None, shared: bool = False) -> DataFrame:
+    """(by, b, mean): as :func:`resample`, but each cluster draws its own number of times from a Poisson distribution of mean one.
+
+    For any number of clusters and published numbers of replicates: each task sends one row a group and replicate. ``means``
+    names several sums, which share their draws; ``shared`` gives a cluster the same draws in all groups. A replicate that
+    draws nothing has a null mean.
+    """
+    drawn = replicated(sums, [cluster] if shared else [*by, cluster], replicates, seed)
+    n = F.sum(F.col("w") * F.col("n"))
+    return drawn.groupBy(*by, "b").agg(*[F.try_divide(F.sum(F.col("w") * F.col(s)), n).alias(name) for name, s in (means or {"mean": "s"}).items()])
 
 
 def interval(replicates: DataFrame, by: list[str], alpha: float = 0.025) -> DataFrame:
@@ -89,7 +132,24 @@ def cluster_ci(df: DataFrame, by: list[str], cluster: str, value: str, replicate
     """(by, mean, lo, hi, n, clusters): the mean of the finite values and its interval over resampled clusters."""
     sums = cluster_sums(df, by, cluster, value)
     means = sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("clusters"))
-    return means.join(interval(resample(sums, by, cluster, replicates, seed), by, alpha), by)
+    return means.join(interval(resample_poisson(sums, by, cluster, replicates, seed), by, alpha), by)
+
+
+def paired_ci(pairs: DataFrame, by: list[str], cluster: str, deltas: list[str], replicates: int = 10_000, seed: int = 0, alpha: float = 0.025) -> DataFrame:
+    """(by, and per delta its mean, ``_lo`` and ``_hi``): means of paired differences, all under the same draws of clusters.
+
+    A row with a delta that isn't finite is left out of all of them.
+    """
+    whole = pairs.filter(functools.reduce(Column.__and__, map(S.finite, deltas)))
+    # Names of its own: a delta may be called as a replicate or a count is.
+    own = {d: f"__d{i}" for i, d in enumerate(deltas)}
+    sums = whole.groupBy(*by, cluster).agg(*[F.sum(d).alias(o) for d, o in own.items()], F.count(F.lit(1)).cast("double").alias("n"))
+    reps = resample_poisson(sums, by, cluster, replicates, seed, {o: o for o in own.values()})
+    ends = reps.groupBy(*by).agg(*[F.percentile(o, F.array(F.lit(alpha), F.lit(1 - alpha))).alias(o) for o in own.values()])
+    ends = ends.select(*by, *[F.col(o)[i].alias(f"{d}_{end}") for d, o in own.items() for i, end in enumerate(("lo", "hi"))])
+    means = sums.groupBy(*by).agg(*[(F.sum(o) / F.sum("n")).alias(d) for d, o in own.items()])
+    # Without groups both sides are one row.
+    return means.join(ends, by) if by else means.crossJoin(ends)
 
 
 # Areas under the curve.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ drawn AS (SELECT p.g, b, {H.format(f"'{seed}|' || b || '|' || p.i")} % p.k AS i
 reps AS (SELECT d.g, b, sum(s) / sum(n) AS mean FROM drawn d JOIN num n ON n.g = d.g AND n.i = d.i GROUP BY d.g, b)"""
 
 
+def weighed_sql(rows: str, key: str, replicates: int, seed: int) -> str:
+    """CTEs ``weighed``: the rows of the CTE ``rows`` with each replicate ``b`` and its Poisson weight ``w``, drawn by ``key``."""
+    k = lambda i: H.format(f"'{seed}|' || b || '|{i}'") + f" % {X.PRIME}"
+    w = " + ".join(f"(x >= {t})::INT" for t in X.poisson_thresholds())
+    return f"""reps_k AS (SELECT b, {k(0)} AS k2, {k(1)} AS k1, {k(2)} AS k0 FROM range({replicates}) r(b)),
+hashed AS (SELECT *, {H.format(key)} % {X.PRIME} AS h FROM {rows}),
+weighed AS (SELECT * EXCLUDE (x), {w} AS w FROM (SELECT hashed.* EXCLUDE (h), b, ((k2 * h + k1) % {X.PRIME} * h + k0) % {X.PRIME} AS x FROM hashed, reps_k))"""
+
+
+def weighted_sql(source: str, replicates: int, seed: int, key: str = "g || '|' || cluster") -> str:
+    """CTEs ``sums``, ``reps`` (g, b, mean): clusters of ``source`` (g, cluster, x) weighed by Poisson draws."""
+    return f"""sums AS (SELECT g, cluster, sum(x) AS s, count(*)::DOUBLE AS n FROM ({source}) GROUP BY ALL),
+{weighed_sql("sums", key, replicates, seed)},
+reps AS (SELECT g, b, sum(w * s) / nullif(sum(w * n), 0) AS mean FROM weighed GROUP BY g, b)"""
+
+
 @query(W + f"SELECT system, count(*) AS n, round(avg(snr_out), 6) AS snr_out, round(avg(stoi), 6) AS stoi, round(avg(pesq_wb), 6) AS pesq_wb, round(avg({PASSES}::INT), 6) AS pass_rate FROM fact WHERE {NOMINAL} GROUP BY system")
 def nominal_report(t: Tables) -> DataFrame:
     """Per system the means and the pass rate over the nominal envelope."""
@@ -119,21 +137,21 @@ def bucket_gate(t: Tables) -> DataFrame:
     return rows.groupBy("bucket").agg(r9(F.avg("d_snr_out")).alias("d_snr"), r9(F.avg("d_stoi")).alias("d_stoi"), (F.round(F.avg("d_stoi"), 9) >= -0.01 - 1e-9).alias("ok"))
 
 
-@query("WITH " + FACT + ", " + resampled_sql("system", f"SELECT system AS g, bucket || '|' || id AS cluster, snr_out AS x FROM fact WHERE {NOMINAL}", 100, 3) + """
+@query("WITH " + FACT + ", " + weighted_sql(f"SELECT system AS g, bucket || '|' || id AS cluster, snr_out AS x FROM fact WHERE {NOMINAL}", 1000, 3) + """
 SELECT g AS system, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM reps GROUP BY g""")
 def row_bootstrap(t: Tables) -> DataFrame:
     """The interval of a mean when rows are resampled: every row is its own cluster."""
     rows = t.fact.filter(X.nominal()).withColumn("cluster", F.concat_ws("|", "bucket", "id"))
-    ci = X.interval(X.resample(X.cluster_sums(rows, ["system"], "cluster", "snr_out"), ["system"], "cluster", 100, 3), ["system"])
+    ci = X.interval(X.resample_poisson(X.cluster_sums(rows, ["system"], "cluster", "snr_out"), ["system"], "cluster", 1000, 3), ["system"])
     return ci.select("system", r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi"))
 
 
-@query("WITH " + FACT + ", " + resampled_sql("system", f"SELECT system AS g, cluster, snr_out AS x FROM fact WHERE {NOMINAL}", 60, 0) + """
+@query("WITH " + FACT + ", " + weighted_sql(f"SELECT system AS g, cluster, snr_out AS x FROM fact WHERE {NOMINAL}", 1000, 0) + """
 SELECT s.g AS system, round(s.mean, 6) AS mean, round(quantile_cont(r.mean, 0.025), 6) AS lo, round(quantile_cont(r.mean, 0.975), 6) AS hi, s.n, s.clusters
 FROM (SELECT g, sum(s) / sum(n) AS mean, sum(n)::BIGINT AS n, count(*) AS clusters FROM sums GROUP BY g) s JOIN reps r USING (g) GROUP BY s.g, s.mean, s.n, s.clusters""")
 def cluster_bootstrap(t: Tables) -> DataFrame:
     """The interval of a mean when whole clusters are resampled."""
-    ci = X.cluster_ci(t.fact.filter(X.nominal()), ["system"], "cluster", "snr_out", replicates=60)
+    ci = X.cluster_ci(t.fact.filter(X.nominal()), ["system"], "cluster", "snr_out", replicates=1000)
     return ci.select("system", *[r9(F.col(c)).alias(c) for c in ("mean", "lo", "hi")], "n", "clusters")
 
 
@@ -145,31 +163,52 @@ def cluster_variance(t: Tables) -> DataFrame:
     return X.interval(reps, ["bucket"]).select("bucket", F.round("var", 8).alias("variance"))
 
 
-@query("WITH " + FACT + ", " + resampled_sql("system", f"SELECT system AS g, cluster, pesq_wb AS x FROM fact WHERE {NOMINAL}", 60, 9) + """
+@query("WITH " + FACT + ", " + weighted_sql(f"SELECT system AS g, cluster, pesq_wb AS x FROM fact WHERE {NOMINAL}", 1000, 9) + """
 SELECT round(avg(a.mean - b.mean), 6) AS gap, round(quantile_cont(a.mean - b.mean, 0.025), 6) AS lo, round(quantile_cont(a.mean - b.mean, 0.975), 6) AS hi FROM (SELECT * FROM reps WHERE g = 'A') a JOIN (SELECT * FROM reps WHERE g = 'N') b USING (b)""")
 def gap_bootstrap(t: Tables) -> DataFrame:
     """The interval of a difference of two means that are resampled each on its own."""
-    reps = X.resample(X.cluster_sums(t.fact.filter(X.nominal()), ["system"], "cluster", "pesq_wb"), ["system"], "cluster", 60, 9)
+    rows = t.fact.filter(X.nominal() & F.col("system").isin("A", "N"))
+    reps = X.resample_poisson(X.cluster_sums(rows, ["system"], "cluster", "pesq_wb"), ["system"], "cluster", 1000, 9)
     both = reps.filter("system = 'A'").select("b", F.col("mean").alias("a")).join(reps.filter("system = 'N'").select("b", F.col("mean").alias("n")), "b")
     q = F.percentile(F.col("a") - F.col("n"), F.array(F.lit(0.025), F.lit(0.975)))
     return both.agg(r9(F.avg(F.col("a") - F.col("n"))).alias("gap"), q.alias("q")).select("gap", r9(F.col("q")[0]).alias("lo"), r9(F.col("q")[1]).alias("hi"))
 
 
-@query("WITH " + FACT + ", " + resampled_sql("metric", "SELECT metric AS g, cluster, x FROM (SELECT cluster, unnest(['snr_out', 'stoi', 'pesq_wb']) AS metric, unnest([snr_out, stoi, pesq_wb]) AS x FROM fact WHERE system = 'A')", 40, 2) + """
+@query("WITH " + FACT + ", " + weighted_sql("SELECT metric AS g, cluster, x FROM (SELECT cluster, unnest(['snr_out', 'stoi', 'pesq_wb']) AS metric, unnest([snr_out, stoi, pesq_wb]) AS x FROM fact WHERE system = 'A')", 1000, 2, "cluster::VARCHAR") + """
 SELECT g AS metric, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM reps GROUP BY g""")
 def shared_resample(t: Tables) -> DataFrame:
     """All metrics under the same draws, so that their intervals are paired."""
     long = t.fact.filter("system = 'A'").select("cluster", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])).alias("m")).select("cluster", "m.*")
-    ci = X.interval(X.resample(X.cluster_sums(long, ["metric"], "cluster", "x"), ["metric"], "cluster", 40, 2), ["metric"])
+    ci = X.interval(X.resample_poisson(X.cluster_sums(long, ["metric"], "cluster", "x"), ["metric"], "cluster", 1000, 2, shared=True), ["metric"])
     return ci.select("metric", r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi"))
 
 
-@query()
+@query("WITH " + FACT + ", " + weighted_sql(f"SELECT system AS g, cluster, snr_out AS x FROM fact WHERE {NOMINAL}", 2000, 1) + """
+SELECT g AS system, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, round(stddev_samp(mean), 8) AS sd FROM reps GROUP BY g""")
 def poisson_bootstrap(t: Tables) -> DataFrame:
-    """The interval by Poisson weights: no numbering and no join, for very many clusters."""
+    """The interval and the spread by Poisson weights: no numbering and no join, for very many clusters."""
     sums = X.cluster_sums(t.fact.filter(X.nominal()), ["system"], "cluster", "snr_out")
-    ci = X.interval(X.resample_poisson(sums, ["system"], "cluster", 100, 0), ["system"])
-    return ci.select("system", r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi"))
+    ci = X.interval(X.resample_poisson(sums, ["system"], "cluster", 2000, 1), ["system"])
+    return ci.select("system", r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi"), F.round("sd", 8).alias("sd"))
+
+
+#: Replicates, seed and one-sided share of the gate's intervals of paired differences.
+GATE = (10_000, 4606, 0.025)
+PAIRS = "SELECT a.bucket, a.id, b.snr_out - a.snr_out AS d_snr_out, b.stoi - a.stoi AS d_stoi, b.pesq_wb - a.pesq_wb AS d_pesq_wb FROM (SELECT * FROM fact WHERE system = 'A') a JOIN (SELECT * FROM fact WHERE system = 'R') b USING (bucket, id) WHERE " + re.sub(r"\b(clipped|ref_dropout|fault|snr_in)\b", r"a.\1", NOMINAL)
+DELTAS = [f"d_{m}" for m in METRICS]
+GATE_SQL = f"""sums AS (SELECT id, {", ".join(f"sum({d}) AS {d}" for d in DELTAS)}, count(*)::DOUBLE AS n FROM ({PAIRS}) GROUP BY id),
+{weighed_sql("sums", "id::VARCHAR", GATE[0], GATE[1])},
+reps AS (SELECT b, {", ".join(f"sum(w * {d}) / nullif(sum(w * n), 0) AS {d}" for d in DELTAS)} FROM weighed GROUP BY b),
+ends AS (SELECT {", ".join(f"quantile_cont({d}, {q}) AS {d}_{end}" for d in DELTAS for end, q in (("lo", GATE[2]), ("hi", 1 - GATE[2])))} FROM reps),
+means AS (SELECT {", ".join(f"sum({d}) / sum(n) AS {d}" for d in DELTAS)} FROM sums)"""
+
+
+@query(W + ", " + GATE_SQL + " SELECT " + ", ".join(f"round({d}{end}, 6) AS {d}{end}" for d in DELTAS for end in ("", "_lo", "_hi")) + " FROM means, ends")
+def paired_interval(t: Tables) -> DataFrame:
+    """The gate's intervals of paired differences over the nominal envelope; all metrics share the draws of items."""
+    rows = T.paired(t.fact.filter("system = 'A'"), t.fact.filter("system = 'R'"), ["bucket", "id"], METRICS, keep=["clipped", "ref_dropout", "fault", "snr_in"]).filter(X.nominal())
+    ci = X.paired_ci(rows, [], "id", DELTAS, *GATE)
+    return ci.select(*[r9(F.col(d + end)).alias(d + end) for d in DELTAS for end in ("", "_lo", "_hi")])
 
 
 @query(W + """, c AS (SELECT system, snr_out, sum((fault IS NOT NULL)::INT) AS p, sum((fault IS NULL)::INT) AS q FROM fact GROUP BY ALL),
@@ -216,22 +255,21 @@ def auc_breakdown(t: Tables) -> DataFrame:
     return X.hist_auc(both, ["noise_class", "part"]).withColumn("auc", r9(F.col("auc")))
 
 
-@query("WITH " + FACT + f""", items AS (SELECT id, floor(greatest(0, least(50.0::DOUBLE - 1e-6, snr_out)) / 2)::BIGINT AS bin, (fault IS NOT NULL)::INT AS s FROM fact WHERE system = 'A'),
-num AS (SELECT DISTINCT id, dense_rank() OVER (ORDER BY id) - 1 AS i, (SELECT count(DISTINCT id) FROM items) AS k FROM items),
-w AS (SELECT b, {H.format("'4|' || b || '|' || i")} % k AS i, count(*) AS w FROM num, range(30) r(b) GROUP BY ALL),
-h AS (SELECT b, bin, sum(w * s) AS s, sum(w * (1 - s)) AS n FROM w JOIN num USING (i) JOIN items USING (id) GROUP BY ALL),
+@query("WITH " + FACT + """, items AS (SELECT id, floor(greatest(0, least(50.0::DOUBLE - 1e-6, snr_out)) / 2)::BIGINT AS bin, sum((fault IS NOT NULL)::INT) AS s, sum((fault IS NULL)::INT) AS n FROM fact WHERE system = 'A' GROUP BY ALL),
+""" + weighed_sql("items", "id::VARCHAR", 1000, 4) + """,
+h AS (SELECT b, bin, sum(w * s) AS s, sum(w * n) AS n FROM weighed GROUP BY ALL),
 c AS (SELECT *, s * (coalesce(sum(n) OVER (PARTITION BY b ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n * 0.5::DOUBLE) AS x FROM h),
 a AS (SELECT b, sum(x) / (sum(s) * sum(n) + 1e-30) AS auc FROM c GROUP BY b)
 SELECT round(avg(auc), 6) AS mean, round(stddev_samp(auc), 6) AS sd, round(avg((round(auc, 9) <= 0.5)::INT), 6) AS share FROM a""")
 def multinomial_auc(t: Tables) -> DataFrame:
-    """The AUC of resampled items from their own histograms: bins stay with their item."""
-    items = t.fact.filter("system = 'A'").select("id", F.col("fault").isNotNull().cast("int").alias("s"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(50 - 1e-6), "snr_out")) / 2).cast("long").alias("bin"))
-    ranked = T.ranked(items.select("id").distinct(), ["id"], "i").select("id", F.col("i").cast("long").alias("i"))
-    # One row, the number of items, goes to all of them.
-    num = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("k"))))
-    drawn = num.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(29)))).select("b", S.pick(F.col("k"), 4, F.col("b"), F.col("i")).alias("i"))
-    weights = drawn.groupBy("b", "i").agg(F.count(F.lit(1)).alias("w")).join(num.select("i", "id"), "i").join(items, "id")
-    binned = weights.groupBy("b", "bin").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * (1 - F.col("s"))).alias("n"))
+    """The AUC of resampled items from their own histograms: bins stay with their item.
+
+    Items weigh by Poisson draws, which are multinomial given their number; an area doesn't depend on that number.
+    """
+    bin, is_s = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(50 - 1e-6), "snr_out")) / 2).cast("long"), F.col("fault").isNotNull()
+    items = t.fact.filter("system = 'A'").groupBy("id", bin.alias("bin")).agg(F.sum(is_s.cast("int")).alias("s"), F.sum((~is_s).cast("int")).alias("n"))
+    drawn = X.replicated(items, ["id"], 1000, 4)
+    binned = drawn.groupBy("b", "bin").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
     auc = X.hist_auc(binned, ["b"])
     return auc.agg(r9(F.avg("auc")).alias("mean"), r9(F.stddev_samp("auc")).alias("sd"), r9(F.avg((F.round("auc", 9) <= 0.5).cast("int"))).alias("share"))
 
@@ -253,8 +291,9 @@ def interval_decide(t: Tables) -> DataFrame:
   FROM (SELECT * FROM fact WHERE system = 'A') a JOIN (SELECT * FROM fact WHERE system = 'R') b USING (bucket, id)),
 bk AS (SELECT bool_and(s >= -0.01 - 1e-9 AND q >= -0.05 - 1e-9) AS ok FROM (SELECT bucket, avg(dq) AS s, avg(dp) AS q FROM p GROUP BY 1)),
 g AS (SELECT avg(CASE WHEN nom THEN ds END) >= 0.3 - 1e-9 AS utility, avg(CASE WHEN nom THEN dq END) >= -0.003 - 1e-9 AS intelligibility, coalesce(avg(CASE WHEN NOT nom THEN ds END) >= -0.2 - 1e-9, true) AS severe,
-  count(CASE WHEN rc = 'inf'::DOUBLE THEN 1 END) <= count(CASE WHEN ra = 'inf'::DOUBLE THEN 1 END) AND coalesce(quantile_cont(CASE WHEN isfinite(ra) AND isfinite(rc) THEN rc - ra END, 0.5), 0) <= 0.016 + 1e-9 AS recovery, count(*) AS pairs FROM p)
-SELECT pairs, utility, intelligibility, severe, recovery, ok AS per_bucket, utility AND intelligibility AND severe AND recovery AND ok AS pass FROM g, bk""")
+  count(CASE WHEN rc = 'inf'::DOUBLE THEN 1 END) <= count(CASE WHEN ra = 'inf'::DOUBLE THEN 1 END) AND coalesce(quantile_cont(CASE WHEN isfinite(ra) AND isfinite(rc) THEN rc - ra END, 0.5), 0) <= 0.016 + 1e-9 AS recovery, count(*) AS pairs FROM p),
+""" + GATE_SQL + """, u AS (SELECT d_snr_out_lo > 0 AND d_pesq_wb_lo > 0 AS uncertainty, d_stoi_lo > -0.005 AS held FROM ends)
+SELECT pairs, utility, intelligibility AND held AS intelligibility, severe, recovery, ok AS per_bucket, uncertainty, utility AND intelligibility AND held AND severe AND recovery AND ok AND uncertainty AS pass FROM g, bk, u""")
 def kill_gate(t: Tables) -> DataFrame:
     """A candidate against its anchor: every gate and their conjunction."""
     keep = ["clipped", "ref_dropout", "fault", "snr_in"]
@@ -267,7 +306,11 @@ def kill_gate(t: Tables) -> DataFrame:
         F.coalesce(F.avg(F.when(~F.col("nom"), F.col("d_snr_out"))) >= -0.2 - 1e-9, F.lit(True)).alias("severe"),
         ((never("recovery_s_b") <= never("recovery_s_a")) & (F.coalesce(F.percentile(slower, F.lit(0.5)), F.lit(0.0)) <= 0.016 + 1e-9)).alias("recovery"),
     )
-    return gates.crossJoin(buckets).withColumn("pass", F.col("utility") & F.col("intelligibility") & F.col("severe") & F.col("recovery") & F.col("per_bucket"))
+    ends = X.paired_ci(p.filter("nom"), [], "id", DELTAS, *GATE)
+    sure = ends.select(((F.col("d_snr_out_lo") > 0) & (F.col("d_pesq_wb_lo") > 0)).alias("uncertainty"), (F.col("d_stoi_lo") > -0.005).alias("held"))
+    # Each side is one row.
+    rows = gates.crossJoin(buckets).crossJoin(sure).withColumn("intelligibility", F.col("intelligibility") & F.col("held")).drop("held")
+    return rows.withColumn("pass", F.col("utility") & F.col("intelligibility") & F.col("severe") & F.col("recovery") & F.col("per_bucket") & F.col("uncertainty"))
 
 
 @query(W + f""", m AS (SELECT system, noise_class, snr_in, round(avg(snr_out), 9) AS snr_out, round(avg(stoi), 9) AS stoi, round(avg(pesq_wb), 9) AS pesq_wb FROM fact WHERE fault IS NULL GROUP BY system, noise_class, snr_in),

@@ -180,3 +180,29 @@ def test_global_ranks_and_lanes(spark):
     assert all(r.v == r.rank for r in T.ranked(df, ["v"]).collect())
     jobs = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, 1.0), (4, 1.0)], "j int, cost double")
     assert [r.lane for r in T.least_loaded(jobs, ["j"], "cost", 2).orderBy("j").collect()] == [0, 1, 1, 1]
+
+
+def test_replicates_draw_as_often_as_a_poisson_law_says(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit(1.0).alias("n"), (F.col("id") % 7).cast("double").alias("s"))
+    drawn = X.replicated(rows, ["k"], 200, 7)
+    share = {r.w: r["count"] / 600_000 for r in drawn.groupBy("w").count().collect()}
+    assert all(abs(share[w] - math.exp(-1) / math.factorial(w)) < 0.003 for w in range(5)) and abs(sum(w * p for w, p in share.items()) - 1) < 0.01
+    # Draws of two rows are independent: over replicates and rows, sums vary as sums of independent draws do.
+    totals = [r.t for r in drawn.groupBy("b").agg(F.sum("w").alias("t")).collect()]
+    mean = sum(totals) / 200
+    assert 0.7 < sum((t - mean) ** 2 for t in totals) / 199 / 3000 < 1.4
+    assert {tuple(r) for r in drawn.collect()} == {tuple(r) for r in X.replicated(rows.repartition(5), ["k"], 200, 7).collect()}
+
+
+def test_paired_intervals_leave_out_what_is_not_finite(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(i % 40, float(i % 5), 1.0 + i % 3) for i in range(400)] + [(1, nan, 50.0), (2, 9.0, None)], "c int, a double, b double")
+    got = X.paired_ci(rows, [], "c", ["a", "b"], 500, 1).first()
+    assert got.a == 2.0 and abs(got.b - sum(1.0 + i % 3 for i in range(400)) / 400) < 1e-12
+    assert got.a_lo <= got.a <= got.a_hi and got.b_lo < got.b < got.b_hi
+    empty = X.paired_ci(rows.limit(0), [], "c", ["a"], 10, 1).first()
+    assert empty.a is None and empty.a_lo is None
