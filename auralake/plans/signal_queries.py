@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auralake.functions import scalars as S
 from auralake.operators import signals as G
-from auralake.plans.array_queries import pairs
+from auralake.plans.array_queries import PAIRS, pairs
 from auralake.plans.base import Tables, query
 from auralake.plans.stats_queries import r9
 
@@ -36,19 +36,21 @@ def coherence_null(t: Tables) -> DataFrame:
     return pairs(t).select("vec_id", r9(G.over(lambda x, y: G.coherence_null(x, y, RATE, 16), "double", "x", "y")).alias("hz"))
 
 
-@query("SELECT vec_id, true AS exact, true AS exact_asymmetric FROM embeddings")
+@query("""WITH s AS (SELECT vec_id, list_sum(list_transform(embedding::DOUBLE[], lambda a: a * a)) AS energy, list_sum(list_transform(embedding::DOUBLE[], lambda a, i: a * i)) AS moment FROM embeddings)
+SELECT vec_id, round(energy, 6) AS energy, round(moment, 6) AS moment, round(energy, 6) AS energy_asymmetric, round(moment, 6) AS moment_asymmetric FROM s""")
 def transform_round_trip(t: Tables) -> DataFrame:
-    """Analysis and overlap-add give every signal back, with symmetric and with asymmetric windows."""
+    """Energy and first moment of what analysis and overlap-add give back, with symmetric and with asymmetric windows."""
 
-    def same(x: np.ndarray, analysis: np.ndarray, synthesis: np.ndarray, hop: int) -> bool:
-        z = G.analyse(x, len(analysis), hop, analysis)
-        return bool(np.allclose(G.synthesise(z, len(x), len(analysis), hop, synthesis), x, atol=1e-6))
+    def measured(x: np.ndarray, analysis: np.ndarray, synthesis: np.ndarray, hop: int) -> list[float]:
+        y = G.synthesise(G.analyse(x, len(analysis), hop, analysis), len(x), len(analysis), hop, synthesis)
+        return [float(y @ y), float(y @ np.arange(1, len(y) + 1))]
 
     hann, (long, short) = G.root_hann(16), G.asymmetric_windows(32, 8, 12)
-    return t.embeddings.select(
-        "vec_id", G.over(lambda x: same(x, hann, hann, 8), "boolean", "embedding").alias("exact"),
-        G.over(lambda x: same(x, long, short, 8), "boolean", "embedding").alias("exact_asymmetric"),
+    rows = t.embeddings.select(
+        "vec_id", G.over(lambda x: measured(x, hann, hann, 8), "array<double>", "embedding").alias("a"),
+        G.over(lambda x: measured(x, long, short, 8), "array<double>", "embedding").alias("b"),
     )
+    return rows.select("vec_id", *[r9(F.col(c)[i]).alias(n + end) for c, end in (("a", ""), ("b", "_asymmetric")) for i, n in enumerate(("energy", "moment"))])
 
 
 @query()
@@ -57,18 +59,23 @@ def resample_signals(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", r9(G.over(lambda x: float((G.interpolated(G.decimated(x, 3, 33), 3, 33)[: len(x)] ** 2).sum()), "double", "embedding")).alias("energy"))
 
 
-@query("SELECT vec_id, true AS within, true AS cut_anywhere FROM embeddings")
+@query("""WITH RECURSIVE walk AS (SELECT vec_id, embedding::DOUBLE[] AS x, 0 AS i, 1.0::DOUBLE AS gain, 0 AS held, 0.0::DOUBLE AS energy, 0.0::DOUBLE AS peak FROM embeddings
+  UNION ALL SELECT vec_id, x, i, gain, held, energy + v * v * gain * gain, greatest(peak, abs(v) * gain) FROM (
+    SELECT vec_id, x, i + 1 AS i, v, energy, peak, CASE WHEN need <= gain THEN need WHEN held > 0 THEN gain ELSE least(need, gain + 0.05::DOUBLE * (1 - gain)) END AS gain,
+      CASE WHEN need <= gain THEN 4 ELSE greatest(held - 1, 0) END AS held
+    FROM (SELECT *, x[i + 1] AS v, CASE WHEN x[i + 1] = 0 THEN 1 ELSE least(1.0::DOUBLE, 0.1::DOUBLE / abs(x[i + 1])) END AS need FROM walk WHERE i < len(x))))
+SELECT vec_id, round(energy, 6) AS energy, round(peak, 6) AS peak, round(gain, 6) AS gain FROM walk WHERE i = len(x)""")
 def limiter(t: Tables) -> DataFrame:
-    """No sample above the ceiling, and a stream cut in two is limited as the whole is."""
+    """Energy, peak and last gain of a limited signal that comes in two parts, the second from the first one's state."""
 
-    def cut(x: np.ndarray) -> bool:
+    def measured(x: np.ndarray) -> list[float]:
         a, state = G.limited(x[:29], 0.1, 4, 0.05)
-        b, _ = G.limited(x[29:], 0.1, 4, 0.05, state)
-        return bool(np.array_equal(np.concatenate([a, b]), G.limited(x, 0.1, 4, 0.05)[0]))
+        b, (gain, _) = G.limited(x[29:], 0.1, 4, 0.05, state)
+        y = np.concatenate([a, b])
+        return [float(y @ y), float(np.abs(y).max()), gain]
 
-    return t.embeddings.select(
-        "vec_id", G.over(lambda x: bool(np.abs(G.limited(x, 0.1, 4, 0.05)[0]).max() <= 0.1 + 1e-12), "boolean", "embedding").alias("within"), G.over(cut, "boolean", "embedding").alias("cut_anywhere")
-    )
+    rows = t.embeddings.select("vec_id", G.over(measured, "array<double>", "embedding").alias("m"))
+    return rows.select("vec_id", *[r9(F.col("m")[i]).alias(n) for i, n in enumerate(("energy", "peak", "gain"))])
 
 
 @query()
@@ -84,12 +91,12 @@ def post_filter(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", r9(G.over(gains, "double", "embedding")).alias("gain"))
 
 
-@query("SELECT vec_id, 20::INT AS lag, 1.0::DOUBLE AS correlation FROM embeddings")
+@query(PAIRS + """, c AS (SELECT vec_id, k, corr(x[k + i], y[20 + i]) AS c FROM p, range(41) a(k), range(1, 25) b(i) GROUP BY ALL)
+SELECT vec_id, arg_max(k, c)::INT AS lag, round(max(c), 6) AS correlation FROM c GROUP BY vec_id""")
 def lag_search(t: Tables) -> DataFrame:
-    """A piece of a signal is found where it was taken from."""
-    return t.embeddings.select(
-        "vec_id", G.over(lambda x: G.best_lag(x[20:44], x)[0], "int", "embedding").alias("lag"), r9(G.over(lambda x: G.best_lag(x[20:44], x)[1], "double", "embedding")).alias("correlation")
-    )
+    """Where in a signal a piece of another fits best, and how well."""
+    found = pairs(t).select("vec_id", G.over(lambda x, y: list(map(float, G.best_lag(y[20:44], x))), "array<double>", "x", "y").alias("m"))
+    return found.select("vec_id", F.col("m")[0].cast("int").alias("lag"), r9(F.col("m")[1]).alias("correlation"))
 
 
 @query()
