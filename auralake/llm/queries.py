@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.llm import embeddings, fingerprints, simhash, token_files, tokens, toxicity, warc
+from auralake.llm.filter_audit import filter_audit
+from auralake.llm.licenses import PHRASES, findings, license_scan
 from auralake.llm.mixing import poisson_mix, tempered_targets
 from auralake.llm.packing import pack
 from auralake.llm.sharding import extendible_shards
+from auralake.llm.spelling import spelling_variants
 from auralake.llm.token_counts import prefix_counts
 from auralake.session import shared_path
 
@@ -91,6 +94,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_dedup(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of the documents."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from the documents of each language, in all orders."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return findings(license_scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_length_packing": op1_multi_length_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -102,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_prefix_token_counts": op9_prefix_token_counts,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL = {
