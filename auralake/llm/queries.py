@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auralake.llm import embeddings, fingerprints, simhash, token_files, tokens, toxicity, warc
 from auralake.llm.filter_audit import filter_audit
-from auralake.llm.licenses import PHRASES, findings, license_scan
+from auralake.llm.licenses import COVERED, NEIGHBOURS, NOTICES, PHRASES, STRETCH, findings, license_scan
 from auralake.llm.mixing import poisson_mix, tempered_targets
 from auralake.llm.packing import pack
 from auralake.llm.sharding import extendible_shards
@@ -160,5 +160,67 @@ best AS (SELECT doc_id, source, min(f.depth) AS depth, arg_min(f.prefix, f.depth
          FROM hashed JOIN fits f ON f.prefix = h >> (32 - f.depth)::INTEGER GROUP BY doc_id, source, h)
 SELECT doc_id, source, CASE WHEN depth = 0 THEN '' ELSE lpad(right(bin(prefix), depth::INTEGER), depth::INTEGER, '0') END AS shard,
        depth::INTEGER AS depth, shard_bytes::BIGINT AS shard_bytes FROM best
+""",
+    "op11_spelling_variants": """
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+lowered AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM lowered),
+bits AS (SELECT run, n, list_transform(range(0, length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT) AS b FROM bytes),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], b), lambda c, d:
+             list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, i: xor(e >> 1, 3988292384 * (e & 1))))) AS h FROM bits),
+slips AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slips WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'o': -near_n, 'near': near}) AS b FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.o >= 2 * w.n THEN b.near END AS form, CASE WHEN -b.o >= 2 * w.n THEN -b.o END AS form_n
+          FROM words w LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS reached, 0 AS steps FROM forms UNION ALL SELECT ways.word, f.form, steps + 1 FROM ways JOIN forms f ON ways.reached = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(reached, steps) AS root FROM ways GROUP BY word) USING (word)
+""",
+    "op12_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT part, (len(words) < 200)::INT AS a, (100 * len(list_distinct(words)) < 50 * len(words))::INT AS b,
+             (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT AS c, regexp_matches(t, '[#$%&*|]')::INT AS d,
+             coalesce(least < w.doc_id, false)::INT AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN known USING (doc_id)),
+vectors AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+           WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, (1 << (ascii(substr(filter_order, step, 1)) - 65))::INT AS own,
+            list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65)))::INT AS before
+          FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+told AS (SELECT part, filter_order, step, own,
+           sum(CASE WHEN mask & (own | coalesce(before, 0)) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0) = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+         FROM vectors, steps GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM told
+""",
+    "op13_license_scan": f"""
+WITH templates(template, label, exact, t) AS (VALUES {", ".join(f"({i}, '{label}', {i < len(PHRASES)}, string_split('{text}', ' '))" for i, (label, text) in enumerate([*PHRASES, *NOTICES]))}),
+runs AS (SELECT template, label, exact, len(t) AS length, i AS place_at, t[i + 1] AS g0, t[i + 2] AS g1, t[i + 3] AS g2
+         FROM (SELECT *, unnest(range(0, len(t) - 2)) AS i FROM templates)),
+d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+w AS (SELECT id, p, words[p + 1] AS g0, words[p + 2] AS g1, words[p + 3] AS g2 FROM (SELECT id, words, unnest(range(0, len(words) - 2)) AS p FROM d)),
+lines AS (SELECT id, template, label, exact, length, p - place_at AS diagonal, list(place_at) AS ats, min(p) AS least, max(p) AS most
+          FROM w JOIN runs USING (g0, g1, g2) GROUP BY ALL),
+opens AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY id, template ORDER BY diagonal) <= CASE WHEN exact THEN 0 ELSE {NEIGHBOURS} END THEN 0 ELSE 1 END AS o FROM lines),
+numbered AS (SELECT *, sum(o) OVER (PARTITION BY id, template ORDER BY diagonal) AS span FROM opens),
+spans AS (SELECT id, template, label, exact, length, span, min(least) AS first_word, max(most) + 3 AS end_word, flatten(list(ats)) AS ats FROM numbered GROUP BY ALL),
+shares AS (SELECT *, len(list_distinct(flatten(list_transform(ats, lambda i: range(i, i + 3))))) / length AS share FROM spans),
+judged AS (SELECT *, CASE WHEN exact THEN share = 1 ELSE share >= {COVERED} AND end_word - first_word <= {STRETCH} * length END AS found FROM shares),
+told AS (SELECT id, count(*) FILTER (exact AND found) AS n_base, min(first_word) FILTER (exact AND found) AS first_word, max(first_word) FILTER (exact AND found) AS last_word,
+           list(DISTINCT label) FILTER (exact AND found) AS base_labels, list(DISTINCT label) FILTER (found) AS labels, max(share) AS score FROM judged GROUP BY id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(labels), ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN told USING (id)
 """,
 }
