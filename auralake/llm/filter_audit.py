@@ -9,6 +9,7 @@ fails is a mask; masks are counted by part in vectors that combineByKey merges,
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -23,6 +24,8 @@ from auralake.session import shared_dir
 
 #: Bytes of texts that a task chains before it sends them on.
 HELD_BYTES = 16 << 20
+#: Bytes of texts for each task that sorts and judges them.
+TASK_BYTES = 32 << 20
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 SIGNS = re.compile(rb"[#$%&*|]")
 
@@ -135,6 +138,10 @@ def judged(rows: Iterator[tuple], copy_bit: int) -> Iterator[tuple]:
         yield doc_id, part, mask | copy_bit if copy else mask, times
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def failures(docs: DataFrame, part: str = "lang", filters: dict[str, Callable] = FILTERS) -> RDD:
     """(doc_id, part, mask, times) of all rows of ``docs``: bit i of the mask is filter i, the highest is that of copies.
 
@@ -144,7 +151,7 @@ def failures(docs: DataFrame, part: str = "lang", filters: dict[str, Callable] =
     shared_dir(docs.sparkSession)
     copy_bit = 1 << len(filters)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).rdd
-    tasks = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes(docs) / TASK_BYTES))
     routed = rows.mapPartitions(lambda part_rows: chained(part_rows, filters))
     ordered = routed.repartitionAndSortWithinPartitions(tasks, lambda key: key[0] % tasks)
     return ordered.mapPartitions(lambda part_rows: judged(part_rows, copy_bit))
