@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.plans.base import Tables, query
@@ -10,6 +10,7 @@ from auralake.plans.ordered_queries import HOPS, hops
 from auralake.plans.stats_queries import H, U, r9
 from auralake.streaming import hops as stream
 from auralake.streaming import machines as M
+from auralake.streaming import stateful
 
 W = "WITH RECURSIVE " + HOPS
 
@@ -30,9 +31,53 @@ def channel_monitor(t: Tables) -> DataFrame:
 @query("""WITH RECURSIVE b AS (SELECT user_id, event_id, value < 30 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events),
 """ + HYSTERESIS[HYSTERESIS.index("r(user_id"):HYSTERESIS.index("SELECT user_id, idx, valid FROM r")] + "SELECT r.user_id, b.event_id, r.valid FROM r JOIN b ON b.user_id = r.user_id AND b.idx = r.idx")
 def stream_channel_monitor(t: Tables) -> DataFrame:
-    """The same machine over a stream, its state in the query's checkpoint."""
+    """The same machine over a stream, its versioned state in the query's checkpoint."""
     rows = stream.events_stream(t.spark, t.sf_dir).withColumn("bad", F.col("value") < 30)
-    return stream.drained(M.over_stream(rows, M.Hysteresis(2, 3), ["user_id"], "event_id"))
+    return stream.drained(stateful.over_stream(rows, M.Hysteresis(2, 3), ["user_id"], "event_id"))
+
+
+#: How late events arrive, in how many steps, and the delay of the watermark: a step and the lateness.
+LATE, STEPS, DELAY = "1 day", 4, "9 days"
+#: What the watermark has passed when all events have arrived.
+PASSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 9 DAY FROM events)"
+
+
+def late_events(t: Tables) -> DataFrame:
+    """The events as a stream in which each arrives up to a day after its time."""
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.arriving(rows, "ts", "event_id", LATE, STEPS)
+
+
+@query("WITH " + HOPS + f""", k AS (SELECT h.*, e.ts FROM hops h JOIN events e USING (event_id)),
+v AS (SELECT user_id, idx, ts, min((value > 5)::INT) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) = 1 AS valid FROM k)
+SELECT user_id, (idx + 1) // 3 - 1 AS frame, valid FROM v WHERE (idx + 1) % 3 = 0 AND ts <= {PASSED}""")
+def stream_late_frames(t: Tables) -> DataFrame:
+    """Frame validity over events that arrive out of order: the batch query's rows, up to the watermark."""
+    rows = late_events(t).withColumn("available", F.col("value") > 5)
+    out = stateful.over_late_stream(rows, M.FrameValidity(6, 3), ["user_id"], "ts", "event_id", DELAY)
+    return stream.drained(out).filter("frame is not null").select("user_id", "frame", "valid")
+
+
+@query("WITH " + HOPS + f""", a AS (SELECT h.*, e.ts, h.event_type <> 'error' AS avail FROM hops h JOIN events e USING (event_id)),
+b AS (SELECT *, avail AND NOT coalesce(lag(avail) OVER (PARTITION BY user_id ORDER BY idx), true) AS back FROM a),
+c AS (SELECT *, idx - max(CASE WHEN back THEN idx END) OVER (PARTITION BY user_id ORDER BY idx) AS since FROM b)
+SELECT user_id, event_id, since, round(CASE WHEN NOT avail THEN 0 ELSE least(1.0::DOUBLE, (coalesce(since, 5) + 1) / 5.0::DOUBLE) END, 6) AS gain FROM c WHERE ts <= {PASSED}""")
+def stream_late_ramp(t: Tables) -> DataFrame:
+    """The gain after each reconnect over events that arrive out of order, up to the watermark."""
+    rows = late_events(t).withColumn("available", F.col("event_type") != "error")
+    out = stateful.over_late_stream(rows, M.ReconnectRamp(5), ["user_id"], "ts", "event_id", DELAY)
+    return stream.drained(out).select("user_id", "event_id", "since", r9(F.col("gain")).alias("gain"))
+
+
+@query(W.replace("RECURSIVE ", "") + """ SELECT user_id, idx // 8 AS hop, round(sqrt(sum(value * value) / 8), 6) AS rms FROM hops GROUP BY ALL""")
+def stream_hops(t: Tables) -> DataFrame:
+    """Hops of eight samples from a stream of chunks of one to seven days; the last is padded with zeros."""
+    chunks = hops(t).groupBy("user_id", F.floor(F.sqrt(F.col("idx") * 3.0)).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("samples"))
+    ends = Window.partitionBy("user_id").orderBy(F.desc("chunk"))
+    chunks = chunks.withColumn("last", F.row_number().over(ends) == 1)
+    framed = stateful.frames(stream.written(chunks), ["user_id"], "chunk", "samples", 8, "last")
+    rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x) / 8)
+    return stream.drained(framed).select("user_id", "hop", r9(rms).alias("rms"))
 
 
 @query(W + """, b AS (SELECT user_id, idx, value AS level FROM hops),

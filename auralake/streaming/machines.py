@@ -6,13 +6,14 @@ decided before, so a stream's rows are walked in order; streams are independent
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -173,6 +174,50 @@ class Bypass(Machine):
         return (max(0, left - 1),), (mode, weight)
 
 
+@dataclass(frozen=True)
+class FrameValidity(Machine):
+    """Frames of the samples that pass: at each hop's last one, whether every sample of its window was there.
+
+    Samples before a stream's first count as there. Other samples give no frame.
+    """
+
+    window: int = 512
+    hop: int = 256
+    inputs = ("available",)
+    state = "sample long, last_bad long"
+    outputs = "frame long, valid boolean"
+
+    def start(self) -> tuple:
+        return 0, -1 - self.window
+
+    def step(self, state, available):
+        sample, last_bad = state
+        last_bad = last_bad if available else sample
+        sample += 1
+        result = (None, None) if sample % self.hop else (sample // self.hop - 1, last_bad < sample - self.window)
+        return (sample, last_bad), result
+
+
+@dataclass(frozen=True)
+class ReconnectRamp(Machine):
+    """Samples since a channel came back last, and a gain that is zero while it is away and then rises in a line to one."""
+
+    ramp: int = 256
+    inputs = ("available",)
+    state = "there boolean, since long"
+    outputs = "since long, gain double"
+
+    def start(self) -> tuple:
+        return True, None
+
+    def step(self, state, available):
+        there, since = state
+        available = bool(available)
+        since = 0 if available and not there else None if since is None else since + 1
+        gain = min(1.0, ((self.ramp if since is None else since) + 1) / self.ramp) if available else 0.0
+        return (available, since), (since, gain)
+
+
 def names(ddl: str) -> list[str]:
     return [x.split()[0] for x in ddl.split(", ")]
 
@@ -182,39 +227,34 @@ def plain(value: Any) -> Any:
     return None if isinstance(value, float) and value != value else value
 
 
-def walk(machine: Machine, state: tuple, rows: pd.DataFrame, keep: list[str], order: str) -> tuple[tuple, pd.DataFrame]:
-    rows = rows.sort_values(order, kind="stable")
-    out = []
-    for row in rows[list(machine.inputs)].itertuples(index=False):
-        state, result = machine.step(state, *map(plain, row))
-        out.append(result)
-    return state, pd.concat([rows[keep].reset_index(drop=True), pd.DataFrame(out, columns=names(machine.outputs))], axis=1)
-
-
 def output_schema(df: DataFrame, machine: Machine, keep: list[str]) -> str:
     types = dict(df.dtypes)
     return ", ".join([*(f"{c} {types[c]}" for c in keep), machine.outputs])
 
 
 def over_batch(df: DataFrame, machine: Machine, by: list[str], order: str) -> DataFrame:
-    """(by, order, outputs) of every row of a table; a group is one stream."""
-    keep = [*by, order]
-    rows = df.select(*keep, *[c for c in machine.inputs if c not in keep])
-    return rows.groupBy(*by).applyInPandas(lambda pdf: walk(machine, machine.start(), pdf, keep, order)[1], output_schema(df, machine, keep))
-
-
-def over_stream(df: DataFrame, machine: Machine, by: list[str], order: str) -> DataFrame:
-    """The same over a streaming table: the state is kept between micro-batches and in the query's checkpoint.
+    """(by, order, outputs) of every row of a table; a group is one stream.
 
-    Rows of one stream must not arrive in a later micro-batch than rows that come after them.
+    Rows are sorted within partitions and walked as they pass, so a task holds one state, however long its streams are.
     """
     keep = [*by, order]
-
-    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(map(plain, state.get)) if state.exists else machine.start()
-        held, out = walk(machine, held, pd.concat(list(parts)), keep, order)
-        state.update(held)
-        yield out
-
-    rows = df.select(*keep, *[c for c in machine.inputs if c not in keep]).groupBy(*by)
-    return rows.applyInPandasWithState(advance, output_schema(df, machine, keep), machine.state, "append", GroupStateTimeout.NoTimeout)
+    rows = df.select(*keep, *[c for c in machine.inputs if c not in keep]).repartition(*by).sortWithinPartitions(*keep)
+    found = to_arrow_schema(StructType.fromDDL(machine.outputs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, state = None, None
+        for batch in batches:
+            out = []
+            for key, row in zip(zip(*values(batch, by)), zip(*values(batch, machine.inputs))):
+                if key != stream:
+                    stream, state = key, machine.start()
+                state, result = machine.step(state, *map(plain, row))
+                out.append(result)
+            results = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(found.types)]
+            yield pa.record_batch([*(batch.column(c) for c in keep), *results], names=[*keep, *found.names])
+
+    return rows.mapInArrow(run, output_schema(df, machine, keep))
+
+
+def values(batch: pa.RecordBatch, columns: Iterable[str]) -> list[list]:
+    return [batch.column(c).to_pylist() for c in columns]
