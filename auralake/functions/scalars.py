@@ -97,10 +97,18 @@ def sound_id(source_id: Column | str) -> Column:
     return first_match(source_id, [r"freesound[_/-](\d+)", r"/(\d{3,7})(?:_\d+)?$", r"-(\d{4,7})-[A-Z]-\d+$"])
 
 
-def licence_allows(url: Column | str) -> Column:
-    """Whether a licence's address names a free one without a bar on commerce."""
-    text = F.lower(F.coalesce(col(url), F.lit("")))
-    return text.rlike("publicdomain|/licenses/by/|cc0|/licenses/by-sa/") & ~text.contains("-nc")
+#: Codes of licences that let anyone use a work for anything, if only its author is named.
+FREE_LICENCES = ("zero", "by")
+
+
+def licence_code(url: Column | str) -> Column:
+    """The code in a public licence's address, such as ``by-nc`` or ``zero``; null where it has none."""
+    return F.nullif(F.regexp_extract(F.lower(col(url)), "/(?:licenses|publicdomain)/([a-z+-]+)", 1), F.lit(""))
+
+
+def licence_allows(url: Column | str, codes: tuple[str, ...] = FREE_LICENCES) -> Column:
+    """Whether a licence's address has one of the codes; an address without a code, or none, allows nothing."""
+    return F.coalesce(licence_code(url).isin(*codes), F.lit(False))
 
 
 def json_hash(*columns: str) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import collections
 import functools
 import hashlib
-import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,72 +57,108 @@ def cluster_sums(df: DataFrame, by: list[str], cluster: str, value: str) -> Data
     return df.filter(S.finite(value)).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def resample(sums: DataFrame, by: list[str], cluster: str, replicates: int, seed: int) -> DataFrame:
-    """(by, b, mean): the mean of each replicate, in which as many clusters are drawn, with replacement, as there are.
-
-    Draws are hashes of the seed, the replicate and the place, so they are the same everywhere. Clusters are numbered within
-    their group by one window over their sums.
-    """
-    n = Window.partitionBy(*by)
-    numbered = sums.withColumn("__i", (F.row_number().over(n.orderBy(cluster)) - 1).cast("long")).withColumn("__k", F.count(F.lit(1)).over(n))
-    places = numbered.select(*by, F.col("__i").alias("__j"), "__k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    places = places.withColumn("__i", S.pick(F.col("__k"), seed, F.col("b"), F.col("__j")))
-    drawn = places.select(*by, "b", "__i").join(numbered.select(*by, "__i", "s", "n"), [*by, "__i"])
-    return drawn.groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("mean"))
-
-
-#: Modulus of the hash family behind Poisson draws: a prime whose products fit a long.
-PRIME = 2**31 - 1
+#: Multipliers of the mix that turns a hash and a replicate's mark into a number. Fixed values.
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Replicates and rows whose draws are made at once, and bytes of sums that a task holds before it hands them on.
+DRAWN_AT_ONCE, HELD_BYTES = (256, 4_096), 64 << 20
 
 
 def poisson_thresholds() -> list[int]:
-    """Where, of numbers in [0, PRIME), a Poisson draw of mean one takes its next value."""
+    """Where, of numbers below 2^64, a Poisson draw of mean one takes its next value."""
     steps, p, total = [], math.exp(-1.0), 0.0
-    for k in range(12):
-        total += p
-        steps.append(math.floor(total * PRIME))
-        p /= k + 1
+    while (total := total + p) < 1.0:
+        steps.append(int(total * 2**64))
+        p /= len(steps)
     return steps
 
 
-def coefficients(replicates: int, seed: int) -> list[dict[str, int]]:
-    """Each replicate's own polynomial of second degree, from hashes of the seed and the replicate."""
-    number = lambda b, i: int(hashlib.sha1(f"{seed}|{b}|{i}".encode()).hexdigest()[:8], 16) % PRIME
-    return [{"b": b, "k2": number(b, 0), "k1": number(b, 1), "k0": number(b, 2)} for b in range(replicates)]
+def marks(replicates: int, seed: int) -> list[int]:
+    """Each replicate's own number of 64 bits."""
+    return [int(hashlib.sha1(f"{seed}|{b}".encode()).hexdigest()[:16], 16) for b in range(replicates)]
+
+
+def draws(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How often each replicate (rows, by its mark) draws each key (columns, by its hash): Poisson numbers of mean one."""
+    z = own[:, None] ^ hashes[None, :]
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(MIX[0])
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(MIX[1])
+    z ^= z >> np.uint64(31)
+    return np.searchsorted(np.array(poisson_thresholds(), np.uint64), z.ravel(), side="right").reshape(z.shape)
 
 
-def replicated(df: DataFrame, key: list[Column | str], replicates: int, seed: int) -> DataFrame:
-    """The rows with ``b``, each replicate, and ``w``, how often it draws the row: Poisson numbers of mean one.
+def replicate_sums(df: DataFrame, by: list[str], key: list[Column | str], columns: list[str], replicates: int, seed: int) -> DataFrame:
+    """(by, b, columns): each replicate's sums of the columns, in which it draws each row a Poisson number of times, mean one.
 
-    A replicate's draws are a random polynomial of the key's hash, modulo a prime: independent by threes, so variances and
-    skews of resampled means come out right, at a few multiplications a draw. Rows of one key are drawn together. A dozen
-    numbers a replicate travel with the plan; rows are neither numbered nor joined.
+    A draw is a mix of a 64-bit hash of the row's key with the replicate's mark: the same wherever it is made, and rows of
+    one key are drawn together. A task adds up a matrix of replicates and columns for each group as rows pass; matrices are
+    cut into blocks of replicates, which are added where they meet. So no row is ever made for a row and replicate, and a
+    task holds sums only: they are handed on when they fill ``HELD_BYTES``, however many groups there are.
     """
-    table = json.dumps(coefficients(replicates, seed), separators=(",", ":"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Sums are small and would be read by few tasks, but each row makes as many as there are replicates.
-    hashed = df.withColumn("__h", S.draw(*[S.col(k) for k in key]) % PRIME).repartition(tasks, "__h")
-    each = hashed.select("*", F.inline(F.from_json(F.lit(table), "array<struct<b:int,k2:bigint,k1:bigint,k0:bigint>>")))
-    h = F.col("__h")
-    x = ((F.col("k2") * h + F.col("k1")) % PRIME * h + F.col("k0")) % PRIME
-    rows = each.withColumn("__x", x).drop("__h", "k2", "k1", "k0")
-    *steps, last = poisson_thresholds()
-    w = F.when(F.col("__x") < steps[0], 0)
-    for k, t in enumerate([*steps[1:], last], 1):
-        w = w.when(F.col("__x") < t, k)
-    return rows.withColumn("w", w.otherwise(len(steps) + 1)).drop("__x")
+    text = F.concat_ws("|", *[S.col(k).cast("string") for k in key])
+    hashed = df.select(*by, F.conv(F.substring(F.sha1(text), 1, 16), 16, -10).cast("long").alias("__h"), *[F.col(c).cast("double").alias(c) for c in columns])
+    own, step, width = np.array(marks(replicates, seed), np.uint64), DRAWN_AT_ONCE[0], len(columns)
+    types = dict(df.dtypes)
+    keys = "".join(f"{c} {types[c]}, " for c in by)
+
+    def handed(sums: dict[tuple, np.ndarray], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        for group, matrix in sums.items():
+            parts = [matrix[at : at + step].ravel() for at in range(0, replicates, step)]
+            group_columns = [pa.array([v] * len(parts), kind) for v, kind in zip(group, kinds)]
+            yield pa.record_batch([*group_columns, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], names=[*by, "block", "sums"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, kinds = {}, []
+        for batch in batches:
+            kinds = [batch.column(c).type for c in by]
+            for at in range(0, batch.num_rows, DRAWN_AT_ONCE[1]):
+                rows = batch.slice(at, DRAWN_AT_ONCE[1])
+                places = collections.defaultdict(list)
+                for i, group in enumerate(zip(*[rows.column(c).to_pylist() for c in by]) if by else [()] * rows.num_rows):
+                    places[group].append(i)
+                values = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+                hashes = rows.column("__h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                for group in places:
+                    if group not in sums:
+                        sums[group] = np.zeros((replicates, width))
+                for first in range(0, replicates, step):
+                    w = draws(hashes, own[first : first + step]).astype(np.float64)
+                    for group, found in places.items():
+                        sums[group][first : first + step] += w[:, found] @ values[found]
+                if len(sums) * replicates * width * 8 > HELD_BYTES:
+                    yield from handed(sums, kinds)
+                    sums = {}
+        yield from handed(sums, kinds)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, kinds = {}, []
+        for batch in batches:
+            kinds = [batch.column(c).type for c in by]
+            for *group, part in zip(*[batch.column(c).to_pylist() for c in [*by, "block"]], batch.column("sums")):
+                matrix = part.values.to_numpy(zero_copy_only=False).reshape(-1, width)
+                known = sums.get(tuple(group))
+                sums[tuple(group)] = matrix.copy() if known is None else known + matrix
+        for (*group, block), matrix in sums.items():
+            group_columns = [pa.array([v] * len(matrix), kind) for v, kind in zip(group, kinds)]
+            numbers = pa.array(np.arange(len(matrix), dtype=np.int32) + block * step)
+            yield pa.record_batch([*group_columns, numbers, *(pa.array(matrix[:, i]) for i in range(width))], names=[*by, "b", *columns])
+
+    # Sums are small and would be read by few tasks, but each row is drawn as often as there are replicates.
+    matrices = hashed.repartition(tasks, "__h").mapInArrow(summed, f"{keys}block int, sums array<double>")
+    return matrices.repartition(tasks, *by, "block").mapInArrow(added, f"{keys}b int, " + ", ".join(f"{c} double" for c in columns))
 
 
 def resample_poisson(sums: DataFrame, by: list[str], cluster: str, replicates: int, seed: int, means: dict[str, str] | None = None, shared: bool = False) -> DataFrame:
-    """(by, b, mean): as :func:`resample`, but each cluster draws its own number of times from a Poisson distribution of mean one.
+    """(by, b, mean): the mean of each replicate, in which a cluster is drawn a Poisson number of times, mean one.
 
-    For any number of clusters and published numbers of replicates: each task sends one row a group and replicate. ``means``
-    names several sums, which share their draws; ``shared`` gives a cluster the same draws in all groups. A replicate that
-    draws nothing has a null mean.
+    ``means`` names several sums, which share their draws; ``shared`` gives a cluster the same draws in all groups. A
+    replicate that draws nothing has a null mean.
     """
-    drawn = replicated(sums, [cluster] if shared else [*by, cluster], replicates, seed)
-    n = F.sum(F.col("w") * F.col("n"))
-    return drawn.groupBy(*by, "b").agg(*[F.try_divide(F.sum(F.col("w") * F.col(s)), n).alias(name) for name, s in (means or {"mean": "s"}).items()])
+    means = means or {"mean": "s"}
+    drawn = replicate_sums(sums, by, [cluster] if shared else [*by, cluster], [*dict.fromkeys(means.values()), "n"], replicates, seed)
+    return drawn.select(*by, "b", *[F.try_divide(F.col(s), F.col("n")).alias(name) for name, s in means.items()])
 
 
 def interval(replicates: DataFrame, by: list[str], alpha: float = 0.025) -> DataFrame:

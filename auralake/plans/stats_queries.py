@@ -23,21 +23,17 @@ def r9(c) -> F.Column:
     return F.round(c, 6)
 
 
-def resampled_sql(groups: str, source: str, replicates: int, seed: int) -> str:
-    """CTEs ``sums``, ``reps`` (g, b, mean): clusters of ``source`` (g, cluster, x) resampled as in the operator."""
-    return f"""sums AS (SELECT g, cluster, sum(x) AS s, count(*)::DOUBLE AS n FROM ({source}) GROUP BY ALL),
-num AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY g) AS k FROM sums),
-drawn AS (SELECT p.g, b, {H.format(f"'{seed}|' || b || '|' || p.i")} % p.k AS i FROM num p, range({replicates}) r(b)),
-reps AS (SELECT d.g, b, sum(s) / sum(n) AS mean FROM drawn d JOIN num n ON n.g = d.g AND n.i = d.i GROUP BY d.g, b)"""
-
-
 def weighed_sql(rows: str, key: str, replicates: int, seed: int) -> str:
     """CTEs ``weighed``: the rows of the CTE ``rows`` with each replicate ``b`` and its Poisson weight ``w``, drawn by ``key``."""
-    k = lambda i: H.format(f"'{seed}|' || b || '|{i}'") + f" % {X.PRIME}"
-    w = " + ".join(f"(x >= {t})::INT" for t in X.poisson_thresholds())
-    return f"""reps_k AS (SELECT b, {k(0)} AS k2, {k(1)} AS k1, {k(2)} AS k0 FROM range({replicates}) r(b)),
-hashed AS (SELECT *, {H.format(key)} % {X.PRIME} AS h FROM {rows}),
-weighed AS (SELECT * EXCLUDE (x), {w} AS w FROM (SELECT hashed.* EXCLUDE (h), b, ((k2 * h + k1) % {X.PRIME} * h + k0) % {X.PRIME} AS x FROM hashed, reps_k))"""
+    number = "('0x' || substr(sha1({0}), 1, 16))::UBIGINT"
+    w = " + ".join(f"(z >= {t}::UBIGINT)::INT" for t in X.poisson_thresholds())
+    mixed = "xor(mark, h)"
+    for shift, factor in zip((30, 27), X.MIX):
+        mixed = f"(xor({mixed}, {mixed} >> {shift})::UHUGEINT * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""reps_k AS (SELECT b, {number.format(f"'{seed}|' || b")} AS mark FROM range({replicates}) r(b)),
+hashed AS (SELECT *, {number.format(key)} AS h FROM {rows}),
+mixed AS (SELECT hashed.* EXCLUDE (h), b, {mixed} AS y FROM hashed, reps_k),
+weighed AS (SELECT * EXCLUDE (y, z), {w} AS w FROM (SELECT *, xor(y, y >> 31) AS z FROM mixed))"""
 
 
 def weighted_sql(source: str, replicates: int, seed: int, key: str = "g || '|' || cluster") -> str:
@@ -155,11 +151,12 @@ def cluster_bootstrap(t: Tables) -> DataFrame:
     return ci.select("system", *[r9(F.col(c)).alias(c) for c in ("mean", "lo", "hi")], "n", "clusters")
 
 
-@query("WITH " + FACT + ", " + resampled_sql("bucket", "SELECT a.bucket AS g, a.cluster, b.snr_out - a.snr_out AS x FROM (SELECT * FROM fact WHERE system = 'A') a JOIN (SELECT * FROM fact WHERE system = 'R') b USING (bucket, id)", 50, 5) + """
+@query("WITH " + FACT + ", " + weighted_sql("SELECT a.bucket AS g, a.cluster, b.snr_out - a.snr_out AS x FROM (SELECT * FROM fact WHERE system = 'A') a JOIN (SELECT * FROM fact WHERE system = 'R') b USING (bucket, id)", 2000, 5) + """
 SELECT g AS bucket, round(var_samp(mean), 8) AS variance FROM reps GROUP BY g""")
 def cluster_variance(t: Tables) -> DataFrame:
+    """The variance of a mean of paired differences when whole clusters are resampled."""
     rows = T.paired(t.fact.filter("system = 'A'"), t.fact.filter("system = 'R'"), ["bucket", "id"], ["snr_out"], keep=["cluster"])
-    reps = X.resample(X.cluster_sums(rows, ["bucket"], "cluster", "d_snr_out"), ["bucket"], "cluster", 50, 5)
+    reps = X.resample_poisson(X.cluster_sums(rows, ["bucket"], "cluster", "d_snr_out"), ["bucket"], "cluster", 2000, 5)
     return X.interval(reps, ["bucket"]).select("bucket", F.round("var", 8).alias("variance"))
 
 
@@ -268,9 +265,7 @@ def multinomial_auc(t: Tables) -> DataFrame:
     """
     bin, is_s = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(50 - 1e-6), "snr_out")) / 2).cast("long"), F.col("fault").isNotNull()
     items = t.fact.filter("system = 'A'").groupBy("id", bin.alias("bin")).agg(F.sum(is_s.cast("int")).alias("s"), F.sum((~is_s).cast("int")).alias("n"))
-    drawn = X.replicated(items, ["id"], 1000, 4)
-    binned = drawn.groupBy("b", "bin").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
-    auc = X.hist_auc(binned, ["b"])
+    auc = X.hist_auc(X.replicate_sums(items, ["bin"], ["id"], ["s", "n"], 1000, 4), ["b"])
     return auc.agg(r9(F.avg("auc")).alias("mean"), r9(F.stddev_samp("auc")).alias("sd"), r9(F.avg((F.round("auc", 9) <= 0.5).cast("int"))).alias("share"))
 
 

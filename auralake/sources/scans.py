@@ -143,15 +143,9 @@ def noise_but(corpus: str, licence: str, label: str, left_out: list[str], impuls
     return Scan(corpus, "noise", licence, group, F.concat_ws("/", F.col(label), name_of()), noise_class=measured_or_impulsive(label, impulsive), where=~F.col(label).isin(left_out))
 
 
-def free_licence(url: Column) -> Column:
-    """Whether a licence's address is of public domain or attribution, without a ban on commerce or a sampling clause."""
-    u = F.lower(url)
-    return (u.contains("publicdomain/zero") | u.contains("/licenses/by/")) & ~u.contains("-nc") & ~u.contains("sampling")
-
-
 def noise_among(corpus: str, label: str, wanted: list[str], impulsive: list[str], group: Column) -> Scan:
     """Noise of the wanted labels (see :func:`first_label`) whose own licence is free; ``file_licence`` null is not."""
-    where = F.col(label).isin(wanted) & free_licence(F.col("file_licence"))
+    where = F.col(label).isin(wanted) & S.licence_allows("file_licence")
     return Scan(corpus, "noise", F.col("file_licence"), group, F.concat_ws("/", F.col(label), name_of()), noise_class=measured_or_impulsive(label, impulsive), where=where)
 
 

@@ -1,5 +1,6 @@
 """Known answers, refusals and equivalences of the engine's own operators."""
 
+import hashlib
 import math
 import random
 
@@ -45,13 +46,21 @@ def test_cluster_interval_is_wider_than_rows(spark):
     assert math.isclose(clustered["mean"], sum(r[2] for r in rows) / len(rows), rel_tol=1e-9)
 
 
-def test_poisson_resampling_agrees_with_the_exact_kind(spark):
-    rows = [(c, float(c % 11)) for c in range(300)]
-    df = spark.createDataFrame(rows, "cluster int, x double").withColumn("g", F.lit("a"))
-    sums = X.cluster_sums(df, ["g"], "cluster", "x")
-    a = X.interval(X.resample(sums, ["g"], "cluster", 300, 1), ["g"]).first()
-    b = X.interval(X.resample_poisson(sums, ["g"], "cluster", 300, 1), ["g"]).first()
-    assert abs(a["sd"] - b["sd"]) < 0.2 * a["sd"]
+def test_poisson_resampling_spreads_as_theory_says(spark):
+    values = [float(c % 11) for c in range(300)]
+    df = spark.createDataFrame([(c, x) for c, x in enumerate(values)], "cluster int, x double").withColumn("g", F.lit("a"))
+    sd = X.interval(X.resample_poisson(X.cluster_sums(df, ["g"], "cluster", "x"), ["g"], "cluster", 2000, 1), ["g"]).first()["sd"]
+    mean = sum(values) / 300
+    assert abs(sd / math.sqrt(sum((x - mean) ** 2 for x in values) / 300**2) - 1) < 0.06
+
+
+def test_intervals_cover_the_mean_as_often_as_they_say(spark):
+    """Of 400 samples of one law, 95 % of intervals hold its mean; percentiles come out right, not only the spread."""
+    rng = np.random.default_rng(5)
+    rows = [(g, c, float(x)) for g in range(400) for c, x in enumerate(rng.exponential(1.0, 120))]
+    df = spark.createDataFrame(rows, "g int, cluster int, x double")
+    ends = X.cluster_ci(df, ["g"], "cluster", "x", 1000).collect()
+    assert 0.90 < sum(r["lo"] <= 1.0 <= r["hi"] for r in ends) / 400 < 0.98
 
 
 @pytest.mark.parametrize("pos, neg, auc", [([2, 3], [0, 1], 1.0), ([0, 1], [2, 3], 0.0), ([1, 1], [1, 1], 0.5), ([1, 2], [1, 3], 0.375)])
@@ -173,6 +182,9 @@ def test_saturation_and_fields():
 def test_identifiers(spark):
     r = one(spark, S.sound_id(F.lit("fs:x/freesound_12345")).alias("a"), S.sound_id(F.lit("none")).alias("b"), S.licence_allows(F.lit("http://creativecommons.org/licenses/by-nc/3.0/")).alias("c"), S.licence_allows(F.lit("http://creativecommons.org/publicdomain/zero/1.0/")).alias("d"))
     assert tuple(r) == ("12345", None, False, True)
+    addresses = {"https://creativecommons.org/licenses/by/4.0/": True, "http://creativecommons.org/licenses/sampling+/1.0/": False, "http://creativecommons.org/licenses/by-nc-sa/3.0/": False, "http://creativecommons.org/licenses/BY/3.0/": True, "see file": False, None: False}
+    df = spark.createDataFrame([(u, ok) for u, ok in addresses.items()], "u string, ok boolean").withColumn("found", S.licence_allows("u"))
+    assert df.filter("found <> ok").count() == 0 and one(spark, S.licence_allows(F.lit("x/licenses/by-sa/4.0"), ("by", "by-sa")).alias("a")).a
 
 
 def test_global_ranks_and_lanes(spark):
@@ -182,20 +194,31 @@ def test_global_ranks_and_lanes(spark):
     assert [r.lane for r in T.least_loaded(jobs, ["j"], "cost", 2).orderBy("j").collect()] == [0, 1, 1, 1]
 
 
-def test_replicates_draw_as_often_as_a_poisson_law_says(spark):
-    import math
-
-    from pyspark.sql import functions as F
-
-    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit(1.0).alias("n"), (F.col("id") % 7).cast("double").alias("s"))
-    drawn = X.replicated(rows, ["k"], 200, 7)
-    share = {r.w: r["count"] / 600_000 for r in drawn.groupBy("w").count().collect()}
-    assert all(abs(share[w] - math.exp(-1) / math.factorial(w)) < 0.003 for w in range(5)) and abs(sum(w * p for w, p in share.items()) - 1) < 0.01
-    # Draws of two rows are independent: over replicates and rows, sums vary as sums of independent draws do.
-    totals = [r.t for r in drawn.groupBy("b").agg(F.sum("w").alias("t")).collect()]
-    mean = sum(totals) / 200
-    assert 0.7 < sum((t - mean) ** 2 for t in totals) / 199 / 3000 < 1.4
-    assert {tuple(r) for r in drawn.collect()} == {tuple(r) for r in X.replicated(rows.repartition(5), ["k"], 200, 7).collect()}
+def test_replicates_draw_as_often_as_a_poisson_law_says():
+    rng = np.random.default_rng(3)
+    w = X.draws(rng.integers(0, 2**64, 3000, dtype=np.uint64), np.array(X.marks(200, 7), np.uint64))
+    assert all(abs((w == k).mean() - math.exp(-1) / math.factorial(k)) < 0.003 for k in range(5)) and abs(w.mean() - 1) < 0.01
+    # Draws of two rows, and of two replicates, are independent: sums vary as sums of independent draws do.
+    assert 0.7 < w.sum(axis=1).var(ddof=1) / 3000 < 1.4 and 0.85 < w.sum(axis=0).var(ddof=1) / 200 < 1.15
+    # Keys in a row, too, and keys that differ in one bit.
+    close = X.draws(np.arange(3000, dtype=np.uint64), np.array(X.marks(200, 7), np.uint64))
+    assert abs(np.corrcoef(close[:, :-1].ravel(), close[:, 1:].ravel())[0, 1]) < 0.01
+
+
+@pytest.mark.parametrize("held", [0, 64 << 20])
+def test_replicate_sums_are_what_each_draw_gives(spark, held, monkeypatch):
+    """However many tasks there are and whatever they may hold, sums are those of the draws; null keys and groups count."""
+    monkeypatch.setattr(X, "HELD_BYTES", held)
+    rows = [(None if i % 5 == 0 else "ab"[i % 2], None if i == 7 else i, float(i % 7), 1) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, k int, s double, n int")
+    own, expected = np.array(X.marks(300, 7), np.uint64), {}
+    for g, k, x, n in rows:
+        h = np.array([int(hashlib.sha1(("" if k is None else str(k)).encode()).hexdigest()[:16], 16)], np.uint64)
+        expected[g] = expected.get(g, 0) + X.draws(h, own) * [[x, n]]
+    for parts in (1, 5):
+        found = X.replicate_sums(df.repartition(parts), ["g"], ["k"], ["s", "n"], 300, 7).collect()
+        assert len(found) == 900 and all(tuple(expected[r.g][r.b]) == (r.s, r.n) for r in found)
+    assert X.replicate_sums(df.limit(0), ["g"], ["k"], ["s"], 5, 7).collect() == []
 
 
 def test_paired_intervals_leave_out_what_is_not_finite(spark):
