@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -30,24 +32,46 @@ def assert_none(rows: DataFrame, why: str) -> None:
         raise Refused(f"{why}: {rows.first()}", rows)
 
 
+#: Quotes are doubled inside quoted values, which may hold line ends.
+CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files at the paths by the columns that their first lines name, in each file's own order; files without a line are left out.
+
+    Only names of files come to the driver, which lists them in any case.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # A file's first lines are read by one task, in order.
+    firsts = lines.filter("block = 0").groupBy("file").agg(F.first("value").alias("header")).groupBy("header").agg(F.collect_list("file").alias("files"))
+    return {tuple(next(csv.reader([r["header"].lstrip("\ufeff")]))): sorted(r["files"]) for r in firsts.collect()}
+
+
+def read_csv(spark: SparkSession, columns: tuple[str, ...], files: list[str]) -> DataFrame:
+    """Files of one header as texts; ``torn`` where a line has too few or too many values, ``at`` orders a file's rows."""
+    schema = StructType([StructField(c, StringType()) for c in (*columns, "__torn")])
+    rows = spark.read.options(**CSV).option("columnNameOfCorruptRecord", "__torn").schema(schema).csv(files)
+    return rows.select(*columns, F.col("__torn").isNotNull().alias("torn"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+
+
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All results at the paths, which may be patterns: typed, cleaned, one row a (system, bucket, id).
 
-    Files with ``.partial`` in their name are snapshots of others and left out. Every value is read as text, so nothing is
-    inferred; columns that a file lacks are null. Repeated keys are refused, and so is having no file.
+    Files with ``.partial`` in their name are snapshots of others and left out. Each file's values go by its own header,
+    whatever the order of its columns. Every value is read as text, so nothing is inferred; columns that a file lacks are
+    null. Repeated keys are refused, and so are torn rows, and having no file.
     """
-    frames = []
-    for path in paths:
-        header = spark.read.option("header", True).csv(path)
-        rows = header.select("*", F.col("_metadata.file_name").alias("__file")).filter(~F.col("__file").contains(".partial"))
-        frames.append(rows)
-    if not frames:
+    if not paths:
         raise Refused("no results given")
-    df = frames[0]
-    for other in frames[1:]:
-        df = df.unionByName(other, allowMissingColumns=True)
-    if df.isEmpty():
+    df = None
+    for columns, files in headers(spark, paths).items():
+        final = [f for f in files if ".partial" not in f.rpartition("/")[2]]
+        if final:
+            rows = read_csv(spark, columns, final)
+            df = rows if df is None else df.unionByName(rows, allowMissingColumns=True)
+    if df is None or df.isEmpty():
         raise Refused("no final results at the paths")
+    assert_none(df.filter("torn"), "torn rows")
     df = C.conform(df, {c: F.lit(None).cast("string") for c in (*TEXT, *NUMBERS, *FLAGS)})
     df = df.select(
         *[S.blank_to_null(c).alias(c) if c not in ("system",) else S.system_name(c).alias(c) for c in TEXT],
@@ -62,22 +86,30 @@ RESULT_SCHEMA = StructType([*[StructField(c, StringType()) for c in TEXT], *[Str
 
 def write_results(df: DataFrame, path: str, columns: list[str]) -> None:
     """Results as CSV with the columns in the given order; others are left out."""
-    df.select(*columns).write.option("header", True).mode("append").csv(path)
+    df.select(*columns).write.options(**{k: v for k, v in CSV.items() if k != "multiLine"}).mode("append").csv(path)
+
+
+def torn_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of the files at a path whose last line has no end: their writer was stopped within it."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.octet_length("value").alias("n"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    return lines.groupBy("file", "size").agg(F.sum(F.col("n") + 1).alias("n")).filter("n > size").select("file")
 
 
 def resume(work: DataFrame, spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
-    """Work that has no whole row at ``path`` yet. A torn last line has too few values and counts as missing.
+    """Work that has no whole row at ``path`` yet: a row with too few values is none, nor is a last one whose line has no end.
 
-    Results written by other columns are refused.
+    Results written by other columns are refused. Values may hold separators, quotes and line ends.
     """
-    raw = spark.read.text(path)
-    width = len(columns)
-    header = ",".join(columns)
-    wrong = raw.filter(F.col("value").startswith(columns[0] + ",") & (F.col("value") != header))
-    assert_none(wrong, "other columns")
-    values = F.split("value", ",")
-    done = raw.filter((F.col("value") != header) & (F.size(values) == width)).select(*[values[columns.index(k)].alias(k) for k in keys])
-    return work.join(done.distinct(), keys, "left_anti")
+    found = headers(spark, [path])
+    if wrong := [c for c in found if list(c) != columns]:
+        raise Refused(f"other columns: {wrong[0]}")
+    if not found:
+        return work
+    rows = read_csv(spark, tuple(columns), found[tuple(columns)])
+    last = F.col("at") == F.max("at").over(Window.partitionBy("file"))
+    done = rows.withColumn("last", last).join(torn_files(spark, path).withColumn("cut", F.lit(True)), "file", "left")
+    done = done.filter(~F.col("torn") & ~(F.col("last") & F.coalesce("cut", F.lit(False))))
+    return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, keys: list[str], priority: str) -> DataFrame:

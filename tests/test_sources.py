@@ -32,6 +32,26 @@ def test_resume_passes_over_a_torn_line(spark, tmp_path):
         R.resume(work, spark, str(tmp_path), ["bucket", "id"], ["bucket", "id", "y"])
 
 
+def test_results_go_by_their_own_headers(spark, tmp_path):
+    """Files of one pattern may order their columns differently, lack some, and quote separators, quotes and line ends."""
+    (tmp_path / "a.csv").write_text("system,bucket,id,snr_out,stoi,asr_text\nraw,b,1,12.5,0.8,\"hello, \"\"world\"\"\"\n")
+    (tmp_path / "b.csv").write_text("stoi,snr_out,id,bucket,system\n0.7,11.5,2,b,raw\n")
+    (tmp_path / "c.csv").write_text('asr_text,system,bucket,id,snr_out\n"two\nlines",raw,b,3,\n')
+    (tmp_path / "d.csv").write_text("")
+    rows = {r.id: r for r in R.read_results(spark, [f"{tmp_path}/*.csv"]).collect()}
+    assert [(rows[k].snr_out, rows[k].stoi, rows[k].asr_text) for k in "123"] == [(12.5, 0.8, 'hello, "world"'), (11.5, 0.7, None), (None, None, "two\nlines")]
+    (tmp_path / "e.csv").write_text("system,bucket,id,snr_out\nraw,b,4\n")
+    with pytest.raises(R.Refused):
+        R.read_results(spark, [f"{tmp_path}/*.csv"])
+
+
+@pytest.mark.parametrize("end,left", [("\n", ["3"]), ("", ["2", "3"])])
+def test_resume_reads_quoted_values(spark, tmp_path, end, left):
+    (tmp_path / "r.csv").write_text('bucket,id,text\nb,1,"hello, ""world"""\nb,2,"whole\nrow"' + end)
+    work = spark.createDataFrame([("b", k) for k in "123"], "bucket string, id string")
+    assert sorted(r.id for r in R.resume(work, spark, str(tmp_path), ["bucket", "id"], ["bucket", "id", "text"]).collect()) == left
+
+
 def test_manifest_round_trip(spark, tmp_path):
     row = ("s:1", "c", "speech", "g", "", "a\\b.wav", 1.0, "MIT", "train", "aaa", "")
     df = spark.createDataFrame([row, ("s:2", *row[1:])], "source_id string, corpus string, kind string, group_id string, speaker_id string, path string, duration_s double, licence string, split string, sha1 string, noise_class string")
