@@ -50,8 +50,10 @@ def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list
 def read_csv(spark: SparkSession, columns: tuple[str, ...], files: list[str]) -> DataFrame:
     """Files of one header as texts; ``torn`` where a line has too few or too many values, ``at`` orders a file's rows."""
     schema = StructType([StructField(c, StringType()) for c in (*columns, "__torn")])
-    rows = spark.read.options(**CSV).option("columnNameOfCorruptRecord", "__torn").schema(schema).csv(files)
-    return rows.select(*columns, F.col("__torn").isNotNull().alias("torn"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.options(**CSV, columnPruning=False).option("columnNameOfCorruptRecord", "__torn").schema(schema).csv(files)
+    # Spark tells a torn line only where a line's other values are read, too.
+    torn = F.col("__torn").isNotNull() & (F.length(F.concat_ws("", *columns)) >= 0)
+    return rows.select(*columns, torn.alias("torn"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
 
 
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:

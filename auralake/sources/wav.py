@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,37 @@ PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 SIGNAL = "rate int, channels int, frames long, samples array<array<float>>, error string"
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a file's bytes are samples, as its format chunk says."""
+
+    tag: int
+    channels: int
+    rate: int
+    block: int
+    bits: int
+
+    @classmethod
+    def of(cls, header: bytes) -> Layout:
+        tag, channels, rate, _, block, bits = struct.unpack("<HHIIHH", header[:16])
+        tag = struct.unpack("<H", header[24:26])[0] if tag == EXTENSIBLE else tag
+        if not channels or not block or (tag, bits) not in ((PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)):
+            raise ValueError(f"encoding {tag} with {bits} bits")
+        return cls(tag, channels, rate, block, bits)
+
+    def frames(self, body: bytes) -> np.ndarray:
+        """Samples by channel in [-1, 1]; bytes beyond the last whole frame are dropped."""
+        body = body[: len(body) // self.block * self.block]
+        if self.tag == FLOAT:
+            x = np.frombuffer(body, "<f4" if self.bits == 32 else "<f8").astype(np.float64)
+        elif self.bits == 24:
+            raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
+            x = (((raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16) ^ 0x800000) - 0x800000) / 8388608.0
+        else:
+            x = np.frombuffer(body, f"<i{self.bits // 8}") / float(1 << (self.bits - 1))
+        return x.reshape(-1, self.channels).T.astype(np.float32)
+
+
 def decoded(data: bytes) -> tuple[int, np.ndarray]:
     """Sample rate, and samples by channel in [-1, 1]. Chunks in any order; bytes beyond the last whole frame are dropped."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
@@ -29,32 +61,25 @@ def decoded(data: bytes) -> tuple[int, np.ndarray]:
         place += 8 + size + size % 2
     if header is None or body is None:
         raise ValueError("no format or no data")
-    tag, channels, rate, _, block, bits = struct.unpack("<HHIIHH", header[:16])
-    if tag == EXTENSIBLE:
-        tag = struct.unpack("<H", header[24:26])[0]
-    body = body[: len(body) // block * block]
-    if tag == PCM and bits == 16:
-        x = np.frombuffer(body, "<i2") / 32768.0
-    elif tag == PCM and bits == 24:
-        raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16) ^ 0x800000) - 0x800000
-        x = x / 8388608.0
-    elif tag == PCM and bits == 32:
-        x = np.frombuffer(body, "<i4") / 2147483648.0
-    elif tag == FLOAT and bits in (32, 64):
-        x = np.frombuffer(body, "<f4" if bits == 32 else "<f8").astype(np.float64)
-    else:
-        raise ValueError(f"encoding {tag} with {bits} bits")
-    return rate, x.reshape(-1, channels).T.astype(np.float32)
+    layout = Layout.of(header)
+    return layout.rate, layout.frames(body)
+
+
+def body_of(samples: np.ndarray) -> bytes:
+    """The 16-bit bytes of samples by channel, clipped to the range."""
+    return np.round(np.clip(np.atleast_2d(samples), -1, 32767 / 32768) * 32768).astype("<i2").T.tobytes()
+
+
+def header_of(channels: int, rate: int, size: int) -> bytes:
+    """What stands before ``size`` bytes of 16-bit samples."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, PCM, channels, rate, rate * channels * 2, channels * 2, 16, b"data", size)
 
 
 def encoded(samples: np.ndarray, rate: int) -> bytes:
     """A 16-bit file of samples by channel, clipped to the range."""
     x = np.atleast_2d(samples)
-    body = np.round(np.clip(x, -1, 32767 / 32768) * 32768).astype("<i2").T.tobytes()
-    channels = len(x)
-    header = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, PCM, channels, rate, rate * channels * 2, channels * 2, 16, b"data", len(body))
-    return header + body
+    body = body_of(x)
+    return header_of(len(x), rate, len(body)) + body
 
 
 def decode(content: Column) -> Column:
