@@ -85,7 +85,7 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of all documents, from the counts at all prefixes."""
-    counted = prefix_counts(table(spark, sf_dir, "documents"), tokens.tokenizer_file("byte_bpe_50k.json"), TOKEN_LIMIT, TOKEN_LIMIT)
+    counted = prefix_counts(table(spark, sf_dir, "documents"), tokens.tokenizer_file("byte_bpe_50k.json"), TOKEN_LIMIT, TOKEN_LIMIT, prefixes=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "tokens_before", "chars_within")
 
 

@@ -26,8 +26,8 @@ from auralake.llm import tokens
 #: Words that the tokenizer's splitter never splits, nor any of their prefixes: letters, digits or signs without apostrophe.
 SIMPLE = re.compile(r" ?(?:[^\W\d_]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\Z")
 
-#: Pieces up to this length may have each of their prefixes encoded by the library; longer ones are counted word by word.
-LIBRARY_CHARS = 64
+#: Words of pieces with several that a worker remembers; then it starts afresh.
+WORDS_KEPT = 200_000
 #: Words whose prefixes are two words: the only ones, besides white space, that are not prefixes of words all along.
 SHORTENED = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
 #: Runs of what the splitter takes for white space. A run is one word as long as nothing follows it; then its last
@@ -116,6 +116,8 @@ class PrefixStore(tokens.PieceStore):
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         #: Special tokens stand for themselves wherever their text is complete.
         self.special = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
+        self.words: dict[str, list[int]] = {}
+        #: A tokenizer that changes texts, or whose special tokens look around them, has all its prefixes encoded by the library.
         self.by_words = self.tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added)
 
     def by_library(self, piece: str) -> list[int]:
@@ -125,56 +127,53 @@ class PrefixStore(tokens.PieceStore):
             counts += [len(e) for e in self.tokenizer.encode_batch_fast([piece[:end] for end in more], add_special_tokens=False)]
         return counts
 
-    def of_words(self, text: str, known: dict[str, list[int]]) -> np.ndarray:
+    def of_word(self, word: str) -> list[int]:
+        own = self.words.get(word)
+        if own is None:
+            if len(self.words) >= WORDS_KEPT:
+                self.words.clear()
+            own = self.words[word] = self.by_library(word) if word in SHORTENED else self.counter.counts(word)
+        return own
+
+    def of_words(self, text: str) -> list[int]:
         """Tokens of each prefix of a text without special tokens, from its words as the tokenizer itself splits them."""
-        counts, before, total = np.zeros(len(text), dtype=np.int64), {}, 0
+        counts, before, total = [], {}, 0
         for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if text else ():
-            word = text[start:end]
-            own = known.get(word)
-            if own is None:
-                own = known[word] = self.by_library(word) if word in SHORTENED else self.counter.counts(word)
-            counts[start:end] = own
-            counts[start:end] += total
             before[start] = total
-            total += own[-1]
+            counts += [total + c for c in self.of_word(text[start:end])]
+            total = counts[-1]
         for run in SPACES.finditer(text):
-            counts[run.start() : run.end()] = before[run.start()] + np.array(self.counter.counts(run[0]))
+            counts[run.start() : run.end()] = [before[run.start()] + c for c in self.counter.counts(run[0])]
         return counts
 
     def of_piece(self, piece: str) -> list[int]:
         """Tokens of each prefix. Until a special token is complete, its beginning is text like any other."""
-        known: dict[str, list[int]] = {}
-        parts, start, total = [], 0, 0
+        counts, start, total = [], 0, 0
         for found in self.special.finditer(piece) if self.special else ():
-            parts.append(total + self.of_words(piece[start : found.end() - 1], known))
-            total = 1 + (int(parts[-1][found.start() - start - 1]) if found.start() > start else total)
-            parts.append(np.array([total]))
+            counts += [total + c for c in self.of_words(piece[start : found.end() - 1])]
+            total = 1 + (counts[found.start() - 1] if found.start() > start else total)
+            counts.append(total)
             start = found.end()
-        parts.append(total + self.of_words(piece[start:], known))
-        return np.concatenate(parts).tolist()
+        return counts + [total + c for c in self.of_words(piece[start:])]
 
     def runs(self, pieces: list[str]) -> list:
-        full = [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        out = []
-        for piece, n in zip(pieces, full):
-            if SIMPLE.match(piece):
-                counts = self.counter.counts(piece)
-            else:  # several words, or an apostrophe
-                counts = self.of_piece(piece) if self.by_words and len(piece) > LIBRARY_CHARS else None
-            if counts is None or counts[-1:] != [n]:
-                counts = self.by_library(piece)
-            # A change beyond 16 bits would take a single word of as many tokens; none merges so far back.
-            out.append([b - a for a, b in zip([0, *counts], counts)])
-        return out
-
-
-def prefix_counts(docs: DataFrame, tokenizer: str, chars: int = 1024, budget: int = 1024) -> DataFrame:
+        one = self.counter.counts
+        if self.by_words:
+            found = [one(p) if SIMPLE.match(p) else self.of_piece(p) for p in pieces]
+        else:
+            found = map(self.by_library, pieces)
+        # A change beyond 16 bits would take a single word of as many tokens; none merges so far back.
+        return [[b - a for a, b in zip([0, *counts], counts)] for counts in found]
+
+
+def prefix_counts(docs: DataFrame, tokenizer: str, chars: int = 1024, budget: int = 1024, prefixes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, prefix_tokens, tokens_before, chars_within) of every whole text.
 
     ``prefix_tokens`` holds the change of the exact token count at each code point, as one signed byte each or, where one
     does not suffice, as four; its first byte says how many. :func:`tokens_before` and :func:`longest_within` read it. Two
     answers come along: the tokens of the first ``chars`` code points (of all where there are fewer), and the code points
-    of the longest prefix of at most ``budget`` tokens. A null text is empty: no bytes, no tokens. Very long texts are
+    of the longest prefix of at most ``budget`` tokens. Without ``prefixes`` only the answers are kept, and ``prefix_tokens``
+    is null. A null text is empty: no bytes, no tokens. Very long texts are
     worked on by themselves, words without a place to cut by the tokenizer's own words. Repeated rows are each counted; a
     null doc_id is kept. Other columns are left out.
     """
@@ -193,7 +192,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, chars: int = 1024, budget: in
                 for i in np.nonzero(n_tokens > budget)[0]:
                     within[i] = np.nonzero(sums[start[i] : end[i]] - sums[start[i]] <= budget)[0][-1]
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, b - a), pc.fill_null(pc.binary_length(part), 0).cast(pa.int64()), pa.array(n_tokens), packed(changes, offsets), pa.array(before), pa.array(within)],
+                    [batch.column("doc_id").slice(a, b - a), pc.fill_null(pc.binary_length(part), 0).cast(pa.int64()), pa.array(n_tokens), packed(changes, offsets) if prefixes else pa.nulls(b - a, pa.binary()), pa.array(before), pa.array(within)],
                     names=[x.split()[0] for x in SCHEMA.split(", ")],
                 )
 
