@@ -1,7 +1,7 @@
 """Token ids in ORC files: integer run-length encoding, row indexes and Bloom filters on document ids.
 
-Files are written in ascending document order. Each row keeps where its ids start in its file, so a reader needs only one
-number a file, the ids in all files before it, to place any document. Spark reads the stripes of a file in parallel, and a
+Files are written in ascending document order. Each row keeps where its ids start among its task's, so a reader needs only
+one number a file, the ids in all files before it less its first row's place, to place any document. Spark reads the stripes of a file in parallel, and a
 filter on ``doc_id`` skips files, stripes and row groups by their statistics and Bloom filters.
 """
 
@@ -63,10 +63,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # The least doc_id of a file orders the files; a null sorts first, as it was written.
     files = rows.groupBy("file").agg(
         F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"), F.max("doc_id").alias("most"),
-        F.sum("n_ids").alias("n"),
+        F.sum("n_ids").alias("n"), F.min("file_start").alias("first"),
     )
     before = Window.orderBy(F.desc("nulls"), "least", "most", "file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).checkpoint()
+    # A task that writes several files goes on counting, so a file's own first place is not always zero.
+    files = files.select("file", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("before")).checkpoint()
     # One row a file. Ids need not be shuffled to meet them unless there are very many files.
     files = F.broadcast(files) if files.count() <= FILES_BROADCAST else files
     return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "ids")
