@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auralake.llm.sharding import free_prefix
 from auralake.session import shared_dir
 
 #: Hexadecimal digits of a sha1 that make a uniform number: 52 bits, which a double holds exactly.
@@ -56,6 +57,7 @@ def poisson_mix(docs: DataFrame, targets: DataFrame, seed: int, total: int | Non
     """
     shared_dir(docs.sparkSession)
     docs = docs.drop("copy", "shuffle_key")
+    own = free_prefix(docs)
     counts = docs.groupBy(F.col(source).alias("__s")).agg(F.count(F.lit(1)).alias("n"))
     wanted = targets.filter("weight > 0").select(F.col("source").alias("__t"), F.col("weight").cast("double").alias("weight"))
     rates = counts.join(wanted, F.col("__s").eqNullSafe(F.col("__t")))
@@ -66,12 +68,13 @@ def poisson_mix(docs: DataFrame, targets: DataFrame, seed: int, total: int | Non
     rates = rates.select("__s", (F.col("weight") / F.col("all_weight") * size / F.col("n")).alias("rate"))
     rates = poisson_steps(rates.filter("rate > 0")).checkpoint()
     # One row a source. Texts need not be shuffled to meet their rates unless there are very many sources.
-    if (rates.agg(F.sum(F.size("__steps") + 10)).first()[0] or 0) <= STEPS_BROADCAST:
-        rates = F.broadcast(rates)
-    drawn = docs.join(rates, docs[source].eqNullSafe(rates["__s"])).withColumn("__u", uniform(F.lit(seed), F.lit("draw"), F.col(key)))
-    copies = F.size(F.filter("__steps", lambda x: x <= F.col("__u")))
-    drawn = drawn.withColumn("__n", copies).drop("__s", "__steps", "__u").filter("__n > 0")
-    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    few = (rates.agg(F.sum(F.size("__steps") + 10)).first()[0] or 0) <= STEPS_BROADCAST
+    rates = rates.select(F.col("__s").alias(f"{own}s"), F.col("__steps").alias(f"{own}steps"))
+    rates = F.broadcast(rates) if few else rates
+    drawn = docs.join(rates, docs[source].eqNullSafe(rates[f"{own}s"])).withColumn(f"{own}u", uniform(F.lit(seed), F.lit("draw"), F.col(key)))
+    copies = F.size(F.filter(f"{own}steps", lambda x: x <= F.col(f"{own}u")))
+    drawn = drawn.withColumn(f"{own}n", copies).drop(f"{own}s", f"{own}steps", f"{own}u").filter(F.col(f"{own}n") > 0)
+    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(f"{own}n") - 1))).drop(f"{own}n")
     drawn = drawn.withColumn("shuffle_key", uniform(F.lit(seed), F.lit("place"), F.col(key), F.col("copy")))
     # The key is uniform, so hashing it spreads rows evenly whatever their sources, and no sampling pass is needed.
     return drawn.repartition("shuffle_key").sortWithinPartitions("shuffle_key", key)

@@ -24,6 +24,14 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """What no column's name begins with, for columns that come and go."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def split_level(cells: DataFrame, above: int, depth: int, limit: int) -> DataFrame:
     """For each occupied prefix of ``depth`` bits (``cell``, ``bytes``) the bucket it belongs to.
 
@@ -53,27 +61,29 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", size: Co
     """
     shared_dir(docs.sparkSession)
     size = F.octet_length(F.col("text")) if size is None else size
-    docs = docs.drop("shard", "depth", "shard_bytes", "__h").withColumn("__h", key_hash(F.col(key)))
-    rows = docs.select(F.col("__h").alias("h"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"))
+    own = free_prefix(docs)
+    docs = docs.drop("shard", "depth", "shard_bytes").withColumn(f"{own}h", key_hash(F.col(key)))
+    rows = docs.select(F.col(f"{own}h").alias("h"), F.coalesce(size, F.lit(0)).cast("long").alias("bytes"))
     above, depth, bucket = -1, first_bits, None
     while True:
         level = rows.groupBy(F.shiftright("h", HASH_BITS - depth).alias("cell")).agg(F.sum("bytes").alias("bytes"))
         level = split_level(level, above, depth, limit).checkpoint()
         final = depth == HASH_BITS
         found = level if final else level.filter(~F.col("over"))
-        found = found.select(F.col("cell").alias(f"__c{depth}"), F.struct("depth", "prefix", "shard_bytes").alias(f"__b{depth}"))
-        docs = docs.withColumn(f"__c{depth}", F.shiftright("__h", HASH_BITS - depth)).join(found, f"__c{depth}", "left").drop(f"__c{depth}")
-        bucket = F.col(f"__b{depth}") if bucket is None else F.coalesce(bucket, F.col(f"__b{depth}"))
+        cell, best = f"{own}c{depth}", f"{own}b{depth}"
+        found = found.select(F.col("cell").alias(cell), F.struct("depth", "prefix", "shard_bytes").alias(best))
+        docs = docs.withColumn(cell, F.shiftright(f"{own}h", HASH_BITS - depth)).join(found, cell, "left").drop(cell)
+        bucket = F.col(best) if bucket is None else F.coalesce(bucket, F.col(best))
         largest = None if final else level.filter("over").agg(F.max("shard_bytes").alias("m")).first()["m"]
         if largest is None:
             break
         over = level.filter("over").select(F.col("cell").alias("over"))
         rows = rows.join(over, F.shiftright("h", HASH_BITS - depth) == F.col("over"), "left_semi")
         above, depth = depth, min(HASH_BITS, depth + math.ceil(math.log2(largest / limit)) + 2)
-    docs = docs.withColumn("__b", bucket)
-    bits = F.when(F.col("__b.depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(__b.prefix), __b.depth, '0')"))
-    docs = docs.withColumns({"shard": bits, "depth": F.col("__b.depth").cast("int"), "shard_bytes": F.col("__b.shard_bytes")})
-    return docs.drop(*[c for c in docs.columns if c.startswith("__")])
+    docs = docs.withColumn(f"{own}b", bucket)
+    bits = F.when(F.col(f"{own}b.depth") == 0, F.lit("")).otherwise(F.expr(f"lpad(bin({own}b.prefix), {own}b.depth, '0')"))
+    docs = docs.withColumns({"shard": bits, "depth": F.col(f"{own}b.depth").cast("int"), "shard_bytes": F.col(f"{own}b.shard_bytes")})
+    return docs.drop(*[c for c in docs.columns if c.startswith(own)])
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
