@@ -21,6 +21,8 @@ from auralake.session import shared_dir
 
 #: Leading principal dimensions of the grid, vectors of an interval and of what is compared at once.
 GRID_DIMS, INTERVAL_ROWS, LEAF_ROWS = 4, 2048, 256
+#: A grid cell's least side: where only vectors of one direction link, cells need a size all the same.
+LEAST_WIDTH = 1e-3
 BLOCK = "label long, dims int, block long, low array<double>, high array<double>, nodes array<long>, weights array<long>, vectors binary, places binary"
 
 
@@ -183,15 +185,16 @@ def near_dedup(table: DataFrame, least: float = 0.93, grid_dims: int = GRID_DIMS
     """
     shared_dir(table.sparkSession)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    width = max(reach, LEAST_WIDTH)
     table = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long"))
     usable = comparable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     nodes = table.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")).checkpoint()
     distinct = nodes.select("node", "label", "weight", F.size("embedding").alias("dims"), "embedding")
     axes = principal_dimensions(distinct, grid_dims)
-    blocks = intervals(distinct, axes, reach, rows).checkpoint()
+    blocks = intervals(distinct, axes, width, rows).checkpoint()
     # Boxes alone decide which intervals meet; their first dimension's cells make it an equality.
     def cells(more: int) -> Column:
-        cell = lambda side: F.floor(F.element_at(side, 1) / reach)
+        cell = lambda side: F.floor(F.element_at(side, 1) / width)
         return F.explode(F.sequence(cell("low") - more, cell("high") + more)).alias("cell")
 
     own = blocks.select("label", "dims", "block", "low", "high", cells(0))

@@ -662,11 +662,60 @@ def test_extendible_hashing_against_splitting(spark, docs, empty, first_bits):
     assert sharding.extendible_shards(empty, limit).count() == 0
 
 
+def test_no_column_is_lost(spark):
+    """Columns named as operators might name their own stay, whatever they begin with."""
+    names = ["__h", "__c12", "__b", "__n", "__u", "__s", "__steps", "___x", "__K1"]
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"), *[F.lit(n).alias(n) for n in names])
+    for out in (sharding.extendible_shards(df, 7, first_bits=2), mixing.poisson_mix(df, mixing.tempered_targets(df, 2.0), 1, total=80)):
+        assert set(df.columns) < set(out.columns) and len(set(out.columns)) == len(out.columns)
+        assert all(r[n] == n for r in out.collect() for n in names)
+
+
 def test_shards_are_written(spark, docs, tmp_path):
     sharding.write_shards(sharding.extendible_shards(docs, 20000), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == docs.count()
 
 
+def test_token_files_of_few_rows_each_place_documents_right(spark, docs, tmp_path):
+    """Spark may cut a task's rows into several files; starts count all ids before all the same."""
+    rows = docs.filter("doc_id is not null").select("doc_id", "text").distinct()
+    whole, cut = f"{tmp_path}/whole", f"{tmp_path}/cut"
+    token_files.write_token_files(rows, whole, WORDS, 2)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        token_files.write_token_files(rows, cut, WORDS, 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    read = lambda path: sorted((tuple(r) for r in token_files.digests(token_files.read_token_files(spark, path)).collect()), key=lambda r: (r[1], r[0]))
+    found = read(cut)
+    assert len(list((tmp_path / "cut").glob("*.orc"))) > len(found) / 8 and found == read(whole)
+    assert [r[1] for r in found] == [sum(n for _, _, n, _ in found[:i]) for i in range(len(found))]
+
+
+def test_orc_files_have_what_lookups_need(spark, tmp_path):
+    """Bloom filters and row indexes on doc_id, run-length encoded ids, and a lookup that reads few rows of a file."""
+    df = spark.range(40_000).select((F.col("id") * 2).alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1)
+    path = f"{tmp_path}/o"
+    token_files.write_token_files(df, path, WORDS, 2, {"orc.stripe.size": "65536"})
+    files = sorted((tmp_path / "o").glob("*.orc"))
+    meta = [pyarrow.orc.ORCFile(str(f)) for f in files]
+    assert sum(m.nrows for m in meta) == 40_000 and sum(m.nstripes for m in meta) > len(files)
+    jvm = spark._jvm
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(jvm.org.apache.hadoop.conf.Configuration()))
+        assert reader.getRowIndexStride() == 1000
+        records = reader.rows()
+        for stripe in reader.getStripes():
+            footer = records.readStripeFooter(stripe)
+            kinds = {(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()}
+            assert ("BLOOM_FILTER_UTF8", 1) in kinds and ("ROW_INDEX", 1) in kinds
+            # Ids are the list's elements, column 5: integer runs of the second version.
+            assert {footer.getColumnsList()[k].getKind().toString() for k in (1, 5)} == {"DIRECT_V2"}
+        records.close()
+    found = spark.read.schema(token_files.FILE_SCHEMA).orc(path).filter("doc_id = 20000")
+    assert found.count() == 1 and spark.read.schema(token_files.FILE_SCHEMA).orc(path).filter("doc_id = 20001").count() == 0
+
+
 # 9 Token counts
 
 
@@ -702,8 +751,17 @@ def test_prefix_counts_of_long_pieces(kind):
 
 def test_prefix_counts_by_words_are_those_of_the_library():
     store = token_counts.PrefixStore(BYTES)
-    for text in ["".join(t) for t in zip(*[odd_texts(600, s) for s in (11, 12)])]:
-        assert not text or store.of_piece(text) == store.by_library(text)
+    hard = ["\u00a0", "\u2003", "\r", "\r\n", "'", "'s", "'S", "’s", "''ll", "<|", "|>", "<|endoftext|", " <|endoftext|>", "0", "²", "é'", "\u200d", "ﬁ", "한", " \t", "\ufeff", "A", "x9"]
+    rnd = random.Random(8)
+    texts = ["".join(t) for t in zip(*[odd_texts(600, s) for s in (11, 12)])] + ["".join(rnd.choice(hard + ODD) for _ in range(rnd.randint(1, 25))) for _ in range(3000)]
+    for text in texts:
+        assert not text or store.of_piece(text) == store.by_library(text), text
+    # Pieces of any length go one way: the library counts no prefix but those of words that an apostrophe begins.
+    seen = []
+    store = token_counts.PrefixStore(BYTES)
+    store.by_library = lambda piece, by=store.by_library: seen.append(piece) or by(piece)
+    store.encode(pa.array(texts))
+    assert set(seen) <= set(token_counts.SHORTENED)
 
 
 def test_prefix_counts_with_the_longest_tokens_inside_words():
@@ -749,6 +807,11 @@ def vectors(seed=4):
     return rows + [(None, rows[0][1], 0)]
 
 
+def test_only_one_direction_links_at_similarity_one(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0], 0), (2, [3.0, 4.0], 0), (3, [6.0, 8.0], 0), (4, [4.0, 3.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.component_id for r in embeddings.near_dedup(df, least=1.0).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 @pytest.mark.parametrize("interval", [7, 2048])
 def test_embedding_links_against_all_pairs(spark, interval):
     rows = vectors()
