@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions import scalars as S
+from auralake.session import shared_dir
 
 TARGETS = {"snr_out": 15.0, "stoi": 0.85, "pesq_wb": 2.5}
 
@@ -191,6 +192,54 @@ def paired_ci(pairs: DataFrame, by: list[str], cluster: str, deltas: list[str],
     return means.join(ends, by) if by else means.crossJoin(ends)
 
 
+# Quantiles of groups of any size.
+
+
+def running_weights(df: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
+    """(by, value, w, before, total) of each distinct value: its weight, that of smaller values, and its group's.
+
+    Rows are summed by value, dealt by ranges of (by, value) and added up within their range; a window sees one row a range
+    of a group. So a group of any size is spread. Ranges are checkpointed, that all sums are of the same.
+    """
+    shared_dir(df.sparkSession)
+    sums = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.sum(weight).alias("w")).filter("w > 0")
+    dealt = sums.repartitionByRange(*by, value).withColumn("__range", F.spark_partition_id()).checkpoint()
+    parts = dealt.groupBy("__range", *by).agg(F.sum("w").alias("__part"))
+    group = Window.partitionBy(*by).orderBy("__range")
+    earlier = F.coalesce(F.sum("__part").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    parts = parts.select("__range", *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], earlier, F.sum("__part").over(Window.partitionBy(*by)).alias("total"))
+    own = Window.partitionBy("__range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("__own", F.coalesce(F.sum("w").over(own), F.lit(0)))
+    same = functools.reduce(Column.__and__, [rows[c].eqNullSafe(parts[f"__by{i}"]) for i, c in enumerate(by)], rows["__range"] == parts["__range"])
+    return rows.join(parts, same).select(*by, value, "w", (F.col("__own") + F.col("__before")).alias("before"), "total")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(by, n, and one column for each of ``at``): quantiles by linear interpolation; nulls and NaN are left out.
+
+    Infinite values count. For groups that are many or overlap, and for groups that hold most of the rows.
+    """
+    rows, out = running_weights(df, by, value, F.lit(1)), []
+    for name, q in at.items():
+        place = q * (F.col("total") - 1)
+        # The values at the places around it: each row stands at places from ``before`` on, as often as it occurs.
+        holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("w"))
+        low, high = (F.max(F.when(holds(k), F.col(value))) for k in (F.floor(place), F.ceil(place)))
+        part = F.max(place - F.floor(place))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * part).alias(name))
+    return rows.groupBy(*by).agg(F.max("total").alias("n"), *out)
+
+
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, at: dict[str, float]) -> DataFrame:
+    """(by, weight, and one column for each of ``at``): the least value at which the weight reaches that share of the group's.
+
+    Rows without a positive weight are left out.
+    """
+    rows = running_weights(df, by, value, F.greatest(F.col(weight), F.lit(0)))
+    reached = lambda q: F.min(F.when(F.col("before") + F.col("w") >= q * F.col("total"), F.col(value)))
+    return rows.groupBy(*by).agg(F.max("total").alias("weight"), *[reached(q).alias(name) for name, q in at.items()])
+
+
 # Areas under the curve.
 
 

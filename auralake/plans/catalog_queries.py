@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auralake.functions import scalars as S
 from auralake.operators import catalog as C
+from auralake.operators import digests as D
 from auralake.operators import tables as T
 from auralake.plans.base import HASH8, MANIFEST, Tables, query
 
@@ -121,6 +122,31 @@ def content_digest(t: Tables) -> DataFrame:
     return C.content_digest(t.manifest, F.concat_ws(",", "source_id", "sha1", "split"), ["corpus"])
 
 
+#: The tree of a CTE ``lines`` (corpus, key, line), as in the operator.
+TREE = """leaves AS (SELECT corpus, substr(sha1(key), 1, 3) AS node, sha256(string_agg(sha256(line), chr(10) ORDER BY sha256(line))) AS digest, count(*) AS n FROM lines GROUP BY ALL),
+l2 AS (SELECT corpus, substr(node, 1, 2) AS node, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node)) AS digest, sum(n) AS n FROM leaves GROUP BY corpus, substr(leaves.node, 1, 2)),
+l1 AS (SELECT corpus, substr(node, 1, 1) AS node, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node)) AS digest, sum(n) AS n FROM l2 GROUP BY corpus, substr(l2.node, 1, 1)),
+l0 AS (SELECT corpus, '' AS node, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node)) AS digest, sum(n) AS n FROM l1 GROUP BY corpus)"""
+
+
+@query(M + f""", lines AS (SELECT corpus, source_id AS key, source_id || ',' || sha1 || ',' || split AS line FROM manifest), {TREE}
+SELECT corpus, node, digest, n::BIGINT AS n FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM leaves)""")
+def block_digests(t: Tables) -> DataFrame:
+    """Each corpus' rows as a tree of digests over fixed blocks, its root first; no corpus is in one task."""
+    return D.line_tree(t.manifest, F.concat_ws(",", "source_id", "sha1", "split"), F.col("source_id"), ["corpus"])
+
+
+@query(M + """, a AS (SELECT corpus, source_id, source_id || ',' || sha1 || ',' || split AS line FROM manifest WHERE pos % 97 <> 5),
+b AS (SELECT corpus, source_id, source_id || ',' || sha1 || ',' || CASE WHEN pos % 89 = 3 THEN 'held' ELSE split END AS line FROM manifest WHERE pos % 83 <> 7)
+SELECT coalesce(a.corpus, b.corpus) AS corpus, coalesce(a.source_id, b.source_id) AS key, CASE WHEN a.line IS NULL THEN 'added' WHEN b.line IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b USING (corpus, source_id) WHERE a.line IS DISTINCT FROM b.line""")
+def block_changes(t: Tables) -> DataFrame:
+    """What differs between two versions of a manifest, found by descending from their digests."""
+    m, line = t.manifest, F.concat_ws(",", "source_id", "sha1", "split")
+    later = m.filter("pos % 83 <> 7").withColumn("split", F.when(F.col("pos") % 89 == 3, "held").otherwise(F.col("split")))
+    return D.changed_lines(m.filter("pos % 97 <> 5"), later, line, F.col("source_id"), ["corpus"])
+
+
 @query(M + """, s AS (SELECT *, sum(duration_s) OVER (PARTITION BY corpus ORDER BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM manifest)
 SELECT corpus, count(*) AS clips, round(sum(duration_s), 9) AS seconds FROM s WHERE coalesce(before, 0) < 2.0 GROUP BY corpus""")
 def hours_cap(t: Tables) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions import scalars as S
@@ -370,6 +370,44 @@ def trace_summary(t: Tables) -> DataFrame:
     return t.fact.groupBy("noise_class").agg(r9(F.sum(F.col("snr_out") * F.col("stoi")) / F.sum("stoi")).alias("weighted"), r9(F.avg((F.col("snr_out") > 25).cast("int"))).alias("share"), r9(X.quantiles("snr_out", 0.9)[0]).alias("q90"))
 
 
+#: Scenes that overlap: all items, those of a class, those with a fault and those at low SNR.
+SCENES = """scenes AS (SELECT *, unnest(list_filter(['all', noise_class, CASE WHEN fault IS NOT NULL THEN 'fault' END, CASE WHEN snr_in < 0 THEN 'low' END], lambda x: x IS NOT NULL)) AS scene FROM fact),
+cells AS (SELECT scene, id, snr_out, unnest(['snr_out', 'stoi', 'pesq_wb', 'recovery_s']) AS metric, unnest([snr_out, stoi, pesq_wb, recovery_s]) AS x FROM scenes)"""
+
+
+def scene_cells(t: Tables) -> DataFrame:
+    """A row for each metric of each item in each of its scenes."""
+    scene = F.explode(F.array_compact(F.array(F.lit("all"), "noise_class", F.when(F.col("fault").isNotNull(), "fault"), F.when(F.col("snr_in") < 0, "low")))).alias("scene")
+    cell = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in (*METRICS, "recovery_s")])).alias("cell")
+    return t.fact.select("*", scene).select("scene", "id", "snr_out", cell).select("scene", "id", "snr_out", "cell.*")
+
+
+@query(W + ", " + SCENES + """ SELECT scene, metric, count(x) AS n, round(quantile_cont(x, 0.1), 6) AS q10, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.9), 6) AS q90
+FROM cells WHERE x IS NOT NULL AND isfinite(x) GROUP BY scene, metric""")
+def scene_quantiles(t: Tables) -> DataFrame:
+    """Exact quantiles of each metric over overlapping scenes, the one of all items no window of its own."""
+    found = X.exact_quantiles(scene_cells(t).filter(S.finite("x")), ["scene", "metric"], "x", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    return found.select("scene", "metric", "n", *[r9(F.col(q)).alias(q) for q in ("q10", "q50", "q90")])
+
+
+@query(W + ", " + SCENES + """, r AS (SELECT scene, metric, x, id % 5 AS w, sum(id % 5) OVER (PARTITION BY scene, metric ORDER BY x) AS upto, sum(id % 5) OVER (PARTITION BY scene, metric) AS total FROM cells WHERE x IS NOT NULL AND isfinite(x))
+SELECT scene, metric, max(total)::BIGINT AS weight, round(min(CASE WHEN w > 0 AND upto >= 0.5::DOUBLE * total THEN x END), 6) AS median, round(min(CASE WHEN w > 0 AND upto >= 0.9::DOUBLE * total THEN x END), 6) AS q90 FROM r WHERE total > 0 GROUP BY scene, metric""")
+def scene_weighted_quantiles(t: Tables) -> DataFrame:
+    """Weighted quantiles over overlapping scenes."""
+    rows = scene_cells(t).filter(S.finite("x")).withColumn("w", F.col("id") % 5)
+    found = X.weighted_quantiles(rows, ["scene", "metric"], "x", "w", {"median": 0.5, "q90": 0.9})
+    return found.select("scene", "metric", "weight", r9(F.col("median")).alias("median"), r9(F.col("q90")).alias("q90"))
+
+
+@query(W + """, p AS (SELECT noise_class, CASE WHEN 25 * stoi >= snr_out AND 25 * stoi >= 10 * pesq_wb THEN 'stoi' WHEN snr_out >= 10 * pesq_wb THEN 'snr_out' ELSE 'pesq_wb' END AS part, snr_out AS w FROM fact)
+SELECT noise_class, part, count(*) AS n, round(sum(w) / sum(sum(w)) OVER (PARTITION BY noise_class), 6) AS share FROM p GROUP BY noise_class, part""")
+def dominance_shares(t: Tables) -> DataFrame:
+    """Of each scene's weight, the share of items by the largest of their parts."""
+    parts = F.array(F.struct((25 * F.col("stoi")).alias("v"), F.lit(3).alias("o"), F.lit("stoi").alias("p")), F.struct(F.col("snr_out").alias("v"), F.lit(2).alias("o"), F.lit("snr_out").alias("p")), F.struct((10 * F.col("pesq_wb")).alias("v"), F.lit(1).alias("o"), F.lit("pesq_wb").alias("p")))
+    sums = t.fact.groupBy("noise_class", F.array_max(parts)["p"].alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("snr_out").alias("w"))
+    return sums.withColumn("share", r9(F.col("w") / F.sum("w").over(Window.partitionBy("noise_class")))).drop("w")
+
+
 @query(W + """, e AS (SELECT cluster AS run, row_number() OVER (PARTITION BY cluster ORDER BY system, bucket, id) AS epoch, stoi, snr_out > 20 AS ok FROM fact)
 SELECT run, arg_max(epoch, stoi * 1000000 - epoch)::BIGINT AS epoch, round(max(stoi), 6) AS stoi FROM e WHERE ok GROUP BY run""")
 def best_checkpoint(t: Tables) -> DataFrame:
