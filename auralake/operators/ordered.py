@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auralake.functions import scalars as S
+from auralake.streaming import machines as M
 
 BEFORE = (Window.unboundedPreceding, -1)
 UPTO = (Window.unboundedPreceding, 0)
@@ -35,16 +35,10 @@ def rises(df: DataFrame, by: list[str], order: list[str], level: str, look: int,
 def refractory(df: DataFrame, by: list[str], time: str, gap: float) -> DataFrame:
     """(by, time): candidates that lie at least ``gap`` after the last one accepted.
 
-    What is accepted depends on what was, so each group's times are folded in order; a group holds candidates only.
+    What is accepted depends on what was, so each group's times are walked in order; a task holds one time.
     """
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.lit(None).cast("double").alias("last"))
-
-    def step(acc: Column, t: Column) -> Column:
-        take = acc["last"].isNull() | (t - acc["last"] >= gap)
-        return F.struct(F.when(take, F.concat(acc["kept"], F.array(t))).otherwise(acc["kept"]).alias("kept"), F.when(take, t).otherwise(acc["last"]).alias("last"))
-
-    times = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("t"))
-    return times.select(*by, F.explode(F.aggregate("t", start, step, lambda acc: acc["kept"])).alias(time))
+    times = df.select(*by, F.col(time).cast("double").alias("at")).filter("at is not null")
+    return M.over_batch(times, M.Refractory(gap), by, "at").filter("kept").select(*by, F.col("at").alias(time))
 
 
 def since_reconnect(df: DataFrame, by: list[str], order: str, available: str, ramp: int) -> DataFrame:
@@ -63,42 +57,16 @@ def frame_validity(df: DataFrame, by: list[str], order: str, available: str, win
     return rows.filter((F.col(order) + 1) % hop == 0).select(*by, (((F.col(order) + 1) / hop).cast("long") - 1).alias("frame"), "valid")
 
 
-def fold(df: DataFrame, by: list[str], order: str, value: str, start: Column, step, name: str) -> DataFrame:
-    """(by, order, value, name): a recursive filter's state after each row, folded in order within each group.
-
-    A group is one stream or recording; its values meet in one array, as each state needs the one before.
-    """
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("rows"))
-    first = F.struct(F.array().cast("array<struct<o:bigint,x:double,y:double>>").alias("out"), start.alias("state"))
-
-    def add(acc: Column, row: Column) -> Column:
-        state = step(acc["state"], row["x"])
-        entry = F.struct(row["o"].cast("bigint").alias("o"), row["x"].alias("x"), state.alias("y"))
-        return F.struct(F.concat(acc["out"], F.array(entry)).alias("out"), state.alias("state"))
-
-    out = rows.select(*by, F.explode(F.aggregate("rows", first, add, lambda acc: acc["out"])).alias("r"))
-    return out.select(*by, F.col("r.o").alias(order), F.col("r.x").alias(value), F.col("r.y").alias(name))
-
-
 def smoothed(df: DataFrame, by: list[str], order: str, value: str, attack: float, release: float) -> DataFrame:
-    """A one-pole smoother that rises with one coefficient and falls with another; it starts at the first value."""
-
-    def step(state: Column, x: Column) -> Column:
-        keep = F.when(x > state, attack).otherwise(release)
-        return F.when(state.isNull(), x).otherwise(keep * state + (1 - keep) * x)
-
-    return fold(df, by, order, value, F.lit(None).cast("double"), step, "smooth")
+    """(by, order, smooth): a one-pole smoother that rises with one coefficient and falls with another, from the first value on."""
+    return M.over_batch(df.select(*by, order, F.col(value).cast("double").alias("x")), M.OnePole(attack, release), by, order)
 
 
 def stale_after(df: DataFrame, by: list[str], order: str, value: str, min_delta: float) -> DataFrame:
-    """Adds ``stale``: rows in a row, up to each, that did not beat the best before them by more than ``min_delta``."""
-    def step(state: Column, x: Column) -> Column:
-        better = S.finite(x) & (x > state["best"] + min_delta)
-        return F.struct(F.when(better, x).otherwise(state["best"]).alias("best"), F.when(better, F.lit(0)).otherwise(state["stale"] + 1).alias("stale"))
-
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("rows"))
-    start = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("stale"))
-    return rows.select(*by, F.aggregate("rows", start, lambda acc, r: step(acc, r["x"])).alias("s"), F.size("rows").alias("epochs")).select(*by, "epochs", "s.best", "s.stale")
+    """(by, epochs, best, stale): rows in a row, up to the last, that did not beat the best before them by more than ``min_delta``."""
+    walked = M.over_batch(df.select(*by, order, F.col(value).cast("double").alias("score")), M.Patience(min_delta), by, order)
+    last = F.max_by(F.struct("best", "stale"), order).alias("s")
+    return walked.groupBy(*by).agg(F.count(F.lit(1)).alias("epochs"), last).select(*by, "epochs", "s.best", "s.stale")
 
 
 def finish_times(df: DataFrame, by: list[str], order: list[str], arrival: str, work: str) -> DataFrame:

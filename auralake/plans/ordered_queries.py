@@ -125,7 +125,7 @@ def hop_frames(t: Tables) -> DataFrame:
     return hops(t).groupBy("user_id", F.floor(F.col("idx") / 8).alias("hop")).agg(F.count(F.lit(1)).alias("n"), r9(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("rms"), (F.count(F.lit(1)) == 8).alias("whole"))
 
 
-@query(W + """ SELECT user_id, k AS frame, count(*) AS n, round(avg(value), 6) AS mean FROM hops, range(0, 40) r(k) WHERE idx >= k * 4 AND idx < k * 4 + 12 GROUP BY ALL""")
+@query(W + """ SELECT user_id, k AS frame, count(*) AS n, round(avg(value), 6) AS mean FROM hops, range(0, (SELECT max(idx) // 4 + 1 FROM hops)) r(k) WHERE idx >= k * 4 AND idx < k * 4 + 12 GROUP BY ALL""")
 def sliding_frames(t: Tables) -> DataFrame:
     """Windows of twelve samples every four: each sample goes to the frames that hold it."""
     first, last = F.greatest(F.lit(0), F.ceil((F.col("idx") - 11) / 4)), F.floor(F.col("idx") / 4)
@@ -142,7 +142,8 @@ def day_windows(t: Tables) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), r9(F.sum("value")).alias("total"), F.bit_or(kind).alias("flags")).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", "total", "flags")
 
 
-@query("""WITH g AS (SELECT user_id, k FROM (SELECT DISTINCT user_id FROM events), range(30) r(k)), a AS (SELECT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) AS k, min(epoch(ts)) AS s FROM events GROUP BY ALL)
+@query("""WITH span AS (SELECT min(date_diff('day', TIMESTAMP '2024-01-01', ts)) AS low, max(date_diff('day', TIMESTAMP '2024-01-01', ts)) AS high FROM events),
+g AS (SELECT user_id, k FROM (SELECT DISTINCT user_id FROM events), span, range((SELECT low FROM span), (SELECT high + 1 FROM span)) r(k)), a AS (SELECT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) AS k, min(epoch(ts)) AS s FROM events GROUP BY ALL)
 SELECT g.user_id, g.k, CASE WHEN a.s IS NULL THEN 'lost' WHEN a.s - epoch(TIMESTAMP '2024-01-01') - g.k * 86400 <= 43200 THEN 'on time' ELSE 'late' END AS route FROM g LEFT JOIN a USING (user_id, k)""")
 def period_routing(t: Tables) -> DataFrame:
     """Every period of every stream, from the first to the last that any has: played on time, late or lost."""

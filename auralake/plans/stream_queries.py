@@ -91,14 +91,34 @@ def speech_detector(t: Tables) -> DataFrame:
     return out.withColumn("floor", r9(F.col("floor")))
 
 
-@query()
+FLOOR = "CASE WHEN b.level < r.floor THEN b.level ELSE r.floor + 0.5::DOUBLE END"
+LOUD = f"b.level > {FLOOR} + 6"
+
+
+@query(W + f""", b AS (SELECT user_id, idx, value AS level, value - CASE WHEN idx % 9 < 5 THEN 40 ELSE 5 END AS low FROM hops),
+r(user_id, idx, floor, hang, active, run, gone, fallback, speech) AS (SELECT user_id, idx, level, 0, false, 0, 0, false, false FROM b WHERE idx = 0 UNION ALL
+ SELECT b.user_id, b.idx, {FLOOR}, CASE WHEN {LOUD} THEN 2 ELSE greatest(r.hang - 1, 0) END,
+  CASE WHEN r.active THEN r.gone > 1 ELSE ({LOUD} OR r.hang > 0) AND b.low < b.level - 25 AND r.run + 1 > 3 END,
+  CASE WHEN r.active THEN CASE WHEN r.gone > 1 THEN r.run ELSE 0 END WHEN {LOUD} OR r.hang > 0 THEN CASE WHEN b.low < b.level - 25 AND r.run + 1 <= 3 THEN r.run + 1 ELSE 0 END ELSE r.run END,
+  CASE WHEN r.active THEN r.gone - 1 WHEN ({LOUD} OR r.hang > 0) AND b.low < b.level - 25 AND r.run + 1 > 3 THEN 6 ELSE r.gone END,
+  CASE WHEN r.active THEN r.gone > 1 ELSE ({LOUD} OR r.hang > 0) AND b.low < b.level - 25 AND r.run + 1 > 3 END, {LOUD} OR r.hang > 0
+ FROM r JOIN b ON b.user_id = r.user_id AND b.idx = r.idx + 1)
+SELECT user_id, idx, fallback, speech FROM r""")
 def never_vanish(t: Tables) -> DataFrame:
     """Fallbacks where the output stays far below the input through speech."""
     rows = hops(t).select("user_id", "idx", F.col("value").alias("level"), (F.col("value") - F.when(F.col("idx") % 9 < 5, 40).otherwise(5)).alias("out_level"))
     return M.over_batch(rows, M.NeverVanish(25.0, 3, 6, M.SpeechDetector(6.0, 0.5, 2)), ["user_id"], "idx")
 
 
-@query()
+#: Whether a row speaks against the state it meets.
+AGAINST = "CASE WHEN r.ok THEN b.corr > 0.97 AND b.ild < 1.0 ELSE b.corr < 0.9 OR b.ild > 2.0 END"
+
+
+@query(W + f""", b AS (SELECT user_id, idx, CASE WHEN idx % 10 < 6 THEN 0.99 ELSE 0.5 END AS corr, abs(value / 50) AS ild, value < 5 AS silent FROM hops),
+r(user_id, idx, ok, run) AS (SELECT user_id, -1::BIGINT, true, 0 FROM b WHERE idx = 0 UNION ALL
+ SELECT b.user_id, b.idx, CASE WHEN NOT b.silent AND {AGAINST} AND r.run + 1 >= 2 THEN NOT r.ok ELSE r.ok END,
+  CASE WHEN b.silent THEN r.run WHEN {AGAINST} AND r.run + 1 < 2 THEN r.run + 1 ELSE 0 END FROM r JOIN b ON b.user_id = r.user_id AND b.idx = r.idx + 1)
+SELECT user_id, idx, ok AS informative FROM r WHERE idx >= 0""")
 def informative_reference(t: Tables) -> DataFrame:
     """Whether a reference is more than a copy, with hysteresis and held through silence."""
     rows = hops(t).select("user_id", "idx", F.when(F.col("idx") % 10 < 6, 0.99).otherwise(0.5).alias("corr"), (F.col("value") / 50).alias("ild"), (F.col("value") < 5).alias("silent"))
@@ -114,7 +134,8 @@ def burst_gate(t: Tables) -> DataFrame:
     return M.over_batch(rows, M.BurstGate(12.0, 3, 5), ["user_id"], "idx").withColumn("gate", r9(F.col("gate")))
 
 
-@query()
+@query(W + """, b AS (SELECT user_id, idx, value > 95 AS missed FROM hops), m AS (SELECT *, max(CASE WHEN missed THEN idx END) OVER (PARTITION BY user_id ORDER BY idx) AS last FROM b)
+SELECT user_id, idx, CASE WHEN idx - last < 2 THEN 'raw' WHEN idx - last = 2 THEN 'fade' ELSE 'processed' END AS mode, CASE WHEN idx - last < 2 THEN 0.0::DOUBLE WHEN idx - last = 2 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM m""")
 def deadline_bypass(t: Tables) -> DataFrame:
     """Raw hops after a missed deadline, then a fade."""
     return M.over_batch(hops(t).withColumn("missed", F.col("value") > 95), M.Bypass(2), ["user_id"], "idx")

@@ -218,6 +218,66 @@ class ReconnectRamp(Machine):
         return (available, since), (since, gain)
 
 
+@dataclass(frozen=True)
+class Refractory(Machine):
+    """Candidates that lie at least ``gap`` after the last one accepted."""
+
+    gap: float = 1.0
+    inputs = ("at",)
+    state = "last double"
+    outputs = "kept boolean"
+
+    def start(self) -> tuple:
+        return (None,)
+
+    def step(self, state, at):
+        (last,) = state
+        kept = last is None or at - last >= self.gap
+        return (at if kept else last,), (kept,)
+
+
+@dataclass(frozen=True)
+class OnePole(Machine):
+    """A smoother that rises with one coefficient and falls with another; it starts at the first value, and anew after a missing one."""
+
+    attack: float = 0.5
+    release: float = 0.9
+    inputs = ("x",)
+    state = "y double"
+    outputs = "smooth double"
+
+    def start(self) -> tuple:
+        return (None,)
+
+    def step(self, state, x):
+        (y,) = state
+        if x is None or y is None:
+            y = x
+        else:
+            keep = self.attack if x > y else self.release
+            y = keep * y + (1 - keep) * x
+        return (y,), (y,)
+
+
+@dataclass(frozen=True)
+class Patience(Machine):
+    """The best score so far, and for how many in a row none has beaten it by more than ``min_delta``."""
+
+    min_delta: float = 0.0
+    inputs = ("score",)
+    state = "best double, stale int"
+    outputs = "best double, stale int"
+
+    def start(self) -> tuple:
+        return float("-inf"), 0
+
+    def step(self, state, score):
+        best, stale = state
+        better = score is not None and abs(score) < float("inf") and score > best + self.min_delta
+        state = (score, 0) if better else (best, stale + 1)
+        return state, state
+
+
 def names(ddl: str) -> list[str]:
     return [x.split()[0] for x in ddl.split(", ")]
 
