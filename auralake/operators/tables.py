@@ -20,6 +20,32 @@ def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
+def single(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The table, which fails the job that reads it where a key occurs more than once; a null is a key like others.
+
+    Rows are counted by the keys that a join on them deals rows by anyway, so the check costs no shuffle of its own and
+    no job beforehand.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.first(F.struct(*[F.col(c) for c in rest], F.lit(1).alias("__one"))).alias("__row"))
+    said = F.concat(F.lit("repeated key: "), F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]))
+    # A filter is never left out of a plan, whatever columns are asked for.
+    return rows.filter(F.when(F.col("__rows") > 1, F.raise_error(said).cast("boolean")).otherwise(True)).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
+def many_to_one(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join whose right side must not repeat a key; where it does, the job fails and names the key.
+
+    Where no column of the right side is asked for, a left join is no join: Spark leaves the right side out, and the check.
+    """
+    return df.join(single(other, keys), keys, how)
+
+
+def one_to_one(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join of which neither side may repeat a key."""
+    return single(a, keys).join(single(b, keys), keys, how)
+
+
 def paired(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], keep: list[str] = []) -> DataFrame:
     """Rows of both tables with one key: each metric as ``_a`` and ``_b`` and its difference ``d_``."""
     left = a.select(*keys, *keep, *[F.col(m).alias(f"{m}_a") for m in metrics])

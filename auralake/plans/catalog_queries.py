@@ -227,8 +227,8 @@ def hash_intersection(t: Tables) -> DataFrame:
 
 @query("SELECT d.doc_id, quality, toxic, coalesce(quality, -1) AS quality_or FROM documents d LEFT JOIN labels l USING (doc_id)")
 def annotation_join(t: Tables) -> DataFrame:
-    """Documents with their labels where they have some."""
-    return t.documents.select("doc_id").join(t.labels, "doc_id", "left").withColumn("quality_or", F.coalesce("quality", F.lit(-1)))
+    """Documents with their labels where they have some; labels that name a document twice would fail the job."""
+    return T.many_to_one(t.documents.select("doc_id"), t.labels, ["doc_id"]).withColumn("quality_or", F.coalesce("quality", F.lit(-1)))
 
 
 @query("""WITH a AS (SELECT source, regexp_extract(text, '^(\\S+ \\S+)', 1) AS head FROM documents),

@@ -229,3 +229,17 @@ def test_paired_intervals_leave_out_what_is_not_finite(spark):
     assert got.a_lo <= got.a <= got.a_hi and got.b_lo < got.b < got.b_hi
     empty = X.paired_ci(rows.limit(0), [], "c", ["a"], 10, 1).first()
     assert empty.a is None and empty.a_lo is None
+
+
+def test_validated_joins_fail_within_their_job(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    right = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "k int, w string")
+    assert {tuple(r) for r in T.many_to_one(left, right, ["k"]).collect()} == {(1, "a", "x"), (1, "b", "x"), (2, "c", None), (None, "d", None)}
+    twice = right.union(spark.createDataFrame([(3, "again")], "k int, w string"))
+    with pytest.raises(Exception, match="repeated key: 3"):  # though no row asks for it
+        T.many_to_one(left, twice, ["k"]).select("v", "w").collect()
+    with pytest.raises(Exception, match="repeated key: 1"):
+        T.one_to_one(left, right, ["k"]).collect()
+    assert [tuple(r) for r in T.one_to_one(left.filter("k = 2"), right.withColumn("k", F.col("k") - 1), ["k"]).collect()] == [(2, "c", "y")]
+    plan = T.many_to_one(left.repartition(3), twice.repartition(3), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
