@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from auralake.operators import catalog as C
 from auralake.operators import digests as D
 from auralake.operators import tables as T
 from auralake.plans.base import HASH8, MANIFEST, Tables, query
+from auralake.sources import scans
 
 M = "WITH " + MANIFEST
 
@@ -256,16 +259,12 @@ def scanned_files(t: Tables) -> DataFrame:
   CASE WHEN {HASH8.format("'dns-' || speaker")} % 10 < 8 THEN 'train' WHEN {HASH8.format("'dns-' || speaker")} % 10 = 8 THEN 'val' ELSE 'test' END AS split, '' AS sha1, '' AS noise_class FROM l""")
 def scan_speech(t: Tables) -> DataFrame:
     """A speech corpus whose files begin with their speaker."""
-    from auralake.sources import scans
-
     return scans.scan(scanned_files(t), scans.SCANS["dns_speech"]())
 
 
 @query("WITH " + SCANNED + f""", k AS (SELECT *, CASE lang WHEN 'de' THEN 'stationary' WHEN 'fr' THEN 'changing' END AS cls, regexp_replace(name, '_[0-9]+_?$', '') AS g FROM l) SELECT 'langs:' || lang || '/' || name AS source_id, 'langs-' || g AS group_id, cls AS noise_class, 'test' AS split FROM k WHERE cls IS NOT NULL""")
 def scan_noise(t: Tables) -> DataFrame:
     """A noise corpus whose folders name its classes, held out whole."""
-    from auralake.sources import scans
-
     rows = scans.scan(scanned_files(t), scans.noise_by_folder("langs", "CC BY 4.0", {"de": "stationary", "fr": "changing"}, split="test"))
     return rows.select("source_id", "group_id", "noise_class", "split")
 
@@ -273,7 +272,53 @@ def scan_noise(t: Tables) -> DataFrame:
 @query("WITH " + SCANNED + ", k AS (SELECT speaker FROM l WHERE lang = 'en' AND source = 'src1' EXCEPT SELECT speaker FROM l WHERE lang = 'es' AND source = 'src2') SELECT path FROM l WHERE lang = 'en' AND source = 'src1' AND speaker IN (SELECT speaker FROM k)")
 def scan_only_in(t: Tables) -> DataFrame:
     """Recordings whose key only one device has."""
-    from auralake.sources import scans
-
     files = scanned_files(t).filter(F.col("path").rlike("/src1/en/|/src2/es/"))
     return scans.only_in(files, F.split(scans.name_of(), "_")[0], F.col("path").contains("/src1/en/")).select("path")
+
+
+#: A listing with the annotations that scans read, from documents: names and folders in the shapes of several corpora.
+ANNOTATED = """f AS (SELECT doc_id, n_chars / 16000.0::DOUBLE AS duration_s, 'data/' || (['RIR', 'noise', 'speech'])[doc_id % 3 + 1] || '/r' || (doc_id % 7) || '/' || (['tr', 'tt', 'silence', 'p1'])[doc_id % 4 + 1] || '/' AS dir,
+  (['tr', 'tt', 'silence', 'p1'])[doc_id % 4 + 1] AS up1, 'r' || (doc_id % 7) AS up2, (['RIR', 'noise', 'speech'])[doc_id % 3 + 1] AS up3,
+  CASE doc_id % 5 WHEN 0 THEN 'ch01' WHEN 1 THEN 's' || doc_id % 9 || '_l_' || doc_id WHEN 2 THEN 'Nonverbal_' || doc_id WHEN 3 THEN 'clip_' || doc_id || '_3' ELSE 'a' || doc_id || '_x_y' END AS name,
+  (['dog', 'sneezing', 'footsteps', 'rain'])[doc_id % 4 + 1] AS category, CASE WHEN doc_id % 3 > 0 THEN (['Gunshot_and_gunfire', 'Wind', 'Guitar'])[doc_id % 6 // 2 + 1] END AS label, 'src' || (doc_id % 11) AS src_file,
+  (['http://creativecommons.org/licenses/by/3.0/', 'http://creativecommons.org/licenses/by-nc/3.0/', 'http://creativecommons.org/publicdomain/zero/1.0/', NULL])[doc_id % 4 + 1] AS file_licence,
+  CASE WHEN doc_id % 2 = 0 THEN 'up' || (doc_id % 13) END AS uploader, CASE WHEN doc_id % 2 = 0 THEN 'stationary' ELSE 'changing' END AS measured_class, sha1('c' || (doc_id % 17)) AS client_id, 25.0 + doc_id % 10 AS snr_db, (doc_id % 12)::DOUBLE AS cutoff_ratio FROM documents)"""
+
+# (scan, corpus, kind, licence, group, item, speaker, class, where) in SQL.
+SCAN_SQL = (
+    ("librispeech", "ls", "speech", "'CC BY 4.0'", "up2", "name", "up2", "''", "true"),
+    ("ears", "ears", "speech", "'CC BY-NC 4.0'", "up1", "up1 || '/' || name", "up1", "''", "NOT regexp_matches(lower(name), '^(nonverbal|vegetative|interjection)')"),
+    ("commonvoice_hi", "cv-hi", "speech", "'CC0 1.0'", "substr(client_id, 1, 16)", "name", "substr(client_id, 1, 16)", "''", "snr_db >= 30"),
+    ("lombard_grid", "lg", "speech", "'CC BY 4.0'", "split_part(name, '_', 1)", "name", "split_part(name, '_', 1)", "''", "regexp_matches(name, '^s[0-9]+_[lp]_')"),
+    ("dns_noise", "dns_noise", "noise", "'CC BY 4.0'", "regexp_replace(name, '_[0-9]+_?$', '')", "name", "''", "measured_class", "true"),
+    ("wham", "wham", "noise", "'CC BY-NC 4.0'", "split_part(name, '_', 1)", "'tr:' || name", "''", "measured_class", "up1 = 'tr'"),
+    ("demand", "demand", "noise", "'CC BY 4.0'", "up1", "up1 || '/' || name", "''", "measured_class", "name IN ('ch01', 'ch05')"),
+    ("musan", "musan", "noise", "coalesce(file_licence, 'public domain')", "name", "name", "''", "measured_class", "up2 = 'noise'"),
+    ("esc50", "esc50", "noise", "'CC BY-NC 3.0'", "src_file", "category || '/' || name", "''", "CASE WHEN category = 'footsteps' THEN 'impulsive' ELSE measured_class END", "category <> 'sneezing'"),
+    ("fsd50k", "fsd50k", "noise", "file_licence", "coalesce(uploader, 'clip' || name)", "label || '/' || name", "''", "CASE WHEN label = 'Gunshot_and_gunfire' THEN 'impulsive' ELSE measured_class END", "label IN ('Gunshot_and_gunfire', 'Wind') AND doc_id % 4 IN (0, 2)"),
+    ("noisex92", "noisex92", "noise", "'research only'", "name", "name", "''", "measured_class", "cutoff_ratio < 6"),
+    ("gunshots", "gunshots", "impulse", "'CC BY 4.0'", "split_part(name, '_', 1)", "name", "''", "'impulsive'", "true"),
+    ("cadre", "cadre", "impulse", "'public domain'", "name", "name", "''", "'impulsive'", "up1 NOT IN ('readme', 'silence')"),
+    ("c3gd", "c3gd", "impulse", "'CC BY 4.0'", "regexp_extract(name, '^(.*?)_[^_]+$', 1)", "name", "''", "'impulsive'", "true"),
+    ("but_reverbdb", "but", "rir", "'CC BY 4.0'", "up3", "up3 || '/' || up2 || '/' || name", "''", "''", "up3 = 'RIR'"),
+)
+ONE_SCAN = "SELECT '{1}:' || {5} AS source_id, '{1}' AS corpus, '{2}' AS kind, '{1}-' || {4} AS group_id, {6} AS speaker_id, dir || name || '.wav' AS path, duration_s, {3} AS licence, {7} AS noise_class FROM f WHERE {8}"
+
+
+@query("WITH " + ANNOTATED + ", m AS (" + " UNION ALL ".join(ONE_SCAN.format(*row) for row in SCAN_SQL) + f"""), h AS (SELECT *, {HASH8.format("group_id")} % 10 AS part FROM m)
+SELECT * EXCLUDE (part), CASE WHEN part < 8 THEN 'train' WHEN part = 8 THEN 'val' ELSE 'test' END AS split FROM h""")
+def scan_corpora(t: Tables) -> DataFrame:
+    """Fifteen scans of one annotated listing, each by its corpus' own grammar, as one manifest."""
+    id = F.col("doc_id")
+    one_of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    up1, up3 = one_of(("tr", "tt", "silence", "p1"), id % 4), one_of(("RIR", "noise", "speech"), id % 3)
+    name = F.when(id % 5 == 0, "ch01").when(id % 5 == 1, F.concat(F.lit("s"), id % 9, F.lit("_l_"), id)).when(id % 5 == 2, F.concat(F.lit("Nonverbal_"), id)).when(id % 5 == 3, F.concat(F.lit("clip_"), id, F.lit("_3"))).otherwise(F.concat(F.lit("a"), id, F.lit("_x_y")))
+    address = "http://creativecommons.org/"
+    files = t.documents.select(
+        F.concat_ws("/", F.lit("data"), up3, F.concat(F.lit("r"), id % 7), up1, F.concat(name, F.lit(".wav"))).alias("path"), (F.col("n_chars") / 16000.0).alias("duration_s"), F.lit("").alias("sha1"),
+        one_of(("dog", "sneezing", "footsteps", "rain"), id % 4).alias("category"), F.when(id % 3 > 0, one_of(("Gunshot_and_gunfire", "Wind", "Guitar"), F.floor(id % 6 / 2))).alias("label"), F.concat(F.lit("src"), id % 11).alias("src_file"),
+        one_of((f"{address}licenses/by/3.0/", f"{address}licenses/by-nc/3.0/", f"{address}publicdomain/zero/1.0/", None), id % 4).alias("file_licence"), F.when(id % 2 == 0, F.concat(F.lit("up"), id % 13)).alias("uploader"),
+        F.when(id % 2 == 0, "stationary").otherwise("changing").alias("measured_class"), F.sha1(F.concat(F.lit("c"), id % 17).cast("binary")).alias("client_id"), (25.0 + id % 10).alias("snr_db"), (id % 12).cast("double").alias("cutoff_ratio"),
+    )
+    found = [scans.scan(files, scans.SCANS[row[0]]()) for row in SCAN_SQL]
+    return functools.reduce(DataFrame.unionByName, found).drop("sha1")
