@@ -13,9 +13,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from auralake.streaming.machines import Machine, names, output_schema, plain
 
@@ -90,44 +91,66 @@ class Walk(Kept):
         yield self.walk(in_order(rows, [self.order]))
 
 
-class LateWalk(Walk):
+class LateWalk(Kept):
     """The same over rows that arrive in any order within the watermark: held until it has passed them, then walked in order.
 
-    A stream holds its rows of one watermark's delay. One timer a stream stands at the earliest of them.
+    A stream holds its rows of one watermark's delay, beside its state in one value, so a micro-batch reads and writes a
+    stream's state once. One timer a stream stands at the earliest of the held rows. What comes out is a row a stream with
+    arrays of results: a task gathers what its timers give before it hands them on.
     """
 
-    def __init__(self, machine: Machine, keep: list[str], order: str, types: dict[str, str]):
-        super().__init__(machine, keep, order)
-        self.columns = list(dict.fromkeys(["late_at", order, *keep, *machine.inputs]))
-        self.schema = ", ".join(f"{c} {types[c]}" for c in self.columns)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.held = handle.getListState(HELD, self.schema)
-
-    def wake(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            values = [tuple(map(plain, r)) for r in part[self.columns].itertuples(index=False, name=None)]
-            if values:
-                self.held.appendList(values)
-                self.wake(min(v[0] for v in values))
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def __init__(self, machine: Machine, by: list[str], order: str, types: dict[str, str]):
+        self.machine, self.by = machine, by
+        self.columns = list(dict.fromkeys(["late_at", order, *machine.inputs]))
+        self.places = [self.columns.index(c) for c in machine.inputs]
+        self.results = [order, *names(machine.outputs)]
+        held = ",".join(f"{c}:{types[c]}" for c in self.columns)
+        super().__init__(type(machine).__name__, dataclasses.asdict(machine), f"{machine.state}, {HELD} array<struct<{held}>>")
+
+    def wake(self, held: list[tuple], moved: list[tuple] = ()) -> None:
+        """Sets the timer for the held rows; ``moved`` are those that it stood for before."""
+        at, before = (-(-min(v[0] for v in rows) // 1000) if rows else None for rows in (held, moved))
+        if at != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if at is not None:
+                self.handle.registerTimer(at)
+
+    def rows_of(self, value: tuple | None) -> tuple[int, tuple, list[tuple]]:
+        position, (*state, held) = value or (0, (*self.machine.start(), ()))
+        return position, tuple(state), [tuple(v.values() if isinstance(v, dict) else v) for v in held or ()]
+
+    def passed(self, key: tuple, position: int, state: tuple, held: list[tuple], timerValues) -> tuple[list[tuple], list[Row]]:
+        """What is still held, and the results of rows that the watermark has passed; both are kept."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         due, rest = [], []
-        for value in self.held.get():
-            (due if value[0] <= passed else rest).append(tuple(value))
-        if due:
-            if rest:
-                self.held.put(rest)
-                self.wake(min(v[0] for v in rest))
-            else:
-                self.held.clear()
-            yield self.walk(pd.DataFrame(due, columns=self.columns).sort_values(["late_at", self.order], kind="stable"))
+        for value in held:
+            (due if value[0] <= passed else rest).append(value)
+        due.sort(key=lambda v: (v[0], v[1] is None, v[1]))
+        out = []
+        for value in due:
+            state, result = self.machine.step(state, *(value[i] for i in self.places))
+            out.append((value[1], *result))
+        self.write(position + len(due), (*state, rest))
+        return rest, [Row(**dict(zip(self.by, key)), **dict(zip(self.results, map(list, zip(*out)))))] if out else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        position, state, held = self.rows_of(self.read())
+        rest, out = self.passed(key, position, state, held + [tuple(plain(r[c]) for c in self.columns) for r in rows], timerValues)
+        self.wake(rest, held)
+        return iter(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        rest, out = self.passed(key, *self.rows_of(self.read()), timerValues)
+        self.wake(rest)
+        return iter(out)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        columns = names(f"{HEADER}, {self.fields}")
+        value = self.checked(tuple(initialState[c] if c in initialState else None for c in columns))
+        position, state, held = self.rows_of((value[3], value[4:]))
+        self.write(position, (*state, held))
+        self.wake(held)
 
 
 class Framer(Kept):
@@ -179,7 +202,11 @@ def over_late_stream(df: DataFrame, machine: Machine, by: list[str], time: str,
     """
     keep = [*by, order]
     rows = df.withColumn("late_at", F.unix_micros(time)).select(*dict.fromkeys([*keep, *machine.inputs, "late_at", time])).withWatermark(time, delay)
-    return started(rows, by, LateWalk(machine, keep, order, dict(rows.dtypes)), output_schema(df, machine, keep), "eventTime", initial)
+    one = StructType.fromDDL(output_schema(df, machine, keep))
+    lists = StructType([f if f.name in by else StructField(f.name, ArrayType(f.dataType)) for f in one])
+    first = None if initial is None else initial.groupBy(*by)
+    found = rows.groupBy(*by).transformWithState(LateWalk(machine, by, order, dict(rows.dtypes)), lists, "append", "eventTime", first)
+    return found.select(*by, F.inline(F.arrays_zip(*[c for c in one.names if c not in by])))
 
 
 def frames(df: DataFrame, by: list[str], order: str, samples: str, hop: int, last: str | None = None, initial: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """The same machine over a batch and over a stream cut into files; state that is resumed, handed over or refused; late rows."""
 
+import os
 import random
 
 import pytest
@@ -95,6 +96,26 @@ def test_late_rows_give_what_the_batch_gives(spark, tmp_path, machine, columns):
     assert sorted_rows(found) == sorted_rows(M.over_batch(whole, machine, ["user"], "i"))
 
 
+def test_micro_batches_do_not_grow_with_files(spark, tmp_path):
+    """Steps of seven files each are read two steps a trigger, like steps of one file; one more micro-batch closes the last rows."""
+    rows = spark.range(400).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts")).repartition(7)
+    found = hops.drained(hops.arriving(rows, "ts", "id", "1 hour", 4), checkpoint=f"{tmp_path}/kept")
+    assert found.count() == 400 and len([f for f in os.listdir(f"{tmp_path}/kept/commits") if f.isdigit()]) == 2
+
+
+def test_late_rows_that_are_held_are_handed_over_in_one_value(spark, tmp_path):
+    """What a query holds goes with its state: the next query gives the batch's rows, and none again."""
+    machine, kept = M.ReconnectRamp(4), f"{tmp_path}/kept"
+    rows = spark.createDataFrame([(u, i, (i * 5 + u) % 11 > 2) for u in range(3) for i in range(60)] + [(9, 900, True)], "user int, i int, available boolean")
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.col("i") + 1_000)).cache()
+    late = lambda name, *cuts, first=None: St.over_late_stream(source(spark, rows, f"{tmp_path}/{name}", *cuts), machine, ["user"], "ts", "i", "10 seconds", first)
+    early = sorted_rows(hops.drained(late("a", 0, 20, 40), checkpoint=kept))
+    state = St.exported(spark, kept)
+    assert {(r.user, r.position, len(r.held)) for r in state.collect()} == {(u, 30, 10) for u in range(3)}
+    rest = sorted_rows(hops.drained(late("b", 40, 60, 901, first=state)))
+    assert sorted(early + rest, key=repr) == sorted_rows(M.over_batch(rows.filter("user < 9"), machine, ["user"], "i"))
+
+
 def test_batch_machines_equal_the_windows(spark):
     rows = spark.createDataFrame([(u, i, (i * 5 + u) % 11 > 2 and i % 17 > 0) for u in range(3) for i in range(70)], "user int, i long, available boolean")
     frames = M.over_batch(rows, M.FrameValidity(6, 3), ["user"], "i").filter("frame is not null").select("user", "frame", "valid")
