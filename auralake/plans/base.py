@@ -38,8 +38,8 @@ class Tables:
         return manifest(self.documents)
 
     def rows(self, schema: str, *rows: tuple) -> DataFrame:
-        """A few constant rows, as a dimension."""
-        return self.spark.createDataFrame(list(rows), schema)
+        """A few constant rows, as a dimension: broadcast, as a join on it must not deal a table's rows by its few keys."""
+        return F.broadcast(self.spark.createDataFrame(list(rows), schema))
 
 
 def query(sql: str | None = None):

@@ -76,3 +76,9 @@ def test_digests_and_lanes_hold_no_group_at_once(spark):
         assert r.lane == loads.index(min(loads))
         loads[r.lane] += r.cost
     assert all("collect_list" not in plan_of(x) for x in (found, jobs))
+
+
+def test_constant_rows_are_no_key_to_deal_tables_by(spark):
+    """Three metrics are three keys: a shuffle by them would end in three tasks, whatever the table's size."""
+    plan = QUERIES["metric_registry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [metric" in plan and "SortMergeJoin [metric" not in plan
