@@ -57,13 +57,20 @@ def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = No
 
 
 def written(*steps: DataFrame, per_trigger: int | None = None) -> DataFrame:
-    """Tables of one schema as a stream that reads them in this order; their rows are written once to the shared folder."""
+    """Tables of one schema as a stream that reads them in this order; their rows are written once to the shared folder.
+
+    A trigger reads the files of ``per_trigger`` tables on average, however many a table has, so the number of micro-batches
+    doesn't grow with the tables.
+    """
     spark = steps[0].sparkSession
     path = shared_path(spark, "stream-input")
     for k, rows in enumerate(steps):
         rows.write.parquet(f"{path}/{k}")
     reader = spark.readStream.schema(steps[0].schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(f"{path}/*")
+    if per_trigger:
+        files = len(spark.read.schema(steps[0].schema).parquet(f"{path}/*").inputFiles())
+        reader = reader.option("maxFilesPerTrigger", max(1, -(-files * per_trigger // len(steps))))
+    return reader.parquet(f"{path}/*")
 
 
 def arriving(rows: DataFrame, time: str, by: str, most: str, steps: int, per_trigger: int = 2) -> DataFrame:
