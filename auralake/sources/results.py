@@ -41,10 +41,12 @@ def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list
 
     Only names of files come to the driver, which lists them in any case.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    # A file's first lines are read by one task, in order.
-    firsts = lines.filter("block = 0").groupBy("file").agg(F.first("value").alias("header")).groupBy("header").agg(F.collect_list("file").alias("files"))
-    return {tuple(next(csv.reader([r["header"].lstrip("\ufeff")]))): sorted(r["files"]) for r in firsts.collect()}
+    # A file's first lines are read by one task, in order, so the first has the least number. Numbers are summed up by hash;
+    # texts would be sorted. Both uses of the table read it by the same tasks.
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    least = lines.filter("block = 0").groupBy("file").agg(F.min("at").alias("at"))
+    firsts = lines.join(F.broadcast(least), ["file", "at"]).groupBy("value").agg(F.collect_list("file").alias("files"))
+    return {tuple(next(csv.reader([r["value"].lstrip("\ufeff")]))): sorted(r["files"]) for r in firsts.collect()}
 
 
 def read_csv(spark: SparkSession, columns: tuple[str, ...], files: list[str]) -> DataFrame:

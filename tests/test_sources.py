@@ -140,3 +140,16 @@ def test_recordings_and_verdicts(spark):
     assert sorted((r.key, r.rule) for r in R.recording_violations(table).collect()) == [("", "id"), ("", "speaker"), ("1", "condition"), ("1", "has_clean"), ("1", "repeated key")]
     rows = spark.createDataFrame([("a", True), ("a", None), ("b", False), ("b", None), ("c", True)], "g string, ok boolean")
     assert {r.g: r.verdict for r in R.verdict(rows, ["g"], "ok").collect()} == {"a": "TBD", "b": "FAIL", "c": "PASS"}
+
+
+def test_headers_are_found_without_sorting_the_lines(spark, tmp_path, monkeypatch):
+    """Of files of several headers, long, short and empty, in few tasks; lines are only counted up by hash."""
+    for k in range(7):
+        header = ["a,b", "b,a", "x"][k % 3]
+        (tmp_path / f"{k}.csv").write_text("".join(f"{x}\n" for x in [header, *("zz,0" for _ in range(1000 * k))]))
+    (tmp_path / "empty.csv").write_text("")
+    plans, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    found = R.headers(spark, [f"{tmp_path}/*.csv"])
+    assert {h: [f.rpartition("/")[2] for f in files] for h, files in found.items()} == {("a", "b"): ["0.csv", "3.csv", "6.csv"], ("b", "a"): ["1.csv", "4.csv"], ("x",): ["2.csv", "5.csv"]}
+    assert plans and not any("SortAggregate" in p for p in plans)

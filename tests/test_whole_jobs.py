@@ -82,3 +82,13 @@ def test_constant_rows_are_no_key_to_deal_tables_by(spark):
     """Three metrics are three keys: a shuffle by them would end in three tasks, whatever the table's size."""
     plan = QUERIES["metric_registry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [metric" in plan and "SortMergeJoin [metric" not in plan
+
+
+def test_lines_are_summed_in_tasks_that_follow_from_their_number(spark, monkeypatch):
+    """No sums in the tasks that scan: of few lines an order, they would hold nearly as many groups as lines."""
+    from auralake.plans import base
+
+    monkeypatch.setattr(base, "TASK_LINES", 250)
+    tables = base.Tables(spark, "/root/testdata/sf0.001")
+    plan, lines = tables.fact._jdf.queryExecution().executedPlan().toString(), tables.lineitem.count()
+    assert "hashpartitioning(l_orderkey#" in plan and f", {-(-lines // 250)})" in plan and "hashpartitioning(l_orderkey, l_returnflag" not in re.sub(r"#\d+L?", "", plan)
