@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +114,10 @@ class PieceStore:
             self.values = room(self.values, self.used + total)
             self.starts[n : n + len(runs)] = self.used + np.cumsum(lengths) - lengths
             self.lengths[n : n + len(runs)] = lengths
-            self.values[self.used : self.used + total] = np.fromiter((x for r in runs for x in r), dtype=self.dtype, count=total)
+            self.values[self.used : self.used + total] = np.fromiter(chain.from_iterable(runs), dtype=self.dtype, count=total)
             self.used += total
             self.slots.update(zip(missing, range(n, n + len(runs))))
-            found = list(map(self.slots.get, pieces))
+            found = [self.slots[p] if s is None else s for p, s in zip(pieces, found)]
         return np.array(found, dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,8 @@ class PieceStore:
         if len(texts) == 0:
             return np.zeros(0, dtype=self.dtype), np.zeros(1, dtype=np.int64)
         offsets, pieces = cut(texts)
-        slots = self.slots_of(pieces.dictionary.to_pylist())[np.asarray(pieces.indices)]
+        # By numpy: Arrow's own to_pylist makes a scalar of each piece first.
+        slots = self.slots_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(pieces.indices)]
         lengths = self.lengths[slots]
         ends = np.cumsum(lengths)
         take = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
