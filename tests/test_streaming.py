@@ -97,7 +97,7 @@ def test_late_rows_give_what_the_batch_gives(spark, tmp_path, machine, columns):
 
 
 def test_micro_batches_do_not_grow_with_files(spark, tmp_path):
-    """Steps of seven files each are read two steps a trigger, like steps of one file; one more micro-batch closes the last rows."""
+    """Steps of seven files each are read two steps a trigger, like steps of one file."""
     rows = spark.range(400).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts")).repartition(7)
     found = hops.drained(hops.arriving(rows, "ts", "id", "1 hour", 4), checkpoint=f"{tmp_path}/kept")
     assert found.count() == 400 and len([f for f in os.listdir(f"{tmp_path}/kept/commits") if f.isdigit()]) == 2
