@@ -8,6 +8,7 @@ it has not met before with the tokenizer's own library, and gathers ids by numpy
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -26,8 +27,8 @@ MARK = "\x00"
 #: Pieces beside which a cut is not safe: empty ones, and those with white space at an end besides one leading space or tab.
 SPACE = "[\\s\\x0b\\x1c-\\x1f\u0085\\pZ]"
 UNSAFE = f"^$|{SPACE}$|^ {SPACE}|^[\\r\\x0b\\x0c\\x1c-\\x1f\u0085]"
-#: Characters of text that a worker cuts at once.
-SLICE_CHARS = 8_000_000
+#: Characters of text that a worker cuts at once, and pieces that the library encodes at once: its encodings are many times their size.
+SLICE_CHARS, ENCODED_PIECES = 8_000_000, 4_096
 
 
 def tokenizer_file(name: str) -> str:
@@ -106,20 +107,24 @@ class PieceStore:
         if missing and len(self.slots) + len(missing) > self.kept and self.slots:
             self.clear()
             return self.slots_of(pieces)
+        for at in range(0, len(missing), ENCODED_PIECES):
+            self.learn(missing[at : at + ENCODED_PIECES])
         if missing:
-            runs = self.runs(missing)
-            lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
-            n, total = len(self.slots), int(lengths.sum())
-            self.starts, self.lengths = room(self.starts, n + len(runs)), room(self.lengths, n + len(runs))
-            self.values = room(self.values, self.used + total)
-            self.starts[n : n + len(runs)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[n : n + len(runs)] = lengths
-            self.values[self.used : self.used + total] = np.fromiter(chain.from_iterable(runs), dtype=self.dtype, count=total)
-            self.used += total
-            self.slots.update(zip(missing, range(n, n + len(runs))))
             found = [self.slots[p] if s is None else s for p, s in zip(pieces, found)]
         return np.array(found, dtype=np.int64)
 
+    def learn(self, missing: list[str]) -> None:
+        runs = self.runs(missing)
+        lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+        n, total = len(self.slots), int(lengths.sum())
+        self.starts, self.lengths = room(self.starts, n + len(runs)), room(self.lengths, n + len(runs))
+        self.values = room(self.values, self.used + total)
+        self.starts[n : n + len(runs)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(runs)] = lengths
+        self.values[self.used : self.used + total] = np.fromiter(chain.from_iterable(runs), dtype=self.dtype, count=total)
+        self.used += total
+        self.slots.update(zip(missing, range(n, n + len(runs))))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' values in a row, and the offsets of each text's."""
         if len(texts) == 0:
@@ -154,8 +159,10 @@ class CaselessStore(PieceStore):
 
 
 def release() -> None:
-    """Gives memory that Arrow holds ready back to the machine: a worker may idle for long after a task."""
+    """Gives memory that Arrow and the C library hold ready back to the machine: a worker may idle for long after a task."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's; it keeps freed blocks below any that is in use
+        trim(0)
 
 
 def room(a: np.ndarray, n: int) -> np.ndarray:

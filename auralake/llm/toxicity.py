@@ -36,8 +36,10 @@ LEVELS = (1, 2, 3, 5)
 #: How much commoner a feature must be among positives, and the log likelihood ratio of its count to the one expected from
 #: unlabelled texts: among millions of words, chance reaches a ratio of 10 for a few dozen at most.
 LIFT, EVIDENCE = 3.0, 10.0
-#: Characters of texts whose features are found at once.
-SLICE_CHARS = 4_000_000
+#: Characters of texts whose features are found at once; and where all features count, not only a model's.
+SLICE_CHARS, OPEN_CHARS = 4_000_000, 1_000_000
+#: Words whose features a task remembers; then it starts afresh. Bounds memory, never results.
+MET_WORDS = 300_000
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 
 
@@ -66,7 +68,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return offsets - offsets[0], lists.flatten().dictionary_encode()
 
 
-def present(texts: pa.Array, index: dict[str, int] | None, met: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def present(texts: pa.Array, index: dict[str, int] | None, met: dict[str, tuple[int, ...]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(text, feature, occurrences) without repeats, sorted by text; with ``index`` only the features it numbers.
 
     ``met`` keeps the features of words that a task has met before.
@@ -76,13 +78,13 @@ def present(texts: pa.Array, index: dict[str, int] | None, met: dict[str, list[i
     names: dict[str, int] = {} if index is None else index
     lists = []
     met = {} if met is None else met
-    if len(met) > 1_000_000:  # bounds memory, never results
+    if len(met) > MET_WORDS:
         met.clear()
     for word in vocabulary:
         own = met.get(word)
         if own is None:
             own = features_of(word) if word else []
-            own = met[word] = [names.setdefault(f, len(names)) for f in own] if index is None else [names[f] for f in own if f in names]
+            own = met[word] = tuple([names.setdefault(f, len(names)) for f in own] if index is None else [names[f] for f in own if f in names])
         lists.append(own)
     sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     flat = np.fromiter((f for own in lists for f in own), dtype=np.int64, count=int(sizes.sum()))
@@ -116,7 +118,7 @@ def counts(texts: DataFrame, index: dict[str, int] | None) -> DataFrame:
         total, met = np.zeros(len(index or ()) * len(LEVELS), dtype=np.int64), {}
         for batch in batches:
             text = tokens.plain(batch.column("text"))
-            for a, b in tokens.slices(text, SLICE_CHARS):
+            for a, b in tokens.slices(text, OPEN_CHARS if index is None else SLICE_CHARS):
                 rows, found, times, names = present(text.slice(a, b - a), index, None if index is None else met)
                 found = levelled(rows, found, times)[1]
                 if index is None:
@@ -193,7 +195,7 @@ def feature_sets(texts: DataFrame, index: dict[str, int], columns: dict[int, int
     """(features, n): the sets of the model's features that texts have, and how many texts have just these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[str, list[int]] = {}
+        met: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             text, found = tokens.plain(batch.column("text")), {}
             for a, b in tokens.slices(text, SLICE_CHARS):
@@ -306,7 +308,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[str, list[int]] = {}
+        met: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             text = tokens.plain(batch.column("text"))
             for a, b in tokens.slices(text, SLICE_CHARS):
