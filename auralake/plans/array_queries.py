@@ -12,10 +12,10 @@ from auralake.plans.stats_queries import r9
 
 
 def pairs(t: Tables) -> DataFrame:
-    """Each vector as a clean signal with the next of its label as the estimate."""
+    """Each vector as a clean signal with the next of its label as the estimate; one without an id comes last, as in the SQL."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("label").orderBy("vec_id")
+    w = Window.partitionBy("label").orderBy(F.asc_nulls_last("vec_id"))
     x = A.doubles("embedding")
     return t.embeddings.select("vec_id", "label", x.alias("x"), F.lead(x).over(w).alias("y")).filter("y is not null")
 

@@ -5,7 +5,9 @@ import datetime
 import math
 import re
 
-from auralake.plans.registry import QUERIES
+import duckdb
+
+from auralake.plans.registry import ORACLE_SQL, QUERIES
 
 FIRST = datetime.datetime(2024, 1, 1)
 
@@ -92,3 +94,19 @@ def test_lines_are_summed_in_tasks_that_follow_from_their_number(spark, monkeypa
     tables = base.Tables(spark, "/root/testdata/sf0.001")
     plan, lines = tables.fact._jdf.queryExecution().executedPlan().toString(), tables.lineitem.count()
     assert "hashpartitioning(l_orderkey#" in plan and f", {-(-lines // 250)})" in plan and "hashpartitioning(l_orderkey, l_returnflag" not in re.sub(r"#\d+L?", "", plan)
+
+
+def test_level_differences_are_those_of_the_sql_on_near_ties_and_odd_vectors(spark, tmp_path):
+    """Two bands within a millionth of a decibel a place are a tie, which the first wins; no vector with a next one is lost."""
+    base = [0.1 * ((i * 7) % 11 - 5) for i in range(64)]
+    louder = lambda *db: [v * 10 ** (db[i // 8] / 20) for i, v in enumerate(base)]
+    ties = [base, louder(1, 2, 1, 2.000001, 1, 1, 1, 1), base, louder(1, 2, 1, -2.000003, 1, 1, 1, 1), base]
+    odd = [None, base, base[:20], base, [], base, [9.0] * 80, [None] + base[1:], [None] * 8 + base[8:], base, base[:16] + [math.inf] + base[17:], base, [0.0] * 64]
+    rows = [(i, v, 1) for i, v in enumerate(ties)] + [(10 + i, v, 2) for i, v in enumerate(odd)] + [(None, base, 3), (30, louder(*[3] * 8), 3), (31, base, 3)]
+    folder = saved(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tmp_path, "embeddings")
+    got = {r.vec_id: (r.dominant, r.most, r.apart) for r in QUERIES["level_differences"](spark, folder).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    want = {i: v for i, *v in db.execute(f"SELECT vec_id, dominant, most, apart FROM ({ORACLE_SQL['level_differences']})").fetchall()}
+    assert got == {i: tuple(v) for i, v in want.items()}
+    assert [got[i][0] for i in range(4)] == [1, 1, 3, 3] and len(got) == 18
